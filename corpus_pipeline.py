@@ -1,21 +1,48 @@
-"""A training-corpus pipeline over ``documents``; a part of lectern.llm."""
+"""A training-corpus pipeline over ``documents``; a part of lectern.llm.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
+kept, and returns a DataFrame that is written and read again as the next one's
+docs.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, near_dup, rules
+from lectern.llm import line_dedup, mixing, near_dup, rules, sentencepiece
 from lectern.llm.arrowmap import persisted, shared_dir
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the standard policy keeps."""
     return rules.apply_policy(rules.ledger(docs), rules.STANDARD).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without runs of lines that occurred before; documents of which nothing is left go."""
+    left = line_dedup.dedup(docs)
+    return left.where("n_removed = 0 or n_removed < n_lines").withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates, and all others."""
+    gone = near_dup.classes(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return mixing.emitted(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of all texts."""
+    return sentencepiece.encode(docs, ["doc_id", "lang", "source"])
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mix_sources", mix), ("sentencepiece", encode)]
+# SQL expresses neither the hashes that select and mix nor the encoding; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
