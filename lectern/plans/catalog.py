@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "vector_topk"
+from . import catalogues, retrieval
+
+QUERIES = retrieval.QUERIES | catalogues.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | catalogues.ORACLE_SQL
+FLAGSHIP = "hybrid_search"
