@@ -61,7 +61,7 @@ def similar_groups(books: DataFrame) -> DataFrame:
 def merge_safety(groups: DataFrame, books: DataFrame) -> DataFrame:
     """Adds ``safety`` and its reasons to groups (ids): several ISBNs, a format held twice, several languages."""
     members = groups.withColumn("_g", F.xxhash64("ids")).select("_g", F.explode("ids").alias("id")).join(books, "id")
-    isbn = F.collect_set(isbns.to_isbn13(F.col("identifiers")["isbn"]))
+    isbn = F.collect_set(F.nullif(F.lower(F.btrim(F.col("identifiers")["isbn"])), F.lit("")))
     languages = F.array_distinct(F.flatten(F.collect_list(F.coalesce("languages", F.array().cast("array<string>")))))
     held = members.select("_g", "id", F.explode(F.array_distinct("formats")).alias("f")).groupBy("_g", "f").agg(F.count("*").alias("n")).groupBy("_g").agg((F.max("n") > 1).alias("shared_format"))
     facts = members.groupBy("_g").agg(F.size(isbn).alias("n_isbn"), F.size(F.filter(F.transform(languages, F.lower), lambda x: x != "")).alias("n_lang")).join(held, "_g", "left")

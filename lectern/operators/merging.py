@@ -48,14 +48,14 @@ def merge_books(members: DataFrame, group: str, place: str) -> DataFrame:
     Scalars take the first value that isn't empty, tags are united in order, identifiers of the target
     win and later sources overwrite earlier ones, comments are joined if they differ.
     """
-    order = F.sort_array(F.collect_list(F.struct(place, "title", "publisher", "pubdate", "series", "series_index", "comments", "tags", "identifiers")))
+    order = F.sort_array(F.collect_list(F.struct(place, "title", "publisher", "pubdate", "series", "series_index", "comments", "tags", F.map_entries("identifiers").alias("identifiers"))))
     g = members.groupBy(group).agg(order.alias("m"))
     first = lambda c, ok: F.get(F.filter(F.transform("m", lambda x: x[c]), ok), 0)
     filled = lambda v: v.isNotNull() & (F.btrim(v.cast("string")) != "")
     dated = lambda v: v.isNotNull() & ~v.startswith("0101-01-01")
     none = F.array().cast("array<string>")
     tags = distinct_ignoring_case(F.flatten(F.transform("m", lambda x: F.coalesce(x["tags"], none))))
-    entries = lambda x: F.coalesce(F.map_entries(F.transform_keys(x["identifiers"], lambda k, _: F.lower(k))), F.array().cast("array<struct<key:string,value:string>>"))
+    entries = lambda x: F.coalesce(F.transform(x["identifiers"], lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
     sources, own = F.flatten(F.transform(F.slice("m", 2, 1000), entries)), entries(F.get("m", 0))
     pairs = F.concat(F.filter(sources, lambda e, i: ~F.exists(F.slice(sources, i + 2, 1000), lambda o: o["key"] == e["key"]) & ~F.exists(own, lambda o: o["key"] == e["key"])), own)
     comments = F.array_distinct(F.filter(F.transform("m", lambda x: F.btrim(x["comments"])), filled))

@@ -84,6 +84,8 @@ class Language:
             return inner, t[1:]
         if t[0] == ")":
             raise QueryError("a bracket isn't opened")
+        if t[0].lower() in ("and", "or"):
+            raise QueryError(f"{t[0]!r} needs something on both sides")
         return self._atom(t[0], path), t[1:]
 
     def _atom(self, token: str, path) -> Column:
@@ -158,9 +160,7 @@ class Language:
             n = int(m.group(1))
             months = today.year * 12 + today.month - 1 - n * (12 if m.group(2) == "years" else 1)
             then = today - dt.timedelta(days=n) if m.group(2) == "days" else dt.date(months // 12, months % 12 + 1, min(today.day, 28))
-            # So long ago: fewer days ago is a later date.
             lo = hi = then
-            op = {">": "<", "<": ">", ">=": "<=", "<=": ">="}.get(op, op)
         elif text.lower() in words:
             lo, hi = words[text.lower()]
         else:

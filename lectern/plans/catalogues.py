@@ -182,7 +182,7 @@ ORACLE_SQL = {
     "paging": "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 15 OFFSET 20",
     "order_dates": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= '1994-01-01' AND CAST(o_orderdate AS DATE) < '1995-06-01' GROUP BY 1",
     "dup_identical": _GROUPS,
-    "merge_safety": f"SELECT min(p_partkey) AS first, round(greatest(0.0, least(1.0, CASE WHEN count(DISTINCT p_partkey % 5 = 0) > 1 THEN least(s - 0.3, 0.3) ELSE s END)), 4) AS safety FROM (SELECT *, 1.0 - CASE WHEN (SELECT count(DISTINCT i) FROM (SELECT q.p_partkey, '978' || lpad(CAST(q.p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS t, '978' || lpad(CAST(q.p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') || CAST(q.p_partkey % 10 AS VARCHAR) AS i FROM part q WHERE q.p_partkey % 700 = p.p_partkey % 700) WHERE {_CHECK13.format('t')} = p_partkey % 10) > 1 THEN 0.5 ELSE 0 END - CASE WHEN (SELECT max(c) FROM (SELECT count(*) AS c FROM part q WHERE q.p_partkey % 700 = p.p_partkey % 700 GROUP BY q.p_partkey % 3 = 0)) > 1 THEN 0.2 ELSE 0 END AS s FROM part p) GROUP BY p_partkey % 700, s HAVING count(*) > 1",
+    "merge_safety": f"SELECT min(p_partkey) AS first, round(greatest(0.0, least(1.0, CASE WHEN count(DISTINCT p_partkey % 5 = 0) > 1 THEN least(s - 0.3, 0.3) ELSE s END)), 4) AS safety FROM (SELECT *, 1.0 - CASE WHEN (SELECT count(DISTINCT (q.p_partkey * 7919 % 1000000000, q.p_partkey % 10)) FROM part q WHERE q.p_partkey % 700 = p.p_partkey % 700) > 1 THEN 0.5 ELSE 0 END - CASE WHEN (SELECT max(c) FROM (SELECT count(*) AS c FROM part q WHERE q.p_partkey % 700 = p.p_partkey % 700 GROUP BY q.p_partkey % 3 = 0)) > 1 THEN 0.2 ELSE 0 END AS s FROM part p) GROUP BY p_partkey % 700, s HAVING count(*) > 1",
     "series_gaps": "WITH b AS (SELECT p_brand AS series, p_size AS n, count(*) AS c, min(p_partkey) AS k FROM part WHERE p_partkey % 9 = 0 GROUP BY ALL), g AS (SELECT series, sum(c) AS m, min(k) AS anchor, max(n) - min(n) + 1 - count(*) AS n_missing, count(*) FILTER (c > 1) AS n_repeated FROM b GROUP BY series) SELECT series, anchor, CAST(n_missing AS INT) AS n_missing, CAST(n_repeated AS INT) AS n_repeated FROM g WHERE m > 1 AND (n_missing > 0 OR n_repeated > 0)",
     "isbn_valid": f"SELECT p_partkey AS id, {_CHECK13.format('s')} = p_partkey % 10 AS valid FROM (SELECT p_partkey, '978' || lpad(CAST(p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS s FROM part)",
     "isbn13": f"SELECT p_partkey, s || CAST({_CHECK13.format('s')} AS INT) AS isbn13 FROM (SELECT p_partkey, '978' || lpad(CAST(p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS s FROM part)",
