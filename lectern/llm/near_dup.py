@@ -12,10 +12,13 @@ all of them with probability (1 - s)^ROOTS, under 1e-7 at 0.75 and 12 trees.
 
 * A node of at most LEAF documents is compared exhaustively: pairs whose sketches
   (SKETCH minwise tokens of 16 bits) agree on less than SURE of all places are
-  dropped (5 deviations below the threshold), the others are confirmed on the
-  full sets, unless earlier links already connect them.
+  dropped (over 4.5 deviations below the threshold), the others are confirmed on the
+  full sets, unless earlier links already connect them.  A pair that meets in
+  several trees is confirmed in the first only, so full sets travel about once.
 * A larger node links its documents to PIVOTS of them, salted over tasks, then
-  branches by BRANCH coordinates.
+  branches by BRANCH coordinates.  With 1.5 children in common at similarity
+  0.75, a pair lives through any depth with probability 8/9, and through some
+  of 12 trees with 1 - 2e-6; pairs below one half die out, so nodes thin.
 * After each round the links' components become labels; a node whose documents
   all carry one label has nothing left to find and is dropped, which is what
   keeps large groups of near copies from branching on.
@@ -42,9 +45,10 @@ from .arrowmap import binary_rows, map_batches, persisted, shared_dir, sorted_gr
 from .components import components
 
 K = 5
-ROOTS, BRANCH, SKETCH = 12, 10, 128
-LEAF, PIVOTS, SALT_ROWS, DEPTH = 128, 4, 64, 4
-PERCENT, SURE = 75, 0.55
+ROOTS, BRANCH, SKETCH = 12, 2, 128
+LEAF, PIVOTS, SALT_ROWS, DEPTH = 128, 4, 64, 6
+PERCENT, SURE = 75, 0.57
+BROADCAST_ROWS = 300_000
 
 
 def shingle_sets(block: tb.Block) -> tuple[list[np.ndarray], np.ndarray]:
@@ -100,19 +104,16 @@ def _sketches(df: DataFrame, text: str, key: str) -> DataFrame:
     return map_batches(df.select(key, text), run, f"{key} long, n_shingles long, content long, roots array<long>, sketch binary")
 
 
-class _Sets:
-    """Links within groups of documents: union-find over labels, and exact confirmation."""
-
-    @staticmethod
-    def similar(a: np.ndarray, b: np.ndarray) -> bool:
-        if len(a) > len(b):
-            a, b = b, a
-        if 100 * len(a) < PERCENT * len(b):
-            return False
-        place = np.searchsorted(b, a)
-        place[place == len(b)] = 0
-        both = int(np.count_nonzero(b[place] == a))
-        return 100 * both >= PERCENT * (len(a) + len(b) - both)
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """100 * intersection >= PERCENT * union, of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < PERCENT * len(b):
+        return False
+    place = np.searchsorted(b, a)
+    place[place == len(b)] = 0
+    both = int(np.count_nonzero(b[place] == a))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def _find(root: dict, x):
@@ -127,7 +128,7 @@ def _confirmed(pairs, labels: list[int], sets: list[np.ndarray]) -> list[tuple[i
     root = {x: x for x in labels}
     for i, j in pairs:
         a, b = _find(root, labels[i]), _find(root, labels[j])
-        if a != b and _Sets.similar(sets[i], sets[j]):
+        if a != b and similar(sets[i], sets[j]):
             root[max(a, b)] = min(a, b)
     return [(x, _find(root, x)) for x in root if root[x] != x]
 
@@ -153,149 +154,165 @@ def _grouped(df: DataFrame, fn, schema: str, by: str = "node") -> DataFrame:
     return df.repartition(n, by).sortWithinPartitions(by).mapInArrow(run, parsed)
 
 
+def _first_meeting(table: pa.Table):
+    """For row i: which later rows' first common tree is this node's; all of them in a node below the roots."""
+    tree = table.column("tree")[0].as_py()
+    if tree <= 0:
+        return lambda i: True
+    roots = np.array(table.column("roots").to_pylist(), np.int64)[:, :tree]
+    return lambda i: (roots[i + 1 :] != roots[i]).all(1)
+
+
 def _promising(members: DataFrame) -> DataFrame:
-    """(node, content) of the documents of small nodes that have a partner with an alike sketch and another label."""
+    """(cell, content, side) of the texts of small nodes that have an alike partner of another label, met here first."""
 
     def fn(table: pa.Table):
         sketches = np.stack(binary_rows(table.column("sketch"), np.uint16))
-        labels = table.column("label").to_numpy()
+        labels, first = table.column("label").to_numpy(), _first_meeting(table)
         good = np.zeros(len(labels), bool)
         for i in range(len(labels) - 1):
-            near = _alike(sketches, i, slice(i + 1, None)) & (labels[i + 1 :] != labels[i])
+            near = _alike(sketches, i, slice(i + 1, None)) & (labels[i + 1 :] != labels[i]) & first(i)
             if near.any():
                 good[i] = True
                 good[i + 1 :] |= near
-        return {"node": table.column("node").to_numpy()[good], "content": table.column("content").to_numpy()[good]}
+        n = int(good.sum())
+        return {"cell": table.column("node").to_numpy()[good], "content": table.column("content").to_numpy()[good], "side": [-1] * n}
 
-    return _grouped(members, fn, "node long, content long")
+    return _grouped(members, fn, "cell long, content long, side int", "node")
 
 
-def _small_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of labels in small nodes, from rows with full sets and sketches."""
+def _facing(cells: DataFrame) -> DataFrame:
+    """(cell, content, side) of the rows of side 0 and side 1 of a cell that are alike and differ in label."""
 
     def fn(table: pa.Table):
+        side, labels = table.column("side").to_numpy(), table.column("label").to_numpy()
         sketches = np.stack(binary_rows(table.column("sketch"), np.uint16))
-        labels, sets = table.column("label").to_pylist(), binary_rows(table.column("set"), np.uint64)
-        pairs = ((i, i + 1 + int(j)) for i in range(len(labels) - 1) for j in np.flatnonzero(_alike(sketches, i, slice(i + 1, None))))
-        stars = _confirmed(pairs, labels, sets)
-        return {"a": [a for a, _ in stars], "b": [b for _, b in stars]}
+        one, good = np.flatnonzero(side == 1), np.zeros(len(side), bool)
+        for i in np.flatnonzero(side == 0):
+            near = ((sketches[one] == sketches[i]).mean(1) >= SURE) & (labels[one] != labels[i])
+            good[one[near]] = True
+            good[i] = near.any()
+        return {"cell": table.column("cell").to_numpy()[good], "content": table.column("content").to_numpy()[good], "side": side[good]}
 
-    return _grouped(rows, fn, "a long, b long")
+    return _grouped(cells, fn, "cell long, content long, side int", "cell")
 
 
-def _block_links(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
-    """Links of labels between the rows of side 0 and side 1 of each cell."""
-    cells = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+def _links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of labels, confirmed on full sets: all pairs of a cell's rows of side -1, or those of side 0 with side 1."""
 
     def fn(table: pa.Table):
         side = table.column("side").to_numpy()
         sketches = np.stack(binary_rows(table.column("sketch"), np.uint16))
         labels, sets = table.column("label").to_pylist(), binary_rows(table.column("set"), np.uint64)
-        one = np.flatnonzero(side == 1)
-        pairs = ((i, int(j)) for i in np.flatnonzero(side == 0).tolist() for j in one[(sketches[one] == sketches[i]).mean(1) >= SURE])
+        if side[0] < 0:
+            pairs = ((i, i + 1 + int(j)) for i in range(len(labels) - 1) for j in np.flatnonzero(_alike(sketches, i, slice(i + 1, None))))
+        else:
+            one = np.flatnonzero(side == 1)
+            pairs = ((i, int(j)) for i in np.flatnonzero(side == 0).tolist() for j in one[(sketches[one] == sketches[i]).mean(1) >= SURE])
         stars = _confirmed(pairs, labels, sets)
         return {"a": [a for a, _ in stars], "b": [b for _, b in stars]}
 
-    return _grouped(cells, fn, "a long, b long", by)
-
-
-def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row."""
-    spark, folder = df.sparkSession, shared_dir(df.sparkSession, "near")
-    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = persisted(_sketches(texts, "text", "doc_id"), folder, "sketches")
-    usable = sketched.where("doc_id is not null and n_shingles > 0")
-    owners = usable.groupBy("content").agg(F.min("doc_id").alias("owner"))
-    # One row per text: its content, least id, tokens.  Copies agree on the tokens, so the least id's row has them.
-    texts_once = persisted(usable.join(owners, "content").where("doc_id = owner").dropDuplicates(["content"]).select("content", F.col("owner").alias("label"), "roots", "sketch"), folder, "texts")
-
-    # Nodes of the first level that hold two texts or more.
-    first = texts_once.select("content", F.posexplode("roots").alias("tree", "node"))
-    sizes = first.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    opened = persisted(first.join(sizes, "node").select("node", "content", "size", "tree"), folder, "opened")
-    plain = texts_once.select("content", "label", "sketch")
-    small = opened.where(F.col("size") <= LEAF)
-    sure = persisted(_promising(small.join(plain, "content").select("node", "content", "label", "sketch")), folder, "sure")
-    large = opened.where(F.col("size") > LEAF)
-    wanted = sure.select("content").union(large.select("content")).distinct()
-    labels = persisted(plain.join(wanted, "content"), folder, "labels-0")
-
-    def whole(batch: pa.RecordBatch):
-        for block in tb.blocks(batch.column(0)):
-            sets, n = shingle_sets(block)
-            yield {"content": _content(sets, n), "set": [s.tobytes() for s in sets]}
-
-    # The ids are in two columns at most; only the wanted documents' texts are read into sets.
-    some = texts.join(labels.select(F.col("label").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = persisted(map_batches(some, whole, "content long, `set` binary").join(labels.select("content"), "content", "left_semi").dropDuplicates(["content"]), folder, "sets")
-
-    sure = sure.join(opened.select("node", "content", "tree"), ["node", "content"])
-    frontier = sure.where("tree < 2").select("node", "content").union(large.where("tree < 2").select("node", "content"))
-    later = sure.where("tree >= 2").select("node", "content").union(large.where("tree >= 2").select("node", "content"))
-    mapping = None
-    for depth in range(DEPTH + 1):
-        frontier, links = _round(frontier, labels, sets, folder, depth, last=depth == DEPTH)
-        if links is not None:
-            roots = components(links, folder, f"cc-{depth}")
-            step = roots.select(F.col("v").alias("old"), "root")
-            renamed = labels.withColumnRenamed("label", "old").join(step, "old", "left")
-            labels = persisted(renamed.select("content", F.coalesce("root", "old").alias("label"), "sketch"), folder, f"labels-{depth + 1}")
-            first_labels = spark.read.parquet(f"{folder}/labels-0").select("content", F.col("label").alias("v"))
-            mapping = labels.select("content", F.col("label").alias("root")).join(first_labels, "content").select("v", "root").groupBy("v").agg(F.min("root").alias("root"))
-        if depth == 0:
-            frontier = later if frontier is None else frontier.unionByName(later)
-        if frontier is None:
-            break
-    found = sketched.select("doc_id", "n_shingles", "content").join(owners, "content", "left")
-    found = found.withColumn("owner", F.when(F.col("n_shingles") > 0, F.col("owner")).otherwise(F.col("doc_id")))
-    if mapping is not None:
-        moved = mapping.where("v <> root").withColumnRenamed("v", "owner")
-        found = found.join(moved, "owner", "left").withColumn("owner", F.coalesce("root", "owner"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("owner"))
-    return found.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _round(frontier: DataFrame, labels: DataFrame, sets: DataFrame, folder: str, depth: int, last: bool):
-    """One level of all trees: (the next level's (node, content) or None, links of labels or None)."""
-    labelled = frontier.join(labels.select("content", "label"), "content")
-    mixed = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
-    here = persisted(labelled.join(mixed, "node").select("node", "content", "size"), folder, f"nodes-{depth}")
-    n_small, n_large = (here.agg(F.count(F.when(F.col("size") <= LEAF, 1)), F.count(F.when(F.col("size") > LEAF, 1))).first())[:]
-    if not n_small + n_large:
-        return None, None
-    full = here.join(labels, "content").join(sets, "content")
-    parts, following = [], None
-    if n_small:
-        parts.append(_small_links(full.where(F.col("size") <= LEAF).select("node", "label", "sketch", "set")))
-    if n_large and not last:
-        big = full.where(F.col("size") > LEAF)
-        # Pivots: the members with the least hashes of (node, text); they meet the members in cells of SALT_ROWS or so.
-        order = F.xxhash64("node", "content")
-        chosen = here.where(F.col("size") > LEAF).groupBy("node", "size").agg(F.min(order).alias("_1"), *(F.min(F.when(F.pmod(order, F.lit(PIVOTS)) == r, order)).alias(f"_p{r}") for r in range(PIVOTS)))
-        picked = chosen.select("node", F.explode(F.array_distinct(F.array_compact(F.array(*(f"_p{r}" for r in range(PIVOTS)))))).alias("order"))
-        cells = F.ceil(F.col("size") / SALT_ROWS).cast("int")
-        cell = lambda salt: F.xxhash64("node", salt).alias("cell")
-        members = big.select(cell(F.pmod(F.col("content"), cells).cast("int")), "label", "sketch", "set")
-        pivots = big.withColumn("order", order).join(picked, ["node", "order"]).withColumn("salt", F.explode(F.sequence(F.lit(0), cells - 1))).select(cell(F.col("salt")), "label", "sketch", "set")
-        parts.append(_block_links(members, pivots, "cell"))
-        following = persisted(_children(here.where(F.col("size") > LEAF).join(labels.select("content", "sketch"), "content")), folder, f"children-{depth}")
-    elif n_large:
-        cells = F.ceil(F.col("size") / LEAF).cast("int")
-        blocked = full.where(F.col("size") > LEAF).withColumn("block", F.pmod(F.col("content"), cells).cast("int"))
-        cell = F.xxhash64("node", "i", "j").alias("cell")
-        rows = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        one = rows.where("block <= other").select(cell, "label", "sketch", "set")
-        two = rows.where("block >= other").select(cell, "label", "sketch", "set")
-        parts.append(_block_links(one, two, "cell"))
-    links = parts[0]
-    for p in parts[1:]:
-        links = links.union(p)
-    links = persisted(links.distinct(), folder, f"links-{depth}")
-    return following, (None if links.isEmpty() else links)
+    return _grouped(rows, fn, "a long, b long", "cell")
+
+
+class _Join:
+    """The tables that all rounds share."""
+
+    def __init__(self, texts: DataFrame, folder: str):
+        self.texts, self.folder = texts, folder
+        sketched = persisted(_sketches(texts, "text", "doc_id"), folder, "sketches")
+        usable = sketched.where("doc_id is not null and n_shingles > 0")
+        owners = usable.groupBy("content").agg(F.min("doc_id").alias("label"))
+        self.rows = sketched.select("doc_id", "n_shingles", "content")
+        # One row per text; copies agree on its tokens, so the least id's row has them.
+        own = usable.join(owners, "content").where("doc_id = label")
+        self.plain = persisted(own.dropDuplicates(["content"]).select("content", "label", "roots", "sketch"), folder, "texts")
+        self.owners = self.plain.select("content", F.col("label").alias("doc_id"))
+        self.labels = self.plain.select("content", "label")
+        self.sets: DataFrame | None = None
+
+    def roots(self) -> DataFrame:
+        """(node, content, tree) of the first level's nodes with two texts or more."""
+        every = self.plain.select("content", F.posexplode("roots").alias("tree", "node"))
+        several = every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+        return persisted(every.join(several, "node").select("node", "content", "tree"), self.folder, "roots")
+
+    def add_sets(self, verify: DataFrame, depth: int) -> None:
+        """Full sets of the texts to confirm that have none yet."""
+        wanted = verify.select("content").distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("content"), "content", "left_anti")
+        wanted = persisted(wanted.join(self.owners, "content"), self.folder, f"wanted-{depth}")
+        ids = wanted.select("doc_id").distinct()
+        if wanted.count() <= BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+
+        def whole(batch: pa.RecordBatch):
+            for block in tb.blocks(batch.column(0)):
+                sets, n = shingle_sets(block)
+                yield {"content": _content(sets, n), "set": [s.tobytes() for s in sets]}
+
+        some = self.texts.join(ids, "doc_id", "left_semi").select("text")
+        made = map_batches(some, whole, "content long, `set` binary").join(wanted.select("content"), "content", "left_semi").dropDuplicates(["content"])
+        made = persisted(made, self.folder, f"sets-{depth}")
+        self.sets = made if self.sets is None else self.sets.unionByName(made)
+
+    def round(self, frontier: DataFrame, depth: int) -> DataFrame | None:
+        """Finds and applies the links of one level of all trees; gives the next level's nodes."""
+        labelled = frontier.join(self.labels, "content")
+        mixed = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
+        here = persisted(labelled.join(mixed, "node"), self.folder, f"nodes-{depth}")
+        n_small, n_large = here.agg(F.count(F.when(F.col("size") <= LEAF, 1)), F.count(F.when(F.col("size") > LEAF, 1))).first()
+        tokens = self.plain.select("content", "roots", "sketch")
+        parts, following = [], None
+        if n_small:
+            parts.append(_promising(here.where(F.col("size") <= LEAF).join(tokens, "content").select("node", "content", "tree", "label", "roots", "sketch")))
+        if n_large:
+            big = here.where(F.col("size") > LEAF)
+            if depth < DEPTH:
+                sides = _pivot_cells(big)
+                following = persisted(_children(big.join(tokens, "content")), self.folder, f"children-{depth}")
+            else:
+                sides = _block_cells(big)
+            parts.append(_facing(sides.join(tokens.select("content", "sketch"), "content").select("cell", "content", "side", "label", "sketch")))
+        if parts:
+            verify = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+            verify = persisted(verify, self.folder, f"verify-{depth}")
+            self.add_sets(verify, depth)
+            full = verify.join(self.labels, "content").join(self.plain.select("content", "sketch"), "content").join(self.sets, "content")
+            links = persisted(_links(full.select("cell", "side", "label", "sketch", "set")).distinct(), self.folder, f"links-{depth}")
+            if not links.isEmpty():
+                moved = components(links, self.folder, f"cc-{depth}").where("v <> root").select(F.col("v").alias("label"), "root")
+                changed = self.labels.join(moved, "label", "left").select("content", F.coalesce("root", "label").alias("label"))
+                self.labels = persisted(changed, self.folder, f"labels-{depth}")
+        return following
+
+
+def _pivot_cells(big: DataFrame) -> DataFrame:
+    """(cell, content, side, label): a node's texts in cells of about SALT_ROWS, each with the node's pivots.
+
+    Pivots are the texts with the least hash in each of PIVOTS classes.
+    """
+    ordered = big.withColumn("order", F.xxhash64("node", "content"))
+    least = [F.min(F.when(F.pmod(F.col("order"), F.lit(PIVOTS)) == r, F.col("order"))) for r in range(PIVOTS)]
+    picked = ordered.groupBy("node").agg(F.array_compact(F.array(*least)).alias("orders")).select("node", F.explode("orders").alias("order"))
+    cells = F.ceil(F.col("size") / SALT_ROWS).cast("int")
+    members = ordered.select(F.xxhash64("node", F.pmod(F.col("content"), cells).cast("int")).alias("cell"), "content", F.lit(0).alias("side"), "label")
+    pivots = ordered.join(picked, ["node", "order"]).withColumn("salt", F.explode(F.sequence(F.lit(0), cells - 1)))
+    return members.union(pivots.select(F.xxhash64("node", "salt").alias("cell"), "content", F.lit(1).alias("side"), "label"))
+
+
+def _block_cells(big: DataFrame) -> DataFrame:
+    """(cell, content, side, label): each pair of blocks of about LEAF texts of a node meets in one cell."""
+    cells = F.ceil(F.col("size") / LEAF).cast("int")
+    rows = big.withColumn("block", F.pmod(F.col("content"), cells).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+    cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    one = rows.where("block <= other").select(cell, "content", F.lit(0).alias("side"), "label")
+    return one.union(rows.where("block >= other").select(cell, "content", F.lit(1).alias("side"), "label"))
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """(node, content) one level on: a node's own hash chooses BRANCH coordinates of the sketch."""
+    """(node, content, tree) one level on: a node's own hash chooses BRANCH coordinates of the sketch."""
 
     def run(batch: pa.RecordBatch):
         if not batch.num_rows:
@@ -306,8 +323,25 @@ def _children(rows: DataFrame) -> DataFrame:
         at = np.argpartition(draw, BRANCH, axis=1)[:, :BRANCH]
         token = np.take_along_axis(sketches, at, 1)
         child = tb.mix64(tb.mix64(node[:, None] ^ (at.astype(np.uint64) + np.uint64(1) << np.uint64(20))) ^ token)
-        yield {"node": child.view(np.int64).ravel(), "content": np.repeat(batch.column(1).to_numpy(), BRANCH)}
+        yield {"node": child.view(np.int64).ravel(), "content": np.repeat(batch.column(1).to_numpy(), BRANCH), "tree": np.full(child.size, -1)}
+
+    made = map_batches(rows.select("node", "content", "sketch"), run, "node long, content long, tree int")
+    several = made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    return made.join(several, "node", "left_semi")
+
 
-    made = map_batches(rows.select("node", "content", "sketch"), run, "node long, content long")
-    sizes = made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    return made.join(sizes, "node", "left_semi")
+def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row."""
+    folder = shared_dir(df.sparkSession, "near")
+    join = _Join(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), folder)
+    roots = join.roots()
+    frontier = join.round(roots.where("tree < 2"), 0)
+    rest = roots.where("tree >= 2")
+    frontier = rest if frontier is None else frontier.unionByName(rest)
+    for depth in range(1, DEPTH + 1):
+        frontier = join.round(frontier, depth)
+        if frontier is None:
+            break
+    found = join.rows.join(join.labels, "content", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")))
+    return found.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
