@@ -47,7 +47,7 @@ def _lines(df: DataFrame, text: str, key: str) -> DataFrame:
     entry = F.transform(line, lambda x, i: F.struct(F.xxhash64(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("h"), words(x).alias("n"), i.alias("p")))
     out = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_d_id"), _row_key(text, key).alias("_d_row"), F.filter(entry, lambda x: x["n"] > 0).alias("lines"))
     # Equal rows: one of them stands for all.
-    return out.where(F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]) >= GRAM_WORDS).dropDuplicates(["_d_id", "_d_row"])
+    return out.where(F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]) >= GRAM_WORDS).dropDuplicates(["_d_row"])
 
 
 def _selected(lines: DataFrame) -> DataFrame:
@@ -76,32 +76,31 @@ def _extended(matched: DataFrame) -> DataFrame:
 
 
 def repeated(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, row, ranges): ranges of lines (lo, hi), counted from 0, that repeat earlier ones."""
+    """(row, ranges): ranges of lines (lo, hi), counted from 0, that repeat earlier ones."""
     folder = shared_dir(df.sparkSession, "lines")
     lines = persisted(_lines(df, text, key), folder, "lines")
     selected = persisted(_selected(lines), folder, "selected")
     twice = selected.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    matched = selected.join(twice, "h").join(lines, [selected["_d_id"].eqNullSafe(lines["_d_id"]), selected["_d_row"] == lines["_d_row"]]).select(selected["_d_id"], selected["_d_row"], "h", "at", "k", "lines")
+    matched = selected.join(twice, "h").drop("_d_id").join(lines, "_d_row").select("_d_id", "_d_row", "h", "at", "k", "lines")
     extended = persisted(_extended(matched), folder, "extended")
     here = F.struct(F.col("_d_id").alias("a"), F.col("_d_row").alias("b"), F.col("at").alias("c"))
     # The first occurrence of each hash that has several.
     first = extended.groupBy("e").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1").select("e", "first")
     later = extended.join(first, "e").where(~here.eqNullSafe(F.col("first")))
-    spans = later.groupBy("_d_id", "_d_row", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return persisted(spans.groupBy("_d_id", "_d_row").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), folder, "repeated")
+    spans = later.groupBy("_d_row", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return persisted(spans.groupBy("_d_row").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), folder, "repeated")
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The input's rows and columns with repeated runs gone from the text, n_lines (with a word) and n_removed."""
-    gone = repeated(df, text, key).select(F.col("_d_id").alias("_d_gone_id"), F.col("_d_row").alias("_d_gone_row"), "ranges")
-    rows = df.withColumn("_d_key", _row_key(text, key))
-    joined = rows.join(gone, (F.col("_d_key") == F.col("_d_gone_row")) & F.col(key).eqNullSafe(F.col("_d_gone_id")), "left")
-    again = F.row_number().over(Window.partitionBy("_d_key", key).orderBy("_d_key")) > 1
+    # Joined and numbered by the same key, which the id is a part of: texts are shuffled once.
+    joined = df.withColumn("_d_row", _row_key(text, key)).join(repeated(df, text, key).withColumnRenamed("ranges", "_d_ranges"), "_d_row", "left")
+    again = F.row_number().over(Window.partitionBy("_d_row").orderBy("_d_row")) > 1
     out = joined.withColumns({"_d_again": again, "_d_lines": F.split(text, "\n")})
     n = F.size("_d_lines")
     has_word = r"[^\x20\x09-\x0D]"
     total = F.size(F.array_remove(F.split(F.col(text), _SPACE), ""))
-    gone_lines = F.when(F.col("_d_again") & (total >= RUN_WORDS), F.sequence(F.lit(0), n - 1)).otherwise(F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"])))))
+    gone_lines = F.when(F.col("_d_again") & (total >= RUN_WORDS), F.sequence(F.lit(0), n - 1)).otherwise(F.array_distinct(F.flatten(F.transform("_d_ranges", lambda r: F.sequence(r["lo"], r["hi"])))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_d_out")), lambda i: F.get("_d_lines", i))
     out = out.withColumn("_d_out", gone_lines).withColumn("_d_kept", F.when(F.col("_d_out").isNotNull(), kept).otherwise(F.col("_d_lines")))
     worded = lambda c: F.size(F.filter(c, lambda x: x.rlike(has_word)))
