@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import map_batches
+from .arrowmap import least_hashed, map_batches
 
 WIDTH, FILTERS = 5, 16
-CHUNK, STEP = 512, 448
-MAX_ROWS, MAX_BYTES = 1500, 1 << 16
+CHUNK, STEP = 128, 112
+MAX_ROWS, MAX_BYTES = 3000, 1 << 16
 
 
 def chunk_bounds(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,14 +78,19 @@ class Model:
         return 1 / (1 + np.exp(-(f.astype(float) @ self.weights + self.intercept)))
 
 
-def sample(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, text: str = "text", label: str = "quality", key: str = "doc_id") -> tuple[list[bytes], np.ndarray]:
-    """Texts and 0/1 labels of a bounded sample of rows with a label."""
-    fits = df.where(F.col(label).isin(0, 1) & (F.octet_length(text) <= max_bytes))
-    rows = fits.select(text, F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(23), F.col(key)).alias("h")).orderBy("h", "y").limit(max_rows).collect()
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, text: str = "text", label: str = "quality", key: str = "doc_id") -> tuple[list[bytes], np.ndarray]:
+    """Texts and 0/1 labels of a bounded sample of rows with a label.
+
+    The sample is chosen from ids, labels and lengths; only its own texts (``max_rows`` at most) move.
+    """
+    lengths = docs.where(F.octet_length(text) <= max_bytes).select(key)
+    labelled = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y"))
+    chosen = least_hashed(lengths.join(labelled, key), max_rows, 23, key, "y").withColumnRenamed("_order", "h")
+    rows = docs.where(F.octet_length(text) <= max_bytes).select(key, text).join(F.broadcast(chosen.distinct()), key).select(text, "y", "h").orderBy("h", "y", text).limit(max_rows).collect()
     return [r[0].encode() for r in rows], np.array([r.y for r in rows], np.float32)
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 3, epochs: int = 6, batch: int = 32, rate: float = 0.01) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 3, epochs: int = 8, batch: int = 32, rate: float = 0.01) -> Model:
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
     if not len(labels):

@@ -26,8 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (remainder("doc_id", 3) == 1).alias("held_out"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    labelled = docs.where("not held_out").join(labels, "doc_id")
-    model = quality_cnn.train(*quality_cnn.sample(labelled))
+    model = quality_cnn.train(*quality_cnn.sample(docs.where("not held_out"), labels))
     return quality_cnn.score(docs, model, ["doc_id", "held_out"])
 
 
