@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import map_batches
+from .arrowmap import least_hashed, map_batches
 
 BUCKETS = 1 << 13
 DIM = 16
@@ -113,7 +113,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def sample(df: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", label: str = "lang", key: str = "doc_id") -> tuple[np.ndarray, list[str]]:
     """Averaged bucket counts [rows, BUCKETS] and labels of a bounded sample of labelled rows."""
-    chosen = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(text, label, F.xxhash64(F.lit(17), F.col(key)).alias("_l_order")).orderBy("_l_order", label).limit(max_rows)
+    labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(text, label, key)
+    chosen = least_hashed(labelled, max_rows, 17, key, label).select(text, label, "_order")
 
     def run(batch: pa.RecordBatch):
         for block in tb.blocks(batch.column(0)):

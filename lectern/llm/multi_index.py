@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import map_batches, persisted, shared_dir, sorted_groups
+from .arrowmap import least_hashed, map_batches, persisted, shared_dir, sorted_groups
 
 CODES, SHARE = 128, 0.35
 TOP = 5
@@ -116,8 +116,8 @@ class Codebooks:
 
 def fit(df: DataFrame, vector: str, key: str, codes: int = CODES, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Codebooks | None:
     """Codebooks from at most ``sample_rows`` vectors, those of least hash of the id; None if no vector takes part."""
-    chosen = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(vector).alias("v"), F.xxhash64(F.lit(5), F.col(key)).alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(sample_rows)
-    table = chosen.select("v").toArrow()
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(vector).alias("v"), F.col(key).alias("k"))
+    table = least_hashed(rows, sample_rows, 5, "k").select("v").toArrow()
     column = table.column("v").combine_chunks()
     lengths = np.asarray(column.value_lengths()) if len(column) else np.zeros(0, int)
     if not (lengths > 0).any():
