@@ -371,18 +371,20 @@ def train(df: DataFrame, text: str = "text", folder: str | None = None) -> Model
         at = np.searchsorted(of, np.arange(shards + 1))
         used = np.flatnonzero(at[1:] > at[:-1])
         small = n.astype(np.uint16 if n.max() < 65536 else np.uint32)
-        hot_rows = np.flatnonzero(is_hot)
+        # What follows frequent contexts is summed over shards: one packed row, as for the totals.
+        hot_follow = np.stack(follow, 1)[is_hot]
+        totals = np.array([len(keys), *((counts == k).sum() for k in (1, 2, 3, 4))], np.int64)
         yield {
-            "shard": used.tolist() + [-1] * len(hot_rows) + [-2],
-            "width": [small.itemsize] * len(used) + [0] * len(hot_rows) + [0],
-            "keys": [ids[at[s] : at[s + 1]].astype(np.uint32).tobytes() for s in used] + [contexts[i].tobytes() for i in hot_rows] + [b""],
-            "counts": [small[at[s] : at[s + 1]].tobytes() for s in used] + [np.array([f[i] for f in follow], np.int64).tobytes() for i in hot_rows] + [np.array([len(keys), *((counts == k).sum() for k in (1, 2, 3, 4))], np.int64).tobytes()],
+            "shard": [*used.tolist(), -1, -2],
+            "width": [small.itemsize] * len(used) + [0, 0],
+            "keys": [ids[at[s] : at[s + 1]].astype(np.uint32).tobytes() for s in used] + [contexts[is_hot].tobytes(), b""],
+            "counts": [small[at[s] : at[s + 1]].tobytes() for s in used] + [hot_follow.astype(np.int64).tobytes(), totals.tobytes()],
         }
 
     def keep_continuations(shard, table):
         if shard == -1:
             ids = np.concatenate(binary_rows(table.column("keys"), np.int64))
-            values = np.stack(binary_rows(table.column("counts"), np.int64))
+            values = np.concatenate(binary_rows(table.column("counts"), np.int64)).reshape(-1, 3)
             unique, back = np.unique(ids, return_inverse=True)
             total = np.zeros((len(unique), 3), np.int64)
             np.add.at(total, back, values)
