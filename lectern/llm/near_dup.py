@@ -14,7 +14,8 @@ all of them with probability (1 - s)^ROOTS, under 1e-7 at 0.75 and 12 trees.
   (SKETCH minwise tokens of 16 bits) agree on less than SURE of all places are
   dropped (over 4.5 deviations below the threshold), the others are confirmed on the
   full sets, unless earlier links already connect them.  A pair that meets in
-  several trees is confirmed in the first only, so full sets travel about once.
+  several roots of at most LEAF is confirmed in the first of them only, so full
+  sets travel about once; a larger root settles nothing for the trees after it.
 * A larger node links its documents to PIVOTS of them, salted over tasks, then
   branches by BRANCH coordinates.  With 1.5 children in common at similarity
   0.75, a pair lives through any depth with probability 8/9, and through some
@@ -155,12 +156,16 @@ def _grouped(df: DataFrame, fn, schema: str, by: str = "node") -> DataFrame:
 
 
 def _first_meeting(table: pa.Table):
-    """For row i: which later rows' first common tree is this node's; all of them in a node below the roots."""
+    """For row i: which later rows have no earlier common root of at most LEAF; all of them in a node below the roots.
+
+    Bit t of ``wide`` says that the row's root in tree t has more than LEAF texts, which were not all compared there.
+    """
     tree = table.column("tree")[0].as_py()
     if tree <= 0:
         return lambda i: True
     roots = np.array(table.column("roots").to_pylist(), np.int64)[:, :tree]
-    return lambda i: (roots[i + 1 :] != roots[i]).all(1)
+    wide = (table.column("wide").to_numpy()[:, None] >> np.arange(tree) & 1).astype(bool)
+    return lambda i: ((roots[i + 1 :] != roots[i]) | wide[i]).all(1)
 
 
 def _promising(members: DataFrame) -> DataFrame:
@@ -230,12 +235,16 @@ class _Join:
         self.owners = self.plain.select("content", F.col("label").alias("doc_id"))
         self.labels = self.plain.select("content", "label")
         self.sets: DataFrame | None = None
+        self.wide: DataFrame | None = None
 
     def roots(self) -> DataFrame:
         """(node, content, tree) of the first level's nodes with two texts or more."""
         every = self.plain.select("content", F.posexplode("roots").alias("tree", "node"))
-        several = every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-        return persisted(every.join(several, "node").select("node", "content", "tree"), self.folder, "roots")
+        several = every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        roots = persisted(every.join(several, "node").select("node", "content", "tree", "n"), self.folder, "roots")
+        bit = F.expr("shiftleft(1, tree)")
+        self.wide = persisted(roots.where(F.col("n") > LEAF).groupBy("content").agg(F.bit_or(bit).alias("wide")), self.folder, "wide")
+        return roots.drop("n")
 
     def add_sets(self, verify: DataFrame, depth: int) -> None:
         """Full sets of the texts to confirm that have none yet."""
@@ -266,7 +275,8 @@ class _Join:
         tokens = self.plain.select("content", "roots", "sketch")
         parts, following = [], None
         if n_small:
-            parts.append(_promising(here.where(F.col("size") <= LEAF).join(tokens, "content").select("node", "content", "tree", "label", "roots", "sketch")))
+            small = here.where(F.col("size") <= LEAF).join(self.wide, "content", "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
+            parts.append(_promising(small.join(tokens, "content").select("node", "content", "tree", "label", "roots", "wide", "sketch")))
         if n_large:
             big = here.where(F.col("size") > LEAF)
             if depth < DEPTH:

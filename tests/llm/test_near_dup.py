@@ -58,3 +58,12 @@ def test_threshold(same, union, linked):
 
     a = np.arange(union, dtype=np.uint64)
     assert nd.similar(a[:same], a) == linked
+
+
+def test_pairs_that_first_meet_in_a_hot_root(spark):
+    """The passage that all texts share makes a root of over LEAF texts in tree 0; the pairs' later roots are small."""
+    passage, docs = [f"p2946w{i}" for i in range(60)], []
+    for pair in range(150):
+        both = [f"b{pair}x{i}" for i in range(240)]
+        docs += [(2 * pair + k, " ".join(passage + both + [f"v{pair}c{k}x{i}" for i in range(46)])) for k in (0, 1)]
+    check(spark, docs)
