@@ -41,6 +41,17 @@ def chunk_bounds(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return s, np.minimum(s + CHUNK, np.repeat(ends, n)), n
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with WIDTH - 1 zeros after each row, and the rows' starts and ends in them; no filter reaches the next row."""
+    length = ends - starts
+    shift = (WIDTH - 1) * np.arange(len(length))
+    new = np.cumsum(length) - length + shift
+    out = np.zeros(int(length.sum()) + (WIDTH - 1) * len(length), np.uint8)
+    within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(new, length) + within] = data[np.repeat(starts, length) + within]
+    return out, new, new + length
+
+
 @dataclass
 class Model:
     tables: np.ndarray  # [WIDTH, 256, FILTERS]
@@ -73,8 +84,9 @@ class Model:
         return out
 
     def scores(self, block: tb.Block) -> np.ndarray:
-        s, e, n = chunk_bounds(block.starts, block.ends)
-        f = self.features(self.pooled(block.data, s, e), n)
+        data, starts, ends = spaced(block.data, block.starts, block.ends)
+        s, e, n = chunk_bounds(starts, ends)
+        f = self.features(self.pooled(data, s, e), n)
         return 1 / (1 + np.exp(-(f.astype(float) @ self.weights + self.intercept)))
 
 
@@ -106,7 +118,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3, epochs: int = 8
             raw = [texts[i] for i in part]
             ends = np.cumsum([len(t) for t in raw]).astype(np.int64)
             starts = ends - np.array([len(t) for t in raw])
-            data = np.frombuffer(b"".join(raw), np.uint8)
+            data, starts, ends = spaced(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
             s, e, n = chunk_bounds(starts, ends)
             response = model.responses(data)
             # Where each chunk's maximum is: its first place.

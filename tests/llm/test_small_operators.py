@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.llm import arrowmap, kneser_ney, langid, mixing, multi_index, quality_cnn, rules, secrets
@@ -189,6 +190,15 @@ def test_pooling_matches_a_plain_convolution():
     np.testing.assert_allclose(model.pooled(data, np.array([0, 10]), np.array([25, 40])), [plain[:25].max(0), plain[10:].max(0)], rtol=1e-5)
 
 
+def test_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(2)
+    model = quality_cnn.Model(rng.normal(size=(quality_cnn.WIDTH, 256, quality_cnn.FILTERS)).astype(np.float32), np.zeros(quality_cnn.FILTERS, np.float32), rng.normal(size=2 * quality_cnn.FILTERS), 0.0)
+    texts = ["a", None, "abc", "", "x" * 300, "abc", "zz", "b c" * 90, "a"]
+    amid = np.concatenate([model.scores(b) for b in tb.blocks(pa.array(texts, pa.string()))])
+    alone = np.concatenate([model.scores(b) for t in texts for b in tb.blocks(pa.array([t], pa.string()))])
+    np.testing.assert_allclose(amid, alone, rtol=1e-6)
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(600, 8))
