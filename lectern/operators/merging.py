@@ -56,8 +56,8 @@ def merge_books(members: DataFrame, group: str, place: str) -> DataFrame:
     none = F.array().cast("array<string>")
     tags = distinct_ignoring_case(F.flatten(F.transform("m", lambda x: F.coalesce(x["tags"], none))))
     entries = lambda x: F.coalesce(F.transform(x["identifiers"], lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
-    sources, own = F.flatten(F.transform(F.slice("m", 2, 1000), entries)), entries(F.get("m", 0))
-    pairs = F.concat(F.filter(sources, lambda e, i: ~F.exists(F.slice(sources, i + 2, 1000), lambda o: o["key"] == e["key"]) & ~F.exists(own, lambda o: o["key"] == e["key"])), own)
+    sources, own = F.flatten(F.transform(F.slice("m", 2, F.size("m")), entries)), entries(F.get("m", 0))
+    pairs = F.concat(F.filter(sources, lambda e, i: ~F.exists(F.slice(sources, i + 2, F.size(sources)), lambda o: o["key"] == e["key"]) & ~F.exists(own, lambda o: o["key"] == e["key"])), own)
     comments = F.array_distinct(F.filter(F.transform("m", lambda x: F.btrim(x["comments"])), filled))
     return g.select(group, *(first(c, filled).alias(c) for c in ("title", "publisher", "series", "series_index")), first("pubdate", dated).alias("pubdate"), tags.alias("tags"), F.map_from_entries(pairs).alias("identifiers"), F.when(F.size(comments) > 0, F.array_join(comments, "\n\n")).alias("comments"))
 

@@ -141,6 +141,14 @@ def test_merging(spark):
     assert out[1] == "unchanged" and out[2] == "landed"
 
 
+def test_merge_of_a_large_group(spark):
+    books = spark.range(1500).selectExpr(
+        "'w' AS g", "id AS place", "'T' AS title", "'P' AS publisher", "'2000-01-01' AS pubdate", "'S' AS series", "1d AS series_index", "'c' AS comments", "array('t') AS tags",
+        "if(id = 0, map('own', '0'), if(id = 1 or id = 1499, map('Many', string(id), 'last', string(id)), map('x', string(id)))) AS identifiers",
+    )
+    assert merging.merge_books(books, "g", "place").first().identifiers == {"many": "1499", "last": "1499", "x": "1498", "own": "0"}
+
+
 def test_etl():
     raw = "A b​ co-\nop ﬁne\r\nx²"
     clean, edits = etl.normalise(raw)
