@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,34 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; a fallback below the warehouse serves sessions without one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectern"
-    return f"{root.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{root.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex[:12]}"
+    if (made := _scratch.get()) is not None:
+        made.append(folder)
+    return folder
+
+
+_scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at the end, the shared folders made within."""
+    folders: list[str] = []
+    token = _scratch.set(folders)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for folder in folders:
+            discard(spark, folder, [""])
+
+
+def discard(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Removes tables of a shared folder that nothing reads any more."""
+    jvm = spark._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}" if name else folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def persisted(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -25,6 +54,28 @@ def persisted(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """A function of batches that gives what it has used back to the system at the end of a task, as workers live on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    """glibc keeps what is freed amid its heap; where there is no such call, nothing is done."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow of a function from one batch to dicts of column arrays."""
     from pyspark.sql.types import StructType
@@ -38,7 +89,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name].cast(f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, parsed)
+    return df.mapInArrow(tidy(run), parsed)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

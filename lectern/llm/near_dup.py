@@ -7,26 +7,29 @@ get its class at the end.
 The join works on trees.  A node of a tree is a path of (coordinate, minwise
 token) choices; a document goes to the child of each coordinate that a node's
 own hash chooses, so documents meet where they agree on the tokens.  ROOTS
-independent trees open with one coordinate each; a pair of similarity s misses
-all of them with probability (1 - s)^ROOTS, under 1e-7 at 0.75 and 12 trees.
-
-* A node of at most LEAF documents is compared exhaustively: pairs whose sketches
-  (SKETCH minwise tokens of 16 bits) agree on less than SURE of all places are
-  dropped (over 4.5 deviations below the threshold), the others are confirmed on the
-  full sets, unless earlier links already connect them.  A pair that meets in
-  several roots of at most LEAF is confirmed in the first of them only, so full
-  sets travel about once; a larger root settles nothing for the trees after it.
-* A larger node links its documents to PIVOTS of them, salted over tasks, then
-  branches by BRANCH coordinates.  With 1.5 children in common at similarity
-  0.75, a pair lives through any depth with probability 8/9, and through some
-  of 12 trees with 1 - 2e-6; pairs below one half die out, so nodes thin.
-* After each round the links' components become labels; a node whose documents
-  all carry one label has nothing left to find and is dropped, which is what
-  keeps large groups of near copies from branching on.
-* A node still large after DEPTH rounds is compared block against block, whole.
+independent trees open with one coordinate each.
+
+* A node of at most LEAF texts is compared exhaustively in one task, on sketches
+  (SKETCH minwise tokens of 8 bits) and set sizes; the clusters of alike texts become
+  cells, whose pairs are confirmed on the full sets.  A pair that meets in several
+  roots of at most LEAF goes to the first of them only, so full sets travel about
+  once.  A larger root settles nothing for the trees after it.
+* First, all roots of at most LEAF are compared, and in PIVOT_TREES trees the larger ones link
+  their texts to PIVOTS of them, in slices of about SLICE.  The links' components become labels.
+* Then each larger root recurses.  A node of one label has nothing left to find and
+  goes.  A node of which at most LEAF texts lie outside its commonest label compares those
+  with each other and with all slices of the rest, which is all that is open in it: so large groups
+  of near copies end, whole.  Any other branches by BRANCH coordinates.
+* What is still large after DEPTH levels is compared block against block, whole.
+
+Recall: a pair at similarity s has one root in common with probability s per tree.  A common root of at most LEAF
+compares it; a larger one passes it on with probability 8/9 at least at 0.75 (1.5 children in common at each level).
+So the trees miss a pair at 0.75 with probability (1/3)^12, 2e-6 at most.  The sketch test (SURE of all places agree)
+misses one at 0.75 with probability 2e-7.  What is compared is decided on the full sets.
+These hold sets of 64-bit word hashes: polynomials modulo 2^64, which texts made for the purpose can make collide.
 
 The driver sees counts only; links, labels and sets stay in tables of the shared
-folder.
+folder.  A task holds the sets of one cell: LEAF texts at most, usually a few.
 
 Defined results: null and blank texts have the empty set and link with nothing
 (n_shingles 0); a text of fewer than five words is one shingle; rows with a null
@@ -36,20 +39,24 @@ document; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import binary_rows, map_batches, persisted, shared_dir, sorted_groups
+from .arrowmap import binary_rows, discard, map_batches, persisted, shared_dir, sorted_groups, tidy
 from .components import components
 
 K = 5
 ROOTS, BRANCH, SKETCH = 12, 2, 128
-LEAF, PIVOTS, SALT_ROWS, DEPTH = 128, 4, 64, 6
-PERCENT, SURE = 75, 0.57
+LEAF, SLICE, DEPTH = 1024, 512, 6
+PIVOTS, PIVOT_TREES = 4, 4
+PERCENT, SURE = 75, 0.546
 BROADCAST_ROWS = 300_000
+_GATHER, BLOCK = 1 << 21, 1 << 18
 
 
 def shingle_sets(block: tb.Block) -> tuple[list[np.ndarray], np.ndarray]:
@@ -89,7 +96,7 @@ def minwise(sets: list[np.ndarray], sizes: np.ndarray, n: int) -> np.ndarray:
 
 def _sketches(df: DataFrame, text: str, key: str) -> DataFrame:
     def run(batch: pa.RecordBatch):
-        for block in tb.blocks(batch.column(1), 1 << 19):
+        for block in tb.blocks(batch.column(1), BLOCK):
             sets, sizes = shingle_sets(block)
             tokens = minwise(sets, sizes, ROOTS + SKETCH)
             used = sizes > 0
@@ -99,46 +106,66 @@ def _sketches(df: DataFrame, text: str, key: str) -> DataFrame:
                 "n_shingles": sizes,
                 "content": _content(sets, sizes),
                 "roots": [r if u else None for r, u in zip(roots, used)],
-                "sketch": [t.astype(np.uint16).tobytes() if u else None for t, u in zip(tokens[:, ROOTS:], used)],
+                "sketch": [t.astype(np.uint8).tobytes() if u else None for t, u in zip(tokens[:, ROOTS:], used)],
             }
 
     return map_batches(df.select(key, text), run, f"{key} long, n_shingles long, content long, roots array<long>, sketch binary")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= PERCENT * union, of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if 100 * len(a) < PERCENT * len(b):
-        return False
-    place = np.searchsorted(b, a)
-    place[place == len(b)] = 0
-    both = int(np.count_nonzero(b[place] == a))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
-def _find(root: dict, x):
-    while root[x] != x:
-        root[x] = root[root[x]]
-        x = root[x]
-    return x
+def _components(n: int, edges) -> np.ndarray:
+    """The least row of each row's component; ``edges`` gives (row, rows)."""
+    comp = np.arange(n)
+    for i, js in edges:
+        old = np.unique(np.append(comp[js], comp[i]))
+        if len(old) > 1:
+            comp[np.isin(comp, old)] = old[0]
+    return comp
 
 
-def _confirmed(pairs, labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(label, least label) stars of the components that similar pairs of rows join."""
-    root = {x: x for x in labels}
-    for i, j in pairs:
-        a, b = _find(root, labels[i]), _find(root, labels[j])
-        if a != b and similar(sets[i], sets[j]):
-            root[max(a, b)] = min(a, b)
-    return [(x, _find(root, x)) for x in root if root[x] != x]
+def _shared(ids: np.ndarray, cuts: np.ndarray, marked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many marked ids each of some rows holds."""
+    sizes = cuts[rows + 1] - cuts[rows]
+    out, lo, total = np.zeros(len(rows), np.int64), 0, np.cumsum(sizes)
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _GATHER, "right")))
+        flat = np.concatenate([ids[cuts[r] : cuts[r + 1]] for r in rows[lo:hi]])
+        out[lo:hi] = np.add.reduceat(marked[flat], np.cumsum(sizes[lo:hi]) - sizes[lo:hi], dtype=np.int64)
+        lo = hi
+    return out
 
 
-def _alike(sketches: np.ndarray, i: int, others: slice) -> np.ndarray:
-    return (sketches[others] == sketches[i]).mean(1) >= SURE
+def confirmed(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """(label, least label) stars of the components that similar pairs of rows join: pairs within side -1, or of side 0 with side 1.
 
-
-def _grouped(df: DataFrame, fn, schema: str, by: str = "node") -> DataFrame:
+    Pairs of one label, or of labels that earlier pairs joined, are not compared.
+    """
+    n = np.array([len(x) for x in sets])
+    order = np.lexsort((labels, n))
+    sets, labels, side, n = [sets[r] for r in order], labels[order], side[order], n[order]
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.concatenate(([0], np.cumsum(n)))
+    marked = np.zeros(ids.max() + 1, bool)
+    names, at = np.unique(labels, return_inverse=True)
+    comp = np.arange(len(names))
+    wanted = {-1: -1, 0: 1, 1: 0}
+    for i in range(len(n) - 1):
+        # Sorted by size: rows after the last that may still reach the threshold cannot.
+        hi = int(np.searchsorted(n, 100 * n[i] // PERCENT, "right"))
+        js = np.arange(i + 1, hi)
+        js = js[(side[js] == wanted[int(side[i])]) & (comp[at[js]] != comp[at[i]])]
+        if not len(js):
+            continue
+        marked[ids[cuts[i] : cuts[i + 1]]] = True
+        both = _shared(ids, cuts, marked, js)
+        marked[ids[cuts[i] : cuts[i + 1]]] = False
+        js = js[100 * both >= PERCENT * (n[i] + n[js] - both)]
+        if len(js):
+            old = np.unique(np.append(comp[at[js]], comp[at[i]]))
+            comp[np.isin(comp, old)] = old[0]
+    return [(int(names[r]), int(names[comp[r]])) for r in np.flatnonzero(comp != np.arange(len(names)))]
+
+
+def _grouped(df: DataFrame, fn, schema: str, by: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -152,206 +179,248 @@ def _grouped(df: DataFrame, fn, schema: str, by: str = "node") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, by).sortWithinPartitions(by).mapInArrow(run, parsed)
+    return df.repartition(n, by).sortWithinPartitions(by).mapInArrow(tidy(run), parsed)
 
 
-def _first_meeting(table: pa.Table):
-    """For row i: which later rows have no earlier common root of at most LEAF; all of them in a node below the roots.
+_VERIFY = "cell long, content long, doc_id long, label long, side int"
 
-    Bit t of ``wide`` says that the row's root in tree t has more than LEAF texts, which were not all compared there.
-    """
-    tree = table.column("tree")[0].as_py()
-    if tree <= 0:
-        return lambda i: True
-    roots = np.array(table.column("roots").to_pylist(), np.int64)[:, :tree]
-    wide = (table.column("wide").to_numpy()[:, None] >> np.arange(tree) & 1).astype(bool)
-    return lambda i: ((roots[i + 1 :] != roots[i]) | wide[i]).all(1)
 
+def _matrix(column, dtype) -> np.ndarray:
+    return np.stack(binary_rows(column, dtype))
 
-def _promising(members: DataFrame) -> DataFrame:
-    """(cell, content, side) of the texts of small nodes that have an alike partner of another label, met here first."""
 
-    def fn(table: pa.Table):
-        sketches = np.stack(binary_rows(table.column("sketch"), np.uint16))
-        labels, first = table.column("label").to_numpy(), _first_meeting(table)
-        good = np.zeros(len(labels), bool)
-        for i in range(len(labels) - 1):
-            near = _alike(sketches, i, slice(i + 1, None)) & (labels[i + 1 :] != labels[i]) & first(i)
-            if near.any():
-                good[i] = True
-                good[i + 1 :] |= near
-        n = int(good.sum())
-        return {"cell": table.column("node").to_numpy()[good], "content": table.column("content").to_numpy()[good], "side": [-1] * n}
+def _picked(table: pa.Table, rows: np.ndarray, cell, side) -> dict:
+    out = {c: table.column(c).to_numpy()[rows] for c in ("content", "doc_id", "label")}
+    return out | {"cell": cell, "side": side}
+
+
+def _clusters(members: DataFrame) -> DataFrame:
+    """Cells of the alike texts of nodes of at most LEAF texts, by (node, tree, content, doc_id, label, n_shingles, roots, wide, sketch).
 
-    return _grouped(members, fn, "cell long, content long, side int", "node")
+    Texts are alike that differ in label, can reach the threshold by size, agree in SURE of the sketch, and have
+    no common root among those of earlier trees that were compared whole.  Bit t of ``wide`` says that the root
+    in tree t has more than LEAF texts, so was not.  Tree -1 stands for nodes below the roots.
+    """
+
+    def fn(table: pa.Table):
+        size, labels, tree = table.column("n_shingles").to_numpy(), table.column("label").to_numpy(), int(table.column("tree")[0].as_py())
+        order = np.argsort(size, kind="stable")
+        size, labels, sketch = size[order], labels[order], _matrix(table.column("sketch"), np.uint8)[order]
+        if tree > 0:
+            roots = np.array(table.column("roots").to_pylist(), np.int64)[order, :tree]
+            wide = (table.column("wide").to_numpy()[order, None] >> np.arange(tree) & 1).astype(bool)
+
+        def edges():
+            for i in range(len(size) - 1):
+                hi = int(np.searchsorted(size, 100 * size[i] // PERCENT, "right"))
+                js = i + 1 + np.flatnonzero(labels[i + 1 : hi] != labels[i])
+                if len(js) and tree > 0:
+                    js = js[((roots[js] != roots[i]) | wide[i]).all(1)]
+                if len(js):
+                    js = js[np.count_nonzero(sketch[js] == sketch[i], axis=1) >= SURE * SKETCH]
+                if len(js):
+                    yield i, js
+
+        comp = _components(len(size), edges())
+        used = np.bincount(comp, minlength=len(comp))[comp] > 1
+        node = table.column("node").to_numpy()[:1].view(np.uint64)
+        first = table.column("content").to_numpy()[order][comp[used]].view(np.uint64)
+        cell = tb.mix64(tb.mix64(node ^ np.uint64(0x51)) + tb.mix64(first)).view(np.int64)
+        return _picked(table, order[used], cell, np.full(len(cell), -1, np.int32))
+
+    return _grouped(members, fn, _VERIFY, "node")
 
 
 def _facing(cells: DataFrame) -> DataFrame:
-    """(cell, content, side) of the rows of side 0 and side 1 of a cell that are alike and differ in label."""
+    """The rows of side 0 and side 1 of a cell that are alike and differ in label."""
 
     def fn(table: pa.Table):
-        side, labels = table.column("side").to_numpy(), table.column("label").to_numpy()
-        sketches = np.stack(binary_rows(table.column("sketch"), np.uint16))
+        side, labels, size = (table.column(c).to_numpy() for c in ("side", "label", "n_shingles"))
+        sketch = _matrix(table.column("sketch"), np.uint8)
         one, good = np.flatnonzero(side == 1), np.zeros(len(side), bool)
+        if not len(one):
+            return None
         for i in np.flatnonzero(side == 0):
-            near = ((sketches[one] == sketches[i]).mean(1) >= SURE) & (labels[one] != labels[i])
-            good[one[near]] = True
-            good[i] = near.any()
-        return {"cell": table.column("cell").to_numpy()[good], "content": table.column("content").to_numpy()[good], "side": side[good]}
+            js = one[(labels[one] != labels[i]) & (100 * np.minimum(size[one], size[i]) >= PERCENT * np.maximum(size[one], size[i]))]
+            js = js[np.count_nonzero(sketch[js] == sketch[i], axis=1) >= SURE * SKETCH]
+            good[js] = True
+            good[i] = len(js) > 0
+        rows = np.flatnonzero(good)
+        return _picked(table, rows, table.column("cell").to_numpy()[rows], side[rows])
+
+    return _grouped(cells, fn, _VERIFY, "cell")
+
+
+def _whole_sets(texts: DataFrame) -> DataFrame:
+    """(content, set) of texts; a task gives each content once."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for block in tb.blocks(batch.column(0), BLOCK):
+                sets, n = shingle_sets(block)
+                content = _content(sets, n)
+                new = [r for r, c in enumerate(content.tolist()) if not (c in seen or seen.add(c))]
+                if new:
+                    yield pa.RecordBatch.from_pydict({"content": content[new], "set": pa.array([sets[r].tobytes() for r in new], pa.binary())})
 
-    return _grouped(cells, fn, "cell long, content long, side int", "cell")
+    return texts.select("text").mapInArrow(tidy(run), "content long, `set` binary")
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of labels, confirmed on full sets: all pairs of a cell's rows of side -1, or those of side 0 with side 1."""
+    """Links (a, b) of labels, confirmed on full sets, from (cell, content, label, side, set)."""
 
     def fn(table: pa.Table):
-        side = table.column("side").to_numpy()
-        sketches = np.stack(binary_rows(table.column("sketch"), np.uint16))
-        labels, sets = table.column("label").to_pylist(), binary_rows(table.column("set"), np.uint64)
-        if side[0] < 0:
-            pairs = ((i, i + 1 + int(j)) for i in range(len(labels) - 1) for j in np.flatnonzero(_alike(sketches, i, slice(i + 1, None))))
-        else:
-            one = np.flatnonzero(side == 1)
-            pairs = ((i, int(j)) for i in np.flatnonzero(side == 0).tolist() for j in one[(sketches[one] == sketches[i]).mean(1) >= SURE])
-        stars = _confirmed(pairs, labels, sets)
+        # A text that several tasks have found stands here several times.
+        _, once = np.unique(np.stack((table.column("content").to_numpy(), table.column("side").to_numpy().astype(np.int64))), axis=1, return_index=True)
+        labels, side = table.column("label").to_numpy()[once], table.column("side").to_numpy()[once]
+        if len(np.unique(labels)) < 2:
+            return None
+        stars = confirmed(binary_rows(table.column("set").take(once), np.uint64), labels, side)
         return {"a": [a for a, _ in stars], "b": [b for _, b in stars]}
 
     return _grouped(rows, fn, "a long, b long", "cell")
 
 
 class _Join:
-    """The tables that all rounds share."""
+    """The tables that both phases share."""
 
     def __init__(self, texts: DataFrame, folder: str):
         self.texts, self.folder = texts, folder
         sketched = persisted(_sketches(texts, "text", "doc_id"), folder, "sketches")
-        usable = sketched.where("doc_id is not null and n_shingles > 0")
-        owners = usable.groupBy("content").agg(F.min("doc_id").alias("label"))
         self.rows = sketched.select("doc_id", "n_shingles", "content")
-        # One row per text; copies agree on its tokens, so the least id's row has them.
-        own = usable.join(owners, "content").where("doc_id = label")
-        self.plain = persisted(own.dropDuplicates(["content"]).select("content", "label", "roots", "sketch"), folder, "texts")
-        self.owners = self.plain.select("content", F.col("label").alias("doc_id"))
-        self.labels = self.plain.select("content", "label")
-        self.sets: DataFrame | None = None
-        self.wide: DataFrame | None = None
-
-    def roots(self) -> DataFrame:
-        """(node, content, tree) of the first level's nodes with two texts or more."""
+        # One row per text, that of the least id; copies agree on its tokens.
+        least = F.min(F.struct("doc_id", "n_shingles", "roots", "sketch")).alias("m")
+        self.plain = persisted(sketched.where("doc_id is not null and n_shingles > 0").groupBy("content").agg(least).select("content", "m.*"), folder, "texts")
         every = self.plain.select("content", F.posexplode("roots").alias("tree", "node"))
-        several = every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        roots = persisted(every.join(several, "node").select("node", "content", "tree", "n"), self.folder, "roots")
+        several = every.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        self.roots = persisted(every.join(several, "node").select("node", "content", "tree", "size"), folder, "roots")
+
+    def small_roots(self) -> DataFrame:
         bit = F.expr("shiftleft(1, tree)")
-        self.wide = persisted(roots.where(F.col("n") > LEAF).groupBy("content").agg(F.bit_or(bit).alias("wide")), self.folder, "wide")
-        return roots.drop("n")
-
-    def add_sets(self, verify: DataFrame, depth: int) -> None:
-        """Full sets of the texts to confirm that have none yet."""
-        wanted = verify.select("content").distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("content"), "content", "left_anti")
-        wanted = persisted(wanted.join(self.owners, "content"), self.folder, f"wanted-{depth}")
-        ids = wanted.select("doc_id").distinct()
-        if wanted.count() <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
-
-        def whole(batch: pa.RecordBatch):
-            for block in tb.blocks(batch.column(0)):
-                sets, n = shingle_sets(block)
-                yield {"content": _content(sets, n), "set": [s.tobytes() for s in sets]}
-
-        some = self.texts.join(ids, "doc_id", "left_semi").select("text")
-        made = map_batches(some, whole, "content long, `set` binary").join(wanted.select("content"), "content", "left_semi").dropDuplicates(["content"])
-        made = persisted(made, self.folder, f"sets-{depth}")
-        self.sets = made if self.sets is None else self.sets.unionByName(made)
-
-    def round(self, frontier: DataFrame, depth: int) -> DataFrame | None:
-        """Finds and applies the links of one level of all trees; gives the next level's nodes."""
-        labelled = frontier.join(self.labels, "content")
-        mixed = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
-        here = persisted(labelled.join(mixed, "node"), self.folder, f"nodes-{depth}")
-        n_small, n_large = here.agg(F.count(F.when(F.col("size") <= LEAF, 1)), F.count(F.when(F.col("size") > LEAF, 1))).first()
-        tokens = self.plain.select("content", "roots", "sketch")
-        parts, following = [], None
-        if n_small:
-            small = here.where(F.col("size") <= LEAF).join(self.wide, "content", "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
-            parts.append(_promising(small.join(tokens, "content").select("node", "content", "tree", "label", "roots", "wide", "sketch")))
-        if n_large:
-            big = here.where(F.col("size") > LEAF)
-            if depth < DEPTH:
-                sides = _pivot_cells(big)
-                following = persisted(_children(big.join(tokens, "content")), self.folder, f"children-{depth}")
-            else:
-                sides = _block_cells(big)
-            parts.append(_facing(sides.join(tokens.select("content", "sketch"), "content").select("cell", "content", "side", "label", "sketch")))
-        if parts:
-            verify = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-            verify = persisted(verify, self.folder, f"verify-{depth}")
-            self.add_sets(verify, depth)
-            full = verify.join(self.labels, "content").join(self.plain.select("content", "sketch"), "content").join(self.sets, "content")
-            links = persisted(_links(full.select("cell", "side", "label", "sketch", "set")).distinct(), self.folder, f"links-{depth}")
-            if not links.isEmpty():
-                moved = components(links, self.folder, f"cc-{depth}").where("v <> root").select(F.col("v").alias("label"), "root")
-                changed = self.labels.join(moved, "label", "left").select("content", F.coalesce("root", "label").alias("label"))
-                self.labels = persisted(changed, self.folder, f"labels-{depth}")
-        return following
+        wide = self.roots.where(F.col("size") > LEAF).groupBy("content").agg(F.bit_or(bit).alias("wide"))
+        tokens = self.plain.join(wide, "content", "left").withColumns({"label": F.col("doc_id"), "wide": F.coalesce("wide", F.lit(0))})
+        return _clusters(self.roots.where(F.col("size") <= LEAF).drop("size").join(tokens, "content"))
 
+    def large_roots(self) -> DataFrame:
+        """(node, tree, size, content, doc_id, n_shingles, sketch)"""
+        return self.roots.where(F.col("size") > LEAF).join(self.plain.drop("roots"), "content")
 
-def _pivot_cells(big: DataFrame) -> DataFrame:
-    """(cell, content, side, label): a node's texts in cells of about SALT_ROWS, each with the node's pivots.
+    def links(self, verify: DataFrame, name: str) -> DataFrame | None:
+        """Confirms the pairs of all cells; None if there are no links."""
+        verify = persisted(verify, self.folder, f"verify-{name}")
+        few = verify.count() <= BROADCAST_ROWS
+        hint = F.broadcast if few else lambda df: df
+        some = self.texts.join(hint(verify.select("doc_id").distinct()), "doc_id", "left_semi")
+        rows = _whole_sets(some).join(hint(verify.drop("doc_id")), "content")
+        links = persisted(_links(rows).distinct(), self.folder, f"links-{name}")
+        return None if links.isEmpty() else links
 
-    Pivots are the texts with the least hash in each of PIVOTS classes.
-    """
-    ordered = big.withColumn("order", F.xxhash64("node", "content"))
+
+def _pivot_cells(big: DataFrame) -> DataFrame:
+    """A node's texts in slices, each with the node's pivots: the texts with the least hash in each of PIVOTS classes."""
+    ordered = big.withColumns({"order": F.xxhash64("node", "content"), "label": F.col("doc_id")})
     least = [F.min(F.when(F.pmod(F.col("order"), F.lit(PIVOTS)) == r, F.col("order"))) for r in range(PIVOTS)]
     picked = ordered.groupBy("node").agg(F.array_compact(F.array(*least)).alias("orders")).select("node", F.explode("orders").alias("order"))
-    cells = F.ceil(F.col("size") / SALT_ROWS).cast("int")
-    members = ordered.select(F.xxhash64("node", F.pmod(F.col("content"), cells).cast("int")).alias("cell"), "content", F.lit(0).alias("side"), "label")
-    pivots = ordered.join(picked, ["node", "order"]).withColumn("salt", F.explode(F.sequence(F.lit(0), cells - 1)))
-    return members.union(pivots.select(F.xxhash64("node", "salt").alias("cell"), "content", F.lit(1).alias("side"), "label"))
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    return _two_sides(ordered, ordered.join(picked, ["node", "order"]), slices)
+
+
+def _two_sides(zero: DataFrame, one: DataFrame, slices) -> DataFrame:
+    """(cell, side, content, doc_id, label, n_shingles, sketch): rows of ``zero`` in one slice each, those of ``one`` in all slices of their node."""
+    cols = ["content", "doc_id", "label", "n_shingles", "sketch"]
+    dealt = zero.select(F.xxhash64("node", F.pmod(F.xxhash64(F.lit(7), "content"), slices).cast("int")).alias("cell"), F.lit(0).alias("side"), *cols)
+    copied = one.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    return dealt.unionByName(copied.select(F.xxhash64("node", "slice").alias("cell"), F.lit(1).alias("side"), *cols))
 
 
 def _block_cells(big: DataFrame) -> DataFrame:
-    """(cell, content, side, label): each pair of blocks of about LEAF texts of a node meets in one cell."""
-    cells = F.ceil(F.col("size") / LEAF).cast("int")
-    rows = big.withColumn("block", F.pmod(F.col("content"), cells).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
-    cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
-    one = rows.where("block <= other").select(cell, "content", F.lit(0).alias("side"), "label")
-    return one.union(rows.where("block >= other").select(cell, "content", F.lit(1).alias("side"), "label"))
+    """Each pair of blocks of about SLICE texts of a node meets in one cell."""
+    cols = ["content", "doc_id", "label", "n_shingles", "sketch"]
+    blocks = F.ceil(F.col("size") / SLICE).cast("int")
+    rows = big.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "content"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = F.xxhash64(F.lit(3), "node", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    one = rows.where("block <= other").select(cell, F.lit(0).alias("side"), *cols)
+    return one.unionByName(rows.where("block >= other").select(cell, F.lit(1).alias("side"), *cols))
+
+
+_LEVEL = "node long, content long, doc_id long, label long, n_shingles long, sketch binary"
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """(node, content, tree) one level on: a node's own hash chooses BRANCH coordinates of the sketch."""
+    """One level on: a node's own hash chooses BRANCH coordinates of the sketch."""
 
     def run(batch: pa.RecordBatch):
         if not batch.num_rows:
             return
         node = batch.column(0).to_numpy().view(np.uint64)
-        sketches = np.stack(binary_rows(batch.column(2), np.uint16)).astype(np.uint64)
+        sketches = _matrix(batch.column(5), np.uint8).astype(np.uint64)
         draw = tb.mix64(node[:, None] + np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         at = np.argpartition(draw, BRANCH, axis=1)[:, :BRANCH]
         token = np.take_along_axis(sketches, at, 1)
-        child = tb.mix64(tb.mix64(node[:, None] ^ (at.astype(np.uint64) + np.uint64(1) << np.uint64(20))) ^ token)
-        yield {"node": child.view(np.int64).ravel(), "content": np.repeat(batch.column(1).to_numpy(), BRANCH), "tree": np.full(child.size, -1)}
-
-    made = map_batches(rows.select("node", "content", "sketch"), run, "node long, content long, tree int")
-    several = made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    return made.join(several, "node", "left_semi")
+        child = tb.mix64(tb.mix64(node[:, None] ^ (at.astype(np.uint64) + np.uint64(1) << np.uint64(20))) ^ token).view(np.int64)
+        for b in range(BRANCH):
+            yield {"node": child[:, b]} | {c: batch.column(i + 1) for i, c in enumerate(("content", "doc_id", "label", "n_shingles", "sketch"))}
+
+    return map_batches(rows.select("node", "content", "doc_id", "label", "n_shingles", "sketch"), run, _LEVEL)
+
+
+def _recursed(level: DataFrame, folder: str) -> DataFrame | None:
+    """Cells to confirm of all nodes below (and of) large labelled roots; None if there are none."""
+    small, facing = [], []
+    for depth in range(DEPTH + 1):
+        counts = level.groupBy("node", "label").agg(F.count("*").alias("n"))
+        mixed = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where("size > top.n")
+        here = persisted(level.join(mixed.select("node", "size", F.col("top.n").alias("most"), F.col("top.label").alias("main")), "node"), folder, f"level-{depth}")
+        kind = F.when(F.col("size") <= LEAF, 0).when(F.col("size") - F.col("most") <= LEAF, 1).otherwise(2)
+        here = here.withColumn("kind", kind)
+        kinds = {r.kind for r in here.select("kind").distinct().collect()}
+        if 0 in kinds:
+            small.append(here.where("kind = 0"))
+        if 1 in kinds:
+            rest, main = here.where("kind = 1 and label <> main"), here.where("kind = 1 and label = main")
+            small.append(rest)
+            facing.append(_two_sides(main, rest, F.ceil(F.col("most") / SLICE).cast("int")))
+        if 2 not in kinds:
+            break
+        if depth == DEPTH:
+            facing.append(_block_cells(here.where("kind = 2")))
+        else:
+            level = _children(here.where("kind = 2"))
+    parts = []
+    if small:
+        members = functools.reduce(DataFrame.unionByName, [x.select("node", "content", "doc_id", "label", "n_shingles", "sketch") for x in small])
+        parts.append(_clusters(members.withColumn("tree", F.lit(-1))))
+    if facing:
+        parts.append(_facing(functools.reduce(DataFrame.unionByName, facing)))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row."""
     folder = shared_dir(df.sparkSession, "near")
     join = _Join(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), folder)
-    roots = join.roots()
-    frontier = join.round(roots.where("tree < 2"), 0)
-    rest = roots.where("tree >= 2")
-    frontier = rest if frontier is None else frontier.unionByName(rest)
-    for depth in range(1, DEPTH + 1):
-        frontier = join.round(frontier, depth)
-        if frontier is None:
-            break
-    found = join.rows.join(join.labels, "content", "left")
+    verify, large = join.small_roots(), not join.roots.where(F.col("size") > LEAF).isEmpty()
+    if large:
+        verify = verify.unionByName(_facing(_pivot_cells(join.large_roots().where(F.col("tree") < PIVOT_TREES))))
+    own = join.plain.select("content", "doc_id").withColumnRenamed("doc_id", "label")
+    links = join.links(verify, "first")
+    if links is not None:
+        own = _relabelled(own, links, folder, "first")
+    if large:
+        level = join.large_roots().join(own, "content").select("node", "content", "doc_id", "label", "n_shingles", "sketch")
+        verify = _recursed(level, folder)
+        links = None if verify is None else join.links(verify, "second")
+        if links is not None:
+            own = _relabelled(own, links, folder, "second")
+    labels = persisted(own, folder, "labels")
+    discard(df.sparkSession, folder, ["texts", "roots", *(f"{kind}-{x}" for kind in ("verify", "links") for x in ("first", "second")), *(f"level-{i}" for i in range(DEPTH + 1))])
+    found = join.rows.join(labels, "content", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")))
     return found.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _relabelled(own: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """(content, label) with the labels that links join set to the least of them."""
+    moved = components(links, folder, f"cc-{name}").where("v <> root").select(F.col("v").alias("label"), "root")
+    return own.join(moved, "label", "left").select("content", F.coalesce("root", "label").alias("label"))
