@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a fallback below the warehouse serves sessions without one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectern"
+    """A new folder under spark.checkpoint.dir; a folder below the warehouse serves local sessions without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectern"
     folder = f"{root.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex[:12]}"
     if (made := _scratch.get()) is not None:
         made.append(folder)
@@ -126,15 +130,28 @@ def binary_rows(column: pa.Array | pa.ChunkedArray, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
+def carried(df: DataFrame, carry: list[str], outputs: str) -> tuple[list[str], str]:
+    """The carried columns but those that an output's name replaces, and the schema of both."""
+    from pyspark.sql.types import StructType
+
+    made = {f.name.lower() for f in StructType.fromDDL(outputs).fields}
+    kept = [c for c in dict.fromkeys(carry) if c.lower() not in made]
+    return kept, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), outputs])
+
+
 def least_hashed(df: DataFrame, max_rows: int, seed: int, *keys: str) -> DataFrame:
-    """The ``max_rows`` rows of least hash of the first key, with that hash as ``_order``.
+    """The ``max_rows`` rows of least hash of the keys, with that hash as ``_order``; ties go by the keys in order.
 
-    A count first gives a bound of the hash that about twice as many rows are under, so
-    the sort sees these only, however many partitions there are.
+    The keys should tell rows apart: of rows that share one all or none are under a bound.  A count gives a bound
+    of the hash that about twice as many rows are under, and another sees whether enough are, so the sort sees these
+    only, however many partitions there are.  Where repeated rows leave too few, the bound rises until there are enough.
     """
+    order = F.xxhash64(F.lit(seed), *keys)
     n = df.select(keys[0]).count()
-    order = F.xxhash64(F.lit(seed), F.col(keys[0]))
     share = (2 * max_rows + 100) / max(n, 1)
-    if share < 1:
-        df = df.where(order < int(-(1 << 63) + share * (1 << 64)))
+    while share < 1:
+        under = df.where(order < int(-(1 << 63) + share * (1 << 64)))
+        if under.select(keys[0]).count() >= max_rows:
+            return under.withColumn("_order", order).orderBy("_order", *keys).limit(max_rows)
+        share *= 8
     return df.withColumn("_order", order).orderBy("_order", *keys).limit(max_rows)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import sharedarrays as sa
 from . import textblocks as tb
-from .arrowmap import binary_rows, map_batches, shared_dir, sorted_groups
+from .arrowmap import binary_rows, carried, map_batches, shared_dir, sorted_groups, tidy
 
 _FLUSH = 1_500_000
 _UNMIX1, _UNMIX2 = np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64)), np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
@@ -120,7 +120,7 @@ def _stream(df: DataFrame, per_block, schema: str, make_state) -> DataFrame:
         for out in state.flush():
             yield pack(out)
 
-    return df.mapInArrow(run, parsed)
+    return df.mapInArrow(tidy(run), parsed)
 
 
 def _by_shard(sent: DataFrame, shards: int, fn, schema: str) -> DataFrame:
@@ -136,7 +136,7 @@ def _by_shard(sent: DataFrame, shards: int, fn, schema: str) -> DataFrame:
             for out in fn(table.column("shard")[0].as_py(), table):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
-    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, parsed)
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(tidy(run), parsed)
 
 
 @dataclass(frozen=True)
@@ -377,7 +377,7 @@ def train(df: DataFrame, text: str = "text", folder: str | None = None) -> Model
         yield {
             "shard": [*used.tolist(), -1, -2],
             "width": [small.itemsize] * len(used) + [0, 0],
-            "keys": [ids[at[s] : at[s + 1]].astype(np.uint32).tobytes() for s in used] + [contexts[is_hot].tobytes(), b""],
+            "keys": [ids[at[s] : at[s + 1]].astype(np.uint32).tobytes() for s in used] + [contexts[is_hot].tobytes(), np.int64(shard).tobytes()],
             "counts": [small[at[s] : at[s + 1]].tobytes() for s in used] + [hot_follow.astype(np.int64).tobytes(), totals.tobytes()],
         }
 
@@ -390,7 +390,7 @@ def train(df: DataFrame, text: str = "text", folder: str | None = None) -> Model
             np.add.at(total, back, values)
             yield {"kind": [-1], "a": [unique.tobytes()], "b": [total.tobytes()]}
         elif shard == -2:
-            yield {"kind": [-2], "a": [b""], "b": [np.sum(binary_rows(table.column("counts"), np.int64), 0).astype(np.int64).tobytes()]}
+            yield {"kind": [-2], "a": [b"".join(table.column("keys").to_pylist())], "b": [np.sum(binary_rows(table.column("counts"), np.int64), 0).astype(np.int64).tobytes()]}
         else:
             ids, n = _merged(table, np.uint32)
             dense = np.zeros(min(part, model.size + 1 - shard * part), np.uint32)
@@ -402,8 +402,9 @@ def train(df: DataFrame, text: str = "text", folder: str | None = None) -> Model
         sent = _stream(texts, count_bigrams, _SENT, lambda: _Sender(shards, lambda k: model.bigram_shard(k, tb.mix64(k))))
         counted = _by_shard(sent, shards, keep_bigrams, _SENT)
         rows = _by_shard(counted, shards, keep_continuations, "kind int, a binary, b binary").collect()
-        empty_shards(model)
-        totals = np.frombuffer(next(r.b for r in rows if r.kind == -2), np.int64)
+        summed = next(r for r in rows if r.kind == -2)
+        empty_shards(model, set(np.frombuffer(summed.a, np.int64).tolist()))
+        totals = np.frombuffer(summed.b, np.int64)
         model.types, model.bigram = int(totals[0]), Discounts.of(totals[1:].tolist())
         low = np.sum([np.frombuffer(r.b, np.int64) for r in rows if r.kind == 0], 0)
         model.unigram = Discounts.of(low[:4].tolist())
@@ -417,25 +418,16 @@ def train(df: DataFrame, text: str = "text", folder: str | None = None) -> Model
     return model
 
 
-def empty_shards(model: Model) -> None:
+def empty_shards(model: Model, written: set[int]) -> None:
     """Shards that got no rows still get arrays, so a reader needs no case for them."""
-    for s in range(model.shards):
+    for s in set(range(model.shards)) - written:
         for name in ("bigrams", "times", "contexts", "follow1", "follow2", "follow3"):
-            if not _exists(model.folder, f"{name}-{s}"):
-                sa.save(model.folder, f"{name}-{s}", np.zeros(0, np.uint64 if name == "bigrams" else np.int64))
-
-
-def _exists(folder: str, name: str) -> bool:
-    try:
-        sa.load(folder, name)
-        return True
-    except (FileNotFoundError, OSError):
-        return False
+            sa.save(model.folder, f"{name}-{s}", np.zeros(0, np.uint64 if name == "bigrams" else np.int64))
 
 
 def score(df: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
     """Carried columns, n_tokens, n_known, base_score (add-one unigrams) and score, all log10."""
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    carry, schema = carried(df, carry, "n_tokens long, n_known long, base_score double, score double")
     floor = np.log10(model.tokens + model.distinct + 1)
 
     def run(batch: pa.RecordBatch):
@@ -449,7 +441,7 @@ def score(df: DataFrame, model: Model, carry: list[str], text: str = "text") ->
             out = {c: batch.column(i + 1).slice(block.lo, block.hi - block.lo) for i, c in enumerate(carry)}
             yield out | {"n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), at), "base_score": np.add.reduceat(np.log10(counts + 1.0) - floor, at), "score": np.add.reduceat(logs, at)}
 
-    return map_batches(df.select(text, *carry), run, f"{types}, n_tokens long, n_known long, base_score double, score double")
+    return map_batches(df.select(text, *carry), run, schema)
 
 
 def perplexity(score_column: Column, tokens: Column) -> Column:

@@ -12,13 +12,14 @@ right in 99 of 100 cases becomes the rejection threshold (``rejected`` says the
 score is below it; the predicted language stays a learned one).
 
 The model is fitted on a bounded sample of labelled rows (``max_rows``, lowest
-hashes of the id first); a row sends at most BUCKETS pairs to the driver, however long
+hashes of id, text and label first); a row sends at most BUCKETS pairs to the driver, however long
 its text is.  Prediction covers every row.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a
 text with letters but no gram (one letter) gets the prior; null labels don't
 train; without any labelled row everything is ``und``; repeated rows each give
-one row; other columns are ignored.
+one row, and rows that share an id are told apart by their texts when sampling; a carried
+column of an output's name gives way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import least_hashed, map_batches
+from .arrowmap import carried, least_hashed, map_batches
 
 BUCKETS = 1 << 13
 DIM = 16
@@ -114,7 +115,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def sample(df: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", label: str = "lang", key: str = "doc_id") -> tuple[np.ndarray, list[str]]:
     """Averaged bucket counts [rows, BUCKETS] and labels of a bounded sample of labelled rows."""
     labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(text, label, key)
-    chosen = least_hashed(labelled, max_rows, 17, key, label).select(text, label, "_order")
+    chosen = least_hashed(labelled, max_rows, 17, key, text, label).select(text, label, "_order")
 
     def run(batch: pa.RecordBatch):
         for block in tb.blocks(batch.column(0)):
@@ -170,7 +171,7 @@ def train(x: np.ndarray, labels: list[str], seed: int = 1, epochs: int = 12, rat
 
 def identify(df: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
     """Carried columns, lang_pred, score (calibrated probability) and rejected."""
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    carry, schema = carried(df, carry, "lang_pred string, score double, rejected boolean")
     names = np.array([*model.languages, "und"], dtype=object)
 
     def run(batch: pa.RecordBatch):
@@ -185,4 +186,4 @@ def identify(df: DataFrame, model: Model, carry: list[str], text: str = "text")
             yield {c: batch.column(i + 2).slice(block.lo, block.hi - block.lo) for i, c in enumerate(carry)} | {"lang_pred": names[best].tolist(), "score": top, "rejected": top < max(model.reject_below, 1e-12)}
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_l_lettered")
-    return map_batches(df.select(text, lettered, *carry), run, f"{types}, lang_pred string, score double, rejected boolean")
+    return map_batches(df.select(text, lettered, *carry), run, schema)

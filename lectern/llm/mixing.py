@@ -2,7 +2,7 @@
 
 All documents of a source have the same expected number of copies, its target
 over its size.  Within a source the documents stand in a fixed order: by size
-class, then by a hash slot, then by id.  The prefix sum of expected copies up to
+class, then by a hash slot, then by id, size and a hash of the whole row.  The prefix sum of expected copies up to
 a document is therefore its rank in that order times the rate; with one offset
 per source, drawn from the seed and the source's name, a document is emitted once
 for each integer that its prefix interval crosses.  Ordering by size class keeps a source's taken
@@ -14,10 +14,12 @@ thousand strata of a source, and only the rank inside a stratum sorts documents.
 A source that holds a third of all rows spreads over all its strata.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; null ids and repeated rows are rows like any other (equal rows
-differ in rank, so may differ in copies, as a multiset the result is fixed); a
-source of size 0 has target 0 and gives no copies; extra columns stay; names
-starting ``_m_`` are reserved; an empty table gives an empty result.
+last in order; null ids and repeated rows are rows like any other (rows equal in
+all columns differ in rank, so may differ in copies; as a multiset the result is
+fixed, however the rows are partitioned); a source of size 0 has target 0 and gives no
+copies; extra columns stay, but in ``mixed`` an input column of an output's name gives
+way to it (``emitted`` keeps all); names starting ``_m_`` are reserved; an empty table
+gives an empty result.  Targets are worked out over sources in one task: one row each.
 """
 
 from __future__ import annotations
@@ -70,35 +72,48 @@ def _offset(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
 
 
-def mixed(df: DataFrame, seed: int = 0, text: str = "text", weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT, prune: bool = False) -> DataFrame:
-    """The input's rows with size, source_size, target and copies (long).
+OUTPUTS = ("size", "source_size", "target", "copies")
+
 
-    ``prune`` returns (doc_id, source, size, ...) only: sizes are then measured
-    once, and no text is shuffled.  The strata's counts, and with ``prune`` the
-    sizes, are written to the shared folder, so texts are not split again.
+def _drawn(df: DataFrame, seed: int, text: str, weights: Sequence[int], share_percent: int, prune: bool) -> DataFrame:
+    """The input's rows (doc_id and source only, if ``prune``) with the four outputs under reserved names.
+
+    The strata's counts, and with ``prune`` the sizes, are written to the shared folder, so texts are not split again.
     """
     folder = shared_dir(df.sparkSession, "mix")
-    sized = df.withColumn("size", size_of(text))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    sized = df.withColumns({"_m_size": size_of(text), "_m_row": F.xxhash64(*(hashed if not prune else ["doc_id", text]))})
     if prune:
-        sized = persisted(sized.select("doc_id", "source", "size"), folder, "sizes")
+        sized = persisted(sized.select("doc_id", "source", "_m_size", "_m_row"), folder, "sizes")
     # Eight size classes per doubling.
-    sized = sized.withColumns({"_m_class": F.floor(8 * F.log2(F.col("size") + 1.0)).cast("int"), "_m_slot": F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")})
+    sized = sized.withColumns({"_m_class": F.floor(8 * F.log2(F.col("_m_size") + 1.0)).cast("int"), "_m_slot": F.pmod(F.xxhash64("doc_id", "_m_row"), F.lit(SLOTS)).cast("int")})
     keys = ["source", "_m_class", "_m_slot"]
-    strata = persisted(sized.groupBy(*keys).agg(F.count("*").alias("_m_n"), F.sum("size").alias("_m_words")), folder, "strata")
+    strata = persisted(sized.groupBy(*keys).agg(F.count("*").alias("_m_n"), F.sum("_m_size").alias("_m_words")), folder, "strata")
     per_source = targets(strata.groupBy("source").agg(F.sum("_m_words").alias("source_size")), weights, share_percent)
     running = Window.partitionBy("source").orderBy("_m_class", "_m_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = strata.withColumn("_m_before", F.coalesce(F.sum("_m_n").over(running), F.lit(0)))
-    known = starts.alias("a").join(per_source.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(*(F.col(f"a.{k}").alias(f"_m_k{i}") for i, k in enumerate(keys)), "_m_before", "source_size", "target")
-    ranked = sized.withColumn("_m_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "size")) - 1)
+    known = starts.alias("a").join(per_source.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    known = known.select(*(F.col(f"a.{k}").alias(f"_m_k{i}") for i, k in enumerate(keys)), "_m_before", F.col("source_size").alias("_m_source_size"), F.col("target").alias("_m_target"))
+    ranked = sized.withColumn("_m_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "_m_size", "_m_row")) - 1)
     # Null-safe on all keys: no filter on a derived column is inferred, so no text is split for one.
     out = ranked.join(known, [ranked[k].eqNullSafe(known[f"_m_k{i}"]) for i, k in enumerate(keys)])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.when(F.col("_m_source_size") > 0, F.col("_m_target") / F.col("_m_source_size")).otherwise(0.0)
     rank = F.col("_m_before") + F.col("_m_rank")
     copies = F.floor((rank + 1) * rate + _offset(seed)) - F.floor(rank * rate + _offset(seed))
     # The rate is 2 at most; two doubles rounded apart must not make it a third copy.
-    return out.withColumn("copies", F.least(copies, F.lit(2)).cast("long")).drop(*(c for c in out.columns if c.startswith("_m_")))
+    return out.withColumn("_m_copies", F.least(copies, F.lit(2)).cast("long"))
+
+
+def mixed(df: DataFrame, seed: int = 0, text: str = "text", weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT, prune: bool = False) -> DataFrame:
+    """The input's rows with size, source_size, target and copies (long).
+
+    ``prune`` returns doc_id, source and these four only: sizes are then measured once, and no text is shuffled.
+    """
+    kept = ["doc_id", "source"] if prune else [c for c in df.columns if c.lower() not in OUTPUTS]
+    return _drawn(df, seed, text, weights, share_percent, prune).select(*kept, *(F.col(f"_m_{c}").alias(c) for c in OUTPUTS))
 
 
-def emitted(df: DataFrame, **options) -> DataFrame:
+def emitted(df: DataFrame, seed: int = 0, text: str = "text", weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT) -> DataFrame:
     """The mix itself: each row as often as it has copies, in the input's columns."""
-    return mixed(df, **options).where("copies > 0").withColumn("_m_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*df.columns)
+    drawn = _drawn(df, seed, text, weights, share_percent, False).where("_m_copies > 0")
+    return drawn.withColumn("_m_copy", F.explode(F.array_repeat(F.lit(1), F.col("_m_copies").cast("int")))).select(*df.columns)

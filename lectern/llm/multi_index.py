@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import least_hashed, map_batches, persisted, shared_dir, sorted_groups
+from .arrowmap import least_hashed, map_batches, persisted, shared_dir, sorted_groups, tidy
 
 CODES, SHARE = 128, 0.35
 TOP = 5
@@ -115,9 +115,9 @@ class Codebooks:
 
 
 def fit(df: DataFrame, vector: str, key: str, codes: int = CODES, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Codebooks | None:
-    """Codebooks from at most ``sample_rows`` vectors, those of least hash of the id; None if no vector takes part."""
+    """Codebooks from at most ``sample_rows`` vectors, those of least hash of id and vector; None if no vector takes part."""
     rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(vector).alias("v"), F.col(key).alias("k"))
-    table = least_hashed(rows, sample_rows, 5, "k").select("v").toArrow()
+    table = least_hashed(rows, sample_rows, 5, "k", "v").select("v").toArrow()
     column = table.column("v").combine_chunks()
     lengths = np.asarray(column.value_lengths()) if len(column) else np.zeros(0, int)
     if not (lengths > 0).any():
@@ -238,7 +238,7 @@ def nearest(df: DataFrame, queries: str, vector: str = "embedding", key: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scored = left.union(right).repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, parsed)
+    scored = left.union(right).repartition(n, "block").sortWithinPartitions("block").mapInArrow(tidy(run), parsed)
     ranked = Window.partitionBy("content").orderBy(F.col("score").desc(), "id")
     best = persisted(scored.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= keep).groupBy("content").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("found")), folder, "best")
     ids = entries.where("query").select(F.col("id").alias("query_id"), "content").distinct().join(best, "content")

@@ -7,12 +7,13 @@ of it; each filter is max-pooled over a chunk, and a document's probability is a
 logistic function of the mean and the maximum of its chunks' pooled responses.
 
 Trained by Adam on the driver on a bounded sample of labelled rows (``max_rows``
-with the lowest hashes of the id, texts of at most ``max_bytes`` in training
-only); scoring reads whole texts of any length.
+with the lowest hashes of the id), whole texts as in scoring.  Responses are made and pooled
+PIECE bytes at a time, so memory does not grow with a text.
 
 Defined results: a null or empty text has no chunk and scores what the bias
 alone gives; null labels don't train; without labelled rows every score is 0.5;
-repeated rows each give one row; other columns are ignored.
+repeated rows each give one row; a carried column of an output's name gives way to it;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import least_hashed, map_batches
+from .arrowmap import carried, least_hashed, map_batches
 
 WIDTH, FILTERS = 5, 16
 CHUNK, STEP = 128, 112
-MAX_ROWS, MAX_BYTES = 3000, 1 << 16
+MAX_ROWS, PIECE = 3000, 1 << 18
 
 
 def chunk_bounds(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,11 +68,19 @@ class Model:
             out += self.tables[k].take(padded[k : len(data) + 1 + k], axis=0)
         return out
 
-    def pooled(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        if not len(s):
-            return np.zeros((0, FILTERS), np.float32)
-        pairs = np.stack((s, e), 1).ravel()
-        return np.maximum.reduceat(self.responses(data), pairs, axis=0)[::2]
+    def pooled(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """[chunks, FILTERS]: each chunk's maxima and, if asked for, the first place in ``data`` of each."""
+        top, place, lo = np.zeros((len(s), FILTERS), np.float32), np.zeros((len(s) if places else 0, FILTERS), np.int64), 0
+        while lo < len(s):
+            hi = max(lo + 1, int(np.searchsorted(e, s[lo] + PIECE, "right")))
+            a, b = s[lo], e[hi - 1]
+            # A filter at a chunk's last bytes sees what follows: the text, or zeros.
+            response = self.responses(data[a : b + WIDTH - 1])
+            top[lo:hi] = np.maximum.reduceat(response, np.stack((s[lo:hi], e[lo:hi]), 1).ravel() - a, axis=0)[::2]
+            if places:
+                place[lo:hi] = [response[i - a : j - a].argmax(0) + i for i, j in zip(s[lo:hi], e[lo:hi])]
+            lo = hi
+        return top, place
 
     def features(self, pooled: np.ndarray, n: np.ndarray) -> np.ndarray:
         act = np.maximum(pooled + self.bias, 0)
@@ -86,19 +95,19 @@ class Model:
     def scores(self, block: tb.Block) -> np.ndarray:
         data, starts, ends = spaced(block.data, block.starts, block.ends)
         s, e, n = chunk_bounds(starts, ends)
-        f = self.features(self.pooled(data, s, e), n)
+        f = self.features(self.pooled(data, s, e)[0], n)
         return 1 / (1 + np.exp(-(f.astype(float) @ self.weights + self.intercept)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, text: str = "text", label: str = "quality", key: str = "doc_id") -> tuple[list[bytes], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", label: str = "quality", key: str = "doc_id") -> tuple[list[bytes], np.ndarray]:
     """Texts and 0/1 labels of a bounded sample of rows with a label.
 
-    The sample is chosen from ids, labels and lengths; only its own texts (``max_rows`` at most) move.
+    The sample is chosen from ids and labels; only its own texts (``max_rows`` at most) move.
     """
-    lengths = docs.where(F.octet_length(text) <= max_bytes).select(key)
+    docs = docs.where(F.col(text).isNotNull())
     labelled = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y"))
-    chosen = least_hashed(lengths.join(labelled, key), max_rows, 23, key, "y").withColumnRenamed("_order", "h")
-    rows = docs.where(F.octet_length(text) <= max_bytes).select(key, text).join(F.broadcast(chosen.distinct()), key).select(text, "y", "h").orderBy("h", "y", text).limit(max_rows).collect()
+    chosen = least_hashed(docs.select(key).join(labelled, key), max_rows, 23, key, "y").withColumnRenamed("_order", "h")
+    rows = docs.select(key, text).join(F.broadcast(chosen.distinct()), key).select(text, "y", "h").orderBy("h", "y", text).limit(max_rows).collect()
     return [r[0].encode() for r in rows], np.array([r.y for r in rows], np.float32)
 
 
@@ -120,10 +129,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3, epochs: int = 8
             starts = ends - np.array([len(t) for t in raw])
             data, starts, ends = spaced(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
             s, e, n = chunk_bounds(starts, ends)
-            response = model.responses(data)
-            # Where each chunk's maximum is: its first place.
-            pooled = np.maximum.reduceat(response, np.stack((s, e), 1).ravel(), axis=0)[::2] if len(s) else np.zeros((0, FILTERS), np.float32)
-            place = np.array([response[a:b].argmax(0) + a for a, b in zip(s, e)]).reshape(-1, FILTERS)
+            pooled, place = model.pooled(data, s, e, True)
             f = model.features(pooled, n)
             z = f @ model.weights + params[3][0]
             g = ((1 / (1 + np.exp(-z)) - labels[part]) * weight[part] / len(part)).astype(np.float32)
@@ -148,11 +154,11 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3, epochs: int = 8
 
 def score(df: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
     """Carried columns, score (probability of label 1) and predicted."""
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    carry, schema = carried(df, carry, "score double, predicted int")
 
     def run(batch: pa.RecordBatch):
         for block in tb.blocks(batch.column(0), 1 << 18):
             p = model.scores(block)
             yield {c: batch.column(i + 1).slice(block.lo, block.hi - block.lo) for i, c in enumerate(carry)} | {"score": p, "predicted": (p >= 0.5).astype(np.int32)}
 
-    return map_batches(df.select(text, *carry), run, f"{types}, score double, predicted int")
+    return map_batches(df.select(text, *carry), run, schema)

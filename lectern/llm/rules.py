@@ -8,8 +8,8 @@ aggregation without any pass over the measurements.
 
 Defined results: a null text counts as a text without words (it fails the rule
 on few words); each row gives one row, repeated rows and null ids included;
-extra columns stay; names starting ``_q_`` are reserved; an empty table gives
-an empty ledger.  All steps are linear in a text's length but for a sort of its
+extra columns stay, but one that is named as a measurement or ``failed`` gives way to
+it; names starting ``_q_`` are reserved; an empty table gives an empty ledger.  All steps are linear in a text's length but for a sort of its
 3-word windows.
 """
 
@@ -54,6 +54,7 @@ STANDARD = Policy("standard/1", tuple(name for name, _ in RULES))
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the columns of MEASURES (long)."""
     t = F.coalesce(F.col(text), F.lit(""))
+    df = df.drop(*MEASURES, "failed")
     out = df.withColumns({"_q_words": F.array_remove(F.split(t, SPACE), ""), "_q_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     n = F.size("_q_words")
     hashes = F.transform(F.slice("_q_words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("_q_words", i + 1), F.get("_q_words", i + 2)))

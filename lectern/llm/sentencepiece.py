@@ -15,8 +15,8 @@ relaxations are numpy operations over units.  Units of over LONG bytes go throug
 the same trie one by one.
 
 Defined results: a null or empty text has no ids; ids of null decode to null;
-repeated rows, null ids of documents and extra columns pass through; an empty
-table gives an empty result.
+repeated rows and null ids of documents pass through, and so do carried columns, but one of
+an output's name gives way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textblocks as tb
-from .arrowmap import map_batches
+from .arrowmap import carried, map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -352,7 +352,7 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 def encode(df: DataFrame, carry: list[str], text: str = "text", model: str = MODEL) -> DataFrame:
     """Carried columns, ids, n_pieces, score, and round_trip: whether decoding the ids gives the text back."""
     shared = df.sparkSession.sparkContext.broadcast(Encoder(read_model(model)))
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    carry, schema = carried(df, carry, "ids array<int>, n_pieces long, score double, round_trip boolean")
 
     def run(batch: pa.RecordBatch):
         for block in tb.blocks(batch.column(0), BLOCK):
@@ -366,13 +366,13 @@ def encode(df: DataFrame, carry: list[str], text: str = "text", model: str = MOD
                 same = np.array([np.array_equal(data[c - n : c], block.data[a:b]) for c, n, a, b in zip(cuts, sizes, block.starts, block.ends)], bool)
             yield {c: batch.column(i + 1).slice(block.lo, block.hi - block.lo) for i, c in enumerate(carry)} | {"ids": _lists(flat, counts), "n_pieces": counts, "score": scores, "round_trip": same}
 
-    return map_batches(df.select(text, *carry), run, f"{types}, ids array<int>, n_pieces long, score double, round_trip boolean")
+    return map_batches(df.select(text, *carry), run, schema)
 
 
 def decode(df: DataFrame, carry: list[str], ids: str = "ids", model: str = MODEL) -> DataFrame:
     """Carried columns and the text of rows of ids; bytes that are no UTF-8 become U+FFFD."""
     shared = df.sparkSession.sparkContext.broadcast(Encoder(read_model(model)))
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    carry, schema = carried(df, carry, "text string")
 
     def run(batch: pa.RecordBatch):
         column = batch.column(0)
@@ -383,4 +383,4 @@ def decode(df: DataFrame, carry: list[str], ids: str = "ids", model: str = MODEL
         texts = [data[c - n : c].tobytes().decode("utf-8", "replace") if ok else None for c, n, ok in zip(cuts, sizes, np.asarray(column.is_valid()))]
         yield {c: batch.column(i + 1) for i, c in enumerate(carry)} | {"text": texts}
 
-    return map_batches(df.select(ids, *carry), run, f"{types}, text string")
+    return map_batches(df.select(ids, *carry), run, schema)

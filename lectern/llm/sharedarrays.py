@@ -2,20 +2,20 @@
 
 A file is written under a temporary name and renamed, so a retried or
 speculative task leaves a whole file.  On a mounted folder readers map the file
-itself; from any other store they fetch it once into an unlinked local file and
-map that, so nothing stays on an executor's disk.
+itself.  From any other store they read it into memory and keep the arrays used last, up to
+KEEP_BYTES; nothing is written to a machine's own folders.
 """
 
 from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 
+KEEP_BYTES = 256 << 20
 _open: dict[str, np.ndarray] = {}
 
 
@@ -58,10 +58,13 @@ def load(folder: str, name: str) -> np.ndarray:
             from pyarrow import fs
 
             store, root = fs.FileSystem.from_uri(folder)
-            fd, copy = tempfile.mkstemp(suffix=".npy")
-            with os.fdopen(fd, "wb") as out, store.open_input_stream(f"{root}/{name}.npy") as data:
-                while part := data.read(1 << 22):
-                    out.write(part)
-            _open[key] = np.load(copy, mmap_mode="r")
-            os.unlink(copy)
+            with store.open_input_stream(f"{root}/{name}.npy") as data:
+                _open[key] = np.load(io.BytesIO(data.read()))
+            held = 0
+            for old in reversed(list(_open)):
+                held += _open[old].nbytes
+                if held > KEEP_BYTES and old != key:
+                    del _open[old]
+    else:
+        _open[key] = _open.pop(key)  # used last
     return _open[key]

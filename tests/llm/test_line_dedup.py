@@ -77,6 +77,24 @@ def test_defined_results(spark):
     assert ld.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_long_copies_take_linear_time(spark):
+    """Two copies of one text of 5 MB: the probe that a join of all lines to each gram takes minutes for at a fifth of it."""
+    import time
+
+    text = "\n".join(" ".join(f"w{i}x{k}" for k in range(8)) for i in range(90_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nown line of the second one")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in ld.dedup(df).collect()}
+    assert got == {1: (90_000, 0), 2: (90_001, 90_000)} and time.time() - began < 120
+
+
+def test_shorter_limits(spark):
+    docs = [(1, "one two three four five\nsix seven"), (2, "other\none two three four five\nsix seven")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r.text for r in ld.dedup(df, gram_words=3, run_words=5).orderBy("doc_id").collect()] == [docs[0][1], "other"]
+    assert [r.n_removed for r in ld.dedup(df).collect()] == [0, 0]
+
+
 def test_no_python_in_the_plan(spark):
     plan = ld.dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string")).select(F.sum("n_removed"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

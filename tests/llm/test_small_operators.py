@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lectern.llm import arrowmap, kneser_ney, langid, mixing, multi_index, quality_cnn, rules, secrets
+from lectern.llm import arrowmap, kneser_ney, langid, line_dedup, mixing, multi_index, near_dup, quality_cnn, rules, secrets
 from lectern.llm import textblocks as tb
 
 from .helpers import LOWER, WORD
@@ -40,6 +40,81 @@ def test_rule_measures(spark):
     assert rules.ledger(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_columns_of_the_outputs_names(spark):
+    """An input column of an output's name gives way to it, or keeps its value where rows are only chosen."""
+    names = "n_words word_chars failed size source_size target copies n_lines n_removed lang_pred score rejected predicted ids n_pieces round_trip n_tokens base_score spans".split()
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "a", *([7] * len(names))), (2, "few words", "de", None, *([7] * len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    ledger = rules.ledger(df)
+    assert len(set(ledger.columns)) == len(ledger.columns) and {r.n_words for r in ledger.collect()} == {60, 2}
+    mixed = mixing.mixed(df)
+    assert len(set(mixed.columns)) == len(mixed.columns) and {r["size"] for r in mixed.collect()} == {60, 2}
+    assert all(r["size"] == r.copies == 7 for r in mixing.emitted(df).collect())
+    lines = line_dedup.dedup(df)
+    assert len(set(lines.columns)) == len(lines.columns) and {r.n_lines for r in lines.collect()} == {1}
+    carry = ["doc_id", *names]
+    model = langid.train(*langid.sample(df))
+    for out, made in (
+        (langid.identify(df, model, carry), "lang_pred score rejected"), (quality_cnn.score(df, quality_cnn.train([], np.zeros(0)), carry), "score predicted"),
+        (kneser_ney.score(df, kneser_ney.train(df), carry), "n_tokens n_known base_score score"),
+    ):
+        assert sorted(out.columns) == sorted({*carry, *made.split()}) and out.count() == 2
+        assert all(r.copies == 7 for r in out.collect())
+    assert near_dup.classes(df.withColumn("n_shingles", F.lit(1)).withColumn("content", F.lit(2)).withColumn("kept", F.lit(3))).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_samples_of_repeated_ids(spark):
+    """Rows that share an id, or are equal, still give a whole sample; ties don't go by the label."""
+    rows = [(1, f"the thing {i} and with", "aa") if i % 2 else (1, f"der nicht {i} und mit", "bb") for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    x, labels = langid.sample(df, max_rows=300)
+    assert len(labels) == 300 and 90 < labels.count("aa") < 210
+    same = spark.createDataFrame([(None, "the and", "aa")] * 3000, "doc_id long, text string, lang string")
+    assert len(langid.sample(same, max_rows=300)[1]) == 300
+    vectors = spark.createDataFrame([(1, [float(i), 1.0]) for i in range(2000)], "vec_id long, embedding array<double>")
+    assert multi_index.fit(vectors, "embedding", "vec_id", codes=4, sample_rows=50).left.shape == (4, 1)
+    labelled = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert len(quality_cnn.sample(df, labelled, max_rows=200)[0]) == 200
+
+
+def test_emitted_rows_do_not_depend_on_partitions(spark):
+    rows = [(1, f"w {i % 700} x", "en", "a", 5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long")
+    few = Counter(map(tuple, mixing.emitted(df.repartition(2)).collect()))
+    assert few == Counter(map(tuple, mixing.emitted(df.repartition(9, "text")).collect())) and sum(few.values()) == 3000
+
+
+def test_very_long_texts(spark):
+    long = "the thing and with " * 150_000
+    df = spark.createDataFrame([(1, long, "aa", 1), (2, "der und", "bb", 0), (3, long, "aa", 1)], "doc_id long, text string, lang string, quality int")
+    model = langid.train(*langid.sample(df))
+    assert {r.lang_pred for r in langid.identify(df, model, ["doc_id"]).collect()} <= {"aa", "bb"}
+    texts, labels = quality_cnn.sample(df, df)
+    assert sorted(map(len, texts)) == [7, len(long), len(long)]
+    net = quality_cnn.train(texts, labels, epochs=1)
+    scored = {r.doc_id: r.score for r in quality_cnn.score(df, net, ["doc_id"]).collect()}
+    assert scored[1] == scored[3]
+    lm = {r.doc_id: r for r in kneser_ney.score(df, kneser_ney.train(df), ["doc_id"]).collect()}
+    assert lm[1].n_tokens == 600_001 and abs(lm[1].score - lm[3].score) < 1e-6
+    found = secrets.digests(secrets.scan(spark.createDataFrame([(1, long + "password: hunter2hunter2"), (1, long + "password: hunter2hunter2")], "doc_id long, text string"))).collect()
+    assert [r.n_assign for r in found] == [1, 1] and secrets.scan(df.limit(0)).count() == 0
+    assert {r["size"] for r in mixing.mixed(df.withColumn("source", F.lit("a"))).collect()} == {600_000, 2}
+    for f in (langid.identify(df.limit(0), model, ["doc_id"]), quality_cnn.score(df.limit(0), net, ["doc_id"]), kneser_ney.score(df.limit(0), kneser_ney.train(df), ["doc_id"])):
+        assert f.count() == 0
+
+
+def test_pieces_of_a_long_text_pool_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = quality_cnn.Model(rng.normal(size=(quality_cnn.WIDTH, 256, quality_cnn.FILTERS)).astype(np.float32), np.zeros(quality_cnn.FILTERS, np.float32), np.ones(2 * quality_cnn.FILTERS), 0.0)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    s, e, _ = quality_cnn.chunk_bounds(np.array([0]), np.array([5000]))
+    whole = model.pooled(data, s, e, True)
+    monkeypatch.setattr(quality_cnn, "PIECE", 300)
+    for a, b in zip(whole, model.pooled(data, s, e, True)):
+        np.testing.assert_array_equal(a, b)
+
+
 def test_policies_and_ablations(spark):
     entries = spark.createDataFrame([(i, b) for i, b in enumerate([0, 1, 2, 3, 4, 4, 8])], "doc_id long, failed long")
     policy = rules.Policy("t/1", ("few_words", "repeated_windows", "symbols"))
@@ -187,7 +262,7 @@ def test_pooling_matches_a_plain_convolution():
     padded = np.concatenate((data, np.zeros(quality_cnn.WIDTH, np.uint8)))
     plain = np.array([sum(model.tables[k][padded[t + k]] for k in range(quality_cnn.WIDTH)) for t in range(40)])
     np.testing.assert_allclose(model.responses(data)[:40], plain, rtol=1e-5)
-    np.testing.assert_allclose(model.pooled(data, np.array([0, 10]), np.array([25, 40])), [plain[:25].max(0), plain[10:].max(0)], rtol=1e-5)
+    np.testing.assert_allclose(model.pooled(data, np.array([0, 10]), np.array([25, 40]))[0], [plain[:25].max(0), plain[10:].max(0)], rtol=1e-5)
 
 
 def test_scores_do_not_depend_on_neighbours():
