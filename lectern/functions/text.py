@@ -51,7 +51,8 @@ def pub_year(x: Column | str) -> Column:
 
 
 def is_empty_date(x: Column | str) -> Column:
-    return _c(x).isNull() | _c(x).startswith("0101-01-01")
+    """Nothing, or the placeholder of no date."""
+    return F.coalesce(_c(x) == "", F.lit(True)) | _c(x).startswith("0101-01-01")
 
 
 def same_day(a: Column | str, b: Column | str) -> Column:
@@ -65,40 +66,6 @@ def same_number(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(x == y, _c(a).eqNullSafe(_c(b)))
 
 
-def trailing_year(title: Column | str) -> tuple[Column, Column]:
-    """A title without a year at its end, and that year; a title that is only a year stays."""
-    pattern = r"^(.*\S)[\s,(\[]+((?:19|20)\d{2})[)\]]?\s*$"
-    year = F.regexp_extract(_c(title), pattern, 2)
-    return F.when(year != "", F.regexp_extract(_c(title), pattern, 1)).otherwise(_c(title)), F.when(year != "", year.cast("int"))
-
-
-_FILE_NAMES = (r"\.(pdf|epub|mobi|azw3?|djvu|txt|docx?)$", r"^[a-z0-9]+(?:[_-][a-z0-9]+){3,}$", r"^[0-9a-f]{16,}$", r"^(?:scan|img|doc|document)[_ -]?\d+", r"_{2,}", r"^\d{6,}$", r"www\.|https?:", r"\blibgen\b|\bz-lib", r"^microsoft word - ", r"\bv\d+\.\d+(?:\.\d+)?$", r"\(\d{1,3}\)$", r"^[^ ]+_[^ ]+_[^ ]+$")
-
-
-def looks_like_file_name(title: Column | str, authors: Column | str | None = None) -> Column:
-    """A title that is still a file's name, or that ends in its author in parentheses."""
-    t = light(title)
-    hit = F.lit(False)
-    for p in _FILE_NAMES:
-        hit = hit | t.rlike(p)
-    if authors is not None:
-        hit = hit | F.coalesce(F.exists(_c(authors), lambda a: t.endswith(F.concat(F.lit("("), light(a), F.lit(")")))), F.lit(False))
-    return hit
-
-
-def is_placeholder_title(title: Column | str) -> Column:
-    t = light(title)
-    return t.isNull() | t.rlike(r"^(|unknown|untitled|no title|title|none|без названия|без назви)$")
-
-
-def titles_agree(a: Column | str, b: Column | str) -> Column:
-    """The words of one are in the other, or two significant ones are shared; an empty title agrees."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(_c(x)), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin("the", "a", "an", "of", "and", "in", "to", "for")))
-    x, y = words(a), words(b)
-    shared = F.size(F.array_intersect(x, y))
-    return (F.size(x) == 0) | (F.size(y) == 0) | (shared == F.size(x)) | (shared == F.size(y)) | (shared >= 2)
-
-
 def slice_sentence(text: str, start: int, size: int, floor: float = 0.5) -> tuple[int, int]:
     """Bounds of a reading window: at most ``size`` characters, trimmed to a sentence or paragraph end past ``floor``."""
     end = min(start + size, len(text))
@@ -134,36 +101,6 @@ def fold_accents(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else fold_text(x))
 
 
-def squash(x: Column | str) -> Column:
-    """Folded, lower-case letters, digits and marks without spaces or a leading article; null if nothing is left."""
-    kept = collapse_ws(F.regexp_replace(F.lower(fold_accents(_c(x))), r"[^\p{L}\p{N}\p{M}\s]", " "))
-    bare = F.regexp_replace(F.regexp_replace(kept, r"^(the|a|an) ", ""), " ", "")
-    return F.when(bare != "", bare)
-
-
-_EDITIONS = (r"(\d+)(?:st|nd|rd|th)\s+(?:ed\.|ed\b|edition)", r"\b(first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\s+edition", r"\bedition\s+(\d+)", r"\b(\d+)-?[ея]?\s+изд", r"\bизд(?:ание|\.)\s*(\d+)", r"\b(\d+)-?[ее]?\s+вид")
-_ORDINALS = {w: i + 1 for i, w in enumerate("first second third fourth fifth sixth seventh eighth ninth tenth".split())}
-
-
-def split_edition(title: str) -> tuple[str, int | None]:
-    """A title without its edition mark and all behind it, and the edition's number; the earliest mark wins."""
-    best = None
-    for pattern in _EDITIONS:
-        m = re.search(pattern, title, re.IGNORECASE)
-        if m and m.start() > 0 and (best is None or m.start() < best.start()):
-            best = m
-    if best is None:
-        return title, None
-    word = best.group(1).lower()
-    return title[: best.start()].rstrip(" ,:;([-–—"), _ORDINALS.get(word) or int(word)
-
-
-@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("edition", T.IntegerType())]))
-def edition_parts(s: pd.Series) -> pd.DataFrame:
-    pairs = [(None, None) if x is None else split_edition(x) for x in s]
-    return pd.DataFrame({"title": [a for a, _ in pairs], "edition": pd.array([b for _, b in pairs], dtype="Int32")})
-
-
 def html_text(x: Column | str) -> Column:
     """Text of an HTML fragment: scripts, styles and comments go, tags become breaks, entities are decoded."""
     t = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")

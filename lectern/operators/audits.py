@@ -34,9 +34,19 @@ def shingles(df: DataFrame, key: str, text: str, n: int = SHINGLE, distinct: boo
     return out.groupBy(key, "shingle").agg(F.min("position").alias("position")) if distinct else out
 
 
-def overlap(output: DataFrame, sources: DataFrame, key: str, text: str, source_key: str, source_text: str, n: int = SHINGLE) -> DataFrame:
-    """(key, source, shared): distinct shingles that a text shares with each source."""
-    return shingles(output, key, text, n).join(shingles(sources, source_key, source_text, n).select(source_key, "shingle"), "shingle").groupBy(key, source_key).agg(F.count("*").alias("shared"))
+def overlap(output: DataFrame, sources: DataFrame, key: str, text: str, source_key: str, source_text: str, n: int = SHINGLE, allow: tuple[str, ...] = (), markdown: bool = False) -> DataFrame:
+    """(key, source, shared): distinct shingles that a text shares with each source, except those of allowed phrases.
+
+    The sources' shingles are made distinct first and meet the texts' before these are, so of the
+    texts only what is shared is ever grouped.  ``markdown`` looks at the prose of the texts only.
+    """
+    theirs = shingles(sources, source_key, source_text, n).select(source_key, "shingle")
+    if allow:
+        phrases = output.sparkSession.createDataFrame([(0, a) for a in allow], "_k int, _t string")
+        theirs = theirs.join(shingles(phrases, "_k", "_t", n).select("shingle"), "shingle", "left_anti")
+    mine = output.select(key, prose(text).alias(text)) if markdown else output
+    met = shingles(mine, key, text, n, distinct=False).join(theirs, "shingle")
+    return met.groupBy(key, source_key, "shingle").agg(F.lit(1).alias("_one")).groupBy(key, source_key).agg(F.count("*").alias("shared"))
 
 
 def quotes(text: Column | str) -> Column:
@@ -56,10 +66,19 @@ def quote_budget(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def compression(df: DataFrame, key: str, source_words: str, output_words: str) -> DataFrame:
-    ratio = F.col(source_words) / F.greatest(F.col(output_words), F.lit(1))
+    """(key, ratio, ok): how much shorter an output is than what it was made from; one of length 0 has ratio 0."""
+    ratio = F.when(F.col(output_words) > 0, F.col(source_words) / F.col(output_words)).otherwise(0.0)
     return df.select(key, ratio.alias("ratio"), (ratio >= COMPRESSION).alias("ok"))
 
 
+def chapter_compression(chapters: DataFrame, key: str, source_words: str, output_words: str) -> DataFrame:
+    """(key, ratio, n_below, ok): the floor over a whole output and over each of its chapters."""
+    own = F.when(F.col(output_words) > 0, F.col(source_words) / F.col(output_words)).otherwise(0.0)
+    by = chapters.groupBy(key).agg(F.sum(source_words).alias("_a"), F.sum(output_words).alias("_b"), F.sum((own < COMPRESSION).cast("int")).alias("n_below"))
+    ratio = F.when(F.col("_b") > 0, F.col("_a") / F.col("_b")).otherwise(0.0)
+    return by.select(key, ratio.alias("ratio"), "n_below", ((ratio >= COMPRESSION) & (F.col("n_below") == 0)).alias("ok"))
+
+
 def heading_mirror(output: DataFrame, source: DataFrame, key: str, heading: str, exempt: tuple[str, ...] = ()) -> DataFrame:
     """(key, share, ok): share of a text's headings that the source has too, some exempt."""
     norm = lambda c: F.array_join(words(c), " ")
@@ -80,10 +99,15 @@ def cursor_leak(text: Column | str) -> Column:
     return t.rlike(r"\{\{[^}]*CURSOR[^}]*\}\}") | F.exists(runs, is_cursor)
 
 
+# How a text names an ISBN, an author or edition, and where to get the source.
+ISBN_NAMED, AUTHOR_NAMED = r"(?i)\bISBN\b|\b97[89][\d\s-]{10,17}\b", r"(?i)\b(author|by|edition)\b|—\s*[A-ZА-ЯЁ]"
+BUY_NAMED = r"(?i)\b(buy|purchase|consider buying|own the book|support the author|acquire)\b"
+
+
 def attribution(text: Column | str) -> Column:
     """Whether a text names an ISBN, an author or edition, and where to get the source."""
     t = F.col(text) if isinstance(text, str) else text
-    return t.rlike(r"(?i)ISBN[-:\s]*[0-9X-]{10,}") & t.rlike(r"(?im)^.*\b(author|by|edition|автор|издание)\b") & t.rlike(r"(?i)\b(buy|purchase|publisher|купить)\b")
+    return F.coalesce(t.rlike(ISBN_NAMED) & t.rlike(AUTHOR_NAMED) & t.rlike(BUY_NAMED), F.lit(False))
 
 
 def gate(findings: DataFrame, key: str) -> DataFrame:

@@ -42,12 +42,67 @@ def resolve_ids(refs: DataFrame, rows: DataFrame, ref: str, key: str, uuid: str)
 
 
 def selection(df: DataFrame, key: str, ids: list[int] | None = None, predicate: Column | None = None, most: int = 2000) -> tuple[DataFrame, int, bool]:
-    """(rows, how many there were, whether they were capped); ids win over the predicate."""
-    chosen = df.where(F.col(key).isin(ids)) if ids is not None else df if predicate is None else df.where(predicate)
+    """(rows, how many there were, whether they were capped); ids win over the predicate and keep their order, which column ``place`` holds."""
+    if ids is not None:
+        places = df.sparkSession.createDataFrame(list({i: (i, n) for n, i in reversed(list(enumerate(ids)))}.values()), f"_id {df.schema[key].dataType.simpleString()}, place int")
+        chosen = df.join(places, F.col(key) == F.col("_id")).drop("_id")
+        total = chosen.count()
+        return chosen.orderBy("place").limit(most), total, total > most
+    chosen = df if predicate is None else df.where(predicate)
     total = chosen.count()
     return (chosen.orderBy(key).limit(most) if total > most else chosen), total, total > most
 
 
+# Other words for a category.
+CATEGORY_NAMES = {"author": "authors", "tag": "tags", "language": "languages"}
+
+
+def category_of(name: str, categories: list[str]) -> str | None:
+    """The category that a name means, in either case, by itself or by another word for it."""
+    low = {c.lower(): c for c in categories}
+    n = name.strip().lower()
+    return low.get(n) or low.get(CATEGORY_NAMES.get(n, ""))
+
+
+def has_column_filter(query: str) -> bool:
+    """Whether a full-text query holds a column filter, word: or {a b}:, outside quotes; std::vector is none."""
+    bare = re.sub(r'"[^"]*"', " ", query)
+    return bool(re.search(r"(?:^|[\s(])(?:\w+|\{[^}]*\})\s*:(?!:)", bare))
+
+
+def content_cursor(offset: int, book: int, fmt: str) -> str:
+    """A position in a book's text, bound to the book and its format."""
+    text = json.dumps({"offset": offset, "id": book, "format": fmt}, separators=(",", ":"))
+    return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+
+
+def read_content_cursor(text: str, book: int | None = None) -> tuple[int, int, str]:
+    """(offset, book, format) of a position; an error for anything else, or another book's."""
+    try:
+        data = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+        offset, own, fmt = int(data["offset"]), int(data["id"]), str(data["format"])
+    except Exception as e:
+        raise ValueError("not a position in a book") from e
+    if offset < 0 or book is not None and own != book:
+        raise ValueError("the position belongs to another book")
+    return offset, own, fmt
+
+
+def decoded_authors(raw: str) -> Column:
+    """Authors stored as a JSON list; other text is one author by itself."""
+    parsed = F.from_json(raw, "array<string>")
+    return F.when(F.coalesce(F.btrim(raw) == "", F.lit(True)), F.array().cast("array<string>")).otherwise(F.coalesce(parsed, F.when(F.col(raw).startswith("["), None).otherwise(F.array(raw)), F.array(raw)))
+
+
+def libraries(df: DataFrame, library: str = "library_id") -> DataFrame:
+    return df.groupBy(library).agg(F.count("*").alias("books")).orderBy(library)
+
+
+def removed(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(what stays, what would go) of a removal by ids."""
+    return df.join(ids.select(key).distinct(), key, "left_anti"), df.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def to_books(raw: DataFrame) -> DataFrame:
     """Raw catalogue rows with formats in lower case and empty text as absent."""
     text = [f.name for f in raw.schema.fields if f.dataType.typeName() == "string"]
@@ -56,11 +111,12 @@ def to_books(raw: DataFrame) -> DataFrame:
 
 
 # From most to least suitable for text extraction.
-FORMATS = ("epub", "md", "markdown", "pdf", "txt", "azw3", "mobi", "docx", "rtf", "fb2", "html", "djvu")
+FORMATS = ("epub", "md", "markdown", "pdf", "txt", "txtz", "text", "azw3", "mobi", "docx", "odt", "htmlz", "fb2", "rtf")
 
 
-def preferred_format(formats: str) -> Column:
-    known = F.array(*map(F.lit, FORMATS))
+def preferred_format(formats: str, wanted: str | None = None) -> Column:
+    """The wanted format if it is there, else the most suitable one; null if none is known."""
+    known = F.array(*map(F.lit, [*([wanted.lower()] if wanted else []), *FORMATS]))
     have = F.transform(formats, F.lower)
     return F.get(F.array_intersect(known, have), 0)
 

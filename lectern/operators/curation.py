@@ -13,75 +13,103 @@ from pyspark.sql import functions as F
 
 from lectern.functions import isbn as isbns
 from lectern.functions import text as tx
+from lectern.functions import titles
 
 
-def identical_groups(books: DataFrame) -> DataFrame:
-    """(key, ids, size) of books of equal title and authors."""
-    return books.withColumn("key", tx.identical_key("title", "authors")).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").cast("int").alias("size")).where("size > 1")
+_SIGNALS = ("subtitle", "edition", "title_year", "pub_year")
 
 
 def work_keys(books: DataFrame) -> DataFrame:
-    """Adds ``work`` (squashed main title and folded authors), ``edition``, ``title_year`` and ``pub_year``."""
-    parts = books.withColumn("_e", tx.edition_parts("title"))
-    plain, year = tx.trailing_year(F.col("_e.title"))
-    main = F.regexp_replace(plain, r"\s*[:–—].*$", "")
-    authors = F.array_join(F.array_sort(F.transform(F.coalesce("authors", F.array().cast("array<string>")), tx.light)), "\u0002")
-    return parts.withColumns({"edition": F.col("_e.edition"), "title_year": year, "pub_year": tx.pub_year("pubdate"), "work": F.concat_ws("\u0001", tx.squash(main), tx.squash(authors))}).drop("_e")
-
-
-def compatible_editions(a: dict, b: dict) -> bool:
-    """Unknown never differs; an unmarked edition is the first; publication years must be under two apart."""
-    if (a["edition"] or 1) != (b["edition"] or 1):
-        return False
-    if a["title_year"] and b["title_year"] and a["title_year"] != b["title_year"]:
-        return False
-    return not (a["pub_year"] and b["pub_year"] and abs(a["pub_year"] - b["pub_year"]) >= 2)
-
-
-def similar_groups(books: DataFrame) -> DataFrame:
-    """(work, part, ids, size): books of one work, split greedily by edition in order of ids."""
-    keyed = work_keys(books).where("work <> '' and work is not null")
+    """Adds ``work`` (null if the title can't be compared) and the signals subtitle, edition, title_year and pub_year."""
+    parts = books.withColumn("_w", titles.work_parts("title", F.coalesce("authors", F.array().cast("array<string>"))))
+    return parts.withColumns({"work": F.col("_w.key"), **{c: F.col(f"_w.{c}") for c in _SIGNALS[:3]}, "pub_year": tx.pub_year("pubdate")}).drop("_w")
+
+
+def compatible(a: dict, b: dict) -> bool:
+    """Whether no signal speaks against one edition: an unknown one never does, publication years must be under two apart."""
+    apart = any(a[c] is not None and b[c] is not None and a[c] != b[c] for c in _SIGNALS[:3])
+    return not apart and (a["pub_year"] is None or b["pub_year"] is None or abs(a["pub_year"] - b["pub_year"]) < 2)
+
+
+def identical_members(books: DataFrame) -> DataFrame:
+    """(group, id) of books that share title and authors with another one."""
+    keyed = books.select("id", tx.identical_key("title", "authors").alias("group"))
+    several = keyed.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select("group")
+    return keyed.join(several, "group").select("group", "id")
+
+
+def similar_members(books: DataFrame) -> DataFrame:
+    """(group, id) of books of one work that no signal tells apart.
+
+    Greedy: the books with most signals come first, in order of ids within them, and each joins the first
+    cluster whose members all fit.  Where a book goes follows from its signals, as books of equal signals fit each
+    other, so only the distinct signals of a work come together, never all its books.
+    """
+    keyed = work_keys(books).where("work is not null").select("id", "work", *_SIGNALS)
+    distinct = keyed.groupBy("work", *_SIGNALS).agg(F.min("id").alias("first"), F.count("*").alias("n"))
     several = keyed.groupBy("work").agg(F.count("*").alias("_n")).where("_n > 1").select("work")
 
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[dict]] = []
-        for row in rows.sort_values("id").astype(object).where(rows.sort_values("id").notna(), None).to_dict("records"):
-            home = next((g for g in groups if all(compatible_editions(row, o) for o in g)), None)
-            if home is None:
-                groups.append([row])
-            else:
-                home.append(row)
-        found = [g for g in groups if len(g) > 1]
-        return pd.DataFrame({"work": [g[0]["work"] for g in found], "part": list(range(len(found))), "ids": [[int(r["id"]) for r in g] for g in found], "size": [len(g) for g in found]})
-
-    chosen = keyed.join(several, "work", "left_semi").select("work", "id", "edition", "title_year", "pub_year")
-    return chosen.groupBy("work").applyInPandas(split, "work string, part int, ids array<long>, size int")
-
-
-def merge_safety(groups: DataFrame, books: DataFrame) -> DataFrame:
-    """Adds ``safety`` and its reasons to groups (ids): several ISBNs, a format held twice, several languages."""
-    members = groups.withColumn("_g", F.xxhash64("ids")).select("_g", F.explode("ids").alias("id")).join(books, "id")
-    isbn = F.collect_set(F.nullif(F.lower(F.btrim(F.col("identifiers")["isbn"])), F.lit("")))
-    languages = F.array_distinct(F.flatten(F.collect_list(F.coalesce("languages", F.array().cast("array<string>")))))
-    held = members.select("_g", "id", F.explode(F.array_distinct("formats")).alias("f")).groupBy("_g", "f").agg(F.count("*").alias("n")).groupBy("_g").agg((F.max("n") > 1).alias("shared_format"))
-    facts = members.groupBy("_g").agg(F.size(isbn).alias("n_isbn"), F.size(F.filter(F.transform(languages, F.lower), lambda x: x != "")).alias("n_lang")).join(held, "_g", "left")
-    score = 1.0 - F.when(F.col("n_isbn") > 1, 0.5).otherwise(0.0) - F.when(F.coalesce("shared_format", F.lit(False)), 0.2).otherwise(0.0)
-    capped = F.when(F.col("n_lang") > 1, F.least(score - 0.3, F.lit(0.3))).otherwise(score)
-    facts = facts.withColumn("safety", F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)))
-    return groups.withColumn("_g", F.xxhash64("ids")).join(facts, "_g").drop("_g")
-
-
-def completeness(book: str = "") -> Column:
-    """Formats, identifiers, filled fields, tags and languages of a book."""
-    filled = sum((F.when(F.col(c).isNotNull() & (F.btrim(c) != ""), 1).otherwise(0) for c in ("publisher", "pubdate", "comments", "series", "author_sort")), F.lit(0))
+    def clusters(rows: pd.DataFrame) -> pd.DataFrame:
+        found = rows.astype(object).where(rows.notna(), None).to_dict("records")
+        found.sort(key=lambda r: (-sum(r[c] is not None for c in _SIGNALS), r["first"]))
+        homes: list[list[dict]] = []
+        for r in found:
+            home = next((i for i, h in enumerate(homes) if all(compatible(r, o) for o in h)), len(homes))
+            if home == len(homes):
+                homes.append([])
+            homes[home].append(r)
+            r["part"] = home
+        return pd.DataFrame(found, columns=["work", *_SIGNALS, "part"])
+
+    parts = distinct.join(several, "work", "left_semi").groupBy("work").applyInPandas(clusters, "work string, subtitle string, edition int, title_year int, pub_year int, part int")
+    placed = keyed.alias("a").join(parts.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("work", *_SIGNALS)])
+    placed = placed.select(F.concat_ws("\u0001", "a.work", F.col("b.part").cast("string")).alias("group"), "a.id")
+    again = placed.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select("group")
+    return placed.join(again, "group").select("group", "id")
+
+
+def scored_groups(members: DataFrame, books: DataFrame) -> DataFrame:
+    """(group, first, size, n_isbn, n_lang, shared_format, work_match, safety) of groups (group, id), least safe and largest first.
+
+    work_match is the worst verdict on two members: same, edition? (one names a later edition), or different.
+    Safety starts at 1; more than one ISBN takes 0.5, a format held twice 0.2; more than one language takes 0.3 and
+    caps it at 0.3, and so does a verdict other than same.  Counts, least and greatest values only.
+    """
+    m = members.join(work_keys(books), "id")
+    low = lambda c: F.nullif(F.lower(F.btrim(c)), F.lit(""))
+    spoken = F.filter(F.transform(F.coalesce("languages", F.array().cast("array<string>")), F.lower), lambda x: x != "")
+    held = m.select("group", "id", F.explode(F.array_distinct(F.transform("formats", F.lower))).alias("f")).groupBy("group", "f").agg(F.count("*").alias("n")).groupBy("group").agg((F.max("n") > 1).alias("shared_format"))
+    differ = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    isbn = low(F.col("identifiers")["isbn"])
+    apart = (F.count("work") < F.count("*")) | differ("work") | differ("subtitle") | differ("edition") | differ("title_year") | F.coalesce(F.max("pub_year") - F.min("pub_year") >= 2, F.lit(False))
+    later = differ(F.coalesce("edition", F.lit(1)))
+    facts = m.groupBy("group").agg(
+        F.min("id").alias("first"), F.count("*").alias("size"), differ(isbn).alias("several_isbns"),
+        F.coalesce(F.min(F.array_min(spoken)) != F.max(F.array_max(spoken)), F.lit(False)).alias("several_languages"),
+        F.when((F.count("*") > 1) & apart, "different").when(later, "edition?").otherwise("same").alias("work_match"),
+    ).join(held, "group", "left")
+    shared = F.coalesce("shared_format", F.lit(False))
+    score = 1.0 - F.when(F.col("several_isbns"), 0.5).otherwise(0.0) - F.when(shared, 0.2).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), F.when(F.col("several_languages"), F.least(score - 0.3, F.lit(0.3))).otherwise(score))
+    safety = F.when(F.col("work_match") == "same", score).otherwise(F.least(score, F.lit(0.3)))
+    return facts.withColumns({"shared_format": shared, "safety": safety})
+
+
+def group_order() -> list[Column]:
+    return [F.col("safety"), F.col("size").desc(), F.col("group")]
+
+
+def completeness() -> Column:
+    """Formats and identifiers of a book, and one for each other field that isn't empty."""
+    text = [F.when(F.coalesce(F.col(c) != "", F.lit(False)), 1).otherwise(0) for c in ("author_sort", "series", "publisher", "pubdate", "comments")]
+    lists = [F.when(F.coalesce(F.size(c) > 0, F.lit(False)), 1).otherwise(0) for c in ("tags", "languages")]
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    return size("formats") + size("identifiers") + filled + size("tags") + size("languages")
+    return sum([*text, *lists], size("formats") + size("identifiers"))
 
 
-def keepers(groups: DataFrame, books: DataFrame) -> DataFrame:
-    """(ids, keep): each group's most complete book, the first on a tie."""
-    members = groups.select("ids", F.posexplode("ids").alias("place", "id")).join(books, "id")
-    return members.groupBy("ids").agg(F.max_by("id", F.struct(completeness().alias("c"), (-F.col("place")).alias("p"))).alias("keep"))
+def keepers(members: DataFrame, books: DataFrame, place: str = "id") -> DataFrame:
+    """(group, keep): each group's most complete book, the first by ``place`` on a tie."""
+    return members.join(books, "id").groupBy("group").agg(F.max_by("id", F.struct(completeness().alias("c"), (-F.col(place)).alias("p"))).alias("keep"))
 
 
 def compared(books: DataFrame, fields: list[str]) -> DataFrame:
@@ -97,12 +125,11 @@ CHECKS = ("author", "title", "isbn", "author_sort", "pubdate")
 def row_issues(books: DataFrame) -> DataFrame:
     """(id, check, detail) of the rules that look at one book."""
     names = F.coalesce("authors", F.array().cast("array<string>"))
-    suspect = F.exists(names, lambda a: a.contains(";") | ((F.size(F.split(a, ",")) > 2)) | ~a.rlike(r"\p{L}"))
     isbn = F.col("identifiers")["isbn"]
     expected = F.array_join(F.transform(names, tx.author_sort), " & ")
     found = {
-        "author": F.when(F.size(names) == 0, "no author").when(suspect, "suspect author"),
-        "title": F.when(tx.is_placeholder_title("title"), "placeholder").when(tx.looks_like_file_name("title", names), "file name"),
+        "author": F.when(F.size(names) == 0, "no author").otherwise(titles.authors_fault(names)),
+        "title": F.when(titles.is_placeholder("title"), "placeholder").when(titles.file_shaped("title", names), "file name"),
         "isbn": F.when(isbn.isNotNull() & ~isbns.is_isbn(isbn), "invalid"),
         "author_sort": F.when((F.size(names) > 0) & (F.coalesce("author_sort", F.lit("")) != expected), "differs"),
         "pubdate": F.when(tx.is_empty_date("pubdate"), "empty"),
@@ -112,12 +139,19 @@ def row_issues(books: DataFrame) -> DataFrame:
 
 
 def series_gaps(books: DataFrame, series: str = "series", index: str = "series_index", key: str = "id") -> DataFrame:
-    """(series, anchor, missing, repeated): whole numbers missing between a series' ends, and numbers held twice; two members at least."""
+    """(series, anchor, missing, n_missing, repeated): runs (lo, hi) of whole numbers missing between a series' ends, and numbers held twice.
+
+    Two members at least.  Gaps come from neighbours in order, so their size costs nothing.
+    """
     whole = F.when(F.col(index) == F.floor(index), F.col(index).cast("long"))
     numbers = books.where(F.col(series).isNotNull()).groupBy(series, whole.alias("n")).agg(F.count("*").alias("c"), F.min(key).alias("k"))
-    by = numbers.groupBy(series).agg(F.sum("c").alias("members"), F.min("k").alias("anchor"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("n").alias("have"), F.sort_array(F.collect_list(F.when((F.col("c") > 1) & F.col("n").isNotNull(), F.col("n")))).alias("repeated"))
-    missing = F.when(F.col("lo").isNotNull(), F.array_except(F.sequence("lo", "hi"), "have")).otherwise(F.array().cast("array<bigint>"))
-    return by.where("members > 1").select(series, "anchor", F.sort_array(missing).alias("missing"), "repeated").where("size(missing) > 0 or size(repeated) > 0")
+    after = F.lead("n").over(Window.partitionBy(series).orderBy(F.col("n").asc_nulls_last()))
+    gaps = numbers.withColumn("gap", F.when(after > F.col("n") + 1, F.struct((F.col("n") + 1).alias("lo"), (after - 1).alias("hi"))))
+    by = gaps.groupBy(series).agg(
+        F.sum("c").alias("members"), F.min("k").alias("anchor"), F.sort_array(F.collect_list("gap")).alias("missing"), F.coalesce(F.sum(F.col("gap.hi") - F.col("gap.lo") + 1), F.lit(0)).alias("n_missing"),
+        F.sort_array(F.collect_list(F.when((F.col("c") > 1) & F.col("n").isNotNull(), F.col("n")))).alias("repeated"),
+    )
+    return by.where("members > 1 and (n_missing > 0 or size(repeated) > 0)").drop("members")
 
 
 def issue_histogram(issues: DataFrame) -> DataFrame:
@@ -125,9 +159,26 @@ def issue_histogram(issues: DataFrame) -> DataFrame:
 
 
 def add_probe(new: DataFrame, books: DataFrame, most: int = 10) -> DataFrame:
-    """(new id, ids): books with the new one's ISBN or work, the first few."""
-    probe = work_keys(new.withColumnRenamed("id", "new_id").withColumn("id", F.col("new_id"))).select("new_id", "work", isbns.to_isbn13(F.col("identifiers")["isbn"]).alias("isbn13"))
-    have = work_keys(books).select("id", "work", isbns.to_isbn13(F.col("identifiers")["isbn"]).alias("isbn13"))
-    hits = probe.join(have.drop("work"), "isbn13").select("new_id", "id").union(probe.join(have.drop("isbn13"), "work").select("new_id", "id")).distinct()
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("new_id").orderBy("id"))).where(F.col("r") <= most)
-    return ranked.groupBy("new_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """(new_id, ids, reason): other books with a new one's ISBN or of its work, the first few by id; reason is isbn or title.
+
+    A title without spaces is read as a slug.  Where either side lacks authors, titles alone are compared, without publication years.
+    """
+    side = lambda d, key: work_keys(d.withColumn("title", titles.unslugged("title"))).select(F.col("id").alias(key), F.split_part("work", F.lit("|"), F.lit(1)).alias("main"), F.split_part("work", F.lit("|"), F.lit(2)).alias("by"), *_SIGNALS, isbns.to_isbn13(F.col("identifiers")["isbn"]).alias("isbn13"))
+    a, b = side(new, "new_id"), side(books, "id")
+    signals = [F.col(f"a.{c}").isNull() | F.col(f"b.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"b.{c}")) for c in _SIGNALS[:3]]
+    years = F.col("a.pub_year").isNull() | F.col("b.pub_year").isNull() | (F.abs(F.col("a.pub_year") - F.col("b.pub_year")) < 2)
+    unknown = (F.col("a.by") == "") | (F.col("b.by") == "")
+    fits = F.lit(True)
+    for s in signals:
+        fits = fits & s
+    same = a.alias("a").join(b.alias("b"), (F.col("a.main") == F.col("b.main")) & (F.col("a.main") != "") & fits & (unknown | ((F.col("a.by") == F.col("b.by")) & years)))
+    hits = a.join(b.select("id", "isbn13"), "isbn13").select("new_id", "id", F.lit(1).alias("by_isbn")).union(same.select("a.new_id", "b.id", F.lit(0)))
+    hits = hits.where("new_id <> id").groupBy("new_id", "id").agg(F.max("by_isbn").alias("by_isbn"))
+    ranked = hits.withColumns({"r": F.row_number().over(Window.partitionBy("new_id").orderBy("id")), "any_isbn": F.max("by_isbn").over(Window.partitionBy("new_id"))}).where(F.col("r") <= most)
+    return ranked.groupBy("new_id").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.when(F.max("any_isbn") == 1, "isbn").otherwise("title").alias("reason"))
+
+
+def skipped_match(added: DataFrame, books: DataFrame) -> DataFrame:
+    """(new_id, id): the one book whose title equals that of a skipped addition but for case, accents and signs; none if several do."""
+    hits = added.select(F.col("id").alias("new_id"), titles.title_key("title").alias("k")).join(books.select("id", titles.title_key("title").alias("k")), "k")
+    return hits.groupBy("new_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("new_id", "id")

@@ -32,11 +32,19 @@ def graded_ndcg(hits: DataFrame, grades: DataFrame, query: str = "qid", item: st
     return best.join(got, query, "left").select(query, F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve by average ranks of tied scores; null if a side is empty. Ranks come from counts by score."""
+def auc(df: DataFrame, score: str, label: str, parts: int = 1024) -> DataFrame:
+    """Area under the curve by average ranks of tied scores; null if a side is empty.
+
+    Scores are counted, then ranked within ``parts`` ranges of theirs whose totals alone come together, so no task sees them all.
+    """
     by = df.groupBy(score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    ends = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))  # one row
+    width = F.nullif(F.col("hi").cast("double") - F.col("lo"), F.lit(0.0))
+    ranged = by.join(F.broadcast(ends)).withColumn("part", F.coalesce(F.floor((F.col(score) - F.col("lo")) / width * parts).cast("int"), F.lit(0)))
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("t"))  # at most ``parts`` + 1 rows
+    starts = totals.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranged.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + inside + (F.col("n") + 1) / 2.0)
     out = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")
     return out.select(F.when((p > 0) & (q > 0), (F.col("s") - p * (p + 1) / 2.0) / (p * q)).alias("auc"))
@@ -66,18 +74,27 @@ def percentile_nearest(column: str, q: float) -> Column:
 
 
 def low_median(column: str) -> Column:
-    values = F.array_sort(F.collect_list(column))
-    return F.get(values, F.floor((F.size(values) - 1) / 2).cast("int"))
+    """The lower of the two middle values; an aggregate over counts by value."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {column})")
 
 
 def median(column: str) -> Column:
     return F.percentile(column, 0.5)
 
 
-def quartile_cuts(column: str) -> Column:
-    """Values at floor(n i / 4) of the sorted column, i = 1 to 3."""
-    values = F.array_sort(F.collect_list(column))
-    return F.array(*(F.get(values, F.floor(F.size(values) * i / 4).cast("int")) for i in (1, 2, 3)))
+def quartile_cuts(df: DataFrame, column: str, *group: str) -> DataFrame:
+    """(group, cuts): values at floor(n i / 4) of the sorted column, counted from 0, i = 1 to 3; from counts by value."""
+    by = df.groupBy(*group, column).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*group).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*group)
+    at = by.withColumns({"_to": F.sum("_n").over(w), "_all": F.sum("_n").over(whole)})
+    hit = lambda i: F.min(F.when(F.col("_to") > F.floor(F.col("_all") * i / 4), F.col(column)))
+    return at.groupBy(*group).agg(F.array(*(hit(i) for i in (1, 2, 3))).alias("cuts"))
+
+
+def coverage_split(df: DataFrame, grade: str, tag: str) -> DataFrame:
+    """(tag, grade, n): how many items of each tag have each grade; no grade is null."""
+    return df.groupBy(tag, grade).agg(F.count("*").alias("n"))
 
 
 def hole_at(hits: DataFrame, k: int, query: str = "qid", grade: str = "grade") -> DataFrame:
@@ -114,6 +131,7 @@ def blended(pool: DataFrame, alpha: float, query: str = "qid", item: str = "item
 
 def mulberry32(seed: int):
     """A small deterministic generator of doubles in [0, 1)."""
+    # Fixed values below: the published constants of the generator.
     state = seed & 0xFFFFFFFF
 
     def draw() -> float:
@@ -154,6 +172,108 @@ def bootstrap_ci(diffs: list[float], seed: int = 0x358, rounds: int = 2000, leve
     return means[int(cut * rounds)], means[min(rounds - 1, int((1 - cut) * rounds))]
 
 
+def folds(items: DataFrame, key: str, stratum: str, k: int = 5) -> DataFrame:
+    """Items with a fold from 0 to k - 1: dealt in turn within each stratum, in order of a hash of the key."""
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(0x358), key), key)) - 1
+    return items.withColumn("fold", F.pmod(turn, F.lit(k)))
+
+
+def stratified(items: DataFrame, key: str, stratum: str, each: int) -> DataFrame:
+    """The first ``each`` items of every stratum, in order of a hash of the key."""
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(0x358), key), key))
+    return items.withColumn("_r", turn).where(F.col("_r") <= each).drop("_r")
+
+
+def spans_matched(hits: DataFrame, labels: DataFrame, query: str = "qid", least: float = 0.3) -> DataFrame:
+    """(qid, label_id, rank): the first hit of a label's book whose span covers ``least`` of the label's span."""
+    lab = labels.select(query, "label_id", "book_id", F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))
+    shared = F.least("char_end", "_e") - F.greatest("char_start", "_s")
+    met = hits.join(lab, [query, "book_id"]).where((shared > 0) & (shared >= least * (F.col("_e") - F.col("_s"))))
+    return met.groupBy(query, "label_id").agg(F.min("rank").alias("rank"))
+
+
+def axes(rows: DataFrame, k: int = 5) -> DataFrame:
+    """One row per mode: share of span hits within k, of snippets with their marker, of false low-confidence flags, of confusers first, latencies."""
+    share = lambda when, of: F.sum(F.when(of & when, 1).otherwise(0)) / F.nullif(F.sum(F.when(of, 1).otherwise(0)), F.lit(0))
+    every = F.lit(True)
+    return rows.groupBy("mode").agg(
+        share(F.coalesce(F.col("span_rank") <= k, F.lit(False)), F.col("positive")).alias("span_hit"), share(F.coalesce(F.col("marker"), F.lit(False)), F.col("marker").isNotNull()).alias("snippet_marker"),
+        share(F.col("flagged"), F.col("positive")).alias("false_flags"), share(F.coalesce(F.col("confuser_rank") == 1, F.lit(False)), every).alias("confuser_first"),
+        percentile_nearest("ms", 0.5).alias("p50"), percentile_nearest("ms", 0.95).alias("p95"),
+    )
+
+
+def saturated(means: DataFrame, metric: str, floor: float = 0.95) -> DataFrame:
+    """(category, saturated, headroom): whether all modes of a category reach the floor, and what the weakest lacks to 1."""
+    return means.groupBy("category").agg(F.bool_and(F.col(metric) >= floor).alias("saturated"), (1 - F.min(metric)).alias("headroom"))
+
+
+def list_changes(now: DataFrame, baseline: DataFrame, allowed: DataFrame, keys: list[str], item: str = "item", k: int = 10) -> DataFrame:
+    """(keys, change) of queries whose first k items are not the baseline's: broken, allowed, or a stale entry of the allowed list.
+
+    ``allowed`` has the keys, the exact new list and a reason; an entry without a reason, or that nothing matches, fails.
+    """
+    lists = lambda d, name: d.where(F.col("rank") <= k).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", item))), lambda x: x[item]).alias(name))
+    both = lists(now, "a").join(lists(baseline, "b"), keys, "full_outer").join(allowed.select(*keys, "items", "reason"), keys, "left")
+    differ = ~F.col("a").eqNullSafe(F.col("b"))
+    covered = F.col("items").eqNullSafe(F.col("a")) & F.coalesce(F.btrim("reason") != "", F.lit(False))
+    change = F.when(differ & F.col("items").isNotNull() & covered, "allowed").when(differ, "broken").when(F.col("items").isNotNull(), "stale")
+    return both.select(*keys, change.alias("change")).where("change is not null")
+
+
+def trap(hits: DataFrame, query: str = "qid") -> DataFrame:
+    """(qid, non_body_above): hits outside a book's text that stand before its first body hit."""
+    first = F.min(F.when(F.col("body"), F.col("rank"))).over(Window.partitionBy(query))
+    return hits.withColumn("_first", first).groupBy(query).agg(F.sum(F.when(~F.col("body") & (F.col("_first").isNull() | (F.col("rank") < F.col("_first"))), 1).otherwise(0)).alias("non_body_above"))
+
+
+def judgments_to_hits(judgments: DataFrame, hits: DataFrame, query: str = "qid") -> DataFrame:
+    """(qid, hit_id, judgment_id): judgments given to hits of their book by overlap of spans, each used once.
+
+    Spans match that share half of the shorter one; a point matches an equal point.  Per query, the best pairs first: most
+    overlap, newest date, nearest span, latest record.  Only a query's matching pairs come together.
+    """
+    j = judgments.select(query, "judgment_id", "book_id", "date", F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))
+    shared = F.least("char_end", "_e") - F.greatest("char_start", "_s")
+    shorter = F.least(F.col("char_end") - F.col("char_start"), F.col("_e") - F.col("_s"))
+    equal = (F.col("char_start") == F.col("_s")) & (F.col("char_end") == F.col("_e"))
+    fits = F.when(shorter > 0, (shared * 2 >= shorter) & (shared > 0)).otherwise(equal)
+    met = hits.join(j, [query, "book_id"]).where(fits)
+    far = F.abs(F.col("char_start") - F.col("_s")) + F.abs(F.col("char_end") - F.col("_e"))
+    pairs = met.select(query, "hit_id", "judgment_id", shared.alias("shared"), "date", far.alias("far"))
+
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values(["shared", "date", "far", "judgment_id"], ascending=[False, False, True, False], kind="stable")
+        taken_h, taken_j, out = set(), set(), []
+        for r in ordered.itertuples():
+            if r.hit_id not in taken_h and r.judgment_id not in taken_j:
+                taken_h.add(r.hit_id)
+                taken_j.add(r.judgment_id)
+                out.append((getattr(r, query), r.hit_id, r.judgment_id))
+        return pd.DataFrame(out, columns=[query, "hit_id", "judgment_id"])
+
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    return pairs.groupBy(query).applyInPandas(assign, f"{query} {kind(hits, query)}, hit_id {kind(hits, 'hit_id')}, judgment_id {kind(judgments, 'judgment_id')}")
+
+
+def rrf_sweep(lists: list[DataFrame], relevant: DataFrame, weights: list[tuple[float, ...]], query: str = "qid", item: str = "item") -> DataFrame:
+    """(weights, hit1, recall, rr, ndcg): mean metrics of fused lists under each choice of weights."""
+    from .fusion import rrf
+
+    out = None
+    for w in weights:
+        fused = rrf(lists, [query, item], list(w))
+        ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("fused").desc(), item)))
+        one = mean_metrics(query_metrics(ranked, relevant, query, item).withColumn("weights", F.lit(",".join(f"{x:g}" for x in w))), "weights")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    """Jaccard overlap of two word lists."""
+    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
+
+
 def compared(a: DataFrame, b: DataFrame, metric: str, key: str = "qid", group: str = "mode") -> DataFrame:
     """(mode, n, mean difference, p, interval) of two reports over the same queries."""
     both = a.select(key, group, F.col(metric).alias("x")).join(b.select(key, group, F.col(metric).alias("y")), [key, group])

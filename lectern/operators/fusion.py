@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +30,18 @@ def rrf(lists: Sequence[DataFrame], keys: Sequence[str], weights: Sequence[float
     return union.groupBy(*keys).agg(F.sum("_part").alias("fused"))
 
 
-def hybrid(vector: DataFrame, keyword: DataFrame, keys: Sequence[str], k: int, pool: int = POOL, weights: Sequence[float] | None = None) -> DataFrame:
-    """Both halves (keys, score, rank) fused: fused score, both ranks, cosine where known, and where a hit comes from."""
+def hybrid(vector: DataFrame, keyword: DataFrame, keys: Sequence[str], k: int, pool: int = POOL, weights: Sequence[float] = (1.0, 1.0), rrf_k: int = RRF_K) -> DataFrame:
+    """Both halves (keys, score, rank) fused: fused score, both ranks, cosine where known, and where a hit comes from. Each half is read once."""
     v, w = vector.where(F.col("rank") <= pool), keyword.where(F.col("rank") <= pool)
     both = v.select(*keys, F.col("rank").alias("vector_rank"), F.col("score").alias("cosine")).join(w.select(*keys, F.col("rank").alias("keyword_rank")), list(keys), "full_outer")
-    fused = both.join(rrf([v, w], keys, weights), list(keys))
+    term = lambda c, weight: F.coalesce(F.lit(float(weight)) / (rrf_k + F.col(c)), F.lit(0.0))
+    counted = [(c, x) for c, x in zip(("vector_rank", "keyword_rank"), weights) if x]
+    there = F.lit(False)
+    for c, _ in counted:
+        there = there | F.col(c).isNotNull()
     source = F.when(F.col("vector_rank").isNull(), "keyword").when(F.col("keyword_rank").isNull(), "vector").otherwise("both")
-    return fused.withColumn("found_by", source).orderBy(F.col("fused").desc(), *keys).limit(max(k, 0))
+    fused = sum((term(c, x) for c, x in counted), F.lit(0.0))
+    return both.where(there).withColumns({"fused": fused, "found_by": source}).orderBy(F.col("fused").desc(), *keys).limit(max(k, 0))
 
 
 def second_candidates(fused: DataFrame, keyword: DataFrame, book: str, unit: str, books: int = SECOND_BOOKS) -> DataFrame:
@@ -51,9 +58,39 @@ def admitted(candidates: DataFrame, pairs: str, order: Sequence[Column | str], l
     return candidates.withColumn("_used", F.sum(pairs).over(w)).where(F.col("_used") <= limit).drop("_used")
 
 
-def rerank_order(df: DataFrame, *keys: str) -> list[Column]:
-    """Reranked rows by score, then the tail in fused order."""
-    return [F.col("rerank").isNull(), F.col("rerank").desc(), F.col("fused").desc(), *(F.col(c) for c in keys)]
+def reranked(pool: DataFrame, scorer: Callable[[str, list[str]], list[float]] | None, query: str, k: int, keys: Sequence[str], limit: int = RERANK_PAIRS, weak_after_body: bool = True) -> DataFrame:
+    """The k first hits of a fused pool (keys, fused, text, alt_text, tier) after a reranker, with rerank, other_rerank, used_alt and place.
+
+    ``scorer`` gives logits of a query and passages; each pair is scored by itself, whatever stands beside it, and becomes a
+    score from 0 to 1.  Hits of tier strong take no part unless all are strong.  Of the others, in fused order, as many
+    take part as their passages fit the limit.  A second passage wins only if it scores strictly higher.  The tail keeps
+    the fused order, weak hits follow body hits, strong ones come last.  Without a scorer body hits come first in fused
+    order.  A pool has at most some dozens of rows, so windows over all of it are meant.
+    """
+    by_fused = [F.col("fused").desc(), *keys]
+    all_rows = Window.partitionBy()
+    if scorer is None:
+        out = pool.withColumns({"rerank": F.lit(None).cast("double"), "other_rerank": F.lit(None).cast("double"), "used_alt": F.lit(False), "_band": (F.col("tier") != "body").cast("int")})
+        order = [F.col("_band"), *by_fused]
+    else:
+        strong = (F.col("tier") == "strong") & (F.max((F.col("tier") != "strong").cast("int")).over(all_rows) == 1)
+        pairs = F.when(F.col("alt_text").isNull(), 1).otherwise(2)
+        used = F.sum(F.when(F.col("_strong"), 0).otherwise(pairs)).over(Window.orderBy(*by_fused).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        marked = pool.withColumn("_strong", strong).withColumn("_used", used)
+        # Sums only grow, so those within the limit are a prefix.
+        marked = marked.withColumn("_in", ~F.col("_strong") & (F.col("_used") <= limit))
+
+        @F.pandas_udf("double")
+        def scored(text: pd.Series, wanted: pd.Series) -> pd.Series:
+            return pd.Series([1 / (1 + math.exp(-scorer(query, [t])[0])) if w and t is not None else None for t, w in zip(text, wanted)], dtype="float64")
+
+        s = marked.withColumns({"_main": scored("text", "_in"), "_alt": scored("alt_text", "_in")})
+        alt = F.coalesce(F.col("_alt") > F.col("_main"), F.lit(False))
+        band = F.when(F.col("_strong"), 2).when(F.lit(weak_after_body) & (F.col("tier") != "body"), 1).otherwise(0)
+        out = s.withColumns({"used_alt": alt, "rerank": F.when(alt, F.col("_alt")).otherwise(F.col("_main")), "other_rerank": F.when(alt, F.col("_main")).otherwise(F.col("_alt")), "_band": band})
+        order = [F.col("_band"), (~F.col("_in")).cast("int"), F.col("rerank").desc_nulls_last(), *(F.when(F.col("_in"), F.col(c)) for c in keys), *by_fused]
+    placed = out.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") <= k)
+    return placed.drop("_band", "_strong", "_used", "_in", "_main", "_alt")
 
 
 def adaptive_pairs(vector: DataFrame, keyword: DataFrame, keys: Sequence[str], top: int = 3, pairs: int = 10) -> DataFrame:

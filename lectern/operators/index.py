@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import etl, keyword
+from . import etl, keyword, stemming, structure
 
 VERSION = 1
 
@@ -18,20 +18,31 @@ def plan(books: DataFrame, index: DataFrame, force: bool = False) -> DataFrame:
     return books.withColumn("content", F.xxhash64("text")).join(i, "book_id", "left").withColumn("action", action).drop("_at", "_content")
 
 
-def build(books: DataFrame, folder: str, budget: int = etl.CHUNK_CHARS) -> dict[str, DataFrame]:
-    """Chunks, postings and book rows of (book_id, title, text, last_modified), written below a folder."""
+def build(books: DataFrame, folder: str, budget: int = etl.CHUNK_CHARS, embed: bool = False) -> dict[str, DataFrame]:
+    """Chunks with matter kinds, postings, sections and book rows of (book_id, title, text, last_modified), written below a folder.
+
+    ``embed`` adds the vectors of the built-in embedder.  A book whose text can't be read structured gives no sections, but its chunks.
+    """
     spark = books.sparkSession
-    chunks = etl.chunked(books, "book_id", "text", budget)
-    meta = books.select("book_id", F.coalesce("title", F.lit("")).alias("book_meta"))
-    rows = chunks.join(meta, "book_id").withColumns({"chunk_id": F.xxhash64("book_id", "seq"), "matter_kind": F.lit("body"), "body_stem": F.array_join(etl.stems("body"), " ")})
-    rows.write.mode("overwrite").parquet(f"{folder}/chunks")
-    stored = spark.read.schema(rows.schema).parquet(f"{folder}/chunks")
-    keyword.postings(stored, "chunk_id", ["body_stem", "body", "book_meta"]).write.mode("overwrite").parquet(f"{folder}/postings")
+    at = lambda name: f"{folder}/{name}"
+    heads = books.select("book_id", "title", "last_modified", F.xxhash64("text").alias("content"), etl.detected_language("text").alias("lang"))
+    placed = structure.placed_chunks(books, "book_id", "text", budget)
+    meta = heads.select("book_id", F.coalesce("title", F.lit("")).alias("_title"), "lang")
+    rows = placed.join(meta, "book_id").withColumns({
+        "chunk_id": F.xxhash64("book_id", "seq"),
+        "body_stem": F.array_join(stemming.stems("body", "lang"), " "),
+        "book_meta": F.array_join(stemming.stems("_title", "lang"), " "),
+    }).drop("_title")
+    rows.write.mode("overwrite").parquet(at("chunks"))
+    stored = spark.read.schema(rows.schema).parquet(at("chunks"))
+    found = keyword.stored(stored, "chunk_id", ["body_stem", "body", "book_meta"], folder)
+    structure.chapter_table(books, "book_id", "text").write.mode("overwrite").parquet(at("sections"))
     counts = stored.groupBy("book_id").agg(F.count("*").alias("chunk_count"))
-    heads = books.select("book_id", "title", "last_modified", F.xxhash64("text").alias("content"), etl.detected_language("text").alias("lang")).join(counts, "book_id", "left").fillna(0, ["chunk_count"])
-    heads.write.mode("overwrite").parquet(f"{folder}/books")
-    spark.createDataFrame([("version", str(VERSION))], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "postings", "books")}
+    heads.join(counts, "book_id", "left").fillna(0, ["chunk_count"]).withColumn("stem_version", F.lit(stemming.stem_version())).write.mode("overwrite").parquet(at("books"))
+    if embed:
+        stored.select("chunk_id", "book_id", etl.embedded("body").alias("vector")).write.mode("overwrite").parquet(at("vectors"))
+    spark.createDataFrame([("version", str(VERSION))], "key string, value string").coalesce(1).write.mode("overwrite").parquet(at("meta"))
+    return {n: spark.read.parquet(at(n)) for n in ("chunks", "sections", "books", *(["vectors"] if embed else []))} | {"postings": found.postings}
 
 
 def check_version(spark: SparkSession, folder: str) -> None:
@@ -52,10 +63,30 @@ def refreshed(index: DataFrame, books: DataFrame, columns: list[str]) -> DataFra
 
 
 def unchanged(chunks: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, same): whether every chunk is still what the text has at its span."""
-    j = chunks.join(books.select("book_id", "text"), "book_id")
-    same = F.expr("substring(text, char_start + 1, char_end - char_start)") == F.col("body")
-    return j.groupBy("book_id").agg(F.bool_and(same).alias("same"))
+    """(book_id, same): whether every chunk is still what the text has at its span, with nothing but white space between and behind."""
+    before = F.coalesce(F.lag("char_end").over(Window.partitionBy("book_id").orderBy("char_start")), F.lit(0))
+    last = F.lead("char_start").over(Window.partitionBy("book_id").orderBy("char_start")).isNull()
+    spans = chunks.select("book_id", "char_start", "char_end", "body", before.alias("_before"), last.alias("_last"))
+    j = spans.join(books.select("book_id", "text"), "book_id")
+    blank = lambda a, b: F.expr(f"trim(regexp_replace(substring(text, {a} + 1, greatest({b} - {a}, 0)), '\\\\s+', ''))") == ""
+    same = (F.expr("substring(text, char_start + 1, char_end - char_start)") == F.col("body")) & (F.col("_before") <= F.col("char_start")) & blank("_before", "char_start")
+    return j.groupBy("book_id").agg(F.bool_and(same & (~F.col("_last") | blank("char_end", "length(text)"))).alias("same"))
+
+
+def stale_stems(index: DataFrame) -> DataFrame:
+    """Books whose stems were made by another version of the packs, or nobody knows which."""
+    return index.where(~F.col("stem_version").eqNullSafe(F.lit(stemming.stem_version()))).select("book_id")
+
+
+def languages(index: DataFrame) -> DataFrame:
+    """Distinct languages of the books; that of a book without one is null."""
+    return index.select("lang").distinct()
+
+
+def covered(chunks: DataFrame) -> DataFrame:
+    """(book_id, chars, page_breaks, last_end): characters in chunks, form feeds among them, and where the last chunk ends."""
+    breaks = F.length("body") - F.length(F.replace("body", F.lit("\f"), F.lit("")))
+    return chunks.groupBy("book_id").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("chars"), F.sum(breaks).alias("page_breaks"), F.max("char_end").alias("last_end"))
 
 
 def orphans(index: DataFrame, live: DataFrame) -> DataFrame:

@@ -1,92 +1,192 @@
 """Keyword index and BM25 ranking.
 
-``postings`` is the index: (unit, column, term, tf).  Queries filter it by their
-few terms, so a search reads those terms' postings only; with the table sorted
-or bucketed by term, Parquet skips the rest.
+``postings`` is the index: (unit, col, term, tf, len).  ``stored`` writes it sorted by
+term, so a search reads the row groups of its few terms only.  A query is planned on the
+driver from its own words and their document frequencies, never from a text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stemming
+
 K1, B = 1.2, 0.75
 WEIGHTS = {"body_stem": 1.0, "body": 1.0, "book_meta": 0.5}
-PRUNE_SHARE = 0.5
-TOKEN = r"[\p{L}\p{N}_]+"
+STEMMED = ("body_stem", "book_meta")
+PRUNE_SHARE, CHUNK_POOL, POOL_FACTOR = 0.5, 200, 20
+# What the index keeps together as one token, so c++, node.js and api_v2 stay whole.
+TOKEN = r"[\p{L}\p{N}\p{M}_+#.\-]+"
+
+
+def terms_of(column: str, token: str = TOKEN) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(f"({token})"), 1)
 
 
 def postings(df: DataFrame, unit: str, columns: Sequence[str], token: str = TOKEN) -> DataFrame:
-    """(unit, col, term, tf, len): terms in lower case by column."""
-    parts = None
-    for c in columns:
-        # The terms are made once, below the generator; their number must not be derived above it, row by row.
-        listed = df.select(unit, F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(f"({token})"), 1).alias("_terms"))
-        one = listed.select(unit, F.size("_terms").alias("len"), "_terms").select(unit, F.lit(c).alias("col"), "len", F.explode("_terms").alias("term"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy(unit, "col", "term", "len").agg(F.count("*").alias("tf"))
+    """(unit, col, term, tf, len): terms in lower case by column; len counts the tokens of all columns of the unit."""
+    listed = df.select(unit, *(terms_of(c, token).alias(f"_t{i}") for i, c in enumerate(columns)))
+    length = sum((F.size(f"_t{i}") for i in range(1, len(columns))), F.size("_t0"))
+
+    def named(column: str):
+        return lambda t: F.struct(F.lit(column).alias("col"), t.alias("term"))
+
+    rows = F.flatten(F.array(*(F.transform(f"_t{i}", named(c)) for i, c in enumerate(columns))))
+    # The terms are made once, below the generator; their number must not be derived above it, row by row.
+    one = listed.select(unit, length.alias("len"), rows.alias("_rows")).select(unit, "len", F.explode("_rows").alias("r"))
+    return one.groupBy(unit, F.col("r.col").alias("col"), F.col("r.term").alias("term"), "len").agg(F.count("*").alias("tf"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings, the number of units, and the mean of their tokens."""
+
+    postings: DataFrame
+    unit: str
+    total: int
+    mean_len: float
+
+    def frequencies(self, terms: Iterable[str], column: str = "body_stem") -> dict[str, int]:
+        """Units that hold each of a query's terms."""
+        some = self.postings.where(F.col("term").isin(*set(terms)) & (F.col("col") == column))
+        return {r.term: r.df for r in some.groupBy("term").agg(F.count("*").alias("df")).collect()}
+
+
+def stored(df: DataFrame, unit: str, columns: Sequence[str], folder: str, token: str = TOKEN) -> Index:
+    """Writes the postings, sorted by term, and each unit's length; units without a token count too."""
+    spark = df.sparkSession
+    rows = postings(df, unit, columns, token)
+    rows.repartitionByRange("term", "col").sortWithinPartitions("term", "col", unit).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+    lengths = df.select(sum((F.size(terms_of(c, token)) for c in columns[1:]), F.size(terms_of(columns[0], token))).cast("long").alias("n"))
+    lengths.agg(F.count("*").alias("total"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean_len")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+    return opened(spark, unit, folder, rows.schema)
+
+
+def opened(spark, unit: str, folder: str, schema=None) -> Index:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    t = spark.read.parquet(f"{folder}/totals").first()
+    return Index(reader.parquet(f"{folder}/postings"), unit, t.total, t.mean_len)
 
 
 def term_stats(index: DataFrame, unit: str) -> DataFrame:
-    """Documents that hold each term, by column."""
+    """Units that hold each term, by column."""
     return index.groupBy("col", "term").agg(F.count("*").alias("df"))
 
 
 @dataclass(frozen=True)
-class Plan:
-    """Terms to search, each once, with whether it is an identifier form; and terms left out as too common."""
+class Term:
+    """A term to search, and the columns it may be found in; None for all."""
 
-    terms: tuple[tuple[str, bool], ...]
-    dropped: tuple[str, ...]
+    text: str
+    columns: tuple[str, ...] | None = None
 
 
-_IDENTIFIER = re.compile(r"[\w+#.\-]*[\w][\w+#.\-]*")
+@dataclass(frozen=True)
+class Plan:
+    """Terms to search, each once, and those left out with the reason: duplicate or too-common."""
+
+    terms: tuple[Term, ...]
+    dropped: tuple[tuple[str, str], ...] = ()
 
 
 def identifiers(query: str) -> list[str]:
-    """Raw tokens with a sign of + # . - inside and a letter or digit, without dots at the end."""
-    out = []
-    for t in _IDENTIFIER.findall(query.lower()):
-        t = t.rstrip(".")
-        if re.search(r"[+#.\-]", t) and re.search(r"[^\W_]", t):
-            out.append(t)
-    return list(dict.fromkeys(out))
-
-
-def plan_query(query: str, df: dict[str, int], total: int, share: float = PRUNE_SHARE, quoted: Sequence[str] = ()) -> Plan:
-    """Drops terms in more than ``share`` of all units, but keeps quoted ones, a lone term, and else the rarest."""
-    terms = list(dict.fromkeys(re.findall(r"[^\W]+", query.lower())))
-    kept = [t for t in terms if t in quoted or len(terms) == 1 or df.get(t, 0) <= share * total]
-    if not kept and terms:
-        kept = [min(terms, key=lambda t: (df.get(t, 0), terms.index(t)))]
-    dropped = tuple(t for t in terms if t not in kept)
-    forms = [(f, True) for t in identifiers(query) for f in (t, f"{t}.")] if any(t not in dropped for t in terms) else []
-    return Plan(tuple((t, False) for t in kept) + tuple(forms), dropped)
-
-
-def bm25(index: DataFrame, unit: str, terms: Sequence[str], total: int, mean_len: float, weights: dict[str, float] | None = None) -> DataFrame:
-    """(unit, score): negative, least best; idf is floored at 1e-6 as common terms must not reward absence.
-
-    ``total`` units with ``mean_len`` tokens on the average, over all weighted columns.
+    """Raw tokens that hold one of + # . - and a letter or digit, in lower case, without points at the end."""
+    tokens = (t.rstrip(".").lower() for t in regex.findall(TOKEN, query))
+    return list(dict.fromkeys(t for t in tokens if re.search(r"[+#.\-]", t) and regex.search(r"[\p{L}\p{N}]", t)))
+
+
+def match_terms(query: str, languages: frozenset[str | None] | None = None) -> Plan:
+    """The plan without statistics: all stems, then each identifier as it is and with a point behind, all columns."""
+    stems = [s for word in stemming.query_words(query, languages) for s in word.stems]
+    forms = [f for t in identifiers(query) for f in (t, f"{t}.")]
+    return Plan(tuple(Term(t) for t in dict.fromkeys([*stems, *forms])))
+
+
+def plan_query(query: str, df: dict[str, int], total: int, languages: frozenset[str | None] | None = None, share: float = PRUNE_SHARE) -> Plan:
+    """Distinct stems but those in more than ``share`` of all units, searched in the stemmed columns; identifier forms in all.
+
+    Kept are words in double quotes, a lone stem, and the rarest if all would go.  An identifier goes if all its stems went.
     """
-    weights = weights or {"body": 1.0}
+    spans = [(m.start(1), m.end(1)) for m in re.finditer(r'"([^"]*)"', query)]
+    words = [(s, any(a <= w.start and w.end <= b for a, b in spans) and i == 0) for w in stemming.query_words(query, languages) for i, s in enumerate(w.stems)]
+    stems = list(dict.fromkeys(s for s, _ in words))
+    quoted = {s for s, inside in words if inside}
+    common = {s for s in stems if s not in quoted and df.get(s, 0) > share * total} if len(stems) > 1 and total > 0 else set()
+    if stems and len(common) == len(stems):
+        common.remove(min(stems, key=lambda s: df.get(s, 0)))
+    dropped, seen = [], set()
+    for s, _ in words:
+        if s in seen:
+            dropped.append((s, "duplicate"))
+        elif s in common:
+            dropped.append((s, "too-common"))
+        seen.add(s)
+    forms = []
+    for t in identifiers(query):
+        own = [s for w in stemming.query_words(t, languages) for s in w.stems]
+        if own and all(s in common for s in own):
+            dropped.append((t, "too-common"))
+        else:
+            forms += [Term(t), Term(f"{t}.")]
+    return Plan((*(Term(s, STEMMED) for s in stems if s not in common), *forms), tuple(dropped))
+
+
+def bm25(index: DataFrame, unit: str, terms: Sequence[str | Term], total: int, mean_len: float, weights: dict[str, float] | None = None) -> DataFrame:
+    """(unit, score): negative, least best; the weight of a term in half of the units or more is 1e-6, as common terms must not reward absence.
+
+    ``total`` units with ``mean_len`` tokens on the average, over all columns, as ``len`` of a posting is.
+    """
+    weights = weights or WEIGHTS
+    wanted = [t if isinstance(t, Term) else Term(t) for t in terms]
     weight = F.coalesce(*(F.when(F.col("col") == c, F.lit(float(w))) for c, w in weights.items()), F.lit(0.0))
-    hits = index.where(F.col("term").isin(*dict.fromkeys(terms)) & F.col("col").isin(*weights))
+    here = F.lit(False)
+    for columns in dict.fromkeys(t.columns for t in wanted):
+        mine = F.col("term").isin(*dict.fromkeys(t.text for t in wanted if t.columns == columns))
+        here = here | (mine if columns is None else mine & F.col("col").isin(*columns))
+    hits = index.where(F.col("term").isin(*dict.fromkeys(t.text for t in wanted)) & here & F.col("col").isin(*weights))
     by_unit = hits.groupBy(unit, "term").agg(F.sum(weight * F.col("tf")).alias("tfw"), F.max("len").alias("len"))
     df = by_unit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    idf = F.log((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     norm = F.lit(K1) * (1 - B + B * F.col("len") / float(mean_len or 1.0))
     term_score = idf * F.col("tfw") * (K1 + 1) / (F.col("tfw") + norm)
-    return by_unit.join(F.broadcast(df), "term").groupBy(unit).agg((-F.sum(term_score)).alias("score"))
+    # As many rows, and values a unit, as the query has terms; summed in order of size, so equal units score alike.
+    parts = F.sort_array(F.collect_list(term_score))
+    return by_unit.join(F.broadcast(df), "term").groupBy(unit).agg(parts.alias("_p")).select(unit, (-F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)).alias("score"))
+
 
+def by_score(*then: str) -> list[Column]:
+    """Best first; scores equal to nine digits tie."""
+    return [F.round("score", 9), *(F.col(c) for c in then)]
 
-def search(index: DataFrame, unit: str, terms: Sequence[str], k: int, total: int, mean_len: float, allow: DataFrame | None = None, **options) -> DataFrame:
+
+def search(index: Index, terms: Sequence[str | Term], k: int, allow: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Top k by BM25, then unit; ``allow`` (units) restricts before ranking."""
-    scored = bm25(index, unit, terms, total, mean_len, **options)
+    scored = bm25(index.postings, index.unit, terms, index.total, index.mean_len, weights)
+    if allow is not None:
+        scored = scored.join(allow, index.unit, "left_semi")
+    return scored.orderBy(*by_score(index.unit)).limit(max(k, 0))
+
+
+def best_passages(index: Index, passages: DataFrame, terms: Sequence[str | Term], k: int, allow: DataFrame | None = None) -> DataFrame:
+    """Each book's best passage by BM25 among the best max(20 k, 200) passages: a body passage if one is there; k body books, others between them stay.
+
+    ``passages`` has the index's unit, book_id and body (boolean).  A k below one still gives one book.
+    """
+    from pyspark.sql import Window
+
+    from .vectors import best_per_book, body_quota
+
+    scored = bm25(index.postings, index.unit, terms, index.total, index.mean_len).join(passages, index.unit)
     if allow is not None:
-        scored = scored.join(allow, unit, "left_semi")
-    return scored.orderBy("score", unit).limit(max(k, 0))
+        scored = scored.join(allow, "book_id", "left_semi")
+    pool = scored.withColumn("score", F.round("score", 9)).orderBy("score", "book_id", index.unit).limit(max(k * POOL_FACTOR, CHUNK_POOL))
+    best = best_per_book(pool.withColumn("score", -F.col("score")), "book_id", index.unit, F.col("body")).withColumn("score", -F.col("score"))
+    order = [F.col("score"), F.col("book_id"), F.col(index.unit)]
+    return body_quota(best, max(1, k), "body", order).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

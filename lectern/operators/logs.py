@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_SECONDS = 180
 
 
 def pairs(calls: DataFrame, session: str, ts: str, kind: str, search: str, read: str, key: str, window: int = WINDOW_SECONDS) -> DataFrame:
-    """Each search with the first read of its session that follows within ``window`` seconds, the end excluded."""
-    s = calls.where(F.col(kind) == search).select(F.col(key).alias("search_id"), F.col(session).alias("session"), F.col(ts).alias("search_ts"))
-    r = calls.where(F.col(kind) == read).select(F.col(key).alias("read_id"), F.col(session).alias("_s"), F.col(ts).alias("read_ts"))
-    on = (F.col("session") == F.col("_s")) & (F.col("read_ts") >= F.col("search_ts")) & (F.col("read_ts") < F.col("search_ts") + F.make_dt_interval(secs=F.lit(window)))
-    first = F.min(F.struct("read_ts", "read_id"))
-    return s.join(r, on).groupBy("search_id", "session", "search_ts").agg(first.alias("f")).select("search_id", "session", "search_ts", F.col("f.read_id").alias("read_id"), F.col("f.read_ts").alias("read_ts"))
+    """Each search with the first read of its session that follows within ``window`` seconds, the end excluded.
 
+    One window over a session's calls in order: no join, so a busy session costs what it holds, and partial sorts spill.
+    """
+    reads = F.when(F.col(kind) == read, F.struct(F.col(ts).alias("read_ts"), F.col(key).alias("read_id")))
+    later = Window.partitionBy(session).orderBy(F.col(ts), (F.col(kind) == read).cast("int"), F.col(key)).rowsBetween(1, Window.unboundedFollowing)
+    out = calls.where(F.col(kind).isin(search, read)).withColumn("_next", F.first(reads, ignorenulls=True).over(later)).where(F.col(kind) == search)
+    near = F.col("_next.read_ts") < F.col(ts) + F.make_dt_interval(secs=F.lit(window))
+    return out.where(near).select(F.col(key).alias("search_id"), F.col(session).alias("session"), F.col(ts).alias("search_ts"), F.col("_next.read_id").alias("read_id"), F.col("_next.read_ts").alias("read_ts"))
 
-def opened_hits(paired: DataFrame, hits: DataFrame) -> DataFrame:
-    """Pairs whose read opens one of the search's hits, with the hit's rank."""
-    return paired.join(hits, ["search_id", "book_id"]).groupBy("search_id", "read_id").agg(F.min("rank").alias("rank"))
+
+def opened_hits(searches: DataFrame, reads: DataFrame, hits: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
+    """(search_id, read_id, rank) of each search with the first read in its session and window that opens one of its hits.
+
+    ``searches`` (search_id, session, search_ts), ``reads`` (read_id, session, read_ts, book_id), ``hits`` (search_id, book_id,
+    rank).  Hits carry their search to reads of the same book, so a session's searches never meet all its reads.
+    """
+    wanted = searches.join(hits, "search_id")
+    near = (F.col("read_ts") >= F.col("search_ts")) & (F.col("read_ts") < F.col("search_ts") + F.make_dt_interval(secs=F.lit(window)))
+    met = wanted.join(reads, ["session", "book_id"]).where(near)
+    first = F.min(F.struct("read_ts", "read_id", "rank"))
+    return met.groupBy("search_id").agg(first.alias("f")).select("search_id", F.col("f.read_id").alias("read_id"), F.col("f.rank").alias("rank"))
 
 
 def collapsed(errors: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -29,6 +40,6 @@ def collapsed(errors: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 def sizes(calls: DataFrame, group: str, size: str) -> DataFrame:
     """Low median, 95th percentile by nearest rank, and maximum."""
-    from .evaluation import low_median
+    from .evaluation import low_median, percentile_nearest
 
-    return calls.groupBy(group).agg(F.count("*").alias("n"), low_median(size).alias("low_median"), F.expr(f"percentile_disc(0.95) within group (order by {size})").alias("p95"), F.max(size).alias("max"))
+    return calls.groupBy(group).agg(F.count("*").alias("n"), low_median(size).alias("low_median"), percentile_nearest(size, 0.95).alias("p95"), F.max(size).alias("max"))

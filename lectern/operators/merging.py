@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import isbn as isbns
 from lectern.functions import text as tx
+from lectern.functions import titles
 
 
 def merged_tags(existing: Column | str, add: Column, remove: Column) -> Column:
@@ -45,27 +46,37 @@ def fill_missing(target: str, source: str, empty: Column | None = None) -> Colum
 def merge_books(members: DataFrame, group: str, place: str) -> DataFrame:
     """One row per group: its target (place 0) filled from its sources in order.
 
-    Scalars take the first value that isn't empty, tags are united in order, identifiers of the target
-    win and later sources overwrite earlier ones, comments are joined if they differ.
+    Scalars take the first value that isn't empty (the placeholder author and date are), a series comes with its number.  Tags
+    are united in order, in either case.  Identifiers of the target win, then later sources.  Comments are joined, each text once.
+    Every field is a partial aggregate by group and value, so a group of any size is never gathered.
     """
-    order = F.sort_array(F.collect_list(F.struct(place, "title", "publisher", "pubdate", "series", "series_index", "comments", "tags", F.map_entries("identifiers").alias("identifiers"))))
-    g = members.groupBy(group).agg(order.alias("m"))
-    first = lambda c, ok: F.get(F.filter(F.transform("m", lambda x: x[c]), ok), 0)
-    filled = lambda v: v.isNotNull() & (F.btrim(v.cast("string")) != "")
-    dated = lambda v: v.isNotNull() & ~v.startswith("0101-01-01")
-    none = F.array().cast("array<string>")
-    tags = distinct_ignoring_case(F.flatten(F.transform("m", lambda x: F.coalesce(x["tags"], none))))
-    entries = lambda x: F.coalesce(F.transform(x["identifiers"], lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
-    sources, own = F.flatten(F.transform(F.slice("m", 2, F.size("m")), entries)), entries(F.get("m", 0))
-    pairs = F.concat(F.filter(sources, lambda e, i: ~F.exists(F.slice(sources, i + 2, F.size(sources)), lambda o: o["key"] == e["key"]) & ~F.exists(own, lambda o: o["key"] == e["key"])), own)
-    comments = F.array_distinct(F.filter(F.transform("m", lambda x: F.btrim(x["comments"])), filled))
-    return g.select(group, *(first(c, filled).alias(c) for c in ("title", "publisher", "series", "series_index")), first("pubdate", dated).alias("pubdate"), tags.alias("tags"), F.map_from_entries(pairs).alias("identifiers"), F.when(F.size(comments) > 0, F.array_join(comments, "\n\n")).alias("comments"))
-
-
-def format_plan(formats: DataFrame, group: str) -> DataFrame:
-    """(group, format, id): which member gives each format: the target if it has it, else the first source."""
-    w = Window.partitionBy(group, "format").orderBy(F.col("is_target").desc(), "place")
-    return formats.withColumn("r", F.row_number().over(w)).where("r = 1").select(group, "format", "id")
+    filled = lambda c: F.coalesce(F.btrim(F.col(c)) != "", F.lit(False))
+    first = lambda c, ok, *more: F.min(F.when(ok, F.struct(F.col(place).alias("at"), F.col(c), *more))).alias(f"_{c}")
+    authors = F.filter("authors", lambda a: F.lower(F.btrim(a)) != "unknown")
+    named = F.coalesce((F.size("authors") > 1) | (F.size(authors) == 1), F.lit(False))
+    scalars = members.groupBy(group).agg(
+        first("title", filled("title")), first("authors", named), first("publisher", filled("publisher")), first("rating", F.coalesce(F.col("rating") != 0, F.lit(False))),
+        first("pubdate", ~tx.is_empty_date("pubdate")), first("series", filled("series"), F.col("series_index")),
+    )
+    tag = members.select(group, place, F.posexplode("tags").alias("p", "tag"))
+    tags = tag.groupBy(group, F.lower("tag").alias("_t")).agg(F.min(F.struct(place, "p", "tag")).alias("x")).groupBy(group).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["tag"]).alias("tags"))
+    entry = members.select(group, place, F.explode("identifiers").alias("scheme", "value")).where("value is not null")
+    wins = F.when(F.col(place) == 0, F.lit((1 << 62))).otherwise(F.col(place).cast("long"))
+    ids = entry.groupBy(group, "scheme").agg(F.max_by("value", wins).alias("value")).groupBy(group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("scheme", "value")))).alias("identifiers"))
+    said = members.where(F.coalesce(F.col("comments") != "", F.lit(False))).groupBy(group, "comments").agg(F.min(place).alias("at")).groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "comments"))), lambda x: x["comments"]), "\n\n").alias("comments"))
+    out = scalars
+    for part in (tags, ids, said):
+        out = out.join(part, group, "left")
+    empty = F.coalesce("tags", F.array().cast("array<string>"))
+    kept = F.coalesce("identifiers", F.create_map().cast("map<string,string>"))
+    return out.select(group, *(F.col(f"_{c}.{c}").alias(c) for c in ("title", "authors", "publisher", "rating", "pubdate", "series")), F.col("_series.series_index").alias("series_index"), empty.alias("tags"), kept.alias("identifiers"), "comments")
+
+
+def format_plan(books: DataFrame, group: str, place: str) -> DataFrame:
+    """(group, format, id, action) of the sources' formats: one moves if the target lacks it and no source before has it, else it is dropped."""
+    held = books.select(group, "id", F.col(place).alias("at"), F.posexplode(F.transform("formats", F.lower)).alias("p", "format"))
+    first = F.row_number().over(Window.partitionBy(group, "format").orderBy("at", "p")) == 1
+    return held.withColumn("action", F.when(first, "moves").otherwise("dropped")).where("at > 0").select(group, "format", "id", "action")
 
 
 def merge_custom(values: Column, datatype: Column, multiple: Column) -> Column:
@@ -106,22 +117,53 @@ def list_matches(a: Column, b: Column) -> Column:
 
 
 def proposals(books: DataFrame, hits: DataFrame) -> DataFrame:
-    """Metadata proposals from provider hits (id, provider_order, confidence, title, authors, publisher, pubdate).
+    """Metadata proposals from provider hits (id, provider_order, place, confidence, title, authors, publisher, pubdate, series, isbn).
 
-    The first provider with any hit is used, its best hit taken; a title that disagrees caps the
-    confidence at 0.3; a field is proposed only if the book lacks it.
+    The first provider with any hit is used, its best hit taken, the first of equals.  A title that disagrees with a usable
+    one of the book caps the confidence at 0.3.  A field is proposed only if the book lacks it or has a weak value; a
+    publisher that is the authors, never.
     """
     first = hits.groupBy("id").agg(F.min("provider_order").alias("provider_order"))
-    best = hits.join(first, ["id", "provider_order"]).groupBy("id").agg(F.max_by(F.struct("title", "authors", "publisher", "pubdate", "confidence"), "confidence").alias("h"))
-    out = books.join(best, "id")
-    agrees = tx.titles_agree(F.coalesce("title", F.lit("")), F.coalesce("h.title", F.lit("")))
-    confidence = F.when(agrees, F.col("h.confidence")).otherwise(F.least("h.confidence", F.lit(0.3)))
-    lacks = {"title": tx.is_placeholder_title("title") | tx.looks_like_file_name("title"), "authors": F.coalesce(F.size("authors") <= 0, F.lit(True)), "publisher": F.coalesce(F.col("publisher") == "", F.lit(True)), "pubdate": tx.is_empty_date("pubdate")}
-    return out.select("id", confidence.alias("confidence"), *(F.when(empty & F.col(f"h.{f}").isNotNull(), F.col(f"h.{f}")).alias(f) for f, empty in lacks.items()))
+    fields = ("title", "authors", "publisher", "pubdate", "series", "isbn", "confidence")
+    best = hits.join(first, ["id", "provider_order"]).groupBy("id").agg(F.max_by(F.struct(*fields), F.struct(F.col("confidence"), (-F.col("place")).alias("p"))).alias("h"))
+    none = F.array().cast("array<string>")
+    own = F.coalesce("authors", none)
+    out = books.join(best, "id").withColumns({"_weak": titles.is_weak_title("title", own), "_names": titles.cleaned_authors(F.coalesce("h.authors", none))})
+    agrees = F.col("_weak") | F.coalesce(F.col("h.title") == "", F.lit(True)) | titles.titles_agree("title", "h.title")
+    known = lambda c: F.transform(titles.cleaned_authors(c), F.lower)
+    publisher_is_author = F.size(F.array_except(known(F.array("h.publisher")), known(F.concat("_names", own)))) == 0
+    given = lambda c: F.coalesce(F.col(f"h.{c}") != "", F.lit(False))
+    lacks = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    return out.select(
+        "id", F.when(agrees, F.col("h.confidence")).otherwise(F.least("h.confidence", F.lit(0.3))).alias("confidence"), (~agrees).alias("mismatch"),
+        F.when(given("title") & F.col("_weak"), F.col("h.title")).alias("title"),
+        F.when((F.size("_names") > 0) & titles.are_weak_authors(own), F.col("_names")).alias("authors"),
+        F.when(given("publisher") & lacks("publisher") & ~publisher_is_author, F.col("h.publisher")).alias("publisher"),
+        F.when(given("pubdate") & tx.is_empty_date("pubdate"), F.col("h.pubdate")).alias("pubdate"),
+        F.when(given("series") & lacks("series"), F.col("h.series")).alias("series"),
+        F.when(given("isbn") & F.coalesce(F.col("identifiers")["isbn"] == "", F.lit(True)), isbns.to_isbn13("h.isbn")).alias("isbn"),
+    )
 
 
 def lookup_key(books: DataFrame) -> DataFrame:
-    """(id, by, value): what to look a book up by: its ISBN, else a usable title."""
+    """(id, by, value): what to look a book up by: its ISBN, else a usable title or the words of its slug."""
     isbn = isbns.to_isbn13(F.col("identifiers")["isbn"])
-    title = F.when(~tx.is_placeholder_title("title") & ~tx.looks_like_file_name("title"), F.col("title"))
+    title = titles.searchable_title("title", F.coalesce("authors", F.array().cast("array<string>")))
     return books.select("id", F.when(isbn.isNotNull(), "isbn").when(title.isNotNull(), "title").alias("by"), F.coalesce(isbn, title).alias("value"))
+
+
+def resolved_tags(wanted: Column, known: Column, library: Column) -> Column:
+    """Tags in the spelling of the known list, else of the library's, else as given."""
+    spelled = lambda t, names: F.get(F.filter(names, lambda n: F.lower(n) == F.lower(t)), 0)
+    return F.transform(wanted, lambda t: F.coalesce(spelled(t, known), spelled(t, library), t))
+
+
+def replacement_notes(before: Column, after: Column, most: int = 5) -> Column:
+    """What a replaced list loses and gains: counts, the first few names dropped, and names that change their case only."""
+    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
+    old = F.coalesce(before, F.array().cast("array<string>"))
+    new = F.coalesce(after, F.array().cast("array<string>"))
+    dropped = F.filter(old, lambda x: ~F.array_contains(low(new), F.lower(x)))
+    recased = F.filter(old, lambda x: F.array_contains(low(new), F.lower(x)) & ~F.array_contains(new, x))
+    added = F.size(F.array_except(low(new), low(old)))
+    return F.struct(F.size(dropped).alias("n_dropped"), added.alias("n_added"), F.slice(dropped, 1, most).alias("dropped"), recased.alias("recased"))

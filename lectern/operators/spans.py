@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def holding(points: DataFrame, spans: DataFrame, book: str, at: str, start: str = "char_start", end: str = "char_end", how: str = "left") -> DataFrame:
@@ -37,11 +39,15 @@ def majority_kind(sections: DataFrame, units: DataFrame, book: str, section: str
     return sections.select(section).join(best, section, "left").withColumn("kind", F.coalesce("kind", F.lit("body")))
 
 
-def section_ends(headings: DataFrame, book: str, total: str) -> DataFrame:
-    """End of each heading's section: the next start of the same level or above, else the text's end."""
-    a, b = headings.alias("a"), headings.select(F.col(book).alias("_b"), F.col("char_start").alias("_s"), F.col("level").alias("_l"))
-    on = (F.col(f"a.{book}") == F.col("_b")) & (F.col("_s") > F.col("a.char_start")) & (F.col("_l") <= F.col("a.level"))
-    return a.join(b, on, "left").groupBy(*(F.col(f"a.{c}") for c in headings.columns)).agg(F.min("_s").alias("_next")).withColumn("char_end", F.coalesce("_next", total)).drop("_next")
+def section_ends(headings: DataFrame, book: str, total: str, levels: int = 6) -> DataFrame:
+    """End of each heading's section: the next start of the same level or above, else the text's end.
+
+    One window over a book's headings in order: for each level the next start at it or above.  Levels are 1 to ``levels``.
+    """
+    later = Window.partitionBy(book).orderBy("char_start").rangeBetween(1, Window.unboundedFollowing)
+    nexts = [F.min(F.when(F.col("level") <= i, F.col("char_start"))).over(later) for i in range(1, levels + 1)]
+    own = F.get(F.array(*nexts), F.least(F.col("level"), F.lit(levels)).cast("int") - 1)
+    return headings.withColumn("char_end", F.coalesce(own, total))
 
 
 def chapter_ends(chapters: DataFrame, book: str, total: str) -> DataFrame:
@@ -55,10 +61,12 @@ def paired_by_position(left: DataFrame, right: DataFrame, keys: list[str], left_
 
 
 def last_before(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, slack: int = 4000) -> DataFrame:
-    """The last start at or before each point, at most ``slack`` back."""
-    s = starts.select(F.col(key).alias("_k"), F.col(start).alias("_start"))
-    on = (F.col(key) == F.col("_k")) & (F.col("_start") <= F.col(at)) & (F.col(at) - F.col("_start") <= slack)
-    return points.join(s, on, "left").groupBy(*points.columns).agg(F.max("_start").alias("opened"))
+    """The last start at or before each point, at most ``slack`` back: points and starts in one order, and the last start so far."""
+    s = starts.select(key, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.col(start).alias("_start"), F.lit(None).cast(points.schema).alias("_point"))
+    p = points.select(key, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(starts.schema[start].dataType).alias("_start"), F.struct(*points.columns).alias("_point"))
+    so_far = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = s.unionByName(p).withColumn("_last", F.last("_start", ignorenulls=True).over(so_far)).where("_side = 1")
+    return out.select("_point.*", F.when(F.col("_at") - F.col("_last") <= slack, F.col("_last")).alias("opened"))
 
 
 def encode_offset_map(edits: str = "edits"):
@@ -69,17 +77,23 @@ def encode_offset_map(edits: str = "edits"):
     return F.concat(F.lit("m1:"), F.array_join(one, ","))
 
 
+_EDITS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("in_start", "in_end", "out_start", "out_end")]))
+
+
+def _decoded(encoded: str) -> list[dict]:
+    numbers = [int(x) for x in encoded.removeprefix("m1:").split(",") if x]
+    out, a, b = [], 0, 0
+    for gap, raw, clean in zip(numbers[::3], numbers[1::3], numbers[2::3]):
+        out.append({"in_start": a + gap, "in_end": a + gap + raw, "out_start": b + gap, "out_end": b + gap + clean})
+        a, b = a + gap + raw, b + gap + clean
+    return out
+
+
+@F.pandas_udf(_EDITS)
+def _decode(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else _decoded(x))
+
+
 def decode_offset_map(encoded: str = "map"):
-    """The edits of an encoded map, by running sums over its triples."""
-    numbers = F.transform(F.filter(F.split(F.regexp_replace(F.col(encoded), "^m1:", ""), ","), lambda x: x != ""), lambda x: x.cast("int"))
-    triple = lambda i: F.struct(F.get(numbers, i * 3).alias("gap"), F.get(numbers, i * 3 + 1).alias("raw"), F.get(numbers, i * 3 + 2).alias("clean"))
-    count = F.floor(F.size(numbers) / 3).cast("int")
-    triples = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), triple)).otherwise(F.array().cast("array<struct<gap:int,raw:int,clean:int>>"))
-    kind = "array<struct<in_start:int,in_end:int,out_start:int,out_end:int>>"
-    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.array().cast(kind).alias("out"))
-
-    def step(s, t):
-        edit = F.struct((s["a"] + t["gap"]).alias("in_start"), (s["a"] + t["gap"] + t["raw"]).alias("in_end"), (s["b"] + t["gap"]).alias("out_start"), (s["b"] + t["gap"] + t["clean"]).alias("out_end"))
-        return F.struct(edit["in_end"].alias("a"), edit["out_end"].alias("b"), F.concat(s["out"], F.array(edit)).cast(kind).alias("out"))
-
-    return F.aggregate(triples, start, step)["out"]
+    """The edits of an encoded map, by running sums over its triples; linear in them, which an array fold isn't."""
+    return _decode(F.col(encoded))
