@@ -22,7 +22,7 @@ def test_isbn(spark):
     text = "bare 0306406152, ISBN 978-0-306-40615-7 and 1111111111"
     assert one(spark, isbns.extract_isbns(F.lit(text))) == ["9780306406157", "0306406152"]
     assert isbns.isbns_in("Next Book (218 pages) ISBN: 9780306406157 $45.95") == []
-    assert isbns.isbns_in("ISBN 9780306406157 $9\n ISBN 0804429573 $8") == [] and isbns.isbns_in("ISBN 9780306406157 $9") == ["9780306406157"]
+    assert isbns.isbns_in("ISBN 9780306406157 $9\n ISBN 080442957X $8") == [] and isbns.isbns_in("ISBN 9780306406157 $9") == ["9780306406157"]
     assert isbns.isbns_of_book("x" * 30_000 + " ISBN 9780306406157 " + "y" * 30_000) == ["9780306406157"]
 
 
@@ -101,7 +101,7 @@ def test_stems():
     for w, want in {"книга": "книг", "книги": "книг", "книгу": "книг", "важная": "важн", "важнее": "важн", "бегать": "бега", "вышедши": "вышедш", "ёлка": "елк", "зимний": "зимн", "радость": "радост"}.items():
         assert stemming.russian(w) == want, (w, stemming.russian(w))
     assert stemming.stem_tokens("Running api_v2 camelCase книги 42") == ["run", "api_v2", "camelcase", "книг", "42"]
-    uk = stemming.Pack("uk", "Cyrillic", "іїєґ", lambda w: w[:-1])
+    uk = stemming.Pack("uk", "Cyrillic", "іїєґ", lambda w: w[:-2])
     packs = (*stemming.PACKS, uk)
     assert stemming.pack_of("книги", "uk", packs) is uk and stemming.pack_of("мова", None, packs).id == "ru" and stemming.pack_of("їжак", None, packs) is uk and stemming.pack_of("42", None, packs) is None
     both = frozenset({"ru", "uk"})
@@ -145,9 +145,9 @@ def test_rerank(spark):
     pool = spark.createDataFrame(rows, "id int, fused double, text string, alt_text string, tier string")
     scorer = lambda q, ps: [float(ord(p[0]) - 110 + len(p) - 1) for p in ps]
     got = fusion.reranked(pool, scorer, "q", 10, ["id"], limit=5).orderBy("place").collect()
-    assert [r.id for r in got] == [5, 2, 1, 6, 4, 3] and [r.used_alt for r in got] == [False, True, False, False, False, False]
-    assert got[1].rerank > got[1].other_rerank and got[3].rerank is None and got[5].rerank is None and 0 < got[0].rerank < 1
-    assert [r.id for r in fusion.reranked(pool, scorer, "q", 3, ["id"], limit=5, weak_after_body=False).orderBy("place").collect()] == [5, 2, 4]
+    assert [r.id for r in got] == [2, 5, 1, 6, 4, 3] and [r.used_alt for r in got] == [True, False, False, False, False, False]
+    assert got[0].rerank > got[0].other_rerank and got[3].rerank is None and got[5].rerank is None and 0 < got[0].rerank < 1
+    assert [r.id for r in fusion.reranked(pool, scorer, "q", 3, ["id"], limit=5, weak_after_body=False).orderBy("place").collect()] == [2, 5, 4]
     assert [r.id for r in fusion.reranked(pool, None, "q", 10, ["id"]).orderBy("place").collect()] == [1, 2, 5, 6, 3, 4]
     strong = fusion.reranked(pool.where("tier = 'strong'"), scorer, "q", 10, ["id"]).collect()
     assert [r.rerank is not None for r in strong] == [True]
