@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import isbn as isbns
 from lectern.functions import text as tx
 from lectern.functions import titles
-from lectern.operators import audits, etl, index, spans, stemming, structure
+from lectern.operators import audits, etl, index, outlines, spans, stemming, structure
 from lectern.sources import readers
 
 from .tables import table
@@ -222,6 +222,17 @@ def heading_mirror(spark, sf_dir):
     return audits.heading_mirror(c, c.where("turn % 2 = 0"), "conv_id", "h").select("conv_id", F.round("share", 6).alias("share"), "ok")
 
 
+def outline_chapters(spark, sf_dir):
+    """Books of twelve pages with five chapters in their outline, behind a cover and inside a part."""
+    k = F.col("p_partkey").cast("string")
+    pages = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.lit("head\nChapter "), i.cast("string"), F.lit(" of "), k, F.lit("\nwords words"))), "\f")
+    item = lambda i, t: F.concat(F.lit(f'<item page="{i}">'), t, F.lit("</item>"))
+    inner = F.concat(*(item(i, F.concat(F.lit(f"Chapter {i} of "), k)) for i in (3, 5, 7, 9)))
+    xml = F.concat(F.lit("<x><outline>"), item(1, F.lit("Cover")), item(2, F.lit("Part I &amp; more")), F.lit("<outline>"), inner, F.lit("</outline>"), item(11, F.lit("Elsewhere")), F.lit("</outline>"))
+    p = table(spark, sf_dir, "part").select("p_partkey", pages.alias("text"), xml.alias("xml"))
+    return outlines.outline_table(p, "p_partkey", "text", "xml")
+
+
 def note_lines(spark, sf_dir):
     k = F.col("p_partkey")
     p = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("\t"), "p_name", F.when(k % 3 > 0, F.concat(F.lit("\t"), "p_type", F.lit("\tmore"))).otherwise("")).alias("value"))
@@ -236,7 +247,7 @@ def image_lines(spark, sf_dir):
 
 _FUNCTIONS = (
     chunk_spans, token_chunks, content_match, text_covered, normalise, markup_rules, offset_map, page_texts, chapters, chapter_numbers, matter_kinds, captions, isbn_extract, language_ids, stem_counts, snippets,
-    html_texts, cut_texts, embeddings_of, file_titles, author_names, author_sorts, quote_budget, cursor_leak, heading_mirror, note_lines, image_lines,
+    html_texts, cut_texts, embeddings_of, file_titles, author_names, author_sorts, quote_budget, cursor_leak, heading_mirror, outline_chapters, note_lines, image_lines,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -272,6 +283,10 @@ ORACLE_SQL = {
     "quote_budget": "SELECT p_partkey, CAST(greatest(p_partkey % 40 + 1, 2) AS INT) AS longest, CAST(p_partkey % 40 + 3 AS INT) AS total, p_partkey % 40 + 1 <= 25 AS ok FROM part",
     "cursor_leak": "SELECT p_partkey, p_partkey % 4 < 2 AS leak FROM part",
     "heading_mirror": "WITH h AS (SELECT conv_id, lower(concat_ws(' ', role, turn)) AS h, turn FROM conversations), s AS (SELECT x.conv_id, avg(CASE WHEN EXISTS (SELECT 1 FROM h y WHERE y.conv_id = x.conv_id AND y.h = x.h AND y.turn % 2 = 0) THEN 1.0::DOUBLE ELSE 0 END) AS s FROM h x GROUP BY 1) SELECT conv_id, round(s, 6) AS share, s <= 0.5 AS ok FROM s",
+    "outline_chapters": """WITH p AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k FROM part), g AS (SELECT p_partkey, k, i, 'head' || chr(10) || 'Chapter ' || i || ' of ' || k || chr(10) || 'words words' AS t FROM p, generate_series(1, 12) s(i)),
+ o AS (SELECT *, CAST(sum(length(t) + 1) OVER (PARTITION BY p_partkey ORDER BY i) - length(t) - 1 AS INT) AS a, CAST(sum(length(t) + 1) OVER (PARTITION BY p_partkey) - 1 AS INT) AS n FROM g),
+ c AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS number, CASE WHEN i = 11 THEN 'Elsewhere' ELSE 'Chapter ' || i || ' of ' || k END AS title, CASE WHEN i = 11 THEN a ELSE a + 5 END AS a, n FROM o WHERE i IN (3, 5, 7, 9, 11))
+ SELECT p_partkey, CAST(number AS INT) AS number, title, a AS char_start, coalesce(lead(a) OVER (PARTITION BY p_partkey ORDER BY number), n) AS char_end FROM c""",
     "note_lines": "SELECT p_brand AS field, p_name AS item, p_type || chr(9) || 'more' AS snippet FROM part WHERE p_partkey % 3 > 0",
     "image_lines": "SELECT CAST(p_partkey AS INT) AS page, CAST(p_partkey AS INT) AS number, 'image' AS kind, 640 AS width, 480 AS height, 300 AS x_ppi, 150 AS y_ppi FROM part WHERE p_partkey % 5 <> 0",
 }

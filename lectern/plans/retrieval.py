@@ -63,19 +63,19 @@ def _bm25(spark, sf_dir, terms=QUERY_TERMS):
 
 
 def bm25_search(spark, sf_dir):
-    return keyword.search(index_of(spark, sf_dir), QUERY_TERMS, 10).select("doc_id", F.round("score", 6).alias("score"))
+    return keyword.search(index_of(spark, sf_dir), QUERY_TERMS, 10).select("doc_id", F.round(F.round("score", 9), 6).alias("score"))
 
 
 def bm25_columns(spark, sf_dir):
     """All scores of terms in one column or all, with an identifier form among them."""
     index = index_of(spark, sf_dir)
     terms = [keyword.Term("en", ("book_meta",)), keyword.Term("and"), keyword.Term("the", ("body",)), keyword.Term("node.js")]
-    return keyword.bm25(index.postings, "doc_id", terms, index.total, index.mean_len).select("doc_id", F.round("score", 6).alias("score"))
+    return keyword.bm25(index.postings, "doc_id", terms, index.total, index.mean_len).select("doc_id", F.round(F.round("score", 9), 6).alias("score"))
 
 
 def bm25_allowed(spark, sf_dir):
     allow = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id")
-    return keyword.search(index_of(spark, sf_dir), QUERY_TERMS, 10, allow).select("doc_id", F.round("score", 6).alias("score"))
+    return keyword.search(index_of(spark, sf_dir), QUERY_TERMS, 10, allow).select("doc_id", F.round(F.round("score", 9), 6).alias("score"))
 
 
 def best_passage(spark, sf_dir):

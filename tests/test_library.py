@@ -336,6 +336,31 @@ def test_structure(spark):
     assert [r.matter_kind for r in structure.placed_chunks(spark.createDataFrame([(1, front)], "book_id long, text string"), "book_id", "text").orderBy("seq").collect()][:2] == ["front", "body"]
 
 
+def test_book_files():
+    from lectern.operators import outlines
+    from lectern.sources import books as files
+
+    xml = '<pdf2xml><outline><item page="1">Cover</item><item page="2">Part I</item><outline><item page="3">A &amp; B</item><item page="0">No page</item></outline><outline/><item page="9">End'
+    assert files.outline(xml) == [("Cover", 1, 1), ("Part I", 2, 1), ("A & B", 3, 2), ("No page", None, 2)] and files.outline("junk <item>x</item>") == []
+    assert files.package_path('<c><rootfile full-path="OPS/p.opf"/></c>') == "OPS/p.opf" and files.package_path("") is None
+    opf = '<manifest><item id="a" href="t/one%20.html"/><item id="n" href="nav.xhtml" properties="nav"/><item id="x" href="../toc.ncx"/></manifest><spine toc="x"><itemref idref="a"/><itemref idref="gone"/></spine>'
+    assert files.package(opf, "OPS/p.opf") == {"spine": ["OPS/t/one .html"], "nav": "OPS/nav.xhtml", "ncx": "toc.ncx"}
+    nav = '<nav epub:type="landmarks"><ol><li><a href="z.html">Z</a></li></ol></nav><nav epub:type="toc"><ol><li><a href="a.html">One <b>x</b></a><ol><li><a href="a.html#s">Sub</a></li></ol></li><li><a href="http://e.org">Out</a></li></ol></nav>'
+    assert files.nav_entries(nav, "OPS/nav.xhtml") == [("One x", 1, "OPS/a.html", ""), ("Sub", 2, "OPS/a.html", "s")]
+    ncx = '<navMap><navPoint><navLabel><text>One</text></navLabel><content src="a.html"/><navPoint><navLabel><text>Sub</text></navLabel><content src="a.html#s"/></navPoint></navPoint>'
+    assert files.ncx_entries(ncx, "toc.ncx") == [("One", 1, "a.html", ""), ("Sub", 2, "a.html", "s")]
+    assert files.page_words('<page width="10" height="20.5"><word xMin="1" yMin="2" xMax="3" yMax="4">a&amp;b</word></page><page width="1" height="1"></page>') == (10.0, 20.5, [(1.0, 2.0, 3.0, 4.0, "a&b")])
+    docs = [(f"d{i}.html", f"<html><head><title>T</title></head><body><script>x</script><h1>Chapter {i}</h1><p>Opening words number {i} of this very document here.</p></body></html>") for i in range(4)]
+    text = "Contents\nChapter 0\nChapter 1\n\n" + "".join(f"# Chapter {i}\n\nOpening *words* number {i} of this very document here.\n\n## Part two of {i}\nmore\n\n" for i in range(4))
+    found = outlines.anchors(text, docs)
+    assert [p for p, _ in found] == [d for d, _ in docs] and all(text[at:].startswith(f"# Chapter {i}") for i, (_, at) in enumerate(found))
+    entries = [("Title Page", 1, "gone.html", "")] + [(f"Chapter {i}", 1, f"d{i}.html", "") for i in range(4)] + [("Part two of 3", 1, "d3.html", "p")]
+    chapters = outlines.contents_chapters(text, entries, found)
+    assert [t for t, _ in chapters] == ["Chapter 0", "Chapter 1", "Chapter 2", "Chapter 3", "Part two of 3"] and outlines.contents_chapters(text, entries, found[:1]) is None
+    dense = [(f"Section {i}", 1, 1) for i in range(1, 9)]
+    assert outlines.outline_chapters("a\fb\fc", dense) is None and outlines.outline_chapters("no pages", dense) is None
+
+
 def test_captions_and_markers():
     page = "Text.\n\nFigure 1.2: A plot of\nthings.\nNext line\n\nРис. 3. Схема сети\n\nand this long line of prose runs on, as shown in\nFigure 9. It goes on.\n\nFigure 4\n\nрис. 5 видно"
     assert [(x, t) for x, t, _ in structure.captions(page)] == [("1.2", "A plot of things."), ("3", "Схема сети"), ("4", "")]
