@@ -208,12 +208,57 @@ def test_language_model(spark):
             total += math.log10(p)
         assert abs(r.score - total) < 1e-6 and r.n_tokens == len(s) - 1
         assert abs(r.base_score - sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in s[1:])) < 1e-6
-    context = [np.full(v + 1, model.size), np.arange(-1, v)]
-    assert abs(10 ** model.log10(*context).astype(float) @ np.ones(v + 1) - 1) < 1e-6
+    assert abs(model._bigram_probability(np.full(v + 1, model.size), np.arange(-1, v)).sum() - 1) < 1e-6
     empty = kneser_ney.train(df.limit(0))
     assert {r.score for r in kneser_ney.score(df, empty, ["doc_id"]).collect()} == {0.0}
 
 
+def test_trigram_model(spark):
+    """Raw counts of trigrams, numbers of contexts below them; what opens a text has raw counts there too."""
+    rng = random.Random(16)
+    vocabulary = [f"W{i}" for i in range(30)] + ["é", "日"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: rng.choice([4, 32])]) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(None, None), (7, "unseen words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.where("doc_id % 5 <> 0 or doc_id is null")
+    model = kneser_ney.train(train, order=3)
+    tokens = lambda t: ["<e>", "<e>", *WORD.findall((t or "").translate(LOWER)), "<e>"]
+    tri, words = Counter(), Counter()
+    for r in train.collect():
+        s = tokens(r.text)
+        tri.update(zip(s, s[1:], s[2:]))
+        words.update(s[2:])
+    big, before = Counter(), Counter()
+    for (_, b, c), n in tri.items():
+        big[b, c] += n if b == "<e>" else 1
+    for _, c in big:
+        before[c] += 1
+    of = lambda counts: kneser_ney.Discounts.of([sum(c == k for c in counts) for k in (1, 2, 3, 4)])
+    d3, d2, d1 = of(tri.values()), of(big.values()), of(before.values())
+    assert (model.trigram, model.bigram, model.unigram) == (d3, d2, d1)
+    cut = lambda d, c: d.values[min(c, 3) - 1] if c else 0.0
+    total, left = Counter(), defaultdict(float)
+    for key, c in tri.items():
+        total[key[:2]] += c
+        left[key[:2]] += cut(d3, c)
+    for key, c in big.items():
+        total[key[:1]] += c
+        left[key[:1]] += cut(d2, c)
+    v, spare = len(words), sum(cut(d1, c) for c in before.values()) / len(big)
+
+    def probability(a, b, c):
+        p = (before[c] - cut(d1, before[c])) / len(big) + spare / (v + 1)
+        for key, n, d in (((b,), big[b, c], d2), ((a, b), tri[a, b, c], d3)):
+            if total[key]:
+                p = (n - cut(d, n) + left[key] * p) / total[key]
+        return p
+
+    for r in kneser_ney.score(df, model, ["doc_id", "text"]).collect():
+        s = tokens(r.text)
+        assert abs(r.score - sum(math.log10(probability(*x)) for x in zip(s, s[1:], s[2:]))) < 1e-6
+    assert abs(sum(probability("w1", "w2", w) for w in [*words, "new"]) - 1) < 1e-9
+    assert {r.score for r in kneser_ney.score(df, kneser_ney.train(df.limit(0), order=3), ["doc_id"]).collect()} == {0.0}
+
+
 def test_language_id(spark):
     rng = random.Random(7)
     words = {"aa": ["the", "and", "thing", "with"], "bb": ["der", "und", "nicht", "schön"], "cc": ["les", "été", "quand", "même"]}
