@@ -192,6 +192,37 @@ def spans_matched(hits: DataFrame, labels: DataFrame, query: str = "qid", least:
     return met.groupBy(query, "label_id").agg(F.min("rank").alias("rank"))
 
 
+def localised(hits: DataFrame, labels: DataFrame, query: str = "qid") -> DataFrame:
+    """(qid, rank): the first passage that overlaps the label's span and holds its marker text, in either case."""
+    lab = labels.select(query, "book_id", "marker", F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))
+    met = hits.join(lab, [query, "book_id"]).where((F.col("char_start") < F.col("_e")) & (F.col("char_end") > F.col("_s")) & F.contains(F.lower("body"), F.lower("marker")))
+    return met.groupBy(query).agg(F.min("rank").alias("rank"))
+
+
+def by_length(rows: DataFrame, length: str, metric: str) -> DataFrame:
+    """(bucket, n, mean): a metric by quarter of length; a value at a cut belongs to the quarter above it."""
+    cuts = quartile_cuts(rows, length)  # one row
+    bucket = F.size(F.filter("cuts", lambda c: c <= F.col(length)))
+    return rows.join(F.broadcast(cuts)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg(metric).alias("mean"))
+
+
+def violations(first: DataFrame, second: DataFrame, key: str, grades: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """(key, judge, fault): grades that are none of the scale, and items that a judge has twice or left out."""
+    side = lambda d, n: d.groupBy(key).agg(F.count("*").alias("n"), F.bool_or(~F.coalesce(F.col("grade").isin(*grades), F.lit(False))).alias("odd")).withColumn("judge", F.lit(n))
+    one, two = side(first, "first"), side(second, "second")
+    lost = one.join(two, key, "left_anti").select(key, F.lit("second").alias("judge"), F.lit("missing").alias("fault")).unionByName(two.join(one, key, "left_anti").select(key, F.lit("first").alias("judge"), F.lit("missing").alias("fault")))
+    own = one.unionByName(two)
+    return own.where("odd").select(key, "judge", F.lit("grade").alias("fault")).unionByName(own.where("n > 1").select(key, "judge", F.lit("twice").alias("fault"))).unionByName(lost)
+
+
+def tier_gate(report: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """(check, value, ok) of a run without reranking (mode, reranked, metric, value): it must not be reranked, and each metric must reach its floor."""
+    used = report.agg(F.max(F.col("reranked").cast("int")).alias("r")).select(F.lit("rerank off").alias("check"), F.col("r").cast("double").alias("value"), (F.col("r") == 0).alias("ok"))
+    wanted = F.create_map(*(x for k, v in floors.items() for x in (F.lit(k), F.lit(float(v)))))
+    held = report.where(F.col("metric").isin(*floors)).select(F.concat_ws(" ", "mode", "metric").alias("check"), F.col("value").cast("double").alias("value"), (F.col("value") >= wanted[F.col("metric")]).alias("ok"))
+    return used.unionByName(held)
+
+
 def axes(rows: DataFrame, k: int = 5) -> DataFrame:
     """One row per mode: share of span hits within k, of snippets with their marker, of false low-confidence flags, of confusers first, latencies."""
     share = lambda when, of: F.sum(F.when(of & when, 1).otherwise(0)) / F.nullif(F.sum(F.when(of, 1).otherwise(0)), F.lit(0))

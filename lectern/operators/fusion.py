@@ -115,3 +115,37 @@ def low_confidence(hits: DataFrame, text: bool = True) -> DataFrame:
 def surviving(hits: DataFrame, live: DataFrame, book: str, trusted: bool = True) -> DataFrame:
     """Hits whose book is still there; an untrusted answer drops nothing."""
     return hits.join(live.select(book), book, "left_semi") if trusted else hits
+
+
+def body_first(tier_column: str, *order: Column | str) -> list[Column]:
+    """An order in which body hits come first and all else keeps its place."""
+    return [(F.col(tier_column) != "body").cast("int"), *(F.col(c) if isinstance(c, str) else c for c in order)]
+
+
+def named(hits: DataFrame, books: DataFrame, book: str) -> DataFrame:
+    """Hits with their book's title and authors; a book that is not there is named by its id."""
+    out = hits.join(books.select(book, "title", "authors"), book, "left")
+    return out.withColumns({"title": F.coalesce("title", F.concat(F.lit("book "), F.col(book).cast("string"))), "authors": F.coalesce("authors", F.array().cast("array<string>"))})
+
+
+# What a search says when it can't do all that was asked.
+NO_VECTORS, SHORT_QUERY, NO_RERANK = "no vectors yet: keyword search only", "a query of under three characters finds little by meaning", "not reranked: fused order"
+
+
+def effective_mode(mode: str, n_vectors: int, query: str) -> tuple[str, list[str]]:
+    """What a search can run as, and its notes: hybrid without vectors is keyword search; vector search without them is an error."""
+    if mode == "vector" and not n_vectors:
+        raise ValueError("the index has no vectors")
+    notes = [SHORT_QUERY] if mode != "keyword" and len(query.strip()) < 3 else []
+    return ("keyword", [NO_VECTORS, *notes]) if mode == "hybrid" and not n_vectors else (mode, notes)
+
+
+def reranked_or_fused(pool: DataFrame, scorer: Callable[[str, list[str]], list[float]] | None, query: str, k: int, keys: Sequence[str], enabled: bool = True, **options) -> tuple[DataFrame, list[str]]:
+    """A reranked list, or the fused order with a note if reranking is switched off, missing, or fails on a first pair."""
+    if scorer is not None and enabled:
+        try:
+            scorer(query, [query])
+            return reranked(pool, scorer, query, k, keys, **options), []
+        except Exception as e:  # noqa: BLE001  a search never fails for want of a reranker
+            return reranked(pool, None, query, k, keys), [f"{NO_RERANK} ({e})"]
+    return reranked(pool, None, query, k, keys), [NO_RERANK] if scorer is not None else []

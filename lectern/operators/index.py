@@ -107,3 +107,27 @@ def missing_vectors(index: DataFrame, vectors: DataFrame) -> DataFrame:
     """Books with fewer vectors than chunks; a stored count wins over counting."""
     counted = vectors.groupBy("book_id").agg(F.count("*").alias("_n"))
     return index.join(counted, "book_id", "left").where(F.coalesce("embedded_chunks", "_n", F.lit(0)) < F.col("chunk_count")).select("book_id")
+
+
+def record_done(done: DataFrame, folder: str) -> None:
+    """Appends the ids of finished books (book_id) to a build's progress."""
+    done.select("book_id").write.mode("append").parquet(folder)
+
+
+def remaining(books: DataFrame, folder: str) -> DataFrame:
+    """Books that a build which was broken off has not finished; all of them if it never began."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        done = books.sparkSession.read.schema(books.select("book_id").schema).parquet(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return books
+    return books.join(done.distinct(), "book_id", "left_anti")
+
+
+def guarded(index: DataFrame, rows: DataFrame, embedded: str = "embedded_chunks") -> DataFrame:
+    """New rows of a build without vectors, but for books whose index has vectors already: those are preserved."""
+    kept = index.where(F.coalesce(embedded, F.lit(0)) > 0).select("book_id")
+    return rows.join(kept, "book_id", "left_anti")

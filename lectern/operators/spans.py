@@ -29,6 +29,14 @@ def pages(units: DataFrame, book: str, start: str, text: str) -> DataFrame:
     return units.withColumn("page", F.coalesce(F.sum(breaks).over(w), F.lit(0)) + 1)
 
 
+def page_starts(bookmarks: DataFrame, texts: DataFrame, book: str, page: str, text: str) -> DataFrame:
+    """Bookmarks with the offset at which their page begins; null for a page the text doesn't have."""
+    parts = texts.select(book, F.posexplode(F.split(text, "\f")).alias("_p", "_t"))
+    before = F.coalesce(F.sum(F.length("_t") + 1).over(Window.partitionBy(book).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(book, (F.col("_p") + 1).alias(page), before.alias("char_start"))
+    return bookmarks.join(starts, [book, page], "left")
+
+
 def majority_kind(sections: DataFrame, units: DataFrame, book: str, section: str) -> DataFrame:
     """For each section the kind that covers most of its characters; ties go to the kind that starts first."""
     u = units.select(F.col(book).alias("_b"), F.col("char_start").alias("_s"), F.col("char_end").alias("_e"), "kind")

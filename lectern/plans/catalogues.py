@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import isbn as isbns
-from lectern.operators import audits, catalogue, curation, evaluation, index, logs, merging, query_lang
+from lectern.operators import audits, catalogue, curation, evaluation, fusion, index, logs, merging, query_lang
 from lectern.streaming import pipelines
 
 from .tables import table
@@ -291,6 +291,27 @@ def passage_scores(spark, sf_dir):
     return evaluation.spans_matched(hits, labels).select("label_id", "rank")
 
 
+def length_breakdown(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("value").alias("length"), F.col("event_id").cast("double").alias("m"))
+    return evaluation.by_length(e, "length", "m").select("bucket", "n", F.round("mean", 6).alias("mean"))
+
+
+def localised(spark, sf_dir):
+    """Documents' first three spans of 300 characters; the label is the first 900 characters with the word there."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    span = d.select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("book_id"), "text", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank"))
+    hits = span.select("qid", "book_id", "rank", ((F.col("rank") - 1) * 300).alias("char_start"), (F.col("rank") * 300).alias("char_end"), F.expr("substring(text, (rank - 1) * 300 + 1, 300)").alias("body"))
+    labels = d.select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("book_id"), F.lit("The").alias("marker"), F.lit(0).alias("char_start"), F.lit(900).alias("char_end"))
+    return evaluation.localised(hits, labels)
+
+
+def named_hits(spark, sf_dir):
+    """Every order's customer as a hit, and customers of the first half as books."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("book_id"))
+    b = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("title"), F.array("c_mktsegment").alias("authors"))
+    return fusion.named(o, b, "book_id").select("o_orderkey", "title", F.array_join("authors", "&").alias("authors"))
+
+
 def regressions(spark, sf_dir):
     """Users whose best hit of January was a purchase and isn't among all events."""
     hits, relevant = _judged(spark, sf_dir)
@@ -349,7 +370,7 @@ def missing_vectors(spark, sf_dir):
 _FUNCTIONS = (
     catalog_search, bundle_exclude, facet_counts, paging, order_dates, dup_identical, dup_similar, merge_safety, work_match, keepers, merge_books, format_plan, series_gaps, quality_issues, add_probe, proposals,
     isbn_valid, isbn13, tag_merge, merge_fill, change_preview, shingle_overlap, compression, attribution, ir_metrics, auc, kappa, percentiles, search_read_pairs, opened_hits, error_collapse, call_rate, result_sizes,
-    graded_ndcg, judged_metrics, quartiles, back_matter_trap, floor_sweep, coverage_split, passage_scores, regressions, point_lookup, resolve_ids, chosen_format, excluded_count, index_coverage, prune_orphans, build_plan, missing_vectors,
+    graded_ndcg, judged_metrics, quartiles, back_matter_trap, floor_sweep, coverage_split, passage_scores, length_breakdown, localised, named_hits, regressions, point_lookup, resolve_ids, chosen_format, excluded_count, index_coverage, prune_orphans, build_plan, missing_vectors,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -373,6 +394,9 @@ ORACLE_SQL = {
     "chosen_format": "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'epub' WHEN p_size % 3 = 0 THEN 'pdf' ELSE 'txt' END AS format FROM part",
     "resolve_ids": "SELECT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'u-' || p_name || p_partkey END AS ref, p_partkey FROM part",
     "point_lookup": "SELECT c_custkey, c_name FROM (SELECT DISTINCT o_orderkey % 5000 AS c_custkey FROM orders) LEFT JOIN customer USING (c_custkey)",
+    "length_breakdown": "WITH l AS (SELECT list_sort(list(value)) AS v FROM events), c AS (SELECT v[len(v) // 4 + 1] AS a, v[len(v) * 2 // 4 + 1] AS b, v[len(v) * 3 // 4 + 1] AS c FROM l) SELECT CASE WHEN value >= c THEN 3 WHEN value >= b THEN 2 WHEN value >= a THEN 1 ELSE 0 END AS bucket, count(*) AS n, round(avg(CAST(event_id AS DOUBLE)), 6) AS mean FROM events, c GROUP BY 1",
+    "localised": "SELECT doc_id AS qid, min(k) AS rank FROM documents, (VALUES (1), (2), (3)) v(k) WHERE contains(lower(substr(text, (k - 1) * 300 + 1, 300)), 'the') GROUP BY 1",
+    "named_hits": "SELECT o_orderkey, CASE WHEN c_name IS NULL THEN 'book ' || o_custkey % 200 ELSE c_name END AS title, coalesce(c_mktsegment, '') AS authors FROM orders LEFT JOIN customer ON c_custkey = o_custkey % 200 AND c_custkey % 2 = 0",
     "regressions": f"WITH {_HITS} SELECT qid FROM n LEFT JOIN g USING (qid) WHERE qid % 2 = 0 AND coalesce(first, 0) <> 1",
     "passage_scores": "WITH h AS (SELECT doc_id, k AS rank, (k - 1) * 400 AS a, k * 400 AS b FROM documents, (VALUES (1),(2),(3),(4)) v(k) WHERE n_chars > 0), l AS (SELECT doc_id, s, e FROM documents, (VALUES (100, 500), (900, 950)) v(s, e) WHERE n_chars > 0) SELECT l.doc_id || '-' || s AS label_id, min(rank) AS rank FROM h JOIN l USING (doc_id) WHERE least(b, e) - greatest(a, s) > 0 AND least(b, e) - greatest(a, s) >= 0.3::DOUBLE * (e - s) GROUP BY 1",
     "coverage_split": "SELECT event_type, CASE WHEN event_id % 3 > 0 THEN event_id % 3 END AS grade, count(*) AS n FROM events GROUP BY ALL",

@@ -49,14 +49,27 @@ def session_counts(stream: DataFrame, ts: str, keys: list[str], gap: str, late:
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n"))
 
 
-def freshness(stream: DataFrame, key: str = "book_id", stamp: str = "last_modified") -> DataFrame:
-    """(key, stamp, stale) for each batch of changes: whether the key was seen before with an older stamp."""
+def freshness(stream: DataFrame, key: str = "book_id", stamp: str = "last_modified", forget_after: int | None = None) -> DataFrame:
+    """(key, stamp, stale) for each batch of changes: whether the key was seen before with an older stamp.
+
+    Rows without a stamp say nothing.  A key that is not heard of for ``forget_after`` seconds is forgotten, so the state of a stream
+    that never ends stays bounded; a query with such a timeout goes on by itself, so a run over what is there (availableNow) has none.
+    """
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.get[0] if state.exists else None
-        newest = max(x for b in batches for x in b[stamp].tolist())
-        state.update((max(newest, seen) if seen is not None else newest,))
-        yield pd.DataFrame({key: [k[0]], stamp: [max(newest, seen) if seen is not None else newest], "stale": [seen is not None and newest > seen]})
+        stamps = [x for b in batches for x in b[stamp].tolist() if x is not None]
+        if not stamps:
+            return
+        newest = max(stamps)
+        last = newest if seen is None else max(newest, seen)
+        state.update((last,))
+        if forget_after is not None:
+            state.setTimeoutDuration(forget_after * 1000)
+        yield pd.DataFrame({key: [k[0]], stamp: [last], "stale": [seen is not None and newest > seen]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {stamp} string, stale boolean", f"{stamp} string", "update", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {stamp} string, stale boolean", f"{stamp} string", "update", "NoTimeout" if forget_after is None else "ProcessingTimeTimeout")

@@ -482,6 +482,50 @@ def test_sources(spark):
     assert sorted(tuple(r) for r in readers.saved_searches(listing, "n").collect()) == [("a", "x:1"), ("c", "y")]
     noise = spark.createDataFrame([('log line\n[{"book_id": 4, "annotation": {"type": "highlight", "highlighted_text": "hi"}}, {"book_id": 5, "text": "flat"}]',)], "value string")
     assert [(r.book_id, r.text) for r in readers.annotations(noise).collect()] == [(4, "hi"), (5, "flat")]
+    more = spark.createDataFrame([('note [sic] {"annotations": [{"book_id": 6, "text": "x"}]} [{"book_id": 7}]',), ("none [",), (None,)], "value string")
+    assert [r.book_id for r in readers.annotations(more).collect()] == [6]
+
+
+def test_modes_progress_and_gates(spark, tmp_path):
+    assert fusion.effective_mode("hybrid", 0, "long query") == ("keyword", [fusion.NO_VECTORS]) and fusion.effective_mode("hybrid", 3, "ab") == ("hybrid", [fusion.SHORT_QUERY])
+    with pytest.raises(ValueError):
+        fusion.effective_mode("vector", 0, "x")
+    pool = spark.createDataFrame([(1, 0.9, "a", None, "weak"), (2, 0.5, "b", None, "body")], "id int, fused double, text string, alt_text string, tier string")
+
+    def broken(q, ps):
+        raise RuntimeError("busy")
+
+    rows, notes = fusion.reranked_or_fused(pool, broken, "q", 5, ["id"])
+    assert [r.id for r in rows.orderBy("place").collect()] == [2, 1] and notes == [f"{fusion.NO_RERANK} (busy)"]
+    assert [r.id for r in pool.orderBy(*fusion.body_first("tier", F.col("fused").desc())).collect()] == [2, 1]
+    books_ = spark.createDataFrame([(1,), (2,), (3,)], "book_id long")
+    folder = f"file://{tmp_path}/done"
+    assert index.remaining(books_, folder).count() == 3
+    index.record_done(books_.where("book_id = 2"), folder)
+    index.record_done(books_.where("book_id = 3"), folder)
+    assert [r.book_id for r in index.remaining(books_, folder).collect()] == [1]
+    have = spark.createDataFrame([(1, 5), (2, 0)], "book_id long, embedded_chunks int")
+    assert sorted(r.book_id for r in index.guarded(have, books_).collect()) == [2, 3]
+    assert etl.edits_of_insertions([(2, 3), (5, 1)]) == [(2, 2, 2, 5), (5, 5, 8, 9)]
+    report = spark.createDataFrame([("hybrid", False, "hit1", 0.8), ("vector", False, "hit1", 0.7)], "mode string, reranked boolean, metric string, value double")
+    assert {r.check: r.ok for r in evaluation.tier_gate(report, {"hit1": 0.75}).collect()} == {"rerank off": True, "hybrid hit1": True, "vector hit1": False}
+    judge = lambda *rows: spark.createDataFrame(rows, "k int, grade int")
+    faults = evaluation.violations(judge((1, 2), (2, 7), (3, 1)), judge((1, 0), (2, 1), (2, 1)), "k")
+    assert sorted(tuple(r) for r in faults.collect()) == [(2, "first", "grade"), (2, "second", "twice"), (3, "second", "missing")]
+    marks = spark.createDataFrame([(1, 2), (1, 9)], "book_id int, page int")
+    texts = spark.createDataFrame([(1, "ab\fcd\fe")], "book_id int, text string")
+    assert sorted((r.page, r.char_start) for r in spans.page_starts(marks, texts, "book_id", "page", "text").collect()) == [(2, 3), (9, None)]
+
+
+def test_freshness_state(spark, tmp_path):
+    from lectern.streaming import pipelines
+
+    src = f"file://{tmp_path}/in"
+    spark.createDataFrame([(1, "a"), (1, None), (2, None)], "book_id long, last_modified string").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("book_id long, last_modified string").parquet(src)
+    query = pipelines.freshness(stream).writeStream.format("memory").queryName("fresh").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("fresh").collect()] == [(1, "a", False)]
 
 
 def test_streams(spark, tmp_path):
