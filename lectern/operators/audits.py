@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Sizes and limits of the audits.
 SHINGLE, QUOTE_WORDS, QUOTE_TOTAL, COMPRESSION, HEADING_SHARE = 8, 25, 200, 20.0, 0.5
+BROADCAST_ROWS = 500_000
 
 
 def prose(text: Column | str) -> Column:
@@ -38,14 +39,16 @@ def overlap(output: DataFrame, sources: DataFrame, key: str, text: str, source_k
     """(key, source, shared): distinct shingles that a text shares with each source, except those of allowed phrases.
 
     The sources' shingles are made distinct first and meet the texts' before these are, so of the
-    texts only what is shared is ever grouped.  ``markdown`` looks at the prose of the texts only.
+    texts only what is shared is ever grouped.  If there are few, which a count says, they are broadcast and no
+    shingle of a text is shuffled; else both sides are.  ``markdown`` looks at the prose of the texts only.
     """
     theirs = shingles(sources, source_key, source_text, n).select(source_key, "shingle")
     if allow:
         phrases = output.sparkSession.createDataFrame([(0, a) for a in allow], "_k int, _t string")
         theirs = theirs.join(shingles(phrases, "_k", "_t", n).select("shingle"), "shingle", "left_anti")
     mine = output.select(key, prose(text).alias(text)) if markdown else output
-    met = shingles(mine, key, text, n, distinct=False).join(theirs, "shingle")
+    few = theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = shingles(mine, key, text, n, distinct=False).join(F.broadcast(theirs) if few else theirs, "shingle")
     return met.groupBy(key, source_key, "shingle").agg(F.lit(1).alias("_one")).groupBy(key, source_key).agg(F.count("*").alias("shared"))
 
 
