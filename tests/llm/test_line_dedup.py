@@ -85,7 +85,7 @@ def test_long_copies_take_linear_time(spark):
     df = spark.createDataFrame([(1, text), (2, text + "\nown line of the second one")], "doc_id long, text string")
     began = time.time()
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in ld.dedup(df).collect()}
-    assert got == {1: (90_000, 0), 2: (90_001, 90_000)} and time.time() - began < 120
+    assert got == {1: (90_000, 0), 2: (90_001, 90_000)} and time.time() - began < 240
 
 
 def test_shorter_limits(spark):
