@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, langid, line_dedup, mixing, multi_index, near_dup, quality_cnn, rules, secrets, sentencepiece
+from . import kneser_ney, langid, line_dedup, mixing, multi_index, near_dup, quality_cnn, rules, secrets, sentencepiece, token_counts
 from .arrowmap import remainder
 
 
@@ -64,6 +64,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, enc = documents(spark, sf_dir), token_counts.encoder()
+    return token_counts.counted(docs, enc, token_counts.frequent_lengths(docs, enc), ["doc_id"])
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_secret_scan": op9_secret_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_token_counts": op11_token_counts,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
