@@ -42,7 +42,7 @@ CACHE, MAX_CHARS, PIECE = 65_536, 64, 1 << 18
 #: Splits a text before the merges (fixed, as published with the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Latin, Greek, Cyrillic; punctuation, currency; kana, ideographs, Hangul, full-width forms.
-KNOWN = r"\x00-ԯ -⁯₠-₿　-ヿ一-龥가-힣＀-￯"
+KNOWN = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0, 0x52F), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF00, 0xFFEF)))
 _CUT = regex.compile(r"[!-~](?= )")
 
 
