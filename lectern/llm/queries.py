@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, langid, line_dedup, mixing, multi_index, near_dup, quality_cnn, rules, secrets, sentencepiece, token_counts
+from . import centroids, hard_negatives, kneser_ney, langid, line_dedup, mixing, multi_index, near_dup, quality_cnn, rules, secrets, sentencepiece, token_counts
 from .arrowmap import remainder
 
 
@@ -69,6 +69,16 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(docs, enc, token_counts.frequent_lengths(docs, enc), ["doc_id"])
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    labels = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(vectors.withColumn("label", labels), "vec_id % 50 = 0")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +91,8 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_token_counts": op11_token_counts,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -100,6 +112,41 @@ LEDGER_SQL = rf"""
  ledger AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 4 * n_words THEN 4 ELSE 0 END
    + CASE WHEN 2 * n_upper > word_chars THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 64 ELSE 0 END AS BIGINT) AS failed FROM measured)"""
 
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _kmeans_sql(rounds: int = 10) -> str:
+    """Rounds written one after another: a0, a1, ... assign, c1, c2, ... are the centroids after each update."""
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+ FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT 8))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v, c, d FROM (SELECT k.r, k.vec_id, k.v, c.c,
+  CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS BIGINT) AS d FROM kept k, c{i} c)
+ QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT c, list(f ORDER BY j) AS v
+ FROM (SELECT c, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f FROM (SELECT a.c, t.j, sum(a.v[t.j]) AS s, count(*) AS n FROM a{i} a, range(1, 65) AS t(j) GROUP BY a.c, t.j)) GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(parts)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c USING (c)"""
+
+
+_NEGATIVES_SQL = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+ scores AS MATERIALIZED (SELECT a.r AS anchor, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS alike,
+  coalesce(CAST(list_sum(list_transform(range(1, least(len(a.v), len(c.v)) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT), 0) AS s
+  FROM kept a JOIN kept c ON a.r <> c.r WHERE a.vec_id % 50 = 0),
+ positives AS (SELECT * FROM scores WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.s DESC, n.vec_id) AS INTEGER) AS rank, n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.alike AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+QUALIFY rank <= 3"""
+
 ORACLE_SQL = {
     "op6_quality_rules": f"WITH {LEDGER_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM ledger",
+    "op12_centroid_clusters": _kmeans_sql(),
+    "op13_hard_negatives": _NEGATIVES_SQL,
 }
