@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.operators import phrases
+
 
 def upserts(stream: DataFrame, folder: str, checkpoint: str, key: str = "book_id", version: str = "last_modified", shards: int = 16) -> StreamingQuery:
     """Keeps the newest version of each row in a table of ``shards`` partitions; a batch rewrites the shards it touches."""
@@ -31,6 +33,37 @@ def upserts(stream: DataFrame, folder: str, checkpoint: str, key: str = "book_id
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def indexed(stream: DataFrame, index: phrases.Index, checkpoint: str, to_units: Callable[[DataFrame], DataFrame] = lambda books: books, version: str = "last_modified", deleted: str | None = None, name: str = "books") -> StreamingQuery:
+    """Keeps an index in step with a stream of book versions, one row each; ``to_units`` makes a batch's books into units.
+
+    A batch writes one segment of its changed books and merges segments of like size; what did not change is not
+    touched.  The newest version of a book counts, also against what is indexed already, so late rows change nothing.  A batch that
+    is repeated after a failure is in already and changes nothing.  Units must keep the ``version`` column.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        table = index.table
+        spark = batch.sparkSession
+        newest = Window.partitionBy(index.book).orderBy(F.col(version).desc_nulls_last())
+        rows = batch.where(F.col(index.book).isNotNull()).withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+        at = table.snapshot()
+        if at.batches.get(name, -1) >= number:
+            return
+        if at.segments:
+            known = table.read("units", at).groupBy(F.col(index.book).alias("_book")).agg(F.max(version).alias("_known"))
+            rows = rows.join(known, F.col(index.book) == F.col("_book"), "left").where(F.col("_known").isNull() | (F.col("_known") <= F.col(version))).drop("_book", "_known")
+        staged = f"{table.folder}/incoming/{name}-{number}"
+        rows.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(rows.schema).parquet(staged)
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        index.commit(to_units(rows.where(~gone)), rows.where(gone).select(index.book), batch=(name, number))
+        table.merge()
+        fs, path = table._at(f"incoming/{name}-{number}")
+        fs.delete(path, True)
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def paired_calls(searches: DataFrame, reads: DataFrame, seconds: int = 180, late: str = "10 minutes") -> DataFrame:
     """Stream-stream join of (search_id, session, search_ts) and (read_id, session, read_ts) within the window, its end excluded."""
     s = searches.withWatermark("search_ts", late)
