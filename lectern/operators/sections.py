@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import outlines
+from . import outlines, spans
 
 # Levels kept, characters of a title, entries that an outline or table of contents must place, kinds by precedence at a tie.
 LEVELS, TITLE_CHARS, LEAST_ENTRIES = 4, 200, 2
-KINDS = ("body", "front", "back_index", "back_bibliography", "back_other")
+KINDS = ("body", "front", "back_index", "back_biblio", "back_other")
 SOURCES = ("pdf-outline", "epub-toc", "chapters")
 
 
@@ -80,25 +80,10 @@ def nested(sections: DataFrame, book: str, total: str) -> DataFrame:
     return numbered.withColumns({"char_end": F.coalesce(end, F.col(total)).cast("int"), "parent": parent})
 
 
-def covered_by_kind(sections: DataFrame, units: DataFrame, book: str, section: str, kind: str) -> DataFrame:
-    """(book, section, kind, chars): characters of units of each kind within each section; both have char_start and char_end.
-
-    How much of a kind lies before a place is a running sum over starts and ends; a section's share is the
-    difference between its two ends.  So nothing is joined by range: one pass in order over a book's places.
-    """
-    kinds = units.select(book, kind).distinct()
-    edge = lambda df, at, sign: df.select(book, kind, F.col(at).cast("long").alias("_at"), F.lit(0).alias("_side"), F.lit(sign).cast("long").alias("_n"), (F.col(at) * sign).cast("long").alias("_w"), F.lit(None).cast(sections.schema[section].dataType).alias(section), F.lit(0).alias("_sign"))
-    point = lambda at, sign: sections.join(kinds, book).select(book, kind, F.col(at).cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_w"), section, F.lit(sign).alias("_sign"))
-    events = edge(units, "char_start", 1).unionByName(edge(units, "char_end", -1)).unionByName(point("char_end", 1)).unionByName(point("char_start", -1))
-    so_far = Window.partitionBy(book, kind).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.col("_at") * F.sum("_n").over(so_far) - F.sum("_w").over(so_far)
-    return events.withColumn("_before", before).where("_side = 1").groupBy(book, section, kind).agg(F.sum(F.col("_before") * F.col("_sign")).alias("chars"))
-
-
 def kinds_of(sections: DataFrame, units: DataFrame, book: str, section: str = "position", kind: str = "matter_kind", kinds: Sequence[str] = KINDS) -> DataFrame:
     """Sections with the kind of most of their characters; ties go to the earlier of ``kinds``, and body to one that no unit covers."""
     rank = F.coalesce(*(F.when(F.col(kind) == k, F.lit(-i)) for i, k in enumerate(kinds)), F.lit(-len(kinds)))
-    covered = covered_by_kind(sections, units.withColumn(kind, F.coalesce(kind, F.lit(kinds[0]))), book, section, kind).where("chars > 0")
+    covered = spans.covered_by_kind(sections, units.withColumn(kind, F.coalesce(kind, F.lit(kinds[0]))), book, section, kind)
     best = covered.groupBy(book, section).agg(F.max_by(kind, F.struct("chars", rank)).alias("_kind"))
     return sections.join(best, [book, section], "left").withColumn(kind, F.coalesce("_kind", F.lit(kinds[0]))).drop("_kind")
 
@@ -119,9 +104,7 @@ def picked(sources: dict[str, DataFrame], book: str) -> DataFrame:
 
 def paths(points: DataFrame, sections: DataFrame, book: str, at: str, keys: list[str], last: int = 3) -> DataFrame:
     """Titles of the sections that hold a point, outermost first, the ``last`` levels of them."""
-    from .spans import section_paths
-
-    return section_paths(points, sections, book, at, keys, last)
+    return spans.section_paths(points, sections, book, at, keys, last)
 
 
 def book_sections(books: DataFrame, entries: DataFrame, units: DataFrame, book: str, text: str = "text", source: str = "pdf-outline") -> DataFrame:

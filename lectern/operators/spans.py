@@ -9,10 +9,21 @@ from pyspark.sql import types as T
 
 
 def holding(points: DataFrame, spans: DataFrame, book: str, at: str, start: str = "char_start", end: str = "char_end", how: str = "left") -> DataFrame:
-    """Points with the spans that hold them: an equi join on the book with a range residual."""
-    s = spans.withColumnRenamed(book, "_book")
-    on = (F.col(book) == F.col("_book")) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    return points.join(s, on, how).drop("_book")
+    """Points with the spans that hold them.
+
+    A span lies in one or two cells of the width that is the power of two above its length, so a point is looked up in
+    one cell for each such width that occurs (64 at most): an equi join of about as many candidates as there are hits.
+    """
+    width = F.greatest(F.ceil(F.log2((F.col(end) - F.col(start)).cast("double"))), F.lit(0)).cast("int")
+    at_width = lambda place: F.expr(f"shiftright(cast({place} as long), _w)")
+    s = spans.where(F.col(start) < F.col(end)).withColumnRenamed(book, "_book").withColumn("_w", width)
+    s = s.withColumn("_cell", F.explode(F.sequence(at_width(f"`{start}`"), at_width(f"(`{end}` - 1)"))))
+    widths = [r[0] for r in s.select("_w").distinct().collect()]
+    wanted = points.select(F.col(book).alias("_b"), F.col(at).alias("_at")).where(F.col(at).isNotNull()).distinct()
+    looked = wanted.withColumn("_pw", F.explode(F.array(*(F.lit(w) for w in widths)).cast("array<int>"))).withColumn("_pc", F.expr("shiftright(cast(_at as long), _pw)"))
+    on = (F.col("_b") == F.col("_book")) & (F.col("_pw") == F.col("_w")) & (F.col("_pc") == F.col("_cell"))
+    held = looked.join(s, on).where((F.col("_at") >= F.col(start)) & (F.col("_at") < F.col(end))).drop("_book", "_w", "_cell", "_pw", "_pc")
+    return points.join(held, (F.col(book) == F.col("_b")) & (F.col(at) == F.col("_at")), how).drop("_b", "_at")
 
 
 def section_paths(points: DataFrame, sections: DataFrame, book: str, at: str, keys: list[str], last: int = 3) -> DataFrame:
@@ -37,13 +48,40 @@ def page_starts(bookmarks: DataFrame, texts: DataFrame, book: str, page: str, te
     return bookmarks.join(starts, [book, page], "left")
 
 
+def covered_by_kind(sections: DataFrame, units: DataFrame, book: str, section: str, kind: str) -> DataFrame:
+    """(book, section, kind, chars, first): characters of units of each kind within each section, and the first start of one that overlaps.
+
+    How much of a kind lies before a place is a running sum over starts and ends; a section's share is the
+    difference between its two ends.  So nothing is joined by range: one pass in order over a book's places.
+    """
+    kinds = units.select(book, kind).distinct()
+    blank = {section: F.lit(None).cast(sections.schema[section].dataType), "_sign": F.lit(0), "_s": F.lit(None).cast("long"), "_z": F.lit(None).cast("long")}
+
+    def edge(at: str, sign: int) -> DataFrame:
+        rows = units.where(F.col("char_start") < F.col("char_end")).select(book, kind, F.col(at).cast("long").alias("_at"), F.lit(sign).cast("long").alias("_n"), (F.col(at).cast("long") * sign).alias("_w"))
+        return rows.select("*", F.lit(0).alias("_side"), *(v.alias(k) for k, v in blank.items()))
+
+    def point(at: str, sign: int) -> DataFrame:
+        rows = sections.join(kinds.select(F.col(book).alias("_kb"), F.col(kind).alias("_k")), F.col(book) == F.col("_kb"))
+        return rows.select(book, F.col("_k").alias(kind), F.col(at).cast("long").alias("_at"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_w"), F.lit(1).alias("_side"), section, F.lit(sign).alias("_sign"), F.col("char_start").cast("long").alias("_s"), F.col("char_end").cast("long").alias("_z"))
+
+    events = edge("char_start", 1).unionByName(edge("char_end", -1)).unionByName(point("char_end", 1)).unionByName(point("char_start", -1))
+    so_far = Window.partitionBy(book, kind).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.col("_at") * F.sum("_n").over(so_far) - F.sum("_w").over(so_far)
+    summed = events.withColumn("_before", before).where("_side = 1").groupBy(book, section, kind).agg(F.sum(F.col("_before") * F.col("_sign")).alias("chars"))
+    return summed.where("chars > 0")
+
+
 def majority_kind(sections: DataFrame, units: DataFrame, book: str, section: str) -> DataFrame:
-    """For each section the kind that covers most of its characters; ties go to the kind that starts first."""
-    u = units.select(F.col(book).alias("_b"), F.col("char_start").alias("_s"), F.col("char_end").alias("_e"), "kind")
-    overlap = (F.col(book) == F.col("_b")) & (F.col("_s") < F.col("char_end")) & (F.col("_e") > F.col("char_start"))
-    covered = F.least("char_end", "_e") - F.greatest("char_start", "_s")
-    by_kind = sections.join(u, overlap).groupBy(section, "kind").agg(F.sum(covered).alias("covered"), F.min("_s").alias("first"))
-    best = by_kind.groupBy(section).agg(F.max_by("kind", F.struct(F.col("covered"), (-F.col("first")).alias("f"))).alias("kind"))
+    """For each section the kind that covers most of its characters; ties go to the kind of which a unit in it starts first."""
+    summed = covered_by_kind(sections, units, book, section, "kind")
+    most = summed.join(summed.groupBy(book, section).agg(F.max("chars").alias("_most")), [book, section]).where(F.col("chars") == F.col("_most"))
+    # Only kinds that tie need their first unit looked up.
+    tied = most.withColumn("_ties", F.count("*").over(Window.partitionBy(book, section)))
+    some = tied.where("_ties > 1").join(sections.select(book, section, F.col("char_start").alias("_s"), F.col("char_end").alias("_z")), [book, section])
+    u = units.select(F.col(book).alias("_b"), F.col("kind").alias("_k"), F.col("char_start").alias("_us"), F.col("char_end").alias("_ue"))
+    firsts = some.join(u, (F.col(book) == F.col("_b")) & F.col("kind").eqNullSafe(F.col("_k")) & (F.col("_us") < F.col("_z")) & (F.col("_ue") > F.col("_s"))).groupBy(section).agg(F.min_by("kind", "_us").alias("kind"))
+    best = tied.where("_ties = 1").select(section, "kind").unionByName(firsts.select(section, "kind"))
     return sections.select(section).join(best, section, "left").withColumn("kind", F.coalesce("kind", F.lit("body")))
 
 
