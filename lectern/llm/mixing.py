@@ -2,7 +2,7 @@
 
 All documents of a source have the same expected number of copies, its target
 over its size.  Within a source the documents stand in a fixed order: by size
-class, then by a hash slot, then by id, size and a hash of the whole row.  The prefix sum of expected copies up to
+class, then by a hash slot, then by id, size, a hash of the row and its columns in order.  The prefix sum of expected copies up to
 a document is therefore its rank in that order times the rate; with one offset
 per source, drawn from the seed and the source's name, a document is emitted once
 for each integer that its prefix interval crosses.  Ordering by size class keeps a source's taken
@@ -28,6 +28,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowmap import persisted, shared_dir
 
@@ -72,6 +73,24 @@ def _offset(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
 
 
+def _sortable(c: Column, kind: T.DataType) -> Column:
+    """A column in a form that sorts, equal only for equal values: maps as their entries in order, variants as text."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(_sortable(e["key"], kind.keyType).alias("k"), _sortable(e["value"], kind.valueType).alias("v")))
+        return F.sort_array(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _sortable(x, kind.elementType)) if _unsorted(kind) else c
+    if isinstance(kind, T.StructType) and _unsorted(kind):
+        parts = F.struct(*(_sortable(c[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)))
+        return F.when(c.isNotNull(), parts)
+    return F.to_json(c) if isinstance(kind, T.VariantType) else c
+
+
+def _unsorted(kind: T.DataType) -> bool:
+    """Whether a type holds a map or a variant."""
+    return any(word in kind.simpleString() for word in ("map<", "variant"))
+
+
 OUTPUTS = ("size", "source_size", "target", "copies")
 
 
@@ -94,7 +113,9 @@ def _drawn(df: DataFrame, seed: int, text: str, weights: Sequence[int], share_pe
     starts = strata.withColumn("_m_before", F.coalesce(F.sum("_m_n").over(running), F.lit(0)))
     known = starts.alias("a").join(per_source.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     known = known.select(*(F.col(f"a.{k}").alias(f"_m_k{i}") for i, k in enumerate(keys)), "_m_before", F.col("source_size").alias("_m_source_size"), F.col("target").alias("_m_target"))
-    ranked = sized.withColumn("_m_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "_m_size", "_m_row")) - 1)
+    # The columns themselves decide at last: the hash takes no notice of which column a null stands in, nor of maps.
+    last = [] if prune else [_sortable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    ranked = sized.withColumn("_m_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "_m_size", "_m_row", *last)) - 1)
     # Null-safe on all keys: no filter on a derived column is inferred, so no text is split for one.
     out = ranked.join(known, [ranked[k].eqNullSafe(known[f"_m_k{i}"]) for i, k in enumerate(keys)])
     rate = F.when(F.col("_m_source_size") > 0, F.col("_m_target") / F.col("_m_source_size")).otherwise(0.0)
