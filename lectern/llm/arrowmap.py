@@ -51,6 +51,13 @@ def discard(spark: SparkSession, folder: str, names: list[str]) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def discard_others(spark: SparkSession, folder: str, kept: list[str]) -> None:
+    """Removes all tables of a shared folder but some."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    discard(spark, folder, [name for s in fs.listStatus(path) if (name := s.getPath().getName()) not in kept])
+
+
 def persisted(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes a table into a shared folder and reads it back, which cuts the lineage and survives lost executors."""
     path = f"{folder}/{name}"

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import least_hashed, map_batches, persisted, shared_dir, sorted_groups, tidy
+from .arrowmap import discard_others, least_hashed, map_batches, persisted, shared_dir, sorted_groups, tidy
 
 CODES, SHARE = 128, 0.35
 TOP = 5
@@ -241,6 +241,8 @@ def nearest(df: DataFrame, queries: str, vector: str = "embedding", key: str = "
     scored = left.union(right).repartition(n, "block").sortWithinPartitions("block").mapInArrow(tidy(run), parsed)
     ranked = Window.partitionBy("content").orderBy(F.col("score").desc(), "id")
     best = persisted(scored.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= keep).groupBy("content").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("found")), folder, "best")
-    ids = entries.where("query").select(F.col("id").alias("query_id"), "content").distinct().join(best, "content")
+    asked_ids = persisted(entries.where("query").select(F.col("id").alias("query_id"), "content").distinct(), folder, "asked")
+    discard_others(spark, folder, ["best", "asked"])
+    ids = asked_ids.join(best, "content")
     own = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, top)
     return ids.select("query_id", F.posexplode(own).alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), F.col("f.score").alias("score"))

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .arrowmap import binary_rows, discard, map_batches, persisted, shared_dir, sorted_groups, tidy
+from .arrowmap import binary_rows, discard_others, map_batches, persisted, shared_dir, sorted_groups, tidy
 from .components import components
 
 K = 5
@@ -414,7 +414,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         if links is not None:
             own = _relabelled(own, links, folder, "second")
     labels = persisted(own, folder, "labels")
-    discard(df.sparkSession, folder, ["texts", "roots", *(f"{kind}-{x}" for kind in ("verify", "links") for x in ("first", "second")), *(f"level-{i}" for i in range(DEPTH + 1))])
+    discard_others(df.sparkSession, folder, ["sketches", "labels"])
     found = join.rows.join(labels, "content", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")))
     return found.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
