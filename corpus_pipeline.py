@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import line_dedup, mixing, near_dup, rules, sentencepiece
-from lectern.llm.arrowmap import persisted, scratch, shared_dir
+from lectern.llm.arrowmap import discard_others, persisted, scratch, shared_dir
 
 
 def _apart(docs: DataFrame, *used: str) -> DataFrame:
@@ -65,10 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``; what a stage wrote on its way goes once its result is written."""
+    """All stages in order over ``documents``; what a stage read and wrote on its way goes once its result is written."""
     folder = shared_dir(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         with scratch(spark):
             docs = persisted(stage(spark, docs, sf_dir), folder, name)
+        discard_others(spark, folder, [name])
     return STAGES[-1][1](spark, docs, sf_dir)
