@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lectern.functions import isbn as isbns
 from lectern.functions import text as tx
 from lectern.functions import titles
-from lectern.operators import audits, etl, index, outlines, spans, stemming, structure
+from lectern.operators import audits, etl, index, languages, outlines, spans, stemming, structure
+from lectern.operators import snippets as snippet_windows
 from lectern.sources import readers
 
 from .tables import table
@@ -141,9 +142,21 @@ def isbn_extract(spark, sf_dir):
     return p.select("p_partkey", F.array_join(isbns.extract_isbns(text), ",").alias("isbns"))
 
 
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщкызж"
+
+
+def _scripts_of(text: str, lang: str):
+    """German and Spanish texts in Cyrillic letters, the latter with і for i; of French ones the second half."""
+    other = F.translate(F.translate(F.lower(text), _LATIN, _CYRILLIC), "и", "і")
+    half = (F.length(text) / 2).cast("int")
+    return F.when(F.col(lang) == "de", F.translate(F.lower(text), _LATIN, _CYRILLIC)).when(F.col(lang) == "es", other).when(F.col(lang) == "fr", F.concat(F.substring(F.col(text), F.lit(1), half), F.translate(F.lower(F.expr(f"substring({text}, cast(length({text}) / 2 as int) + 1)")), _LATIN, _CYRILLIC))).otherwise(F.col(text))
+
+
 def language_ids(spark, sf_dir):
-    """Texts of one script, and of none: what is detected at all."""
-    return _books(spark, sf_dir).select("book_id", F.coalesce(etl.detected_language(F.regexp_replace("text", r"\p{L}", "")).isNull(), F.lit(True)).alias("none"))
+    """The language of every text, many of them written in Cyrillic letters, and of its first hundred characters."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), _scripts_of("text", "lang").alias("text"))
+    docs = docs.withColumn("head", F.substring("text", 1, 100))
+    return docs.select("book_id", etl.detected_language("text").alias("lang"), etl.detected_language("head").alias("head_lang"))
 
 
 def stem_counts(spark, sf_dir):
@@ -154,14 +167,13 @@ def stem_counts(spark, sf_dir):
 
 
 def snippets(spark, sf_dir):
-    """Windows of 300 characters: short enough, and what stands in the text."""
-
-    @F.pandas_udf("string")
-    def window(bodies):
-        return bodies.map(lambda b: etl.snippet(b or "", {"the": 1.0, "and": 0.5, "der": 2.0}, 300))
-
-    out = _books(spark, sf_dir).where("text is not null").select("book_id", "text", window("text").alias("s"))
-    return out.select("book_id", (F.length("s") <= 301).alias("short"), F.contains("text", F.regexp_replace("s", "^…", "")).alias("inside"))
+    """Windows of 300 characters for a query: the text itself if it is short, else one that holds a query's word if the text has one."""
+    cut = snippet_windows.snippet("text", "where does orre meet hehely, and when is inoran", 300)
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("book_id"), "text", cut.alias("w"))
+    body = F.when(F.col("w.start") > 0, F.expr("substring(w.text, 2)")).otherwise(F.col("w.text"))
+    word = r"(?i)(?<![\p{L}\p{N}_])(orre|hehely|inoran)(?![\p{L}\p{N}_])"
+    same = F.expr("substring(text, w.start + 1, 300)") == body
+    return docs.select("book_id", F.when(F.length("text") <= 300, F.length(body)).alias("n"), ((F.length(body) >= 200) | (F.length("text") <= 300)).alias("wide"), same.alias("inside"), F.when(F.col("text").rlike(word), body.rlike(word)).alias("hit"))
 
 
 def html_texts(spark, sf_dir):
@@ -253,6 +265,21 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _HAS_WORD = "regexp_matches(text, '[^\\x20\\x09-\\x0D]')"
 _PARTS = """c AS (SELECT conv_id, turn, '## ' || coalesce(role, 'nobody') || ' ' || turn AS h, '## ' || coalesce(role, 'nobody') || ' ' || turn || chr(10) || '> ' || regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') || chr(10) AS p FROM conversations)"""
+def _language_sql(text: str) -> str:
+    """The rule for one column: scripts, then own letters, then function words; long texts by three windows."""
+    few = f"CASE WHEN length({text}) <= 120000 THEN {text} ELSE " + " || ' ' || ".join(f"substr({text}, CAST(floor(length({text}) * {p} - 20000) AS BIGINT) + 1, 40000)" for p in (0.25, 0.5, 0.75)) + " END"
+    count = lambda pattern: f"len(regexp_extract_all(few, '{pattern}'))"
+    words = lambda x: f"len(list_filter(regexp_extract_all(lower(few), '\\p{{L}}+'), lambda w: replace(w, 'ё', 'е') IN ({', '.join(repr(w) for w in sorted(x.words))})))"
+    ru, uk = (next(x for x in languages.LANGUAGES if x.id == i) for i in ("ru", "uk"))
+    return f"""(SELECT CASE WHEN la = 0 AND cy = 0 THEN NULL WHEN la >= cy THEN 'en' WHEN ru > 0 AND ru >= 3 * uk THEN 'ru' WHEN uk > 0 AND uk >= 3 * ru THEN 'uk' WHEN wr >= wu THEN 'ru' ELSE 'uk' END
+ FROM (SELECT {count("\\p{Latin}")} AS la, {count("\\p{Cyrillic}")} AS cy, len(regexp_extract_all(lower(few), '[{ru.letters}]')) AS ru, len(regexp_extract_all(lower(few), '[{uk.letters}]')) AS uk, {words(ru)} AS wr, {words(uk)} AS wu FROM (SELECT {few} AS few)))"""
+
+
+_LANGUAGES_SQL = f"""WITH d AS (SELECT doc_id, lang, text AS t, translate(lower(text), '{_LATIN}', '{_CYRILLIC}') AS c FROM documents),
+ m AS (SELECT doc_id, CASE lang WHEN 'de' THEN c WHEN 'es' THEN replace(c, 'и', 'і') WHEN 'fr' THEN substr(t, 1, CAST(floor(length(t) / 2) AS BIGINT)) || translate(lower(substr(t, CAST(floor(length(t) / 2) AS BIGINT) + 1)), '{_LATIN}', '{_CYRILLIC}') ELSE t END AS text FROM d),
+ h AS (SELECT doc_id, text, substr(text, 1, 100) AS head FROM m)
+ SELECT doc_id AS book_id, {_language_sql("text")} AS lang, {_language_sql("head")} AS head_lang FROM h"""
+
 ORACLE_SQL = {
     "chunk_spans": f"SELECT doc_id AS book_id, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS chars, true AS fit, true AS numbered FROM documents WHERE {_HAS_WORD}",
     "token_chunks": f"SELECT doc_id AS book_id, true AS fit FROM documents WHERE {_HAS_WORD}",
@@ -267,9 +294,9 @@ ORACLE_SQL = {
     "matter_kinds": "SELECT doc_id AS book_id, CASE WHEN doc_id % 9 = 0 OR regexp_matches(coalesce(text, ''), '(?i)all rights reserved|\\bISBN\\b|printed in|library of congress|все права защищены') THEN 'back_other' ELSE 'body' END AS kind FROM documents",
     "captions": "SELECT p_partkey, CAST(p_partkey % 50 AS VARCHAR) AS label, 'The ' || p_name || ' of some sort.' AS caption FROM part UNION ALL SELECT p_partkey, CAST(p_partkey % 50 + 60 AS VARCHAR), '' FROM part",
     "isbn_extract": "WITH s AS (SELECT p_partkey, '978' || lpad(CAST(p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS s FROM part) SELECT p_partkey, CASE WHEN i = '9780306406157' THEN '' ELSE i END AS isbns FROM (SELECT p_partkey, s || CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(s, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 AS INT) AS i FROM s)",
-    "language_ids": "SELECT doc_id AS book_id, true AS none FROM documents",
+    "language_ids": _LANGUAGES_SQL,
     "stem_counts": "SELECT doc_id AS book_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+')) AS BIGINT) AS n, true AS low FROM documents",
-    "snippets": "SELECT doc_id AS book_id, true AS short, true AS inside FROM documents WHERE text IS NOT NULL",
+    "snippets": r"SELECT doc_id AS book_id, CASE WHEN length(text) <= 300 THEN length(text) END AS n, true AS wide, true AS inside, CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(orre|hehely|inoran)($|[^\p{L}\p{N}_])') THEN true END AS hit FROM documents WHERE text IS NOT NULL",
     "html_texts": """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\\b.*?</script\\s*>', ' ', 'gis'), '<style\\b.*?</style\\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs') AS t FROM pages),
  b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<(br|/p|/h[1-6]|/li|/div)\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM a),
  c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&mdash;', '—'), '&ndash;', '–'), '&hellip;', '…'), '&amp;', '&') AS t FROM b),
