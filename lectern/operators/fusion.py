@@ -58,14 +58,21 @@ def admitted(candidates: DataFrame, pairs: str, order: Sequence[Column | str], l
     return candidates.withColumn("_used", F.sum(pairs).over(w)).where(F.col("_used") <= limit).drop("_used")
 
 
-def reranked(pool: DataFrame, scorer: Callable[[str, list[str]], list[float]] | None, query: str, k: int, keys: Sequence[str], limit: int = RERANK_PAIRS, weak_after_body: bool = True) -> DataFrame:
+def logistic(x: float) -> float:
+    """The logistic function of any logit; exp only ever takes what is not positive."""
+    e = math.exp(-abs(x))
+    return 1 / (1 + e) if x >= 0 else e / (1 + e)
+
+
+def reranked(pool: DataFrame, scorer: Callable[[str, list[str]], list[float]] | None, query: str, k: int, keys: Sequence[str], limit: int = RERANK_PAIRS, weak_after_body: bool = True, tolerant: bool = False) -> DataFrame:
     """The k first hits of a fused pool (keys, fused, text, alt_text, tier) after a reranker, with rerank, other_rerank, used_alt and place.
 
     ``scorer`` gives logits of a query and passages; each pair is scored by itself, whatever stands beside it, and becomes a
     score from 0 to 1.  Hits of tier strong take no part unless all are strong.  Of the others, in fused order, as many
     take part as their passages fit the limit.  A second passage wins only if it scores strictly higher.  The tail keeps
     the fused order, weak hits follow body hits, strong ones come last.  Without a scorer body hits come first in fused
-    order.  A pool has at most some dozens of rows, so windows over all of it are meant.
+    order, as with ``tolerant`` where a pair's score fails, for then no score counts.  A pool has at most some
+    dozens of rows, so windows over all of it are meant.
     """
     by_fused = [F.col("fused").desc(), *keys]
     all_rows = Window.partitionBy()
@@ -82,15 +89,30 @@ def reranked(pool: DataFrame, scorer: Callable[[str, list[str]], list[float]] |
 
         @F.pandas_udf("double")
         def scored(text: pd.Series, wanted: pd.Series) -> pd.Series:
-            return pd.Series([1 / (1 + math.exp(-scorer(query, [t])[0])) if w and t is not None else None for t, w in zip(text, wanted)], dtype="float64")
+            def one(t: str) -> float | None:
+                try:
+                    return logistic(float(scorer(query, [t])[0]))
+                except Exception:  # noqa: BLE001
+                    if not tolerant:
+                        raise
+                    return None
+
+            return pd.Series([one(t) if w and t is not None else None for t, w in zip(text, wanted)], dtype="float64")
 
         s = marked.withColumns({"_main": scored("text", "_in"), "_alt": scored("alt_text", "_in")})
+        if tolerant:
+            missing = lambda t, x: F.col("_in") & F.col(t).isNotNull() & F.coalesce(F.col(x).isNull() | F.isnan(x), F.lit(True))
+            failed = F.max((missing("text", "_main") | missing("alt_text", "_alt")).cast("int")).over(all_rows) == 1
+            s = s.withColumn("_failed", failed).withColumns({c: F.when(~F.col("_failed"), F.col(c)) for c in ("_main", "_alt")})
+            s = s.withColumns({"_strong": F.when(F.col("_failed"), F.col("tier") == "strong").otherwise(F.col("_strong")), "_in": F.col("_in") & ~F.col("_failed")})
         alt = F.coalesce(F.col("_alt") > F.col("_main"), F.lit(False))
         band = F.when(F.col("_strong"), 2).when(F.lit(weak_after_body) & (F.col("tier") != "body"), 1).otherwise(0)
+        if tolerant:
+            band = F.when(F.col("_failed"), (F.col("tier") != "body").cast("int")).otherwise(band)
         out = s.withColumns({"used_alt": alt, "rerank": F.when(alt, F.col("_alt")).otherwise(F.col("_main")), "other_rerank": F.when(alt, F.col("_main")).otherwise(F.col("_alt")), "_band": band})
         order = [F.col("_band"), (~F.col("_in")).cast("int"), F.col("rerank").desc_nulls_last(), *(F.when(F.col("_in"), F.col(c)) for c in keys), *by_fused]
     placed = out.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") <= k)
-    return placed.drop("_band", "_strong", "_used", "_in", "_main", "_alt")
+    return placed.drop("_band", "_strong", "_used", "_in", "_main", "_alt", "_failed")
 
 
 def adaptive_pairs(vector: DataFrame, keyword: DataFrame, keys: Sequence[str], top: int = 3, pairs: int = 10) -> DataFrame:
@@ -141,11 +163,14 @@ def effective_mode(mode: str, n_vectors: int, query: str) -> tuple[str, list[str
 
 
 def reranked_or_fused(pool: DataFrame, scorer: Callable[[str, list[str]], list[float]] | None, query: str, k: int, keys: Sequence[str], enabled: bool = True, **options) -> tuple[DataFrame, list[str]]:
-    """A reranked list, or the fused order with a note if reranking is switched off, missing, or fails on a first pair."""
+    """A reranked list, or the fused order with a note if reranking is switched off, missing, or fails on a first pair.
+
+    A scorer that fails later, on an executor, leaves the fused order too; ``rerank`` is then null throughout.
+    """
     if scorer is not None and enabled:
         try:
             scorer(query, [query])
-            return reranked(pool, scorer, query, k, keys, **options), []
+            return reranked(pool, scorer, query, k, keys, tolerant=True, **options), []
         except Exception as e:  # noqa: BLE001  a search never fails for want of a reranker
             return reranked(pool, None, query, k, keys), [f"{NO_RERANK} ({e})"]
     return reranked(pool, None, query, k, keys), [NO_RERANK] if scorer is not None else []

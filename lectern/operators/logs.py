@@ -24,13 +24,17 @@ def opened_hits(searches: DataFrame, reads: DataFrame, hits: DataFrame, window:
     """(search_id, read_id, rank) of each search with the first read in its session and window that opens one of its hits.
 
     ``searches`` (search_id, session, search_ts), ``reads`` (read_id, session, read_ts, book_id), ``hits`` (search_id, book_id,
-    rank).  Hits carry their search to reads of the same book, so a session's searches never meet all its reads.
+    rank).  Hits and reads of one book in a session stand in order of time, and each hit sees the next read: no search
+    meets all reads, however busy its session is.
     """
-    wanted = searches.join(hits, "search_id")
-    near = (F.col("read_ts") >= F.col("search_ts")) & (F.col("read_ts") < F.col("search_ts") + F.make_dt_interval(secs=F.lit(window)))
-    met = wanted.join(reads, ["session", "book_id"]).where(near)
-    first = F.min(F.struct("read_ts", "read_id", "rank"))
-    return met.groupBy("search_id").agg(first.alias("f")).select("search_id", F.col("f.read_id").alias("read_id"), F.col("f.rank").alias("rank"))
+    none = lambda kind: F.lit(None).cast(kind)
+    h = searches.join(hits, "search_id").select("session", "book_id", F.col("search_ts").alias("_at"), F.lit(1).alias("_side"), F.struct("search_id", "rank").alias("_hit"), none(reads.select(F.struct("read_ts", "read_id")).schema[0].dataType).alias("_read"))
+    r = reads.select("session", "book_id", F.col("read_ts").alias("_at"), F.lit(2).alias("_side"), none(h.schema["_hit"].dataType).alias("_hit"), F.struct("read_ts", "read_id").alias("_read"))
+    later = Window.partitionBy("session", "book_id").orderBy("_at", "_side", "_read").rowsBetween(1, Window.unboundedFollowing)
+    seen = h.unionByName(r).withColumn("_next", F.first("_read", ignorenulls=True).over(later)).where("_side = 1")
+    near = F.col("_next.read_ts") < F.col("_at") + F.make_dt_interval(secs=F.lit(window))
+    first = F.min(F.struct(F.col("_next.read_ts"), F.col("_next.read_id"), F.col("_hit.rank").alias("rank")))
+    return seen.where(near).groupBy(F.col("_hit.search_id").alias("search_id")).agg(first.alias("f")).select("search_id", F.col("f.read_id").alias("read_id"), F.col("f.rank").alias("rank"))
 
 
 def collapsed(errors: DataFrame, keys: list[str], ts: str) -> DataFrame:

@@ -106,3 +106,41 @@ def freshness(stream: DataFrame, key: str = "book_id", stamp: str = "last_modifi
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {stamp} string, stale boolean", f"{stamp} string", "update", "NoTimeout" if forget_after is None else "ProcessingTimeTimeout")
+
+
+RECENT = 20
+
+
+def recent_errors(stream: DataFrame, process: str, keys: list[str], ts: str, most: int = RECENT) -> DataFrame:
+    """(process, place, keys, n, first, last) after each batch: a process's last ``most`` different errors, the newest at place 1.
+
+    An error that comes again moves to the front and counts up; the one that has not come for longest goes when there
+    are too many, and counts from one if it comes again.  So the state is ``most`` entries a process.  The
+    session needs a state store that keeps columns (``spark.sql.streaming.stateStore.providerClass``: RocksDB).
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    entry = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long", f"first {kinds[ts]}", f"last {kinds[ts]}"])
+
+    class Ring(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.ring = handle.getListState("ring", entry)
+
+        def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+            ring = {tuple(e[: len(keys)]): tuple(e[len(keys) :]) for e in self.ring.get()} if self.ring.exists() else {}
+            came = pd.concat(list(rows)).sort_values([ts, *keys], kind="stable")
+            for *k, at in came[[*keys, ts]].itertuples(index=False, name=None):
+                n, first, _ = ring.pop(tuple(k), (0, at, at))
+                ring[tuple(k)] = (n + 1, first, at)  # the newest comes last
+                if len(ring) > most:
+                    del ring[next(iter(ring))]
+            self.ring.put([(*k, *v) for k, v in ring.items()])
+            out = [(key[0], i + 1, *k, *v) for i, (k, v) in enumerate(reversed(ring.items()))]
+            yield pd.DataFrame(out, columns=[process, "place", *keys, "n", "first", "last"])
+
+        def close(self) -> None:
+            pass
+
+    schema = f"{process} {kinds[process]}, place int, {entry}"
+    return stream.select(process, *keys, ts).groupBy(process).transformWithStateInPandas(Ring(), schema, "Update", "None")
