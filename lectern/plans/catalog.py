@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalogues, documents, indexing, retrieval
+from . import catalogues, changes, documents, indexing, retrieval
 
-QUERIES = retrieval.QUERIES | catalogues.QUERIES | documents.QUERIES | indexing.QUERIES
-ORACLE_SQL = retrieval.ORACLE_SQL | catalogues.ORACLE_SQL | documents.ORACLE_SQL | indexing.ORACLE_SQL
+QUERIES = retrieval.QUERIES | catalogues.QUERIES | documents.QUERIES | indexing.QUERIES | changes.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | catalogues.ORACLE_SQL | documents.ORACLE_SQL | indexing.ORACLE_SQL | changes.ORACLE_SQL
 FLAGSHIP = "hybrid_search"

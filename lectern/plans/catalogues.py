@@ -143,8 +143,8 @@ def add_probe(spark, sf_dir):
 
 
 def proposals(spark, sf_dir):
-    """Provider hits for every 7th book, whose titles are its own, another one, or where it has none."""
-    books = _books(spark, sf_dir).where("id % 7 = 0").withColumn("title", F.when(F.col("id") % 2 == 0, F.lit("report.pdf")).otherwise(F.col("title")))
+    """Provider hits for every book, whose titles are its own, another one, or where it has none."""
+    books = _books(spark, sf_dir).withColumn("title", F.when(F.col("id") % 2 == 0, F.lit("report.pdf")).otherwise(F.col("title")))
     hit = lambda order, place, conf, title: books.select("id", F.lit(order).alias("provider_order"), F.lit(place).alias("place"), F.lit(conf).alias("confidence"), title.alias("title"), F.array(F.lit("Writer, Ann")).alias("authors"), F.lit("Press").alias("publisher"), F.lit("2001-01-01").alias("pubdate"), F.lit("S").alias("series"), F.lit("0306406152").alias("isbn"))
     hits = hit(0, 0, 0.6, F.lit("Low")).where("id % 3 > 0").unionByName(hit(0, 1, 0.95, F.when(F.col("id") % 5 == 0, F.lit("Another Thing Entirely")).otherwise(F.concat("title", F.lit(" revised"))))).where("id % 3 > 0").unionByName(hit(1, 0, 0.99, F.lit("Late")))
     return merging.proposals(books, hits).select("id", "confidence", "mismatch", "title", F.array_join("authors", "&").alias("authors"), "publisher", "pubdate", "series", "isbn")
@@ -283,11 +283,12 @@ def coverage_split(spark, sf_dir):
 
 
 def passage_scores(spark, sf_dir):
-    """Documents' spans of 400 characters as hits, their spans 100 to 500 and 900 to 950 as labels."""
-    d = table(spark, sf_dir, "documents").where("n_chars > 0")
-    hits = d.select(F.lit(1).alias("qid"), F.col("doc_id").alias("book_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank")).withColumns({"char_start": (F.col("rank") - 1) * 400, "char_end": F.col("rank") * 400})
-    labels = d.select(F.lit(1).alias("qid"), F.col("doc_id").alias("book_id"), F.explode(F.array(F.struct(F.lit(100).alias("a"), F.lit(500).alias("b")), F.struct(F.lit(900).alias("a"), F.lit(950).alias("b")))).alias("s"))
-    labels = labels.select("qid", "book_id", F.concat_ws("-", "book_id", "s.a").alias("label_id"), F.col("s.a").alias("char_start"), F.col("s.b").alias("char_end"))
+    """Spans of 400 characters of whole documents as hits; a span near the start and one from the middle as labels."""
+    d = table(spark, sf_dir, "documents").withColumn("n", F.length("text")).where("n > 0")
+    hits = d.select(F.lit(1).alias("qid"), F.col("doc_id").alias("book_id"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 400).cast("int"))).alias("rank")).withColumns({"char_start": (F.col("rank") - 1) * 400, "char_end": F.col("rank") * 400})
+    middle = (F.col("n") / 2).cast("int")
+    labels = d.select(F.lit(1).alias("qid"), F.col("doc_id").alias("book_id"), F.explode(F.array(F.struct(F.lit(100).alias("a"), F.lit(500).alias("b")), F.struct(middle.alias("a"), (middle + 50).alias("b")))).alias("s"))
+    labels = labels.select("qid", "book_id", F.concat_ws("-", "book_id", "s.a").alias("label_id"), F.col("s.a").alias("char_start"), F.col("s.b").alias("char_end")).dropDuplicates(["label_id"])
     return evaluation.spans_matched(hits, labels).select("label_id", "rank")
 
 
@@ -297,11 +298,11 @@ def length_breakdown(spark, sf_dir):
 
 
 def localised(spark, sf_dir):
-    """Documents' first three spans of 300 characters; the label is the first 900 characters with the word there."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    span = d.select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("book_id"), "text", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank"))
+    """All spans of 300 characters of documents; the label is the whole text with the word there."""
+    d = table(spark, sf_dir, "documents").withColumn("n", F.length("text")).where("n > 0")
+    span = d.select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("book_id"), "text", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 300).cast("int"))).alias("rank"))
     hits = span.select("qid", "book_id", "rank", ((F.col("rank") - 1) * 300).alias("char_start"), (F.col("rank") * 300).alias("char_end"), F.expr("substring(text, (rank - 1) * 300 + 1, 300)").alias("body"))
-    labels = d.select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("book_id"), F.lit("The").alias("marker"), F.lit(0).alias("char_start"), F.lit(900).alias("char_end"))
+    labels = d.select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("book_id"), F.lit("The").alias("marker"), F.lit(0).alias("char_start"), F.col("n").alias("char_end"))
     return evaluation.localised(hits, labels)
 
 
@@ -395,10 +396,10 @@ ORACLE_SQL = {
     "resolve_ids": "SELECT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'u-' || p_name || p_partkey END AS ref, p_partkey FROM part",
     "point_lookup": "SELECT c_custkey, c_name FROM (SELECT DISTINCT o_orderkey % 5000 AS c_custkey FROM orders) LEFT JOIN customer USING (c_custkey)",
     "length_breakdown": "WITH l AS (SELECT list_sort(list(value)) AS v FROM events), c AS (SELECT v[len(v) // 4 + 1] AS a, v[len(v) * 2 // 4 + 1] AS b, v[len(v) * 3 // 4 + 1] AS c FROM l) SELECT CASE WHEN value >= c THEN 3 WHEN value >= b THEN 2 WHEN value >= a THEN 1 ELSE 0 END AS bucket, count(*) AS n, round(avg(CAST(event_id AS DOUBLE)), 6) AS mean FROM events, c GROUP BY 1",
-    "localised": "SELECT doc_id AS qid, min(k) AS rank FROM documents, (VALUES (1), (2), (3)) v(k) WHERE contains(lower(substr(text, (k - 1) * 300 + 1, 300)), 'the') GROUP BY 1",
+    "localised": "SELECT doc_id AS qid, CAST(min(k) AS INT) AS rank FROM (SELECT doc_id, text, unnest(range(1, (length(text) + 299) // 300 + 1)) AS k FROM documents) WHERE contains(lower(substr(text, (k - 1) * 300 + 1, 300)), 'the') GROUP BY 1",
     "named_hits": "SELECT o_orderkey, CASE WHEN c_name IS NULL THEN 'book ' || o_custkey % 200 ELSE c_name END AS title, coalesce(c_mktsegment, '') AS authors FROM orders LEFT JOIN customer ON c_custkey = o_custkey % 200 AND c_custkey % 2 = 0",
     "regressions": f"WITH {_HITS} SELECT qid FROM n LEFT JOIN g USING (qid) WHERE qid % 2 = 0 AND coalesce(first, 0) <> 1",
-    "passage_scores": "WITH h AS (SELECT doc_id, k AS rank, (k - 1) * 400 AS a, k * 400 AS b FROM documents, (VALUES (1),(2),(3),(4)) v(k) WHERE n_chars > 0), l AS (SELECT doc_id, s, e FROM documents, (VALUES (100, 500), (900, 950)) v(s, e) WHERE n_chars > 0) SELECT l.doc_id || '-' || s AS label_id, min(rank) AS rank FROM h JOIN l USING (doc_id) WHERE least(b, e) - greatest(a, s) > 0 AND least(b, e) - greatest(a, s) >= 0.3::DOUBLE * (e - s) GROUP BY 1",
+    "passage_scores": "WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), h AS (SELECT doc_id, k AS rank, (k - 1) * 400 AS a, k * 400 AS b FROM (SELECT doc_id, unnest(range(1, (n + 399) // 400 + 1)) AS k FROM d)), l AS (SELECT DISTINCT doc_id, s, e FROM (SELECT doc_id, 100 AS s, 500 AS e FROM d UNION ALL SELECT doc_id, n // 2, n // 2 + 50 FROM d WHERE n // 2 <> 100)) SELECT l.doc_id || '-' || s AS label_id, CAST(min(rank) AS INT) AS rank FROM h JOIN l USING (doc_id) WHERE least(b, e) - greatest(a, s) > 0 AND least(b, e) - greatest(a, s) >= 0.3::DOUBLE * (e - s) GROUP BY 1",
     "coverage_split": "SELECT event_type, CASE WHEN event_id % 3 > 0 THEN event_id % 3 END AS grade, count(*) AS n FROM events GROUP BY ALL",
     "floor_sweep": "SELECT floor, CAST(count(*) FILTER (value < floor AND event_type = 'click') AS BIGINT) AS flagged_good, CAST(count(*) FILTER (value < floor AND event_type <> 'click') AS BIGINT) AS flagged_bad FROM events, (VALUES (1.0::DOUBLE), (5.0::DOUBLE), (20.0::DOUBLE)) f(floor) GROUP BY floor",
     "back_matter_trap": f"WITH {_HITS}, f AS (SELECT qid, min(rank) FILTER (item % 4 = 0) AS f FROM hits GROUP BY qid) SELECT qid, CAST(count(*) FILTER (item % 4 <> 0 AND (f IS NULL OR rank < f)) AS BIGINT) AS non_body_above FROM hits JOIN f USING (qid) GROUP BY qid",
@@ -409,7 +410,7 @@ ORACLE_SQL = {
     "opened_hits": "WITH s AS (SELECT * FROM events WHERE event_type = 'view'), r AS (SELECT * FROM events WHERE event_type = 'click'), m AS (SELECT s.event_id AS search_id, r.event_id AS read_id, r.ts, k.rank FROM s JOIN (VALUES (1),(2),(3),(4),(5),(6),(7),(8)) k(rank) ON true JOIN r ON r.user_id = s.user_id AND r.event_id % 20 = (s.event_id + k.rank) % 20 AND r.ts >= s.ts AND r.ts < s.ts + INTERVAL 86400 SECOND) SELECT search_id, arg_min(read_id, (ts, read_id, rank)) AS read_id, arg_min(rank, (ts, read_id, rank)) AS rank FROM m GROUP BY 1",
     "attribution": r"""WITH t AS (SELECT 'p' || page_id AS key, html AS text FROM pages UNION ALL SELECT 'd' || doc_id, text FROM documents), u AS (SELECT key, coalesce(text, '') || CASE WHEN ends_with(key, '7') THEN ' ISBN, the author; buy it' ELSE '' END AS t FROM t)
  SELECT key, regexp_matches(t, '(?i)\bISBN\b|\b97[89][\d\s-]{10,17}\b') AND regexp_matches(t, '(?i)\b(author|by|edition)\b|—\s*[A-ZА-ЯЁ]') AND regexp_matches(t, '(?i)\b(buy|purchase|consider buying|own the book|support the author|acquire)\b') AS ok FROM u""",
-    "proposals": """WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'report.pdf' ELSE 'Work ' || p_partkey % 700 END AS title, p_partkey % 4 > 0 AS has_publisher FROM part WHERE p_partkey % 7 = 0)
+    "proposals": """WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'report.pdf' ELSE 'Work ' || p_partkey % 700 END AS title, p_partkey % 4 > 0 AS has_publisher FROM part)
  SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 1 THEN 0.3 ELSE 0.99 END WHEN id % 2 = 1 AND id % 5 = 0 THEN 0.3 ELSE 0.95 END::DOUBLE AS confidence, id % 2 = 1 AND (id % 3 = 0 OR id % 5 = 0) AS mismatch,
   CASE WHEN id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'Late' WHEN id % 5 = 0 THEN 'Another Thing Entirely' ELSE 'report.pdf revised' END END AS title, CAST(NULL AS VARCHAR) AS authors,
   CASE WHEN NOT has_publisher THEN 'Press' END AS publisher, CAST(NULL AS VARCHAR) AS pubdate, CAST(NULL AS VARCHAR) AS series, CAST(NULL AS VARCHAR) AS isbn FROM b""",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import isbn as isbns
 from lectern.functions import text as tx
 from lectern.functions import titles
-from lectern.operators import audits, etl, index, languages, outlines, spans, stemming, structure
+from lectern.operators import audits, etl, index, languages, matter, outlines, spans, stemming, structure
 from lectern.operators import snippets as snippet_windows
 from lectern.sources import readers
 
@@ -115,14 +115,16 @@ def chapter_numbers(spark, sf_dir):
 
 
 def matter_kinds(spark, sf_dir):
-    """What each text would be as the first passage of a book."""
-
-    @F.pandas_udf("string")
-    def kind(bodies):
-        return bodies.map(lambda b: structure.matter_kind(b or "", 0.05, False))
-
-    said = F.when(F.col("book_id") % 9 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\nAll rights reserved."))).otherwise(F.col("text"))
-    return _books(spark, sf_dir).select("book_id", kind(said).alias("kind"))
+    """Passages made of each text by nine recipes: its words as index entries, as citations, under a heading, in front, or the text as it is."""
+    shape = F.col("doc_id") % 9
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{L}+)"), 1), 1, 40)
+    entries = F.array_join(F.transform(words, lambda w, i: F.concat(w, F.lit(", "), (i + 1).cast("string"))), "\n")
+    cited = F.array_join(F.transform(F.slice(words, 1, 12), lambda w: F.concat(w, F.lit(" (1999) by"))), "\n")
+    few = F.array_join(F.slice(words, 1, 2), "\n")
+    body = F.when(shape == 1, entries).when(shape.isin(2, 4), cited).when(shape == 3, F.concat(F.lit("References\n"), cited)).when(shape.isin(5, 6), few).when(shape == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\nAll rights reserved."))).otherwise(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), body.alias("body"), F.when(shape == 0, 0.02).when(shape.isin(1, 2, 6), 0.95).otherwise(0.5).alias("position"), (shape == 5).alias("front"), F.when(shape == 6, "Index").alias("heading"))
+    told = matter.with_kind(docs.withColumn("above", titles.matter_titles("heading")), "body", F.col("position"), F.col("front"), "above")
+    return told.select("book_id", F.col("matter_kind").alias("kind"), "strong")
 
 
 def captions(spark, sf_dir):
@@ -159,11 +161,15 @@ def language_ids(spark, sf_dir):
     return docs.select("book_id", etl.detected_language("text").alias("lang"), etl.detected_language("head").alias("head_lang"))
 
 
+_FORMS = (("walking", "walk"), ("painted", "paint"), ("jumps", "jump"), ("relational", "relat"), ("happiness", "happi"), ("книги", "книг"), ("книгой", "книг"), ("работали", "работа"), ("важностью", "важност"), ("api_v2", "api_v2"), ("camelCase", "camelcase"), ("Ponies", "poni"))
+
+
 def stem_counts(spark, sf_dir):
-    """As many stems as tokens, all in lower case."""
-    s = stemming.stems("text", F.lit(None).cast("string"))
-    out = _books(spark, sf_dir).select("book_id", s.alias("s"))
-    return out.select("book_id", F.size("s").cast("long").alias("n"), F.forall("s", lambda x: x == F.lower(x)).alias("low"))
+    """Stems of a text of word forms, in an order that differs from text to text, and as many stems as words in the texts themselves."""
+    n = len(_FORMS)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), "text", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(F.array(*(F.lit(f) for f, _ in _FORMS)), (i * 5 + F.col("doc_id")) % n)).alias("forms"))
+    out = docs.select("book_id", stemming.stems(F.array_join("forms", ", "), F.lit(None).cast("string")).alias("f"), stemming.stems("text", F.lit(None).cast("string")).alias("s"))
+    return out.select("book_id", F.array_join("f", " ").alias("stems"), F.size("s").cast("long").alias("n"))
 
 
 def snippets(spark, sf_dir):
@@ -173,7 +179,7 @@ def snippets(spark, sf_dir):
     body = F.when(F.col("w.start") > 0, F.expr("substring(w.text, 2)")).otherwise(F.col("w.text"))
     word = r"(?i)(?<![\p{L}\p{N}_])(orre|hehely|inoran)(?![\p{L}\p{N}_])"
     same = F.expr("substring(text, w.start + 1, 300)") == body
-    return docs.select("book_id", F.when(F.length("text") <= 300, F.length(body)).alias("n"), ((F.length(body) >= 200) | (F.length("text") <= 300)).alias("wide"), same.alias("inside"), F.when(F.col("text").rlike(word), body.rlike(word)).alias("hit"))
+    return docs.select("book_id", F.when(F.length("text") <= 300, F.length(body)).alias("n"), ((F.length(body) >= 200) | (F.length("text") <= 300)).alias("wide"), same.alias("inside"), F.when(F.col("text").rlike(word), body.rlike(r"(?i)(?<![\p{L}\p{N}_])(orr|hehe|inoran)")).alias("hit"))  # other forms of the words count
 
 
 def html_texts(spark, sf_dir):
@@ -291,11 +297,13 @@ ORACLE_SQL = {
     "page_texts": "SELECT doc_id AS book_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS page, unnest(string_split(text, chr(10))) AS text FROM documents",
     "chapters": f"WITH {_PARTS}, o AS (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS e FROM c) SELECT conv_id, 'structural' AS source, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS number, substr(h, 4) AS title, CAST(e - length(p) AS INT) AS char_start, e AS char_end FROM o",
     "chapter_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 2, 4) THEN CAST(p_partkey % 90 + 1 AS INT) END AS number FROM part",
-    "matter_kinds": "SELECT doc_id AS book_id, CASE WHEN doc_id % 9 = 0 OR regexp_matches(coalesce(text, ''), '(?i)all rights reserved|\\bISBN\\b|printed in|library of congress|все права защищены') THEN 'back_other' ELSE 'body' END AS kind FROM documents",
+    "matter_kinds": r"""WITH w AS (SELECT doc_id, doc_id % 9 AS k, least(len(regexp_extract_all(coalesce(text, ''), '\p{L}+')), 40) AS n FROM documents),
+ t AS (SELECT doc_id AS book_id, CASE WHEN k = 0 THEN 'back_other' WHEN k = 1 AND n >= 8 THEN 'back_index' WHEN k = 2 AND n >= 4 OR k = 3 AND least(n, 12) >= greatest(4, 0.3 * (least(n, 12) + 1)) THEN 'back_biblio' WHEN k = 5 THEN 'front' WHEN k = 6 THEN 'back_index' ELSE 'body' END AS kind FROM w)
+ SELECT book_id, kind, kind IN ('back_other', 'back_index', 'front') AS strong FROM t""",
     "captions": "SELECT p_partkey, CAST(p_partkey % 50 AS VARCHAR) AS label, 'The ' || p_name || ' of some sort.' AS caption FROM part UNION ALL SELECT p_partkey, CAST(p_partkey % 50 + 60 AS VARCHAR), '' FROM part",
     "isbn_extract": "WITH s AS (SELECT p_partkey, '978' || lpad(CAST(p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS s FROM part) SELECT p_partkey, CASE WHEN i = '9780306406157' THEN '' ELSE i END AS isbns FROM (SELECT p_partkey, s || CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(s, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 AS INT) AS i FROM s)",
     "language_ids": _LANGUAGES_SQL,
-    "stem_counts": "SELECT doc_id AS book_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+')) AS BIGINT) AS n, true AS low FROM documents",
+    "stem_counts": f"SELECT doc_id AS book_id, array_to_string(list_transform(range(0, {len(_FORMS)}), lambda i: [{', '.join(repr(x) for _, x in _FORMS)}][CAST((i * 5 + doc_id) % {len(_FORMS)} AS BIGINT) + 1]), ' ') AS stems, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+')) AS BIGINT) AS n FROM documents",
     "snippets": r"SELECT doc_id AS book_id, CASE WHEN length(text) <= 300 THEN length(text) END AS n, true AS wide, true AS inside, CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(orre|hehely|inoran)($|[^\p{L}\p{N}_])') THEN true END AS hit FROM documents WHERE text IS NOT NULL",
     "html_texts": """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\\b.*?</script\\s*>', ' ', 'gis'), '<style\\b.*?</style\\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs') AS t FROM pages),
  b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<(br|/p|/h[1-6]|/li|/div)\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM a),

@@ -93,10 +93,13 @@ def keyword_plan_prune(spark, sf_dir):
 
 
 def match_build(spark, sf_dir):
-    """The terms of some typed queries without statistics."""
-    queries = ("running dogs", "c++ and node.js.", "книги ёлка", "api_v2 camelCase", '"the end" of it', "!?")
+    """The terms of some typed queries without statistics, each with how many documents and how many places of the stored index hold it."""
+    queries = ("running dogs", "c++ and node.js.", "книги ёлка", "api_v2 camelCase", '"the end" of it', "!?", "la de que")
     rows = [(q, i, t.text) for q in queries for i, t in enumerate(keyword.match_terms(q).terms)]
-    return spark.createDataFrame(rows, "query string, place int, term string")
+    terms = spark.createDataFrame(rows, "query string, place int, term string")
+    wanted = sorted({t for *_, t in rows})
+    held = index_of(spark, sf_dir).postings.where(F.col("term").isin(*wanted)).groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.sum("tf").alias("places"))
+    return terms.join(F.broadcast(held), "term", "left").select("query", "place", "term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("places", F.lit(0)).cast("long").alias("places"))
 
 
 def _halves(spark, sf_dir):
@@ -244,7 +247,8 @@ ORACLE_SQL = {
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY body DESC, score, doc_id) AS k FROM pool) WHERE k = 1),
  quota AS (SELECT *, coalesce(sum(CAST(body AS INT)) OVER (ORDER BY score, book_id, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM best)
  SELECT book_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY quota.score, book_id, doc_id) AS INT) AS rank FROM quota WHERE seen < 20""",
-    "match_build": "SELECT * FROM (VALUES ('running dogs', 0, 'run'), ('running dogs', 1, 'dog'), ('c++ and node.js.', 0, 'c'), ('c++ and node.js.', 1, 'and'), ('c++ and node.js.', 2, 'node'), ('c++ and node.js.', 3, 'js'), ('c++ and node.js.', 4, 'c++'), ('c++ and node.js.', 5, 'c++.'), ('c++ and node.js.', 6, 'node.js'), ('c++ and node.js.', 7, 'node.js.'), ('книги ёлка', 0, 'книг'), ('книги ёлка', 1, 'елк'), ('api_v2 camelCase', 0, 'api_v2'), ('api_v2 camelCase', 1, 'camelcase'), ('\"the end\" of it', 0, 'the'), ('\"the end\" of it', 1, 'end'), ('\"the end\" of it', 2, 'of'), ('\"the end\" of it', 3, 'it')) AS m(query, place, term)",
+    "match_build": f"""WITH {_COLUMNS}, m AS (SELECT * FROM (VALUES ('running dogs', 0, 'run'), ('running dogs', 1, 'dog'), ('c++ and node.js.', 0, 'c'), ('c++ and node.js.', 1, 'and'), ('c++ and node.js.', 2, 'node'), ('c++ and node.js.', 3, 'js'), ('c++ and node.js.', 4, 'c++'), ('c++ and node.js.', 5, 'c++.'), ('c++ and node.js.', 6, 'node.js'), ('c++ and node.js.', 7, 'node.js.'), ('книги ёлка', 0, 'книг'), ('книги ёлка', 1, 'елк'), ('api_v2 camelCase', 0, 'api_v2'), ('api_v2 camelCase', 1, 'camelcase'), ('"the end" of it', 0, 'the'), ('"the end" of it', 1, 'end'), ('"the end" of it', 2, 'of'), ('"the end" of it', 3, 'it'), ('la de que', 0, 'la'), ('la de que', 1, 'de'), ('la de que', 2, 'que')) AS m(query, place, term)), h AS (SELECT term, count(DISTINCT doc_id) AS df, CAST(sum(tf) AS BIGINT) AS places FROM post GROUP BY term)
+ SELECT query, place, term, coalesce(df, 0) AS df, coalesce(places, 0) AS places FROM m LEFT JOIN h USING (term)""",
     "bm25_search": f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score, doc_id LIMIT 10",
     "keyword_plan_prune": f"WITH {_COLUMNS}, d AS (SELECT q.term, count(post.doc_id) AS df FROM (VALUES ('tion'),('the'),('and'),('hand'),('thing')) q(term) LEFT JOIN post ON post.term = q.term AND post.col = 'body' GROUP BY q.term) SELECT term, df, df <= 0.5 * (SELECT count(*) FROM documents) AS kept FROM d",
     "rrf_fuse": f"{_HALVES} SELECT id, round(fused, 8) AS fused FROM fused",
