@@ -16,12 +16,24 @@ def page(df: DataFrame, key: str, sort: str, descending: bool = False, offset: i
     return df.orderBy(first, key).offset(offset).limit(limit)
 
 
+def checked_pattern(spark, pattern: str) -> str:
+    """A user's pattern as it is; ValueError if the engine that will run it can't read it, before a job starts."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
+    except (Py4JJavaError, PySparkException) as e:
+        raise ValueError(f"not a pattern: {pattern}") from e
+    return pattern
+
+
 def facets(df: DataFrame, column: str, pattern: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
     """(value, n) of a scalar or array column, most frequent first; ``pattern`` keeps the values that match, in either case."""
     if pattern is not None:
         if len(pattern) > 200:
             raise ValueError("a pattern has more than 200 characters")
-        re.compile(pattern)
+        checked_pattern(df.sparkSession, pattern)
     values = F.explode(column) if df.schema[column].dataType.typeName() == "array" else F.col(column)
     out = df.select(values.alias("value")).where(F.col("value").isNotNull())
     if pattern is not None:

@@ -113,3 +113,19 @@ def book_sections(books: DataFrame, entries: DataFrame, units: DataFrame, book:
     total = books.select(book, F.length(text).alias("_total"))
     tree = nested(ordered(found, book).join(total, book), book, "_total").drop("_total", "seq")
     return kinds_of(tree, units, book)
+
+
+def outline_ranges(entries: DataFrame, books: DataFrame, book: str, text: str = "text") -> DataFrame:
+    """What ``placed`` takes from an outline (book, seq, title, page, level): an entry's page; texts without page breaks have none."""
+    parts = books.select(book, F.posexplode(F.split(text, "\f")).alias("_p", "_t"), F.length(text).alias("_n"))
+    order = Window.partitionBy(book).orderBy("_p")
+    lo = F.coalesce(F.sum(F.length("_t") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    pages = parts.select(book, (F.col("_p") + 1).alias("page"), lo.alias("lo"), F.least(lo + F.length("_t") + 1, "_n").alias("hi"), F.count("*").over(Window.partitionBy(book)).alias("_of")).where("_of > 1").drop("_of")
+    return entries.join(pages, [book, "page"], "left").select(book, "seq", "title", "level", "lo", "hi", F.lit(True).alias("snaps"))
+
+
+def contents_ranges(entries: DataFrame, anchors: DataFrame, books: DataFrame, book: str, text: str = "text") -> DataFrame:
+    """What ``placed`` takes from a table of contents (book, seq, title, level, href, fragment) and where its documents start (book, href, start)."""
+    ends = F.lead("start").over(Window.partitionBy(book).orderBy("start"))
+    ranges = anchors.join(books.select(book, F.length(text).alias("_n")), book).select(book, "href", F.col("start").alias("lo"), F.coalesce(ends, "_n").alias("hi"))
+    return entries.join(ranges, [book, "href"], "left").select(book, "seq", "title", "level", "lo", "hi", (F.coalesce("fragment", F.lit("")) != "").alias("snaps"))

@@ -34,10 +34,15 @@ def section_paths(points: DataFrame, sections: DataFrame, book: str, at: str, ke
 
 
 def pages(units: DataFrame, book: str, start: str, text: str) -> DataFrame:
-    """Page at each unit's start: form feeds in the book's units before it, plus one."""
+    """Page at each unit's start: form feeds in the book's units before it, plus one; null in a book without any.
+
+    Where the units before do not join up to the start (a gap, or an overlap), how many lie before it isn't known: null.
+    """
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\f"), F.lit("")))
     w = Window.partitionBy(book).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
-    return units.withColumn("page", F.coalesce(F.sum(breaks).over(w), F.lit(0)) + 1)
+    covered, reached = F.coalesce(F.sum(F.length(text)).over(w), F.lit(0)), F.coalesce(F.max(F.col(start) + F.length(text)).over(w), F.lit(0))
+    known = (covered == F.col(start)) & (reached == F.col(start)) & (F.sum(breaks).over(Window.partitionBy(book)) > 0)
+    return units.withColumn("page", F.when(known, F.coalesce(F.sum(breaks).over(w), F.lit(0)) + 1))
 
 
 def page_starts(bookmarks: DataFrame, texts: DataFrame, book: str, page: str, text: str) -> DataFrame:

@@ -43,6 +43,16 @@ def best_per_book(scored: DataFrame, book: str, unit: str, body: Column | None =
     return scored.groupBy(book).agg(F.max_by(F.struct(*carried), rank).alias("_best")).select(book, *(F.col(f"_best.{c}").alias(c) for c in carried))
 
 
+def library_topk(scored: DataFrame, book: str, unit: str, k: int, body: str | None = None) -> DataFrame:
+    """Each book's best row with its rank from 1, until k books with a body row are reached; a k below one still gives one book."""
+    from pyspark.sql import Window
+
+    rows = scored if body else scored.withColumn("_is_body", F.lit(True))
+    order = [F.col("score").desc(), F.col(book)]
+    kept = body_quota(best_per_book(rows, book, unit, F.col(body or "_is_body")), max(1, k), body or "_is_body", order)
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_is_body")
+
+
 def body_quota(ranked: DataFrame, k: int, body: str, order: Sequence[Column]) -> DataFrame:
     """Rows in order until k body rows are reached; other rows between them stay."""
     from pyspark.sql import Window

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import figures, phrases, sections
+from lectern.sources import books
 from lectern.streaming import pipelines
 
 from .retrieval import QUERY_TERMS
@@ -141,7 +142,43 @@ def layout_captions(spark, sf_dir):
     return figures.recovered(p.select("p_partkey", F.lit("1.5").alias("label")), lines, ["p_partkey"]).select("p_partkey", "caption")
 
 
-QUERIES = {f.__name__: f for f in (incremental_bm25, incremental_totals, phrase_search, phrase_places, stream_index, section_tree, figure_match, pictures, layout_captions)}
+def _book_files(spark, sf_dir) -> DataFrame:
+    """Conversations as the files of a book: container, package, a document for each turn, and a table of contents in the newer form, the older, or both.
+
+    Every odd turn's entry stands below the one before and has a fragment; of every seventh conversation the newer table is empty.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    id_ = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    href = F.concat(id_, F.lit(".xhtml"), F.when(F.col("turn") % 2 == 1, F.concat(F.lit("#f"), "turn")).otherwise(""))
+    title = F.concat_ws(" ", "role", "turn")
+    link = F.concat(F.lit('<li><a href="../text/'), href, F.lit('">'), title, F.lit(" </a></li>"))
+    nav = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("<ol>"), link, F.lit("</ol>"))).otherwise(link)
+    point = F.concat(F.lit("<navPoint><navLabel><text>"), title, F.lit('</text></navLabel><content src="text/'), href, F.lit('"/></navPoint>'))
+    ncx = F.when(F.col("turn") % 2 == 1, F.concat(F.lit('<navPoint><navLabel><text> </text></navLabel>'), point, F.lit("</navPoint>"))).otherwise(point)
+    item, ref = F.concat(F.lit('<item id="'), id_, F.lit('" href="text/'), id_, F.lit('.xhtml" media-type="x"/>')), F.concat(F.lit('<itemref idref="'), id_, F.lit('"/>'))
+    made = F.struct("turn", nav.alias("nav"), ncx.alias("ncx"), item.alias("item"), ref.alias("ref"))
+    whole = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(made)).alias("t"))
+    joined = lambda name: F.array_join(F.transform("t", lambda x: x[name]), "")
+    has_nav = F.col("conv_id") % 3 > 0
+    nav_item = F.when(has_nav, '<item id="n" href="nav/nav.xhtml" properties="scripted nav"/>').otherwise("")
+    opf = F.concat(F.lit("<package><manifest>"), joined("item"), nav_item, F.lit('<item id="x" href="toc.ncx"/></manifest><spine toc="x">'), joined("ref"), F.lit('<itemref idref="gone"/></spine></package>'))
+    nav_page = F.concat(F.lit('<nav epub:type="landmarks"><ol><li><a href="../text/t0.xhtml">Start</a></li></ol></nav><nav epub:type="toc"><ol>'), F.when(F.col("conv_id") % 7 == 0, "").otherwise(joined("nav")), F.lit("</ol></nav>"))
+    file = lambda path, content: F.struct(F.lit(path).alias("path"), content.alias("content"))
+    listed = whole.select("conv_id", F.explode(F.array(file("META-INF/container.xml", F.lit('<container><rootfile full-path="OEBPS/book.opf"/></container>')), file("OEBPS/book.opf", opf), file("OEBPS/nav/nav.xhtml", nav_page), file("OEBPS/toc.ncx", F.concat(F.lit("<ncx><navMap>"), joined("ncx"), F.lit("</navMap></ncx>"))))).alias("f")).select("conv_id", "f.path", "f.content")
+    safe = F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " ")
+    pages = c.select("conv_id", F.concat(F.lit("OEBPS/text/t"), "turn", F.lit(".xhtml")).alias("path"), F.concat(F.lit("<html><body><p>"), safe, F.lit("</p></body></html>")).alias("content"))
+    return listed.unionByName(pages)
+
+
+def book_contents(spark, sf_dir):
+    """Tables of contents of the files of books, each entry with the place of its document in the spine and the length of that document."""
+    files = _book_files(spark, sf_dir)
+    parts = books.packages(files, "conv_id")
+    spine = books.spine_documents(files, parts, "conv_id").select("conv_id", "href", "page", F.length("html").alias("n"))
+    return books.contents_table(files, parts, "conv_id").join(spine, ["conv_id", "href"], "left").select("conv_id", "source", "seq", "title", "level", "href", "fragment", "page", "n")
+
+
+QUERIES = {f.__name__: f for f in (incremental_bm25, incremental_totals, phrase_search, phrase_places, stream_index, section_tree, figure_match, pictures, layout_captions, book_contents)}
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_+#.\-]+')"
 _DOCS = f"d AS MATERIALIZED (SELECT doc_id, lang, {_TOKENS} AS t FROM documents), tot AS (SELECT count(*) AS n, avg(len(t)) AS m FROM d)"
@@ -201,4 +238,8 @@ ORACLE_SQL = {
   CASE WHEN length(line) <= 300 THEN trim(substr(line, length('Figure 2.' || (turn + 1) || ':') + 1)) END AS caption FROM n""",
     "layout_captions": """WITH p AS (SELECT p_partkey, p_partkey % 4 AS shape, list_transform(string_split(regexp_replace(p_name, '[^a-z ]', 'x', 'g'), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)) AS w FROM part)
  SELECT p_partkey, CASE shape WHEN 0 THEN w[1] || coalesce(' ' || w[2], '') || ' and ' || coalesce(w[3], 'more') WHEN 1 THEN w[1] || ' ' || coalesce(w[2], 'more') END AS caption FROM p""",
+    "book_contents": """WITH s AS (SELECT conv_id, conv_id % 3 > 0 AND conv_id % 7 <> 0 AS nav FROM conversations GROUP BY conv_id),
+ c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+ SELECT conv_id, CASE WHEN nav THEN 'nav' ELSE 'ncx' END AS source, CAST(k AS INT) AS seq, role || ' ' || turn AS title, CAST(CASE WHEN turn % 2 = 1 THEN 2 ELSE 1 END AS INT) AS level, 'OEBPS/text/t' || turn || '.xhtml' AS href,
+  CASE WHEN turn % 2 = 1 THEN 'f' || turn ELSE '' END AS fragment, CAST(k + 1 AS INT) AS page, CAST(length(coalesce(text, '')) + 33 AS INT) AS n FROM c JOIN s USING (conv_id)""",
 }

@@ -184,9 +184,10 @@ def section_end(spark, sf_dir):
 
 
 def page_numbers(spark, sf_dir):
-    """Turns as passages whose line ends stand for page breaks."""
+    """Turns as passages whose line ends stand for page breaks; every ninth conversation lacks its second turn, so later pages are unknown."""
     turns = _turns(spark, sf_dir, text=True).withColumn("text", F.translate("text", "\n", "\f"))
-    return spans.pages(turns.where("n > 0"), "conv_id", "char_start", "text").select("conv_id", "turn", "page")
+    there = (F.col("n") > 0) & ~((F.col("conv_id") % 9 == 0) & (F.col("turn") == 1))
+    return spans.pages(turns.where(there), "conv_id", "char_start", "text").select("conv_id", "turn", "page")
 
 
 def opened_passage(spark, sf_dir):
@@ -260,7 +261,10 @@ ORACLE_SQL = {
     "section_majority": f"WITH {_TURNS}, {_SECTIONS}, c AS (SELECT s.section, t.role, sum(least(t.char_end, s.e) - greatest(t.char_end - t.n, s.a)) AS covered, min(t.char_end - t.n) AS f FROM sec s JOIN turns t ON t.conv_id = s.conv_id AND t.char_end - t.n < s.e AND t.char_end > s.a GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY covered DESC, f) AS k FROM c) SELECT section, coalesce(role, 'body') AS kind FROM r WHERE k = 1",
     "section_path": f"WITH {_TURNS}, {_SECTIONS}, p AS (SELECT conv_id, turn, role, CAST(floor((2 * char_end - n) / 2) AS BIGINT) AS o FROM turns WHERE n > 0) SELECT p.conv_id, p.turn, s.section || ' > ' || concat_ws(' ', p.role, p.turn) AS path FROM p JOIN sec s ON s.conv_id = p.conv_id AND p.o >= s.a AND p.o < s.e",
     "section_end": f"WITH {_TURNS}, h AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS level, char_end - n AS a, max(char_end) OVER (PARTITION BY conv_id) AS total FROM turns WHERE n > 0) SELECT x.conv_id, x.turn, CAST(coalesce(min(y.a), min(x.total)) AS BIGINT) AS char_end FROM h x LEFT JOIN h y ON y.conv_id = x.conv_id AND y.a > x.a AND y.level <= x.level GROUP BY 1, 2",
-    "page_numbers": "WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE length(text) > 0) SELECT conv_id, turn, CAST(coalesce(sum(length(text) - length(replace(text, chr(10), ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS page FROM t",
+    "page_numbers": """WITH a AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM conversations),
+ t AS (SELECT *, length(text) - length(replace(text, chr(10), '')) AS b FROM a WHERE length(text) > 0 AND NOT (conv_id % 9 = 0 AND turn = 1)),
+ u AS (SELECT *, coalesce(sum(b) OVER w, 0) AS before, coalesce(sum(length(text)) OVER w, 0) AS covered, sum(b) OVER (PARTITION BY conv_id) AS every FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT conv_id, turn, CAST(CASE WHEN covered = s AND every > 0 THEN before + 1 END AS BIGINT) AS page FROM u""",
     "opened_passage": f"WITH {_TURNS}, p AS (SELECT conv_id, unnest(range(0, CAST(max(char_end) AS BIGINT) + 1, 700)) AS o FROM turns GROUP BY conv_id) SELECT p.conv_id, CAST(p.o AS BIGINT) AS \"at\", CAST(max(t.char_end - t.n) AS BIGINT) AS opened FROM p LEFT JOIN turns t ON t.conv_id = p.conv_id AND t.char_end - t.n <= p.o AND p.o - (t.char_end - t.n) <= 400 GROUP BY 1, 2",
     "reranked": f"""{_HALVES}, p AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS fused, CASE WHEN id % 7 = 0 THEN 'strong' WHEN id % 5 = 0 THEN 'weak' ELSE 'body' END AS tier, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS pairs FROM v),
  u AS (SELECT *, sum(CASE WHEN tier = 'strong' THEN 0 ELSE pairs END) OVER (ORDER BY fused DESC, id ROWS UNBOUNDED PRECEDING) <= 25 AND tier <> 'strong' AS inside FROM p),

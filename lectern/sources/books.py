@@ -12,6 +12,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote
 
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 
 class _Events(HTMLParser):
     def __init__(self) -> None:
@@ -192,3 +196,72 @@ def page_words(markup: str) -> tuple[float, float, list[tuple[float, float, floa
             words.append((*box, html.unescape(name)))
             box = None
     return (*size, words) if size else None
+
+
+# Tables of many books' files: (book, path, content) rows in, typed rows out.
+
+CONTAINER = "META-INF/container.xml"
+
+
+def _rows(df: DataFrame, keys: list[str], columns: list[str], fn, schema: str) -> DataFrame:
+    """Rows (keys, *fn(columns of a row)) under a schema of what fn gives."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = [(*r[: len(keys)], *x) for r in b[[*keys, *columns]].itertuples(index=False, name=None) for x in fn(*r[len(keys) :])]
+            yield pd.DataFrame(rows, columns=[*keys, *names])
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, *columns).mapInPandas(run, f"{kinds}, {schema}")
+
+
+def packages(files: DataFrame, book: str) -> DataFrame:
+    """(book, kind, position, href): the spine's documents in reading order, and where the tables of contents (nav, ncx) are.
+
+    A book without a container, or whose container names no file of it, has no rows.
+    """
+    named = _rows(files.where(F.col("path") == CONTAINER).where("content is not null"), [book], ["content"], lambda x: [(package_path(x),)], "path string")
+    found = files.join(named.where("path is not null"), [book, "path"]).where("content is not null")
+
+    def parts(opf: str, path: str):
+        p = package(opf, path)
+        yield from (("spine", i, href) for i, href in enumerate(p["spine"]))
+        yield from ((kind, 0, p[kind]) for kind in ("nav", "ncx") if p[kind])
+
+    return _rows(found, [book], ["content", "path"], parts, "kind string, position int, href string")
+
+
+def spine_documents(files: DataFrame, parts: DataFrame, book: str) -> DataFrame:
+    """(book, page, href, html) of the documents of the spine; page counts from 1, and those that are missing keep theirs."""
+    spine = parts.where("kind = 'spine'").select(book, (F.col("position") + 1).alias("page"), "href")
+    return spine.join(files.select(book, F.col("path").alias("href"), F.col("content").alias("html")), [book, "href"]).select(book, "page", "href", "html")
+
+
+def contents_table(files: DataFrame, parts: DataFrame, book: str) -> DataFrame:
+    """(book, source, seq, title, level, href, fragment) of each book's table of contents: the navigation document's, unless it gives nothing."""
+    listed = parts.where("kind in ('nav', 'ncx')").select(book, "kind", F.col("href").alias("path"))
+    rows = listed.join(files, [book, "path"]).where("content is not null")
+
+    def entries(kind: str, markup: str, path: str):
+        found = nav_entries(markup, path) if kind == "nav" else ncx_entries(markup, path)
+        return [(kind, i, *e) for i, e in enumerate(found)]
+
+    every = _rows(rows, [book], ["kind", "content", "path"], entries, "kind string, seq int, title string, level int, href string, fragment string")
+    first = F.min(F.when(F.col("kind") == "nav", 0).otherwise(1)).over(Window.partitionBy(book))
+    return every.withColumn("_first", first).where(F.col("_first") == F.when(F.col("kind") == "nav", 0).otherwise(1)).drop("_first").withColumnRenamed("kind", "source")
+
+
+def outline_entries(df: DataFrame, book: str, xml: str) -> DataFrame:
+    """(book, seq, title, page, level) of the outlines that converters print."""
+    return _rows(df.where(F.col(xml).isNotNull()), [book], [xml], lambda x: [(i, *e) for i, e in enumerate(outline(x))], "seq int, title string, page int, level int")
+
+
+def word_table(pages: DataFrame, keys: list[str], markup: str) -> DataFrame:
+    """(keys, seq, width, height, x0, y0, x1, y1, text): the words of a page with their boxes."""
+
+    def words(x: str):
+        if found := page_words(x):
+            yield from ((i, *found[:2], *w) for i, w in enumerate(found[2]))
+
+    return _rows(pages.where(F.col(markup).isNotNull()), keys, [markup], words, "seq int, width double, height double, x0 double, y0 double, x1 double, y1 double, text string")
