@@ -34,9 +34,12 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Segment:
+    """``main`` is the table that has a row for each key; ``rows`` counts it."""
+
     name: str
     gen: int
     rows: int
+    main: str = ""
 
 
 @dataclass(frozen=True)
@@ -149,7 +152,7 @@ class Table:
             by = self.layout.get(table)
             laid = df.repartitionByRange(*by).sortWithinPartitions(*by, self.key) if by else df
             laid.write.option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/segments/{name}/{table}")
-        return Segment(name, gen, self.spark.read.parquet(f"{self.folder}/segments/{name}/{count}").count())
+        return Segment(name, gen, self.spark.read.parquet(f"{self.folder}/segments/{name}/{count}").count(), count)
 
     def commit(self, tables: dict[str, DataFrame] | None = None, removed: DataFrame | None = None, facts: Callable[[Snapshot, Segment | None, DataFrame], dict[str, int]] | None = None, base: Snapshot | None = None, batch: tuple[str, int] | None = None) -> Snapshot:
         """Replaces all rows of the keys in ``tables`` (the first of them has a row for each key) and removes those of ``removed``.
@@ -180,7 +183,7 @@ class Table:
         segments = (*base.segments, segment) if segment and segment.rows else base.segments
         return self._publish(Snapshot(gen, segments, graves if segments else (), known, base.batches | dict([batch] if batch else [])))
 
-    def merge(self, fanout: int = FANOUT, tables: Sequence[str] | None = None, everything: bool = False) -> Snapshot:
+    def merge(self, fanout: int = FANOUT, everything: bool = False) -> Snapshot:
         """Rewrites ``fanout`` or more segments of one size class as one, until no class has so many; or all, with ``everything``."""
         at = self.snapshot()
         while True:
@@ -191,11 +194,10 @@ class Table:
             if not full and not (everything and at.graves):
                 return at
             chosen = full[0] if full else list(at.segments)
-            names = tables or self._listed(f"segments/{chosen[0].name}")
-            names = [n for n in names if not n.startswith((".", "_"))]
+            names = [n for n in self._listed(f"segments/{chosen[0].name}") if not n.startswith((".", "_"))]
             live = {n: reduce(DataFrame.unionByName, self._live(n, chosen, at.graves)) for n in names}
             # The merged rows outlived all graves so far; later ones still hide them.
-            merged = self._write(live, at.number, names[0])
+            merged = self._write(live, at.number, chosen[0].main)
             rest = tuple(s for s in at.segments if s not in chosen)
             segments = (*rest, merged) if merged.rows else rest
             oldest = min((s.gen for s in segments), default=at.number)
