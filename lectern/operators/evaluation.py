@@ -184,6 +184,13 @@ def stratified(items: DataFrame, key: str, stratum: str, each: int) -> DataFrame
     return items.withColumn("_r", turn).where(F.col("_r") <= each).drop("_r")
 
 
+def leave_one_out(rows: DataFrame, metric: str, *group: str) -> DataFrame:
+    """Rows with ``without``: the mean of the metric over all other rows of the group; null for a lone one."""
+    totals = rows.groupBy(*group).agg(F.sum(metric).alias("_s"), F.count(metric).alias("_n"))
+    both = rows.join(totals, list(group)) if group else rows.join(F.broadcast(totals))
+    return both.withColumn("without", (F.col("_s") - F.coalesce(metric, F.lit(0.0))) / F.nullif(F.col("_n") - F.col(metric).isNotNull().cast("long"), F.lit(0))).drop("_s", "_n")
+
+
 def spans_matched(hits: DataFrame, labels: DataFrame, query: str = "qid", least: float = 0.3) -> DataFrame:
     """(qid, label_id, rank): the first hit of a label's book whose span covers ``least`` of the label's span."""
     lab = labels.select(query, "label_id", "book_id", F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))

@@ -60,24 +60,29 @@ class Library:
     def update(self, books: DataFrame, embed: bool = False, force: bool = False, removed: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Update:
         """Brings the index up to date with some books; those in ``removed`` (book_id) go."""
         base = self.table.snapshot()
-        name = f"{self.table.folder}/incoming/{base.number + 1}"
-        # Planned and read once; the commit reads what was planned.
-        self.plan(books, embed, force).write.mode("overwrite").parquet(f"{name}-plan")
-        plan = self.spark.read.parquet(f"{name}-plan")
+        plan = self._staged(self.plan(books, embed, force), base, "plan")
         of = lambda action: plan.where(F.col("action") == action).select("book_id")
-        tables = self._made(books.join(of("replace"), "book_id", "left_semi"), embed)
+        tables = self._made(books.join(of("replace"), "book_id", "left_semi"), embed, base)
         if base.segments:
             kept = self._refreshed(books.join(of("refresh"), "book_id", "left_semi"), of("refresh"), base)
             tables = {k: tables[k].unionByName(kept[k]) for k in tables}
         tables["postings"] = phrases.postings(tables["chunks"], "chunk_id", COLUMNS, ["book_id"])
         snapshot = self.table.commit(tables, removed, self._facts, base, batch)
+        fs, path = self.table._at(f"incoming/{base.number + 1}/chunks")
+        fs.delete(path, True)
         return Update(snapshot, plan)
 
-    def _made(self, books: DataFrame, embed: bool) -> dict[str, DataFrame]:
+    def _staged(self, df: DataFrame, base: Snapshot, name: str) -> DataFrame:
+        """Written once, as several tables of a commit are made from it."""
+        path = f"{self.table.folder}/incoming/{base.number + 1}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _made(self, books: DataFrame, embed: bool, base: Snapshot) -> dict[str, DataFrame]:
         heads = books.select("book_id", F.coalesce("title", F.lit("")).alias("title"), "last_modified", F.xxhash64("text").alias("content"), etl.detected_language("text").alias("lang"), F.length("text").alias("chars"))
         placed = structure.placed_chunks(books, "book_id", "text", self.budget)
         chunks = self._stemmed(placed.join(heads.select("book_id", "title", "lang"), "book_id").withColumn("body_stem", F.array_join(stemming.stems("body", "lang"), " ")))
-        chunks = chunks.withColumn("chunk_id", F.xxhash64("book_id", "seq"))
+        chunks = self._staged(chunks.withColumn("chunk_id", F.xxhash64("book_id", "seq")), base, "chunks")
         entries = structure.chapter_table(books, "book_id", "text").select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("char_start")).alias("seq"), "title", F.lit(1).alias("level"), "char_start")
         tree = sections.nested(sections.ordered(entries, "book_id").join(heads.select("book_id", "chars"), "book_id"), "book_id", "chars").drop("seq", "chars")
         counts = chunks.groupBy("book_id").agg(F.count("*").alias("chunk_count"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -186,6 +187,12 @@ def pack_of(token: str, language: str | None = None, packs: Sequence[Pack] = PAC
 
 def stem(token: str, language: str | None = None, packs: Sequence[Pack] = PACKS) -> str:
     """A code token (a digit, an underline or an inner capital) is lower-cased only."""
+    return _stem(token, language, tuple(packs))
+
+
+@lru_cache(maxsize=1 << 16)
+def _stem(token: str, language: str | None, packs: tuple[Pack, ...]) -> str:
+    """Texts repeat their words, so a worker keeps the stems it made last."""
     pack = None if _CODE.search(token) else pack_of(token, language, packs)
     return token.lower() if pack is None else pack.stem(token.lower())
 
