@@ -21,6 +21,8 @@ _SIGNALS = ("subtitle", "edition", "title_year", "pub_year")
 
 def work_keys(books: DataFrame) -> DataFrame:
     """Adds ``work`` (null if the title can't be compared) and the signals subtitle, edition, title_year and pub_year."""
+    if {"work", *_SIGNALS} <= set(books.columns):
+        return books  # who needs them twice may keep them
     parts = books.withColumn("_w", titles.work_parts("title", F.coalesce("authors", F.array().cast("array<string>"))))
     return parts.withColumns({"work": F.col("_w.key"), **{c: F.col(f"_w.{c}") for c in _SIGNALS[:3]}, "pub_year": tx.pub_year("pubdate")}).drop("_w")
 
@@ -47,7 +49,7 @@ def similar_members(books: DataFrame) -> DataFrame:
     """
     keyed = work_keys(books).where("work is not null").select("id", "work", *_SIGNALS)
     distinct = keyed.groupBy("work", *_SIGNALS).agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    several = keyed.groupBy("work").agg(F.count("*").alias("_n")).where("_n > 1").select("work")
+    shared = distinct.withColumn("_all", F.sum("n").over(Window.partitionBy("work"))).where("_all > 1").drop("_all")
 
     def clusters(rows: pd.DataFrame) -> pd.DataFrame:
         found = rows.astype(object).where(rows.notna(), None).to_dict("records")
@@ -59,13 +61,12 @@ def similar_members(books: DataFrame) -> DataFrame:
                 homes.append([])
             homes[home].append(r)
             r["part"] = home
-        return pd.DataFrame(found, columns=["work", *_SIGNALS, "part"])
+        size = [sum(r["n"] for r in h) for h in homes]
+        return pd.DataFrame([r for r in found if size[r["part"]] > 1], columns=["work", *_SIGNALS, "part"])
 
-    parts = distinct.join(several, "work", "left_semi").groupBy("work").applyInPandas(clusters, "work string, subtitle string, edition int, title_year int, pub_year int, part int")
+    parts = shared.groupBy("work").applyInPandas(clusters, "work string, subtitle string, edition int, title_year int, pub_year int, part int")
     placed = keyed.alias("a").join(parts.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("work", *_SIGNALS)])
-    placed = placed.select(F.concat_ws("\u0001", "a.work", F.col("b.part").cast("string")).alias("group"), "a.id")
-    again = placed.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select("group")
-    return placed.join(again, "group").select("group", "id")
+    return placed.select(F.concat_ws("\u0001", "a.work", F.col("b.part").cast("string")).alias("group"), "a.id")
 
 
 def scored_groups(members: DataFrame, books: DataFrame) -> DataFrame:

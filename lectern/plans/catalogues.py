@@ -79,15 +79,14 @@ def merge_safety(spark, sf_dir):
 
 def _editions(spark, sf_dir):
     """Works whose titles name their first or second edition in four ways, with accents, asides and capitals, or name none."""
-    k = F.col("p_partkey")
+    k = F.col("id")
     n, e = (k % 151).cast("string"), (k % 3 + 1).cast("int")
     suffix, word = F.when(e == 1, "st").otherwise("nd"), F.when(e == 1, "first").otherwise("second")
     form = k % 4
     title = F.when(e == 3, F.concat(F.lit("The Work W"), n)).when(form == 0, F.concat(F.lit("The Work w"), n, F.lit(", "), e.cast("string"), suffix, F.lit(" Edition")))
     title = title.when(form == 1, F.concat(F.lit("WORK W"), n, F.lit(" "), e.cast("string"), F.lit("e [print PDF]"))).when(form == 2, F.concat(F.lit("Wörk w"), n, F.lit(" edition "), e.cast("string")))
     title = title.otherwise(F.concat(F.lit("Work w"), n, F.lit(" - "), word, F.lit(" ed. (2nd printing)")))
-    titled = table(spark, sf_dir, "part").select(k.alias("id"), title.alias("t"))
-    return _books(spark, sf_dir).join(titled, "id").withColumns({"title": F.col("t"), "pubdate": F.lit(None).cast("string"), "authors": F.array(F.lit("Ann Writer"))}).drop("t")
+    return _books(spark, sf_dir).withColumns({"title": title, "pubdate": F.lit(None).cast("string"), "authors": F.array(F.lit("Ann Writer"))})
 
 
 def dup_similar(spark, sf_dir):
