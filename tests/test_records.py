@@ -121,7 +121,7 @@ def test_recent_errors(spark, tmp_path):
     rng, t0 = random.Random(7), datetime(2024, 1, 1)
     schema, rings, batches = "pid long, code string, ts timestamp", {}, []
     clock = 0
-    for _ in range(4):
+    for _ in range(3):
         rows = []
         for _ in range(30):
             clock += 1

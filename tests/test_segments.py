@@ -23,7 +23,7 @@ def frame(spark, rows):
 def test_random_commits_and_merges_keep_the_last_rows(spark, tmp_path):
     rng = random.Random(5)
     table, plain, old = Table(spark, str(tmp_path / "t"), "k"), {}, {}
-    for i in range(9):
+    for i in range(6):
         changed = {rng.randrange(30): [f"{i}-{n}" for n in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 8))}
         gone = {rng.randrange(30) for _ in range(rng.randint(0, 4))} - set(changed)
         at = table.commit({"rows": frame(spark, [(k, v) for k, vs in changed.items() for v in vs])}, frame(spark, [(k, None) for k in gone]) if gone else None)
