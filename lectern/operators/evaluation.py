@@ -199,6 +199,12 @@ def spans_matched(hits: DataFrame, labels: DataFrame, query: str = "qid", least:
     return met.groupBy(query, "label_id").agg(F.min("rank").alias("rank"))
 
 
+def figures_matched(hits: DataFrame, labels: DataFrame, query: str = "qid") -> DataFrame:
+    """(qid, label_id, rank): the first hit that is a label's figure (book_id, index); null if none is."""
+    met = labels.join(hits.select(query, "book_id", "index", "rank"), [query, "book_id", "index"], "left")
+    return met.groupBy(query, "label_id").agg(F.min("rank").alias("rank"))
+
+
 def localised(hits: DataFrame, labels: DataFrame, query: str = "qid") -> DataFrame:
     """(qid, rank): the first passage that overlaps the label's span and holds its marker text, in either case."""
     lab = labels.select(query, "book_id", "marker", F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))

@@ -369,3 +369,37 @@ def pictures(docs: DataFrame, book: str, html: str = "html") -> DataFrame:
     read = rows.withColumn("_c", _caption("_text", F.coalesce(F.col("_tag").isin(*_CAPTION_ELEMENTS), F.lit(False))))
     index = F.row_number().over(Window.partitionBy(book).orderBy("page", "at")) - 1
     return read.select(book, index.alias("index"), "page", "at", "file", "source", "width", "height", "_c.label", "_c.caption")
+
+
+# Search of figures.
+
+WEIGHTS = {"caption_stem": 1.0, "caption": 1.0, "book_meta": 0.5}
+
+
+def units(figures: DataFrame, book: str, meta: DataFrame | None = None) -> DataFrame:
+    """(figure, book, index, caption, caption_stem, book_meta) of captioned figures, ready for an index; ``meta`` (book, title, lang) names their books."""
+    from . import stemming
+
+    named = figures.where(F.coalesce("caption", F.lit("")) != "")
+    if meta is None:
+        named = named.withColumns({"title": F.lit(""), "lang": F.lit(None).cast("string")})
+    else:
+        named = named.join(meta.select(book, "title", "lang"), book, "left")
+    stem = lambda c: F.array_join(stemming.stems(c, "lang"), " ")
+    titled = named.withColumn("title", F.coalesce("title", F.lit("")))
+    return titled.select(F.concat_ws(":", book, "index").alias("figure"), book, "index", "caption", stem("caption").alias("caption_stem"), stem("title").alias("book_meta"))
+
+
+def search(figures: DataFrame, terms: list, k: int, weights: dict[str, float] | None = None, allow: DataFrame | None = None) -> DataFrame:
+    """(figure, score, rank) of the k best figures (as ``units`` gives them) by BM25 over captions and books; ``allow`` names books."""
+    from . import keyword
+
+    weights = weights or WEIGHTS
+    size = sum((F.size(keyword.terms_of(c)) for c in list(weights)[1:]), F.size(keyword.terms_of(next(iter(weights)))))
+    facts = figures.select(size.alias("n")).agg(F.count("*").alias("t"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("m")).first()
+    scored = keyword.bm25(keyword.postings(figures, "figure", list(weights)), "figure", terms, facts.t, facts.m, weights)
+    if allow is not None:
+        book = next(c for c in figures.columns if c in allow.columns)
+        scored = scored.join(figures.join(allow, book, "left_semi").select("figure"), "figure", "left_semi")
+    best = scored.orderBy(*keyword.by_score("figure")).limit(max(k, 0))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*keyword.by_score("figure"))))

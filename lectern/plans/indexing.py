@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import figures, phrases, sections
+from lectern.operators import evaluation, figures, phrases, sections
 from lectern.sources import books
 from lectern.streaming import pipelines
 
@@ -128,6 +128,28 @@ def pictures(spark, sf_dir):
     return figures.pictures(docs, "conv_id").select("conv_id", "page", "file", "source", "width", "height", "label", "caption")
 
 
+FIGURE_TERMS = ("la", "of", "de", "user")
+
+
+def _scored_figures(spark, sf_dir) -> DataFrame:
+    """Captioned pictures of conversations as units; the roles of a conversation's turns name its book."""
+    found = pictures(spark, sf_dir).select("conv_id", F.col("page").alias("index"), "caption")
+    meta = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_set("role")), " ").alias("title")).withColumn("lang", F.lit(None).cast("string"))
+    return figures.units(found, "conv_id", meta)
+
+
+def figure_search(spark, sf_dir):
+    """The 25 best figures for some words, by their captions and, for half, their books; and where the labels of a judge are among them."""
+    units = _scored_figures(spark, sf_dir)
+    best = figures.search(units, list(FIGURE_TERMS), 25, {"caption": 1.0, "book_meta": 0.5})
+    hits = best.join(units.select("figure", F.col("conv_id").alias("book_id"), "index"), "figure").withColumn("qid", F.lit(1))
+    labels = hits.where("rank % 4 = 0").select("qid", "book_id", "index").union(hits.where("rank = 1").select("qid", "book_id", (F.col("index") + 1000).alias("index")))
+    labels = labels.withColumn("label_id", F.concat_ws("-", "book_id", "index"))
+    judged = evaluation.figures_matched(hits, labels).select("label_id", F.col("rank").alias("label_rank"))
+    named = hits.withColumn("label_id", F.concat_ws("-", "book_id", "index"))
+    return named.join(judged, "label_id", "full_outer").select("label_id", F.round("score", 8).alias("score"), "rank", "label_rank")
+
+
 def layout_captions(spark, sf_dir):
     """Parts as pages: a label whose caption stands beside it, below it as a narrow column, or at two labels in two ways."""
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 4).alias("shape"), F.initcap(F.regexp_replace("p_name", "[^a-z ]", "x")).alias("name"))
@@ -178,7 +200,7 @@ def book_contents(spark, sf_dir):
     return books.contents_table(files, parts, "conv_id").join(spine, ["conv_id", "href"], "left").select("conv_id", "source", "seq", "title", "level", "href", "fragment", "page", "n")
 
 
-QUERIES = {f.__name__: f for f in (incremental_bm25, incremental_totals, phrase_search, phrase_places, stream_index, section_tree, figure_match, pictures, layout_captions, book_contents)}
+QUERIES = {f.__name__: f for f in (incremental_bm25, incremental_totals, phrase_search, phrase_places, stream_index, section_tree, figure_match, pictures, layout_captions, book_contents, figure_search)}
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_+#.\-]+')"
 _DOCS = f"d AS MATERIALIZED (SELECT doc_id, lang, {_TOKENS} AS t FROM documents), tot AS (SELECT count(*) AS n, avg(len(t)) AS m FROM d)"
@@ -198,6 +220,14 @@ _PHRASES = " UNION ALL ".join(f"SELECT doc_id, '{p}' AS p, len({_places(p)}) AS
 _IN = lambda ps: "(" + ", ".join(f"'{p}'" for p in ps) + ")"
 _TURNS = "turns AS (SELECT conv_id, turn, role, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS e, length(text) + 1 AS n FROM conversations)"
 
+_PICTURES = r"""WITH t AS (SELECT conv_id, turn, 'Figure 2.' || (turn + 1) || ': ' || regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g') AS whole, regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g') AS x,
+   length('<' || CASE WHEN turn % 2 = 0 THEN 'p' ELSE 'figcaption' END || '><b>Figure 2.' || (turn + 1) || '</b>: ') AS lead FROM conversations),
+ s AS (SELECT *, 'Figure 2.' || (turn + 1) || ': ' || substr(x, 1, 2000 - lead) AS seen FROM t),
+ n AS (SELECT *, trim(regexp_replace(seen, '\s+', ' ', 'g')) AS line FROM s)
+ SELECT conv_id, CAST(turn + 1 AS INT) AS page, CASE WHEN turn % 3 = 2 THEN 'i/a.svg' ELSE 'i/' || turn || '.png' END AS file, CASE WHEN turn % 3 = 2 THEN 'svg-render' ELSE 'raster' END AS source,
+  CASE WHEN turn % 3 < 2 THEN 20 END AS width, CASE WHEN turn % 3 < 2 THEN 30 END AS height, CASE WHEN length(line) <= 300 THEN '2.' || (turn + 1) END AS label,
+  CASE WHEN length(line) <= 300 THEN trim(substr(line, length('Figure 2.' || (turn + 1) || ':') + 1)) END AS caption FROM n"""
+
 ORACLE_SQL = {
     "incremental_bm25": f"""WITH {_DOCS}, w AS (SELECT doc_id, unnest(t) AS term FROM d), p AS (SELECT doc_id, term, count(*) AS f FROM w WHERE term IN ('tion', 'the', 'and', 'hand', 'thing') GROUP BY ALL),
  q AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM p) SELECT doc_id, round(-{_TERM}, 8) AS score FROM q JOIN d USING (doc_id), tot GROUP BY doc_id""",
@@ -229,17 +259,19 @@ ORACLE_SQL = {
    UNION ALL SELECT w.conv_id, w.k + 1, coalesce(m.line + 1, w.cursor), m.line FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.k = w.k + 1
    LEFT JOIN LATERAL (SELECT min(p.line) AS line FROM pairs p WHERE p.conv_id = w.conv_id AND p.k = w.k + 1 AND p.line >= w.cursor) m ON true)
  SELECT w.conv_id, CAST(e.turn AS INT) AS entry, CAST(w.line AS INT) AS line FROM walk w JOIN e USING (conv_id, k) WHERE w.line IS NOT NULL""",
-    "pictures": r"""WITH t AS (SELECT conv_id, turn, 'Figure 2.' || (turn + 1) || ': ' || regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g') AS whole, regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g') AS x,
-   length('<' || CASE WHEN turn % 2 = 0 THEN 'p' ELSE 'figcaption' END || '><b>Figure 2.' || (turn + 1) || '</b>: ') AS lead FROM conversations),
- s AS (SELECT *, 'Figure 2.' || (turn + 1) || ': ' || substr(x, 1, 2000 - lead) AS seen FROM t),
- n AS (SELECT *, trim(regexp_replace(seen, '\s+', ' ', 'g')) AS line FROM s)
- SELECT conv_id, CAST(turn + 1 AS INT) AS page, CASE WHEN turn % 3 = 2 THEN 'i/a.svg' ELSE 'i/' || turn || '.png' END AS file, CASE WHEN turn % 3 = 2 THEN 'svg-render' ELSE 'raster' END AS source,
-  CASE WHEN turn % 3 < 2 THEN 20 END AS width, CASE WHEN turn % 3 < 2 THEN 30 END AS height, CASE WHEN length(line) <= 300 THEN '2.' || (turn + 1) END AS label,
-  CASE WHEN length(line) <= 300 THEN trim(substr(line, length('Figure 2.' || (turn + 1) || ':') + 1)) END AS caption FROM n""",
+    "pictures": _PICTURES,
     "layout_captions": """WITH p AS (SELECT p_partkey, p_partkey % 4 AS shape, list_transform(string_split(regexp_replace(p_name, '[^a-z ]', 'x', 'g'), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)) AS w FROM part)
  SELECT p_partkey, CASE shape WHEN 0 THEN w[1] || coalesce(' ' || w[2], '') || ' and ' || coalesce(w[3], 'more') WHEN 1 THEN w[1] || ' ' || coalesce(w[2], 'more') END AS caption FROM p""",
     "book_contents": """WITH s AS (SELECT conv_id, conv_id % 3 > 0 AND conv_id % 7 <> 0 AS nav FROM conversations GROUP BY conv_id),
  c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
  SELECT conv_id, CASE WHEN nav THEN 'nav' ELSE 'ncx' END AS source, CAST(k AS INT) AS seq, role || ' ' || turn AS title, CAST(CASE WHEN turn % 2 = 1 THEN 2 ELSE 1 END AS INT) AS level, 'OEBPS/text/t' || turn || '.xhtml' AS href,
   CASE WHEN turn % 2 = 1 THEN 'f' || turn ELSE '' END AS fragment, CAST(k + 1 AS INT) AS page, CAST(length(coalesce(text, '')) + 33 AS INT) AS n FROM c JOIN s USING (conv_id)""",
+    "figure_search": f"""WITH pics AS ({_PICTURES}), roles AS (SELECT conv_id, string_agg(DISTINCT role, ' ' ORDER BY role) AS title FROM conversations GROUP BY 1),
+ u AS (SELECT conv_id, page, {_TOKENS.replace('text', 'caption')} AS c, {_TOKENS.replace('text', 'title')} AS m FROM pics JOIN roles USING (conv_id) WHERE coalesce(caption, '') <> ''),
+ tot AS (SELECT count(*) AS n, avg(len(c) + len(m)) AS m FROM u), w AS (SELECT conv_id, page, unnest(c) AS term, 1.0::DOUBLE AS x FROM u UNION ALL SELECT conv_id, page, unnest(m), 0.5 FROM u),
+ p AS (SELECT conv_id, page, term, sum(x) AS f FROM w WHERE term IN {FIGURE_TERMS} GROUP BY ALL), q AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM p),
+ s AS (SELECT conv_id, page, -{_TERM.replace('len(t) / m', '(len(c) + len(u.m)) / tot.m')} AS score FROM q JOIN u USING (conv_id, page), tot GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9), conv_id || ':' || page) AS rank FROM s QUALIFY rank <= 25)
+ SELECT conv_id || '-' || page AS label_id, round(score, 8) AS score, CAST(rank AS INT) AS rank, CAST(CASE WHEN rank % 4 = 0 THEN rank END AS INT) AS label_rank FROM r
+ UNION ALL SELECT conv_id || '-' || (page + 1000), NULL, NULL, NULL FROM r WHERE rank = 1""",
 }
