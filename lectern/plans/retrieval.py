@@ -102,11 +102,16 @@ def match_build(spark, sf_dir):
     return terms.join(F.broadcast(held), "term", "left").select("query", "place", "term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("places", F.lit(0)).cast("long").alias("places"))
 
 
-def _halves(spark, sf_dir):
+def _vector_half(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     v = vectors.vector_topk(e, _query_vector(e), fusion.POOL, "vec_id", "embedding").select(F.col("vec_id").alias("id"), "score")
+    return fusion.ranked(v, F.col("score").desc(), "id")
+
+
+def _halves(spark, sf_dir):
+    """Both halves; who needs vectors only takes that half, as this one builds the keyword index."""
     k = _bm25(spark, sf_dir).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score")).orderBy("score", "id").limit(fusion.POOL)
-    return fusion.ranked(v, F.col("score").desc(), "id"), fusion.ranked(k, "score", "id")
+    return _vector_half(spark, sf_dir), fusion.ranked(k, "score", "id")
 
 
 def rrf_fuse(spark, sf_dir):
@@ -120,18 +125,18 @@ def hybrid_search(spark, sf_dir):
 
 
 def admit_prefix(spark, sf_dir):
-    v, _ = _halves(spark, sf_dir)
+    v = _vector_half(spark, sf_dir)
     return fusion.admitted(v.withColumn("pairs", F.when(F.col("id") % 3 == 0, 2).otherwise(1)), "pairs", ["rank"]).select("id", "rank")
 
 
 def confidence(spark, sf_dir):
-    v, _ = _halves(spark, sf_dir)
+    v = _vector_half(spark, sf_dir)
     out = fusion.low_confidence(v.select(F.col("score").alias("cosine"), (F.lit(1.0) / (1 + F.col("rank"))).alias("rerank"), (F.col("id") % 2 == 0).alias("body")))
     return out.select(F.round("max_cosine", 6).alias("max_cosine"), F.round("max_rerank", 6).alias("max_rerank"), "low_confidence")
 
 
 def body_quota(spark, sf_dir):
-    v, _ = _halves(spark, sf_dir)
+    v = _vector_half(spark, sf_dir)
     return vectors.body_quota(v.withColumn("body", F.col("id") % 3 == 0), 5, "body", [F.col("rank")]).select("id", "rank")
 
 
@@ -199,7 +204,7 @@ def opened_passage(spark, sf_dir):
 
 def reranked(spark, sf_dir):
     """The vector half after a stand-in scorer, with second passages, tiers and a small budget."""
-    v, _ = _halves(spark, sf_dir)
+    v = _vector_half(spark, sf_dir)
     tier = F.when(F.col("id") % 7 == 0, "strong").when(F.col("id") % 5 == 0, "weak").otherwise("body")
     pool = v.select("id", (F.lit(1.0) / (60 + F.col("rank"))).alias("fused"), F.col("id").cast("string").alias("text"), F.when(F.col("id") % 3 == 0, (F.col("id") + 1).cast("string")).alias("alt_text"), tier.alias("tier"))
     out = fusion.reranked(pool, lambda q, ps: [(int(p) * 37 % 101) / 25 - 2 for p in ps], "q", 30, ["id"], limit=25)
