@@ -1,7 +1,7 @@
 """Keyword index and BM25 ranking.
 
-``postings`` is the index: (unit, col, term, tf, len).  ``stored`` writes it sorted by
-term, so a search reads the row groups of its few terms only.  A query is planned on the
+``postings`` is the index: (unit, col, term, tf, len).  ``stored`` writes it in runs sorted by
+term, so a search reads the pages of its few terms only.  A query is planned on the
 driver from its own words and their document frequencies, never from a text.
 """
 
@@ -29,18 +29,82 @@ def terms_of(column: str, token: str = TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(f"({token})"), 1)
 
 
-def postings(df: DataFrame, unit: str, columns: Sequence[str], token: str = TOKEN) -> DataFrame:
-    """(unit, col, term, tf, len): terms in lower case by column; len counts the tokens of all columns of the unit."""
-    listed = df.select(unit, *(terms_of(c, token).alias(f"_t{i}") for i, c in enumerate(columns)))
-    length = sum((F.size(f"_t{i}") for i in range(1, len(columns))), F.size("_t0"))
+# Tokens that one run of postings is made from: what a task holds at a time.
+RUN_TOKENS = 1 << 21
+
+
+def _run(batches: list, rows: int, columns: Sequence[str], keys: Sequence[str], target, places: bool):
+    """The postings of some units as batches sorted by term and unit, one for each column."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    whole = pa.Table.from_batches(batches).combine_chunks()
+    lists = [(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c) for c in (whole.column(f"_t{i}") for i in range(len(columns)))]
+    sizes = [pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists]
+    length = sum(sizes)
+    for name, terms, size in zip(columns, lists, sizes):
+        known = terms.flatten().dictionary_encode()
+        if not len(known):
+            continue
+        codes, names = known.indices.to_numpy(), known.dictionary
+        by_name = np.empty(len(names), np.int64)
+        by_name[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        starts = np.cumsum(size) - size
+        key = by_name[codes] * rows + np.repeat(np.arange(rows), size)
+        order = np.argsort(key, kind="stable")  # so places stay in order
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.append(first, len(key))
+        unit = key[first] % rows
+        made = {k: whole.column(k).take(pa.array(unit)).combine_chunks() for k in keys}
+        made |= {"col": pa.array([name]).take(pa.array(np.zeros(len(first), np.int32))), "term": names.take(pa.array(codes[order[first]])), "len": pa.array(length[unit]), "tf": pa.array(np.diff(ends))}
+        if places:
+            at = (order - np.repeat(starts, size)[order]).astype(np.int32)
+            made["positions"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at))
+        arrays = [made[f.name].chunk(0) if isinstance(made[f.name], pa.ChunkedArray) else made[f.name] for f in target]
+        yield pa.RecordBatch.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(arrays, target)], schema=target)
+
+
+def counted(df: DataFrame, keys: Sequence[str], columns: Sequence[str], token: str, places: bool) -> DataFrame:
+    """(keys, col, term, len, tf, positions) of units, one a row: all terms of a unit are in its row, so nothing is shuffled.
+
+    A task makes its rows in runs of about RUN_TOKENS tokens, each sorted by column, term and unit; so a table of them that is
+    written as it is tells a search by the bounds of its row groups and pages which few hold a term.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    listed = df.select(*keys, *(terms_of(c, token).alias(f"_t{i}") for i, c in enumerate(columns)))
+    more = [T.StructField("positions", T.ArrayType(T.IntegerType(), False))] if places else []
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("col", T.StringType()), T.StructField("term", T.StringType()), T.StructField("len", T.IntegerType()), T.StructField("tf", T.LongType()), *more])
+    names = list(columns)
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        target = to_arrow_schema(schema)
+        held, rows, tokens = [], 0, 0
+        for batch in batches:
+            at = 0
+            ends = sum(pc.list_value_length(batch.column(f"_t{i}")).to_numpy(zero_copy_only=False).astype("int64") for i in range(len(names))).cumsum() if batch.num_rows else []
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                stop = min(max(at + 1, int(ends.searchsorted(before + RUN_TOKENS - tokens, "right"))), batch.num_rows)
+                held.append(batch.slice(at, stop - at))
+                rows, tokens, at = rows + stop - at, tokens + int(ends[stop - 1]) - before, stop
+                if tokens >= RUN_TOKENS or at < batch.num_rows:
+                    yield from _run(held, rows, names, keys, target, places)
+                    held, rows, tokens = [], 0, 0
+        if held:
+            yield from _run(held, rows, names, keys, target, places)
+
+    return listed.mapInArrow(run, schema)
 
-    def named(column: str):
-        return lambda t: F.struct(F.lit(column).alias("col"), t.alias("term"))
 
-    rows = F.flatten(F.array(*(F.transform(f"_t{i}", named(c)) for i, c in enumerate(columns))))
-    # The terms are made once, below the generator; their number must not be derived above it, row by row.
-    one = listed.select(unit, length.alias("len"), rows.alias("_rows")).select(unit, "len", F.explode("_rows").alias("r"))
-    return one.groupBy(unit, F.col("r.col").alias("col"), F.col("r.term").alias("term"), "len").agg(F.count("*").alias("tf"))
+def postings(df: DataFrame, unit: str, columns: Sequence[str], token: str = TOKEN) -> DataFrame:
+    """(unit, col, term, tf, len): terms in lower case by column; len counts the tokens of all columns of the unit."""
+    return counted(df, [unit], columns, token, False).select(unit, "col", "term", "len", "tf")
 
 
 @dataclass(frozen=True)
@@ -59,12 +123,13 @@ class Index:
 
 
 def stored(df: DataFrame, unit: str, columns: Sequence[str], folder: str, token: str = TOKEN) -> Index:
-    """Writes the postings, sorted by term, and each unit's length; units without a token count too."""
+    """Writes the postings, in runs sorted by term, and how many units and tokens there are; units without a token count too."""
     spark = df.sparkSession
     rows = postings(df, unit, columns, token)
-    rows.repartitionByRange("term", "col").sortWithinPartitions("term", "col", unit).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
-    lengths = df.select(sum((F.size(terms_of(c, token)) for c in columns[1:]), F.size(terms_of(columns[0], token))).cast("long").alias("n"))
-    lengths.agg(F.count("*").alias("total"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean_len")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+    rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+    tokens = spark.read.schema(rows.schema).parquet(f"{folder}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"))
+    facts = df.agg(F.count("*").alias("total")).crossJoin(F.broadcast(tokens))  # one row each
+    facts.select("total", F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0).alias("mean_len")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
     return opened(spark, unit, folder, rows.schema)
 
 

@@ -39,16 +39,8 @@ class Phrase:
 
 def postings(df: DataFrame, unit: str, columns: Sequence[str], carry: Sequence[str] = (), token: str = keyword.TOKEN) -> DataFrame:
     """(unit, carry, col, term, tf, len, positions): places count from 0 in each column; len counts the tokens of all columns."""
-    listed = df.select(unit, *carry, *(keyword.terms_of(c, token).alias(f"_t{i}") for i, c in enumerate(columns)))
-    length = sum((F.size(f"_t{i}") for i in range(1, len(columns))), F.size("_t0"))
-
-    def placed(column: str):
-        return lambda t, i: F.struct(F.lit(column).alias("col"), t.alias("term"), i.alias("at"))
-
-    rows = F.flatten(F.array(*(F.transform(f"_t{i}", placed(c)) for i, c in enumerate(columns))))
-    one = listed.select(unit, *carry, length.alias("len"), rows.alias("_rows")).select(unit, *carry, "len", F.explode("_rows").alias("r"))
-    grouped = one.groupBy(unit, *carry, F.col("r.col").alias("col"), F.col("r.term").alias("term"), "len").agg(F.sort_array(F.collect_list("r.at")).alias("positions"))
-    return grouped.withColumn("tf", F.size("positions").cast("long"))
+    found = keyword.counted(df, [unit, *carry], columns, token, True)
+    return found.select(unit, *carry, "col", "term", "len", "positions", "tf")
 
 
 def _less(n: int):
