@@ -49,29 +49,30 @@ def _less(n: int):
 
 def hits(index: DataFrame, unit: str, phrases: Sequence[Phrase]) -> DataFrame:
     """(unit, col, term, tf, len, starts): where each phrase stands, by column; ``term`` is the phrase's name."""
-    found = []
-    for p in dict.fromkeys(phrases):
-        if not p.words:
-            continue
-        *whole, last = p.words
-        ends = F.col("term").startswith(last) if p.prefix else F.col("term") == last
-        some = index.where((F.col("term").isin(*whole) | ends) if whole else ends)
-        lists = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"_{i}") for i, w in enumerate(whole)]
-        # Of a prefix, all words that begin with it; else one list at most.
-        lists.append(F.flatten(F.collect_list(F.when(ends, F.col("positions")))).alias(f"_{len(whole)}"))
-        by_unit = some.groupBy(unit, "col").agg(F.max("len").alias("len"), *lists)
-        shifted = [F.transform(f"_{i}", _less(i)) for i in range(len(p.words))]
-        starts = shifted[0]
-        for s in shifted[1:]:
-            starts = F.array_intersect(starts, s)
-        rows = by_unit.withColumn("starts", F.sort_array(starts)).where(F.size("starts") > 0)
-        found.append(rows.select(unit, "col", F.lit(p.name).alias("term"), F.size("starts").cast("long").alias("tf"), "len", "starts"))
-    if not found:
+    sought = [p for p in dict.fromkeys(phrases) if p.words]
+    if not sought:
         return index.limit(0).select(unit, "col", "term", "tf", "len", F.col("positions").alias("starts"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    # The lists that some phrase needs: of a word, or of all words that begin with one.
+    needs = list(dict.fromkeys((w, p.prefix and i == len(p.words) - 1) for p in sought for i, w in enumerate(p.words)))
+    is_one = lambda w, prefix: F.col("term").startswith(w) if prefix else F.col("term") == w
+    wanted = F.col("term").isin(*(w for w, prefix in needs if not prefix))
+    for n in (n for n in needs if n[1]):
+        wanted = wanted | is_one(*n)
+    at = {n: f"_{i}" for i, n in enumerate(needs)}
+    lists = [(F.flatten(F.collect_list(F.when(is_one(*n), F.col("positions")))) if n[1] else F.first(F.when(is_one(*n), F.col("positions")), ignorenulls=True)).alias(at[n]) for n in needs]
+    # One pass and one shuffle for all phrases.
+    by_unit = index.where(wanted).groupBy(unit, "col").agg(F.max("len").alias("len"), *lists)
+
+    def starts(p: Phrase):
+        shifted = [F.transform(at[w, p.prefix and i == len(p.words) - 1], _less(i)) for i, w in enumerate(p.words)]
+        out = shifted[0]
+        for s in shifted[1:]:
+            out = F.array_intersect(out, s)
+        return F.sort_array(out)
+
+    each = F.array(*(F.struct(F.lit(p.name).alias("term"), starts(p).alias("starts")) for p in sought))
+    rows = by_unit.select(unit, "col", "len", F.explode(F.filter(each, lambda x: F.size(x["starts"]) > 0)).alias("p"))
+    return rows.select(unit, "col", "p.term", F.size("p.starts").cast("long").alias("tf"), "len", "p.starts")
 
 
 def matching(found: DataFrame, unit: str, all_of: Sequence[Phrase] = (), any_of: Sequence[Phrase] = (), none_of: Sequence[Phrase] = ()) -> DataFrame:
@@ -83,7 +84,8 @@ def matching(found: DataFrame, unit: str, all_of: Sequence[Phrase] = (), any_of:
     kept = conditions[0]
     for c in conditions[1:]:
         kept = kept & c
-    return found.groupBy(unit).agg(kept.alias("_k")).where("_k").select(unit)
+    # ``len`` is read too, so that this and the ranking share one shuffle of the hits.
+    return found.groupBy(unit).agg(kept.alias("_k"), F.max("len").alias("_n")).where("_k and _n is not null").select(unit)
 
 
 def ranked(found: DataFrame, unit: str, phrases: Sequence[Phrase], total: int, mean_len: float, weights: dict[str, float] | None = None) -> DataFrame:

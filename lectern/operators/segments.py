@@ -8,6 +8,7 @@ is written last and never over another, so a commit that meets a newer snapshot
 it began from fails (``Conflict``) and leaves the table as it was, and a reader keeps the
 snapshot it has.  ``merge`` rewrites segments of like size into one, without hidden rows,
 so a table has few segments and each row is rewritten a logarithmic number of times.
+Tables with a layout come sorted in runs and are written as they come, without a shuffle.
 
 Rows of a null key can't be replaced, so they are refused.  Files that no snapshot names stay
 until ``vacuum``.
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FANOUT = 4
+# Keys in graves up to which they are sent to all executors (some 32 MB); more are shuffled with the rows.
+GRAVES = 1 << 21
 
 
 class Conflict(RuntimeError):
@@ -62,7 +65,7 @@ NOTHING = Snapshot(0)
 
 
 class Table:
-    """Tables of one folder that share a key column; ``layout`` names the columns by which a table's rows are sorted."""
+    """Tables of one folder that share a key column; ``layout`` names the columns by which a table's rows come sorted in runs."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str, layout: dict[str, Sequence[str]] | None = None):
         self.spark, self.folder, self.key, self.layout = spark, folder.rstrip("/"), key, layout or {}
@@ -140,17 +143,24 @@ class Table:
                 old.append(rows.withColumn("_gen", F.lit(s.gen)))
         if old:
             hidden = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.folder}/graves/{g.name}").withColumn("_from", F.lit(g.gen)) for g in graves))
+            if self._few(graves):
+                hidden = F.broadcast(hidden)
             rows = reduce(DataFrame.unionByName, old)
             parts.append(rows.join(hidden.withColumnRenamed(self.key, "_key"), (F.col(self.key) == F.col("_key")) & (F.col("_gen") < F.col("_from")), "left_anti").drop("_gen"))
         return parts
 
+    @staticmethod
+    def _few(graves: Sequence[Segment]) -> bool:
+        return sum(g.rows for g in graves) <= GRAVES
+
     # Writing.
 
-    def _write(self, tables: dict[str, DataFrame], gen: int, count: str) -> Segment:
+    def _write(self, tables: dict[str, DataFrame], gen: int, count: str, mixed: bool = False) -> Segment:
+        """One segment; rows of a layout that a join has ``mixed`` are sorted again, each task's by themselves."""
         name = uuid.uuid4().hex[:16]
         for table, df in tables.items():
             by = self.layout.get(table)
-            laid = df.repartitionByRange(*by).sortWithinPartitions(*by, self.key) if by else df
+            laid = df.sortWithinPartitions(*by, self.key) if by and mixed else df
             laid.write.option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/segments/{name}/{table}")
         return Segment(name, gen, self.spark.read.parquet(f"{self.folder}/segments/{name}/{count}").count(), count)
 
@@ -197,7 +207,7 @@ class Table:
             names = [n for n in self._listed(f"segments/{chosen[0].name}") if not n.startswith((".", "_"))]
             live = {n: reduce(DataFrame.unionByName, self._live(n, chosen, at.graves)) for n in names}
             # The merged rows outlived all graves so far; later ones still hide them.
-            merged = self._write(live, at.number, chosen[0].main)
+            merged = self._write(live, at.number, chosen[0].main, not self._few(at.graves))
             rest = tuple(s for s in at.segments if s not in chosen)
             segments = (*rest, merged) if merged.rows else rest
             oldest = min((s.gen for s in segments), default=at.number)

@@ -48,3 +48,45 @@ def test_postings_in_runs(spark, monkeypatch, most):
         for p in {r.p for r in by_task}:
             terms = [r.term.encode() for r in by_task if r.p == p]
             assert terms == sorted(terms)
+
+
+def test_commits_do_not_shuffle_postings(spark, tmp_path, monkeypatch):
+    from lectern.operators import segments
+
+    written = []
+    write = segments.Table._write
+    monkeypatch.setattr(segments.Table, "_write", lambda self, tables, *a: written.append(plan(tables["postings"])) or write(self, tables, *a))
+    index = phrases.Index(spark, f"file://{tmp_path}/ix", "id", "id")
+    rows = lambda *ids: spark.createDataFrame([(i, f"the of the {i} of") for i in ids], "id long, body string")
+    index.commit(rows(*range(20)))
+    index.commit(rows(*range(5)), rows(19).select("id"))
+    assert index.table.snapshot().graves and "BroadcastHashJoin" in plan(index.postings())
+    monkeypatch.setattr(segments, "GRAVES", 0)
+    assert "Broadcast" not in index.postings().hint("merge")._jdf.queryExecution().optimizedPlan().toString().replace("autoBroadcast", "")
+    assert index.postings().where("term = 'the'").count() == 19
+    index.table.merge(everything=True)
+    assert index.postings().where("term = 'the'").count() == 19
+    assert len(written) == 3 and "Exchange" not in written[0] + written[1]
+
+
+def test_phrases_share_one_pass(spark):
+    df = spark.createDataFrame([(1, "the of and the"), (2, "is this for the"), (3, "and the end")], "id long, body string")
+    found = phrases.hits(phrases.postings(df, "id", ["body"]), "id", [phrases.Phrase.of(t) for t in ("the of", "and the", "is th*", "for the", "the")])
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    got = sorted((r.id, r.term, r.tf, r.starts) for r in found.collect())
+    assert got == [(1, "and the", 1, [2]), (1, "the", 2, [0, 3]), (1, "the of", 1, [0]), (2, "for the", 1, [2]), (2, "is th*", 1, [0]), (2, "the", 1, [3]), (3, "and the", 1, [0]), (3, "the", 1, [1])]
+
+
+def test_stream_index_reads_in_parallel(spark, tmp_path):
+    """The stream's files are as many as the tasks that write them."""
+    from lectern.plans import indexing
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")  # noqa: F841
+    made = []
+    keep = indexing.scratch_folder
+    indexing.scratch_folder = lambda s, name: made.append(keep(s, name)) or made[-1]
+    try:
+        rows = indexing.stream_index(spark, f"file://{tmp_path}").collect()
+    finally:
+        indexing.scratch_folder = keep
+    assert rows and len(spark.read.parquet(f"{made[0]}/in").inputFiles()) > 2
