@@ -65,23 +65,26 @@ def phrase_places(spark, sf_dir):
 
 
 def stream_index(spark, sf_dir):
-    """Documents as a stream of book versions, its files one batch each, into an index; each language's share of postings."""
+    """Documents as a stream of book versions, what is there at once as one batch, into an index; each language's share of postings."""
     folder = scratch_folder(spark, "stream")
     books = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.lit(2).cast("long").alias("last_modified"))
     older = books.select("doc_id", F.lit("an older text").alias("body"), F.lit(1).cast("long").alias("last_modified"))
-    older.where("doc_id % 2 = 0").unionByName(books.where("doc_id % 2 = 1")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    older.where("doc_id % 2 = 0").unionByName(books.where("doc_id % 2 = 1")).write.mode("append").parquet(f"{folder}/in")
     index = phrases.Index(spark, f"{folder}/index", "doc_id", "doc_id")
 
     def run():
-        stream = spark.readStream.schema(books.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        stream = spark.readStream.schema(books.schema).parquet(f"{folder}/in")
         pipelines.indexed(stream, index, f"{folder}/checkpoint").awaitTermination()
 
     run()
     # What comes late and older than what is indexed changes nothing.
-    older.where("doc_id % 2 = 1").unionByName(books.where("doc_id % 2 = 0")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    older.where("doc_id % 2 = 1").unionByName(books.where("doc_id % 2 = 0")).write.mode("append").parquet(f"{folder}/in")
     run()
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return index.postings().join(docs, "doc_id").groupBy("lang").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"), F.sum(F.element_at("positions", -1).cast("long")).alias("last_places"))
+    sums = ("postings", "occurrences", "last_places")
+    # A document's sums come first, so no posting is shuffled.
+    own = index.postings().groupBy("doc_id").agg(*(x.alias(n) for x, n in zip((F.count("*"), F.sum("tf"), F.sum(F.element_at("positions", -1).cast("long"))), sums)))
+    return own.join(docs, "doc_id").groupBy("lang").agg(*(F.sum(n).alias(n) for n in sums))
 
 
 def _conversation_texts(spark, sf_dir) -> DataFrame:
