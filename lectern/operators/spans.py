@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,21 +129,33 @@ def encode_offset_map(edits: str = "edits"):
     return F.concat(F.lit("m1:"), F.array_join(one, ","))
 
 
+# Maps that are Python objects at a time.
+ROWS = 64
 _EDITS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("in_start", "in_end", "out_start", "out_end")]))
 
 
-def _decoded(encoded: str) -> list[dict]:
-    numbers = [int(x) for x in encoded.removeprefix("m1:").split(",") if x]
-    out, a, b = [], 0, 0
-    for gap, raw, clean in zip(numbers[::3], numbers[1::3], numbers[2::3]):
-        out.append({"in_start": a + gap, "in_end": a + gap + raw, "out_start": b + gap, "out_end": b + gap + clean})
-        a, b = a + gap + raw, b + gap + clean
-    return out
-
-
-@F.pandas_udf(_EDITS)
-def _decode(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else _decoded(x))
+def _decoded(encoded: pa.Array) -> pa.Array:
+    """Running sums over all triples, and from each the sum before its map began; flat arrays of integers only."""
+    names = [f.name for f in _EDITS.elementType.fields]
+    bodies = [None if x is None else x.removeprefix("m1:") for x in encoded.to_pylist()]
+    flat = np.array(",".join(b for b in bodies if b).split(",") if any(bodies) else [], np.int64).reshape(-1, 3)
+    counts = np.array([0 if not b else (b.count(",") + 1) // 3 for b in bodies], np.int64)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    gap, raw, clean = flat.T
+    columns = []
+    for n in (raw, clean):
+        so_far = np.cumsum(gap + n)
+        base = np.repeat(np.concatenate(([0], so_far))[ends[:-1]], counts)
+        end = so_far - base
+        columns += [end - n, end]
+    structs = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), structs, mask=pa.array([b is None for b in bodies]))
+
+
+@F.arrow_udf(_EDITS)
+def _decode(s: pa.Array) -> pa.Array:
+    parts = [_decoded(s.slice(at, ROWS)) for at in range(0, len(s), ROWS)]
+    return pa.concat_arrays(parts) if parts else _decoded(s)
 
 
 def decode_offset_map(encoded: str = "map"):

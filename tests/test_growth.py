@@ -90,3 +90,22 @@ def test_stream_index_reads_in_parallel(spark, tmp_path):
     finally:
         indexing.scratch_folder = keep
     assert rows and len(spark.read.parquet(f"{made[0]}/in").inputFiles()) > 2
+
+
+def test_arrow_functions_hold_few_rows(spark):
+    """Texts become results slice by slice, in Arrow, whatever a batch holds."""
+    from pyspark.util import PythonEvalType
+
+    from lectern.operators import etl, spans, stemming
+
+    for f in (etl.embedded, etl.encode_vector, etl.decode_vector, stemming.stems, spans._decode):
+        assert f.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    texts = [None if i % 50 == 7 else "" if i % 50 == 8 else "e​" * (i % 5) + f" w{i} running" for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    out = etl.normalised(df, "id", "text").withColumn("map", spans.encode_offset_map("edits")).withColumn("back", spans.decode_offset_map("map"))
+    assert "MapInArrow" in plan(out)
+    out = out.join(df.select("id", stemming.stems("text", F.lit(None).cast("string")).alias("stems"), etl.decode_vector(etl.encode_vector(etl.embedded("text"))).alias("v")), "id")
+    for r in out.collect():
+        clean, edits = (None, []) if texts[r.id] is None else etl.normalise(texts[r.id])
+        assert (r.text, [tuple(e) for e in r.edits], r.back) == (clean, edits, r.edits)
+        assert r.stems == stemming.stem_tokens(texts[r.id] or "") and len(r.v) == etl.DIM
