@@ -219,8 +219,9 @@ def recovered(labels: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame
     line = F.struct("seq", "block", "x0", "y0", "x1", "y1", F.btrim("text").alias("text"))
     bare = F.regexp_replace(F.regexp_extract("text", rf"^\s*{_KEYWORD}\s?(\d\S*?)\s*[.:,]*(?:\s[.:\x{{2013}}\x{{2014}}-])*\s*$", 1), r"[.:,]+$", "")
     on = lines.select(*keys, plain_label(bare).alias("_l"), line.alias("a")).where(F.col("_l") != "")
-    anchors = labels.select(*keys, "label").distinct().withColumn("_l", plain_label(F.regexp_replace("label", r"[.:,]+$", ""))).join(on, [*keys, "_l"]).select(*keys, "label", "a")
-    pairs = anchors.join(lines.select(*keys, line.alias("l")), keys).where(F.col("l.seq") != F.col("a.seq"))
+    anchors = labels.select(*keys, "label").distinct().withColumn("_l", plain_label(F.regexp_replace("label", r"[.:,]+$", ""))).join(on.hint("merge"), [*keys, "_l"]).select(*keys, "label", "a")
+    # Lines may be made from far fewer bytes than they have, so an estimate must not get them broadcast.
+    pairs = anchors.join(lines.select(*keys, line.alias("l")).hint("merge"), keys).where(F.col("l.seq") != F.col("a.seq"))
     height = lambda c: F.col(f"{c}.y1") - F.col(f"{c}.y0")
     sized = (height("l") / height("a")).between(RATIO_LEAST, RATIO_MOST)
     near = lambda p, q: F.abs(F.col(p) - F.col(q)) <= EDGE
@@ -281,7 +282,7 @@ def recovered(labels: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame
     long = F.length("_t") > structure.CAPTION_CHARS
     unique = read.groupBy(*keys, "label").agg(F.collect_set("_t").alias("_s")).where(F.size("_s") == 1).withColumn("_t", F.col("_s")[0])
     mark = F.when(long, F.concat(F.substring("_t", 1, structure.CAPTION_CHARS - 1), F.lit("…"))).otherwise(F.col("_t"))
-    return labels.join(unique.select(*keys, "label", mark.alias("caption")), [*keys, "label"], "left")
+    return labels.join(unique.select(*keys, "label", mark.alias("caption")).hint("merge"), [*keys, "label"], "left")
 
 
 # Pictures of markup documents.
