@@ -16,7 +16,7 @@ from lectern.operators import audits, etl, index, languages, matter, outlines, s
 from lectern.operators import snippets as snippet_windows
 from lectern.sources import readers
 
-from .tables import table
+from .tables import spread, table
 
 WHITE = r"[\x20\x09-\x0D]"
 
@@ -82,7 +82,7 @@ def normalise(spark, sf_dir):
 def markup_rules(spark, sf_dir):
     """Texts with emphasis, escapes, code spans and trailing blanks put in, and taken out again."""
     words = F.regexp_replace("p_name", r"[^a-z ]", "")
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.concat(F.lit("**"), words, F.lit("** and *"), words, F.lit("*, `"), words, F.lit("` 1\\_2  \n\n\n\nend of "), words).alias("text"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("book_id"), F.concat(F.lit("**"), words, F.lit("** and *"), words, F.lit("*, `"), words, F.lit("` 1\\_2  \n\n\n\nend of "), words).alias("text"))
     return etl.normalised(p, "book_id", "text", etl.without_markup).select("book_id", "text")
 
 
@@ -247,7 +247,7 @@ def outline_chapters(spark, sf_dir):
     item = lambda i, t: F.concat(F.lit(f'<item page="{i}">'), t, F.lit("</item>"))
     inner = F.concat(*(item(i, F.concat(F.lit(f"Chapter {i} of "), k)) for i in (3, 5, 7, 9)))
     xml = F.concat(F.lit("<x><outline>"), item(1, F.lit("Cover")), item(2, F.lit("Part I &amp; more")), F.lit("<outline>"), inner, F.lit("</outline>"), item(11, F.lit("Elsewhere")), F.lit("</outline>"))
-    p = table(spark, sf_dir, "part").select("p_partkey", pages.alias("text"), xml.alias("xml"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", pages.alias("text"), xml.alias("xml"))
     return outlines.outline_table(p, "p_partkey", "text", "xml")
 
 

@@ -19,3 +19,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectern"
     return f"{root.rstrip('/')}/plans-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores; for narrow rows from which much more is made, as their few bytes make few tasks.
+
+    The number of parts is given, or Spark would join small ones again.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
