@@ -172,8 +172,18 @@ def add_probe(new: DataFrame, books: DataFrame, most: int = 10) -> DataFrame:
     fits = F.lit(True)
     for s in signals:
         fits = fits & s
-    same = a.alias("a").join(b.alias("b"), (F.col("a.main") == F.col("b.main")) & (F.col("a.main") != "") & fits & (unknown | ((F.col("a.by") == F.col("b.by")) & years)))
-    hits = a.join(b.select("id", "isbn13"), "isbn13").select("new_id", "id", F.lit(1).alias("by_isbn")).union(same.select("a.new_id", "b.id", F.lit(0)))
+    # Books of equal signals fit the same new ones, so only distinct signals are compared, each with its first few ids; a new book may be one of them itself.
+    sign = ["main", "by", *_SIGNALS]
+    first = F.row_number().over(Window.partitionBy(*sign).orderBy("id"))
+    few = b.where("main <> ''").select(*sign, "id").withColumn("_r", first).where(F.col("_r") <= most + 1).groupBy(*sign).agg(F.collect_list("id").alias("ids"))
+    asked = a.where("main <> ''").select(*sign).distinct()
+    fitting = asked.alias("a").join(few.alias("b"), (F.col("a.main") == F.col("b.main")) & fits & (unknown | ((F.col("a.by") == F.col("b.by")) & years)))
+    held = fitting.groupBy(*(F.col(f"a.{c}").alias(c) for c in sign)).agg(F.slice(F.array_sort(F.flatten(F.collect_list("b.ids"))), 1, most + 1).alias("ids"))
+    alike = [F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in sign]
+    same = a.alias("n").join(held.alias("h"), alike).select("n.new_id", F.explode("h.ids").alias("id"))
+    isbn = Window.partitionBy("isbn13").orderBy("id")
+    by_isbn = b.where("isbn13 is not null").select("id", "isbn13").withColumn("_r", F.row_number().over(isbn)).where(F.col("_r") <= most + 1).drop("_r")
+    hits = a.join(by_isbn, "isbn13").select("new_id", "id", F.lit(1).alias("by_isbn")).union(same.select("new_id", "id", F.lit(0)))
     hits = hits.where("new_id <> id").groupBy("new_id", "id").agg(F.max("by_isbn").alias("by_isbn"))
     ranked = hits.withColumns({"r": F.row_number().over(Window.partitionBy("new_id").orderBy("id")), "any_isbn": F.max("by_isbn").over(Window.partitionBy("new_id"))}).where(F.col("r") <= most)
     return ranked.groupBy("new_id").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.when(F.max("any_isbn") == 1, "isbn").otherwise("title").alias("reason"))

@@ -11,7 +11,7 @@ from lectern.functions import isbn as isbns
 from lectern.operators import audits, catalogue, curation, evaluation, fusion, index, logs, merging, query_lang
 from lectern.streaming import pipelines
 
-from .tables import table
+from .tables import spread, table
 
 NAMED = {"steel": "type:STEEL", "big": 'size:">30" and search:"=steel"', "-hidden": "brand:\"=Brand#11\""}
 
@@ -136,7 +136,7 @@ def quality_issues(spark, sf_dir):
 
 def add_probe(spark, sf_dir):
     """Every 97th book as a new one: which others have its ISBN or are its work."""
-    books = _editions(spark, sf_dir)
+    books = spread(_editions(spark, sf_dir))
     out = curation.add_probe(books.where("id % 97 = 0"), books, 5)
     return out.select("new_id", F.array_join("ids", ",").alias("ids"), "reason")
 

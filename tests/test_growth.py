@@ -109,3 +109,34 @@ def test_arrow_functions_hold_few_rows(spark):
         clean, edits = (None, []) if texts[r.id] is None else etl.normalise(texts[r.id])
         assert (r.text, [tuple(e) for e in r.edits], r.back) == (clean, edits, r.edits)
         assert r.stems == stemming.stem_tokens(texts[r.id] or "") and len(r.v) == etl.DIM
+
+
+def test_captions_are_not_broadcast(spark):
+    """Lines that a few bytes of a table grow into must not be sent whole to every executor."""
+    from lectern.plans import indexing
+
+    out = indexing.layout_captions(spark, SMALL)
+    assert "Broadcast" not in plan(out) and out.count() > 0
+
+
+@pytest.mark.parametrize("query", ["outline_chapters", "markup_rules"])
+def test_made_texts_are_spread(spark, query):
+    from lectern.plans import documents
+
+    assert documents.QUERIES[query](spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_probe_compares_signals_only(spark):
+    """Many books of one work: what a new one is compared with is bounded by what is asked for, and the answer is that of all pairs."""
+    from lectern.operators import curation
+
+    rows = [(i, ("The Work" if i % 3 == 2 else f"The Work, {i % 3 + 1}{'st' if i % 3 == 0 else 'nd'} Edition"), ["Ann Writer"] if i % 4 else [], {"isbn": "9780306406157"} if i in (40, 50) else {"x": "y"}) for i in range(60)]
+    books = spark.createDataFrame(rows, "id long, title string, authors array<string>, identifiers map<string,string>").withColumn("pubdate", F.lit(None).cast("string"))
+    found = curation.add_probe(books.where("id % 10 = 0"), books, 3)
+    edition = lambda i: None if i % 3 == 2 else i % 3
+    for r in found.collect():
+        fits = [i for i in range(60) if i != r.new_id and (edition(i) is None or edition(r.new_id) is None or edition(i) == edition(r.new_id))]
+        isbn = [i for i in (40, 50) if r.new_id in (40, 50) and i != r.new_id]
+        assert r.ids == sorted({*fits, *isbn})[:3] and r.reason == ("isbn" if isbn else "title")
+    assert found.count() == 6
+    assert "slice(" in found._jdf.queryExecution().optimizedPlan().toString()
