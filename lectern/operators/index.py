@@ -63,14 +63,19 @@ def refreshed(index: DataFrame, books: DataFrame, columns: list[str]) -> DataFra
 
 
 def unchanged(chunks: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, same): whether every chunk is still what the text has at its span, with nothing but white space between and behind."""
-    before = F.coalesce(F.lag("char_end").over(Window.partitionBy("book_id").orderBy("char_start")), F.lit(0))
-    last = F.lead("char_start").over(Window.partitionBy("book_id").orderBy("char_start")).isNull()
-    spans = chunks.select("book_id", "char_start", "char_end", "body", before.alias("_before"), last.alias("_last"))
-    j = spans.join(books.select("book_id", "text"), "book_id")
-    blank = lambda a, b: F.expr(f"trim(regexp_replace(substring(text, {a} + 1, greatest({b} - {a}, 0)), '\\\\s+', ''))") == ""
-    same = (F.expr("substring(text, char_start + 1, char_end - char_start)") == F.col("body")) & (F.col("_before") <= F.col("char_start")) & blank("_before", "char_start")
-    return j.groupBy("book_id").agg(F.bool_and(same & (~F.col("_last") | blank("char_end", "length(text)"))).alias("same"))
+    """(book_id, same): whether every chunk is still what the text has at its span, with nothing but white space between and behind.
+
+    Chunks come to their text as spans with the SHA-256 of their bodies, one row a book.
+    """
+    span = F.struct("char_start", "char_end", F.unhex(F.sha2("body", 256)).alias("sum"))
+    spans = chunks.groupBy("book_id").agg(F.sort_array(F.collect_list(span)).alias("_s"))
+    j = books.select("book_id", "text").join(spans, "book_id")
+    blank = lambda a, b: F.trim(F.regexp_replace(F.substring("text", a + 1, F.greatest(b - a, F.lit(0))), r"\s+", "")) == ""
+    before = lambda i: F.when(i > 0, F.get("_s", i - 1)["char_end"]).otherwise(0)
+    held = lambda x: F.unhex(F.sha2(F.substring("text", x["char_start"] + 1, x["char_end"] - x["char_start"]), 256)) == x["sum"]
+    each = F.transform("_s", lambda x, i: held(x) & (before(i) <= x["char_start"]) & blank(before(i), x["char_start"]))
+    last = F.element_at("_s", -1)["char_end"]
+    return j.select("book_id", (F.forall(each, lambda x: x) & blank(last, F.length("text"))).alias("same"))
 
 
 def stale_stems(index: DataFrame) -> DataFrame:

@@ -2,17 +2,20 @@
 
 Tables in segments: books, chunks, postings (with positions), sections, vectors.  An update looks at
 each book's stamp and text, works on what differs, and commits that as one segment; readers of the snapshot before are not disturbed.
+A book whose stamp alone differs gets a new row in ``books``; its chunks and postings stay where they are.  A chunk is cut once,
+with what its book's row gives it, and written once, into its segment; what is made of chunks reads them there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import etl, index, keyword, phrases, sections, stemming, structure
-from .segments import Segment, Snapshot, Table
+from .segments import GRAVES, Segment, Snapshot, Table
 
 COLUMNS = ("body_stem", "body", "book_meta")
 
@@ -33,7 +36,9 @@ class Library:
         self.table = Table(spark, folder, "book_id", {"postings": ("term", "col")})
 
     def read(self, name: str, at: Snapshot | None = None) -> DataFrame:
-        return self.table.read(name, at)
+        """Postings are stored by a chunk's book and place, which are small where its id is not."""
+        rows = self.table.read(name, at)
+        return rows.select(F.xxhash64("book_id", "seq").alias("chunk_id"), *(c for c in rows.columns if c != "seq")) if name == "postings" else rows
 
     def plan(self, books: DataFrame, embed: bool = False, force: bool = False) -> DataFrame:
         """(book_id, action) of each book.
@@ -50,10 +55,11 @@ class Library:
         with_vectors = first.join(known.select("book_id", "embedded_chunks", "chunk_count"), "book_id", "left")
         action = F.when(F.coalesce(lacks, F.lit(False)), "replace").otherwise(F.col("action"))
         stale = F.lit(not embed) & (action == "replace") & (F.coalesce("embedded_chunks", F.lit(0)) > 0)
-        told = with_vectors.select("book_id", F.when(stale, "preserve").otherwise(action).alias("action"))
+        told = self._staged(with_vectors.select("book_id", F.when(stale, "preserve").otherwise(action).alias("action")), at, "told")
         # Equal hashes are a hint; the spans decide.
         some = told.where("action = 'refresh'").select("book_id")
-        same = index.unchanged(self.read("chunks", at).join(some, "book_id", "left_semi"), books.join(some, "book_id", "left_semi"))
+        n = some.count()
+        same = index.unchanged(self._only(self.read("chunks", at), some, n), self._only(books, some, n))
         guarded = told.join(same, "book_id", "left")
         return guarded.select("book_id", F.when((F.col("action") == "refresh") & ~F.coalesce("same", F.lit(False)), "replace").otherwise(F.col("action")).alias("action"))
 
@@ -61,47 +67,73 @@ class Library:
         """Brings the index up to date with some books; those in ``removed`` (book_id) go."""
         base = self.table.snapshot()
         plan = self._staged(self.plan(books, embed, force), base, "plan")
+        n = {r.action: r["count"] for r in plan.groupBy("action").count().collect()}
         of = lambda action: plan.where(F.col("action") == action).select("book_id")
-        tables = self._made(books.join(of("replace"), "book_id", "left_semi"), embed, base)
-        if base.segments:
-            kept = self._refreshed(books.join(of("refresh"), "book_id", "left_semi"), of("refresh"), base)
-            tables = {k: tables[k].unionByName(kept[k]) for k in tables}
-        tables["postings"] = phrases.postings(tables["chunks"], "chunk_id", COLUMNS, ["book_id"])
-        snapshot = self.table.commit(tables, removed, self._facts, base, batch)
-        fs, path = self.table._at(f"incoming/{base.number + 1}/chunks")
+        texts = self._only(books, of("replace"), n.get("replace", 0)) if base.segments else books.where("book_id is not null")
+        named = self._staged(self._named(books, of("refresh"), n["refresh"], base), base, "refreshed") if n.get("refresh") else None
+        snapshot = self.table.commit(self._tables(texts, named, embed, base), removed, self._facts, base, batch, named.where("not _renamed") if named else None)
+        fs, path = self.table._at(f"incoming/{base.number + 1}/refreshed")
         fs.delete(path, True)
         return Update(snapshot, plan)
 
+    @staticmethod
+    def _only(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+        """Rows of some books; few ids go to the rows, so that texts stay where they are."""
+        return rows.join(F.broadcast(ids) if n <= GRAVES else ids, "book_id", "left_semi")
+
     def _staged(self, df: DataFrame, base: Snapshot, name: str) -> DataFrame:
         """Written once, as several tables of a commit are made from it."""
         path = f"{self.table.folder}/incoming/{base.number + 1}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _made(self, books: DataFrame, embed: bool, base: Snapshot) -> dict[str, DataFrame]:
+    def _tables(self, books: DataFrame, named: DataFrame | None, embed: bool, base: Snapshot) -> dict[str, DataFrame | Callable]:
+        """What is made of texts, with the rows of refreshed books; all but chunks is made of the chunks written."""
         heads = books.select("book_id", F.coalesce("title", F.lit("")).alias("title"), "last_modified", F.xxhash64("text").alias("content"), etl.detected_language("text").alias("lang"), F.length("text").alias("chars"))
-        placed = structure.placed_chunks(books, "book_id", "text", self.budget)
-        chunks = self._stemmed(placed.join(heads.select("book_id", "title", "lang"), "book_id").withColumn("body_stem", F.array_join(stemming.stems("body", "lang"), " ")))
-        chunks = self._staged(chunks.withColumn("chunk_id", F.xxhash64("book_id", "seq")), base, "chunks")
+        texts = books.select("book_id", F.coalesce("title", F.lit("")).alias("title"), etl.detected_language("text").alias("lang"), "text")
+        placed = structure.placed_chunks(texts, "book_id", "text", self.budget, ["title", "lang"])
+        chunks = self._stemmed(placed.withColumn("body_stem", F.array_join(stemming.stems("body", "lang"), " "))).withColumn("chunk_id", F.xxhash64("book_id", "seq"))
         entries = structure.chapter_table(books, "book_id", "text").select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("char_start")).alias("seq"), "title", F.lit(1).alias("level"), "char_start")
         tree = sections.nested(sections.ordered(entries, "book_id").join(heads.select("book_id", "chars"), "book_id"), "book_id", "chars").drop("seq", "chars")
-        counts = chunks.groupBy("book_id").agg(F.count("*").alias("chunk_count"))
-        rows = heads.join(counts, "book_id", "left").fillna(0, ["chunk_count"]).withColumns({"embedded_chunks": F.col("chunk_count") if embed else F.lit(0).cast("long"), "stem_version": F.lit(stemming.stem_version())})
-        vectors = chunks.select("chunk_id", "book_id", etl.embedded("body").alias("vector"))
-        return {"books": rows, "chunks": chunks, "sections": sections.kinds_of(tree, chunks, "book_id"), "vectors": vectors if embed else vectors.limit(0)}
+        renamed = named.where("_renamed").drop("_renamed") if named else None
+        some = renamed is not None and not renamed.isEmpty()
+        kept = self._refreshed(renamed, base) if some else {}
+        more = lambda name, df: df.unionByName(kept[name]) if name in kept else df
+
+        def rows(written) -> DataFrame:
+            counts = written("chunks").groupBy("book_id").agg(F.count("*").alias("chunk_count"))
+            made = heads.join(counts, "book_id", "left").fillna(0, ["chunk_count"]).withColumns({"embedded_chunks": F.col("chunk_count") if embed else F.lit(0).cast("long"), "stem_version": F.lit(stemming.stem_version())})
+            return made.unionByName(named.drop("_renamed")) if named else made
+
+        def vectors(written) -> DataFrame:
+            made = written("chunks").join(renamed.select("book_id"), "book_id", "left_anti") if some else written("chunks")
+            made = made.select("chunk_id", "book_id", etl.embedded("body").alias("vector"))
+            return more("vectors", made if embed else made.limit(0))
+
+        return {
+            "books": rows,
+            "chunks": more("chunks", chunks),
+            "sections": lambda written: more("sections", sections.kinds_of(tree, written("chunks"), "book_id")),
+            "vectors": vectors,
+            "postings": lambda written: phrases.postings(written("chunks"), "seq", COLUMNS, ["book_id"]),
+        }
 
     @staticmethod
     def _stemmed(chunks: DataFrame) -> DataFrame:
         return chunks.withColumn("book_meta", F.array_join(stemming.stems("title", "lang"), " ")).drop("title", "lang")
 
-    def _refreshed(self, books: DataFrame, ids: DataFrame, at: Snapshot) -> dict[str, DataFrame]:
-        """The stored rows of books under their new titles and stamps; texts are not cut, stemmed or embedded again."""
-        old = {k: self.read(k, at).join(ids, "book_id", "left_semi") for k in ("books", "chunks", "sections", "vectors")}
-        new = books.select("book_id", F.coalesce("title", F.lit("")).alias("_t"), F.col("last_modified").alias("_m"))
-        rows = old["books"].join(new, "book_id")
-        named = rows.select(*(F.col({"title": "_t", "last_modified": "_m"}.get(c, c)).alias(c) for c in old["books"].columns))
-        chunks = self._stemmed(old["chunks"].drop("book_meta").join(named.select("book_id", "title", "lang"), "book_id"))
-        return old | {"books": named, "chunks": chunks.select(*old["chunks"].columns)}
+    def _named(self, books: DataFrame, ids: DataFrame, n: int, at: Snapshot) -> DataFrame:
+        """The stored rows of books with their new titles and stamps, and whether the title is another one (``_renamed``)."""
+        old = self.read("books", at)
+        new = self._only(books.select("book_id", F.coalesce("title", F.lit("")).alias("_t"), F.col("last_modified").alias("_m")), ids, n)
+        rows = old.join(new, "book_id")
+        return rows.select(*(F.col({"title": "_t", "last_modified": "_m"}.get(c, c)).alias(c) for c in old.columns), (F.col("title") != F.col("_t")).alias("_renamed"))
+
+    def _refreshed(self, renamed: DataFrame, at: Snapshot) -> dict[str, DataFrame]:
+        """The stored rows of books under their new titles; texts are not cut, stemmed or embedded again."""
+        old = {k: self.read(k, at).join(renamed.select("book_id"), "book_id", "left_semi") for k in ("chunks", "sections", "vectors")}
+        chunks = self._stemmed(old["chunks"].drop("book_meta").join(renamed.select("book_id", "title", "lang"), "book_id"))
+        return old | {"chunks": chunks.select(*old["chunks"].columns)}
 
     def _facts(self, base: Snapshot, segment: Segment | None, touched: DataFrame) -> dict[str, int]:
         """Chunks and their tokens, by what the touched books had and have."""

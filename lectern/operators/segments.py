@@ -8,7 +8,9 @@ is written last and never over another, so a commit that meets a newer snapshot
 it began from fails (``Conflict``) and leaves the table as it was, and a reader keeps the
 snapshot it has.  ``merge`` rewrites segments of like size into one, without hidden rows,
 so a table has few segments and each row is rewritten a logarithmic number of times.
-Tables with a layout come sorted in runs and are written as they come, without a shuffle.
+A grave may name the tables that it holds for, so a key's row in a small table changes without its large ones.
+Tables with a layout come sorted in runs and are written as they come, without a shuffle; so their terms are stored by
+what differs from the term before.
 
 Rows of a null key can't be replaced, so they are refused.  Files that no snapshot names stay
 until ``vacuum``.
@@ -37,12 +39,13 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Segment:
-    """``main`` is the table that has a row for each key; ``rows`` counts it."""
+    """``main`` is the table that has a row for each key; ``rows`` counts it.  A grave holds for the tables in ``only``, or for all."""
 
     name: str
     gen: int
     rows: int
     main: str = ""
+    only: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ class Snapshot:
     @classmethod
     def of(cls, text: str) -> Snapshot:
         d = json.loads(text)
-        return cls(d["number"], *(tuple(Segment(**s) for s in d[k]) for k in ("segments", "graves")), d["facts"], d["batches"])
+        return cls(d["number"], *(tuple(Segment(**s | {"only": tuple(s.get("only", ()))}) for s in d[k]) for k in ("segments", "graves")), d["facts"], d["batches"])
 
 
 NOTHING = Snapshot(0)
@@ -134,6 +137,7 @@ class Table:
         return reduce(DataFrame.unionByName, self._live(name, at.segments, at.graves))
 
     def _live(self, name: str, segments: Sequence[Segment], graves: Sequence[Segment]) -> list[DataFrame]:
+        graves = [g for g in graves if not g.only or name in g.only]
         last, parts, old = max((g.gen for g in graves), default=-1), [], []
         for s in segments:
             rows = self.spark.read.parquet(f"{self.folder}/segments/{s.name}/{name}")
@@ -155,18 +159,29 @@ class Table:
 
     # Writing.
 
-    def _write(self, tables: dict[str, DataFrame], gen: int, count: str, mixed: bool = False) -> Segment:
-        """One segment; rows of a layout that a join has ``mixed`` are sorted again, each task's by themselves."""
+    def _write(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], gen: int, count: str, mixed: bool = False) -> Segment:
+        """One segment; rows of a layout that a join has ``mixed`` are sorted again, each task's by themselves.
+
+        A table may be a function of a reader of those written before it; these are written first.
+        """
         name = uuid.uuid4().hex[:16]
-        for table, df in tables.items():
-            by = self.layout.get(table)
+        written = lambda table: self.spark.read.parquet(f"{self.folder}/segments/{name}/{table}")
+        for table, made in sorted(tables.items(), key=lambda x: callable(x[1])):
+            df, by = made(written) if callable(made) else made, self.layout.get(table)
             laid = df.sortWithinPartitions(*by, self.key) if by and mixed else df
-            laid.write.option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/segments/{name}/{table}")
-        return Segment(name, gen, self.spark.read.parquet(f"{self.folder}/segments/{name}/{count}").count(), count)
-
-    def commit(self, tables: dict[str, DataFrame] | None = None, removed: DataFrame | None = None, facts: Callable[[Snapshot, Segment | None, DataFrame], dict[str, int]] | None = None, base: Snapshot | None = None, batch: tuple[str, int] | None = None) -> Snapshot:
+            writer = laid.write.option("parquet.block.size", 8 << 20).option("compression", "zstd")
+            if by:
+                writer = writer.option("parquet.writer.version", "v2")
+                for c in (by[0], self.key):
+                    writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
+            writer.parquet(f"{self.folder}/segments/{name}/{table}")
+        return Segment(name, gen, written(count).count(), count)
+
+    def commit(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]] | None = None, removed: DataFrame | None = None, facts: Callable[[Snapshot, Segment | None, DataFrame], dict[str, int]] | None = None, base: Snapshot | None = None, batch: tuple[str, int] | None = None, partly: DataFrame | None = None) -> Snapshot:
         """Replaces all rows of the keys in ``tables`` (the first of them has a row for each key) and removes those of ``removed``.
 
+        Of the keys in ``partly`` only the row of the first table is new; what older segments hold of them in other tables stays.
+
         ``facts`` gives the new facts from the old snapshot, the new segment and the keys touched.  A ``batch`` (stream,
         number) that is in already changes nothing, so a stream may repeat it.
         """
@@ -180,19 +195,26 @@ class Table:
             keys.append(self.spark.read.parquet(f"{self.folder}/segments/{segment.name}/{first}").select(self.key))
             if keys[0].where(F.col(self.key).isNull()).limit(1).count():
                 raise ValueError(f"rows without {self.key}")
+            if partly is not None:
+                keys[0] = keys[0].join(partly.select(self.key), self.key, "left_anti")
         if removed is not None:
             keys.append(removed.select(self.key).where(F.col(self.key).isNotNull()))
         touched = reduce(DataFrame.unionByName, keys).distinct() if keys else None
         graves = base.graves
         if touched is not None and (base.segments or removed is not None):
-            name = uuid.uuid4().hex[:16]
-            touched.write.parquet(f"{self.folder}/graves/{name}")
-            touched = self.spark.read.parquet(f"{self.folder}/graves/{name}")
-            graves = (*graves, Segment(name, gen, touched.count()))
+            graves = (*graves, self._dug(touched, gen))
+            touched = self.spark.read.parquet(f"{self.folder}/graves/{graves[-1].name}")
+            if partly is not None:
+                graves = (*graves, self._dug(partly.select(self.key).distinct(), gen, (first,)))
         known = facts(base, segment, touched) if facts and touched is not None else base.facts
         segments = (*base.segments, segment) if segment and segment.rows else base.segments
         return self._publish(Snapshot(gen, segments, graves if segments else (), known, base.batches | dict([batch] if batch else [])))
 
+    def _dug(self, keys: DataFrame, gen: int, only: tuple[str, ...] = ()) -> Segment:
+        name = uuid.uuid4().hex[:16]
+        keys.write.parquet(f"{self.folder}/graves/{name}")
+        return Segment(name, gen, self.spark.read.parquet(f"{self.folder}/graves/{name}").count(), only=only)
+
     def merge(self, fanout: int = FANOUT, everything: bool = False) -> Snapshot:
         """Rewrites ``fanout`` or more segments of one size class as one, until no class has so many; or all, with ``everything``."""
         at = self.snapshot()
@@ -209,7 +231,9 @@ class Table:
             # The merged rows outlived all graves so far; later ones still hide them.
             merged = self._write(live, at.number, chosen[0].main, not self._few(at.graves))
             rest = tuple(s for s in at.segments if s not in chosen)
-            segments = (*rest, merged) if merged.rows else rest
+            # Its rows in the main table may all be hidden while those in others live.
+            holds = merged.rows or any(not self.spark.read.parquet(f"{self.folder}/segments/{merged.name}/{n}").isEmpty() for n in names)
+            segments = (*rest, merged) if holds else rest
             oldest = min((s.gen for s in segments), default=at.number)
             at = self._publish(replace(at, number=at.number + 1, segments=segments, graves=tuple(g for g in at.graves if g.gen > oldest)))
 

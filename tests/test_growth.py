@@ -140,3 +140,35 @@ def test_probe_compares_signals_only(spark):
         assert r.ids == sorted({*fits, *isbn})[:3] and r.reason == ("isbn" if isbn else "title")
     assert found.count() == 6
     assert "slice(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_library_moves_no_texts(spark, tmp_path, monkeypatch):
+    """Chunks are made and written once, without a shuffle; a new stamp alone writes rows of books only."""
+    from lectern.operators import segments
+    from lectern.operators.library import Library
+
+    chunk_plans = []
+    write = segments.Table._write
+    monkeypatch.setattr(segments.Table, "_write", lambda self, tables, *a: chunk_plans.append(plan(tables["chunks"])) or write(self, tables, *a))
+    frame = lambda stamps: spark.createDataFrame([(i, f"Title {i}", f"# Part\nThe red fox ran. Dogs are running {i}. " * 4, s) for i, s in enumerate(stamps)], "book_id long, title string, text string, last_modified string")
+    library, full = (Library(spark, f"file://{tmp_path}/{x}", 60) for x in "ab")
+    library.update(frame("1111"))
+    got = library.update(frame("22221"))
+    assert all("Exchange" not in p.replace("BroadcastExchange", "") for p in chunk_plans)
+    assert {r.book_id: r.action for r in got.plan.collect()} == dict.fromkeys(range(4), "refresh") | {4: "replace"}
+    last = got.snapshot.segments[-1]
+    held = {n: {r.book_id for r in spark.read.parquet(f"{tmp_path}/a/segments/{last.name}/{n}").collect()} for n in ("books", "chunks", "postings")}
+    assert held == {"books": {0, 1, 2, 3, 4}, "chunks": {4}, "postings": {4}}
+    full.update(frame("22221"))
+    rows = lambda x: [sorted(map(repr, x.read(n).select(*sorted(x.read(n).columns)).collect())) for n in ("books", "chunks", "sections", "postings")]
+    want = rows(full)
+    assert rows(library) == want and library.table.snapshot().facts == full.table.snapshot().facts
+    # The first segment's rows of books are all hidden, its chunks are not.
+    at = library.table.snapshot()
+    alone = segments.replace(at, number=at.number + 1, segments=at.segments[:1])
+    library.table._publish(alone)
+    library.table.merge(everything=True)
+    assert library.read("books").count() == 0 and library.read("chunks").where("book_id < 4").count() == full.read("chunks").where("book_id < 4").count() > 0
+    library.table.revert(at.number)
+    library.table.merge(everything=True)
+    assert rows(library) == want and not library.table.snapshot().graves
