@@ -118,3 +118,26 @@ def test_languages(spark):
     for i, (t, want) in enumerate(texts.items()):
         assert got[i] == want == languages.language(t), t[:60]
     assert got[99] is None
+
+
+def test_words_that_begin_otherwise_are_not_stemmed(monkeypatch):
+    """A text's words are stemmed only if they begin as a sought stem, and none with such a stem is missed."""
+    rng = random.Random(4)
+    parts = ["", "y", "e", "s", "es", "ies", "ied", "ed", "ing", "eed", "eedly", "ingly", "ll", "tt", "ization", "ational", "fulness", "ogi", "li", "ness", "ement", "ion", "al", "e", "er"]
+    endings = ["", "а", "ё", "ами", "ость", "ейше", "ившись", "ваться", "нный", "ях", "ет", "и", "ь", "ся"]
+    root = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    words = [root("aeiouybdstlgnr", 4) + rng.choice(parts) + rng.choice(parts) for _ in range(8000)] + [root("аеёиоубвгдлнст", 4) + rng.choice(endings) + rng.choice(endings) for _ in range(4000)]
+    words += [*stemming._SPECIAL, *stemming._KEPT, "Dying", "İng", "ΟΔΟΣ", "aΣb", "ёж1", "ЁЖ_1", "camelCase", "日本語", "K2"]
+    words = sorted({w for w in words if w} | {w.title() for w in words if w})
+    stems = {w: stemming.stem(w) for w in words}
+    for some in (rng.sample(words, 40), list(stemming._SPECIAL), ["ёж1", "ΟΔΟΣ", "aΣb", "İng"], words):
+        terms = frozenset(stems[w] for w in some if stems[w])
+        assert stemming.sought(words, terms) == {w: s for w, s in stems.items() if s in terms}
+        terms = frozenset(t for t in terms if len(t) >= snippets.STEM_CHARS)
+        assert stemming.sought(words, terms) == {w: s for w, s in stems.items() if s in terms}
+    other = (stemming.Pack("xx", "Latin", "", lambda w: w[::-1]),)
+    assert stemming.sought(["raft", "node"], frozenset({"tfar"}), other) == {"raft": "tfar"}
+    asked = []
+    monkeypatch.setattr(stemming, "stem", lambda w, *a, **k: asked.append(w) or stems.get(w, w))
+    snippets.window(" ".join(f"word{chr(97 + i % 26)}{i}" for i in range(500)) + " raft", frozenset({"raft"}))
+    assert asked == ["raft"]
