@@ -67,15 +67,20 @@ def detected(text: str, languages: tuple[Language, ...] = LANGUAGES) -> Column:
     """The language's id; null for a text without a letter of any script.
 
     A script with one language decides alone; letters and words are only counted where a script has several.
+    A text of ASCII has letters of one script, so one of them is enough.
     """
     few = sample(text)
-    letters = {s: F.length(F.regexp_replace(few, rf"\P{{Is{s}}}", "")) for s in _scripts(languages)}
+    letters = {s: F.length(F.regexp_replace(few, rf"\P{{Is{s}}}+", "")) for s in _scripts(languages)}
     most = F.greatest(F.lit(0), *letters.values())
     out = F.lit(None).cast("string")
     for script in reversed(letters):
         own = [x for x in languages if x.script == script]
         out = F.when((letters[script] == most) & (most > 0), F.lit(own[0].id) if len(own) == 1 else _among(F.lower(few), script, own)).otherwise(out)
-    return out
+    latin = [x for x in languages if x.script == "Latin"]
+    if len(latin) > 1:
+        return out
+    plain = F.lit(latin[0].id) if latin else F.lit(None).cast("string")
+    return F.when(F.length(few) == F.octet_length(few), F.when(few.rlike("[A-Za-z]"), plain)).otherwise(out)
 
 
 def _among(low: Column, script: str, own: list[Language]) -> Column:

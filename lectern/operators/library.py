@@ -91,8 +91,8 @@ class Library:
         """What is made of texts, with the rows of refreshed books; all but chunks is made of the chunks written."""
         heads = books.select("book_id", F.coalesce("title", F.lit("")).alias("title"), "last_modified", F.xxhash64("text").alias("content"), etl.detected_language("text").alias("lang"), F.length("text").alias("chars"))
         texts = books.select("book_id", F.coalesce("title", F.lit("")).alias("title"), etl.detected_language("text").alias("lang"), "text")
-        placed = structure.placed_chunks(texts, "book_id", "text", self.budget, ["title", "lang"])
-        chunks = self._stemmed(placed.withColumn("body_stem", F.array_join(stemming.stems("body", "lang"), " "))).withColumn("chunk_id", F.xxhash64("book_id", "seq"))
+        placed = structure.placed_chunks(texts, "book_id", "text", self.budget, ["title", "lang"], {"body_stem": "body", "book_meta": "title"})
+        chunks = placed.drop("title", "lang").withColumn("chunk_id", F.xxhash64("book_id", "seq"))
         entries = structure.chapter_table(books, "book_id", "text").select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("char_start")).alias("seq"), "title", F.lit(1).alias("level"), "char_start")
         tree = sections.nested(sections.ordered(entries, "book_id").join(heads.select("book_id", "chars"), "book_id"), "book_id", "chars").drop("seq", "chars")
         renamed = named.where("_renamed").drop("_renamed") if named else None

@@ -127,8 +127,20 @@ def code_of(body: str) -> Column:
     return F.array_join(F.transform(lines, letter), "")
 
 
-def with_kind(df, body: str, position: Column, in_front: Column, heading: str | None = None):
-    """Rows with matter_kind and strong; ``heading`` names the column of the nearest heading's matter (see titles.matter_titles)."""
+# In each line that CITED finds is one of these; letters that other letters fold to (i, k, s) are left out of them.
+_CITED_SIGNS = ("(1", "(2", "pp.", "Pp.", "pP.", "PP.", "v:", "V:", "i:", "I:", "\u0131:", "\u0130:")
+
+
+def may_need_code(body: str, position: float) -> bool:
+    """False for bodies, not of front matter, whose kind can be told without a look at each line: not at the end, and without BIB_LINES citations."""
+    return position > BACK_START or sum(body.count(s) for s in _CITED_SIGNS) >= BIB_LINES
+
+
+def with_kind(df, body: str, position: Column, in_front: Column, heading: str | None = None, coded: Column | None = None):
+    """Rows with matter_kind and strong; ``heading`` names the column of the nearest heading's matter (see titles.matter_titles).
+
+    Where ``coded`` is false, lines are not looked at (see may_need_code), and strong is not to be used.
+    """
     c = F.col("_code")
     n = lambda letters: F.length(c) - F.length(F.regexp_replace(c, letters, ""))
     above = F.coalesce(F.col(heading), F.lit("")) if heading else F.lit("")
@@ -142,6 +154,7 @@ def with_kind(df, body: str, position: Column, in_front: Column, heading: str |
         F.when(in_front, "front").when(behind & indexed & ~(prose & sentences), "back_index").when((behind | (above == "bibliography") | c.rlike(_BOOKS)) & cited, "back_biblio")
         .when((behind | (position < FRONT_ZONE)) & F.col(body).rlike(_jvm(LEGAL)), "back_other").otherwise("body")
     )
-    coded = df.withColumn("_code", code_of(body)).withColumn("matter_kind", what)
+    code = code_of(body) if coded is None else F.when(coded, code_of(body))
+    rows = df.withColumn("_code", code).withColumn("matter_kind", what)
     strong = F.col("matter_kind").isin("back_index", "back_other") | (F.col("matter_kind") == "front") & (listed | ~prose)
-    return coded.withColumn("strong", F.coalesce(strong, F.lit(False))).drop("_code")
+    return rows.withColumn("strong", F.coalesce(strong, F.lit(False))).drop("_code")

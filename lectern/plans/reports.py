@@ -97,7 +97,10 @@ def library_update(spark, sf_dir):
     library = Library(spark, scratch_folder(spark, "library"))
     library.update(before)
     done = library.update(docs.withColumn("last_modified", F.when(i == 0, "1").otherwise("2")))
-    chars = library.read("chunks").groupBy("book_id").agg(F.sum(F.length(F.regexp_replace("body", r"[\x20\x09-\x0D]", ""))).alias("chars"))
+    shown = F.col("body")
+    for blank in "\x20\t\n\x0b\f\r":
+        shown = F.replace(shown, F.lit(blank), F.lit(""))
+    chars = library.read("chunks").groupBy("book_id").agg(F.sum(F.length(shown)).alias("chars"))
     return done.plan.join(chars, "book_id", "left").select("book_id", "action", F.coalesce("chars", F.lit(0)).alias("chars"))
 
 
